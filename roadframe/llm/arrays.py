@@ -179,3 +179,13 @@ def ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 import pyarrow.compute  # noqa: E402,F401  pa.compute above
+
+
+def covered_runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of the ranges [start, start + length), one range after another."""
+    total = int(length.sum())
+    if not total:
+        return np.zeros(0, dtype=np.int64)
+    ends = np.cumsum(length)
+    out = np.arange(total, dtype=np.int64)
+    return out + np.repeat(np.asarray(start, dtype=np.int64) - (ends - length), length)
