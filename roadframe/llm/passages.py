@@ -45,33 +45,7 @@ def _anchor_entries(batches: Iterator[pa.RecordBatch], block: int, n_buckets: in
             continue
         key = np.asarray(b.column("key"))
         place = at - words.first[words.doc[at]]
-        aligned = place % block == 0
-        order = np.argsort(runs, kind="stable")
-        new = np.concatenate([[True], runs[order][1:] != runs[order][:-1]])
-        first = np.flatnonzero(new)
-        alone = np.zeros(len(at), dtype=bool)
-        single = np.diff(np.append(first, len(at))) == 1
-        alone[order[first[single]]] = True
-        # a run met twice in this chunk needs no answer from elsewhere
-        local = aligned & ~alone
-        probe = np.concatenate([runs[alone & ~aligned], runs[order[first[~single]]]])
-        none = np.zeros(0, dtype="<u4")
-        index = alone & aligned
-        yield from S.sent(0, X.bucket_of(probe, n_buckets), n_buckets, probe.astype("<u4"), none, none)
-        yield from S.sent(1, X.bucket_of(runs[index], n_buckets), n_buckets, runs[index].astype("<u4"), key[words.doc[at[index]]], place[index].astype("<u4"))
-        yield from S.sent(2, (key[words.doc[at[local]]] % n_buckets).astype(np.int32), n_buckets, none, key[words.doc[at[local]]], place[local].astype("<u4"))
-
-
-def _anchors(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Index entries whose block occurs a second time, and those that were settled before."""
-    kind = np.asarray(rows.column("kind"))
-    index, done = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
-    mine = X.unpack(index.column("h"), "<u4")
-    key, at = X.unpack(index.column("key"), "<i8"), X.unpack(index.column("at"), "<u4")
-    everything = np.sort(np.concatenate([mine, X.unpack(rows.filter(pa.array(kind == 0)).column("h"), "<u4")]))
-    again = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    hit = np.isin(mine, again)
-    yield from S.hit_rows(np.concatenate([key[hit], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[hit], X.unpack(done.column("at"), "<u4")]))
+        yield from S.anchor_rows(runs, key[words.doc[at]], place, place % block == 0, n_buckets)
 
 
 def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +128,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     texts = S.by_key(rows)
     fresh = texts.join(copies, "key", "left_anti").select("key", "text")
     probed = fresh.mapInArrow(lambda batches: _anchor_entries(batches, block, n_buckets), S.EXCHANGE_DDL)
-    anchors = S.gathered(X.per_bucket(probed, _anchors, S.HITS_DDL))
+    anchors = S.gathered(X.per_bucket(probed, S.anchors, S.HITS_DDL))
     around = texts.join(anchors, "key").select("key", "text", "hits")
     compared = around.mapInArrow(lambda batches: _window_entries(batches, window, block, n_buckets), S.EXCHANGE_DDL)
     repeats = S.gathered(X.per_bucket(compared, _repeats, S.HITS_DDL))

@@ -66,12 +66,44 @@ def sent(kind: int, bucket: np.ndarray, n_buckets: int, h: np.ndarray, key: np.n
     yield A.batch(EXCHANGE, used, np.full(len(used), kind, dtype=np.int32), *cells)
 
 
+def anchor_rows(h: np.ndarray, key: np.ndarray, at: np.ndarray, indexed: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """One chunk's fingerprints: indexed ones ask whether they occur a second time, the others only answer."""
+    if not len(h):
+        return
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    first = np.flatnonzero(new)
+    single = np.diff(np.append(first, len(h))) == 1
+    alone = np.zeros(len(h), dtype=bool)
+    alone[order[first[single]]] = True
+    # a fingerprint met twice in this chunk needs no answer from elsewhere
+    local, index = indexed & ~alone, indexed & alone
+    probe = np.concatenate([h[alone & ~indexed], h[order[first[~single]]]])
+    none = np.zeros(0, dtype="<u4")
+    yield from sent(0, X.bucket_of(probe, n_buckets), n_buckets, probe.astype("<u4"), none, none)
+    yield from sent(1, X.bucket_of(h[index], n_buckets), n_buckets, h[index].astype("<u4"), key[index], at[index].astype("<u4"))
+    yield from sent(2, (key[local] % n_buckets).astype(np.int32), n_buckets, none, key[local], at[local].astype("<u4"))
+
+
+def anchors(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: indexed entries that occur a second time, and those that were settled before."""
+    kind = np.asarray(rows.column("kind"))
+    index, done = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
+    mine = X.unpack(index.column("h"), "<u4")
+    key, at = X.unpack(index.column("key"), "<i8"), X.unpack(index.column("at"), "<u4")
+    everything = np.sort(np.concatenate([mine, X.unpack(rows.filter(pa.array(kind == 0)).column("h"), "<u4")]))
+    again = np.unique(everything[1:][everything[1:] == everything[:-1]])
+    hit = np.isin(mine, again)
+    yield from hit_rows(np.concatenate([key[hit], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[hit], X.unpack(done.column("at"), "<u4")]))
+
+
 def hit_rows(key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per document: its key and the packed places."""
     if not len(key):
         return
     order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order].astype("<u4")
+    key, at = key[order], at[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     yield A.batch(HITS, key[new], A.ragged(at, np.append(new, len(key))))
 
@@ -81,11 +113,12 @@ def gathered(hits: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.collect_list("hits").alias("hits"))
 
 
-def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def places(column: pa.Array, dtype: str | np.dtype = "<u4") -> tuple[np.ndarray, np.ndarray]:
     """(places, row of each) of a batch's gathered hits; null rows have none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     cells = column.flatten()
     size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), dtype=np.int64)
     row_of_cell = np.repeat(np.arange(len(column)), size)
-    return X.unpack(cells, "<u4").astype(np.int64), np.repeat(row_of_cell, X.lengths(cells, 4))
+    found = X.unpack(cells, dtype)
+    return found.astype(np.int64) if found.dtype.names is None else found, np.repeat(row_of_cell, X.lengths(cells, found.dtype.itemsize))
