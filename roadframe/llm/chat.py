@@ -54,15 +54,18 @@ def ancestors(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = parent.join(ids, ["conv_id", "msg"], "left_semi").distinct().withColumnRenamed("msg", "parent").withColumn("known", F.lit(True))
     now = tree.join(known, ["conv_id", "parent"], "left").select("conv_id", "msg", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(0).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     now = now.withColumn("depth", F.when(F.col("up").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    # rounds carry on only the messages whose root is still above
     now, steps = cut(now), []
+    settled, now = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
     for _ in range(MAX_ROUNDS):
-        open_rows = now.filter("up IS NOT NULL")
-        if open_rows.isEmpty():
+        if now.isEmpty():
             break
-        steps.append(open_rows.select("conv_id", "msg", "up"))
-        above = now.select("conv_id", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        now = cut(now.join(above, ["conv_id", "up"], "left").select("conv_id", "msg", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")))
-    return now.filter("up IS NULL"), steps
+        steps.append(now.select("conv_id", "msg", "up"))
+        above = now.unionByName(settled).select("conv_id", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        now = cut(now.join(above, ["conv_id", "up"]).select("conv_id", "msg", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")))
+        settled = settled.unionByName(now.filter("up IS NULL"))
+        now = now.filter("up IS NOT NULL")
+    return settled, steps
 
 
 def branches(tree: DataFrame, keep: int = 1) -> DataFrame:
@@ -71,16 +74,15 @@ def branches(tree: DataFrame, keep: int = 1) -> DataFrame:
     A branch's score is the mean score of its messages; ties go to the longer branch, then to the
     smaller leaf id. branch counts from 0 in that order.
     """
+    tree = cut(tree)
     reach, steps = ancestors(tree)
     parents = tree.select("conv_id", F.col("parent").alias("msg")).filter("msg IS NOT NULL").distinct()
     leaves = reach.join(parents, ["conv_id", "msg"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "msg")) - 1
     paths = leaves.withColumn("branch", rank).filter(F.col("branch") < keep).select("conv_id", "branch", "msg")
-    for k, step in enumerate(steps):
-        higher = paths.join(step, ["conv_id", "msg"]).select("conv_id", "branch", F.col("up").alias("msg"))
-        paths = paths.unionByName(higher)
-        if k % 4 == 3:
-            paths = cut(paths)
+    for step in steps:
+        paths = cut(paths)
+        paths = paths.unionByName(paths.join(step, ["conv_id", "msg"]).select("conv_id", "branch", F.col("up").alias("msg")))
     depth = reach.select("conv_id", "msg", "depth")
     return paths.join(depth, ["conv_id", "msg"]).join(tree.select("conv_id", "msg", "role", "text"), ["conv_id", "msg"]).select("conv_id", "branch", "depth", "role", "text")
 
