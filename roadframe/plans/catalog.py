@@ -1,15 +1,559 @@
-"""Registered queries over the driver tables and the derived road network."""
+"""Registered queries over the driver tables and the derived road network, with their SQL.
+
+Every query reads whole tables. Doubles are rounded to 6 places, so that both engines print them alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as X
+from ..operators import conform, edits, integrity, merge, segment, spatial, topology
+from ..operators.components import connected_components, ensure_checkpoint_dir
+from ..operators.integrity import Edge
+from ..schema import Layer, parse_fields
+from .network import ctes, network
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with its SQL where there is one."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def net(sql: str) -> str:
+    """SQL over the derived network."""
+    return f"WITH RECURSIVE {ctes()}\n{sql}" if sql.lstrip().upper().startswith("SELECT") else f"WITH RECURSIVE {ctes()},\n{sql}"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- field checks -------------------------------------------------------------------------------
+
+
+def _layer(name: str, notation: str, codes: dict[str, str]) -> Layer:
+    return Layer(name, name, (), True, parse_fields(notation, codes))
+
+
+#: Rules for driver tables, some of which part of the rows break.
+TABLE_RULES = {
+    "customer": ("c_custkey", _layer("customer", "c_name:t17! c_mktsegment:t10!* c_acctbal:f", {"c_mktsegment": "BUILDING AUTOMOBILE MACHINERY"})),
+    "orders": ("o_orderkey", _layer("orders", "o_orderstatus:t1!* o_orderpriority:t8! o_totalprice:f", {"o_orderstatus": "F O"})),
+    "part": ("p_partkey", _layer("part", "p_name:t12! p_brand:t10!* p_type:t5! p_size:i!", {"p_brand": "Brand#11 Brand#12 Brand#13 Brand#21 Brand#22"})),
+}
+
+
+def _rules_sql() -> str:
+    parts = []
+    for table, (key, layer) in TABLE_RULES.items():
+        for f in layer.fields:
+            if f.kind in ("integer", "float"):
+                continue
+            value = f"trim({f.name})"
+            rules = [("manual-field-required-missing", f"{value} = ''")] if f.required else []
+            rules.append(("manual-field-length-exceeded", f"length({value}) > {f.max_length}"))
+            if f.codes:
+                rules.append(("manual-field-code-invalid", f"{value} <> '' AND {value} NOT IN ({', '.join(repr(c) for c in f.codes)})"))
+            parts += [f"SELECT 'warning' AS kind, '{code}' AS code, '{table}' AS layer, CAST({key} AS VARCHAR) AS feature_id, '{f.name}' AS reason, {value} AS value FROM {table} WHERE {cond}" for code, cond in rules]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for table, (key, layer) in TABLE_RULES.items():
+        rows = read(spark, sf_dir, table).select(key, *(f.name for f in layer.fields))
+        parts.append(conform.check_fields(rows, layer, feature_id=key))
+    return conform.union_all(parts)
+
+
+@query(_rules_sql())
+def field_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("kind", "code", "layer", "feature_id", "reason", F.element_at(F.map_values("before"), 1).alias("value"))
+
+
+@query(f"""WITH f AS ({_rules_sql()})
+SELECT kind, code, layer, reason, count(*) AS n, count(DISTINCT feature_id) AS n_features,
+       array_to_string(list_sort(list_distinct(list(feature_id)))[1:8], ',') AS examples
+FROM f GROUP BY kind, code, layer, reason""")
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conform.summary(_findings(spark, sf_dir)).select("kind", "code", "layer", "reason", "n", "n_features", F.array_join("examples", ",").alias("examples"))
+
+
+@query(f"SELECT kind, count(*) AS n FROM ({_rules_sql()}) GROUP BY kind")
+def findings_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conform.totals(_findings(spark, sf_dir))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lang || ' ' || source, '[0-9]+', '', 'g')) AS label_text,
+       CASE WHEN lang = 'en' THEN 'en (English)' WHEN lang = 'de' THEN 'de (German)' ELSE coalesce(nullif(lang, ''), '-') END AS label FROM documents""")
+def decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.stripped(F.regexp_replace(F.concat_ws(" ", "lang", "source"), "[0-9]+", "")).alias("label_text"), X.labelled(F.col("lang"), {"en": "English", "de": "German"}).alias("label"))
+
+
+@query("""SELECT doc_id, length(regexp_replace(text, '[^가-힣]', '', 'g')) AS n_hangul, length(regexp_replace(text, '[^¡-ÿ｡-ﾟ]', '', 'g')) AS n_markers,
+       contains(text, '�') AS broken FROM documents""")
+def text_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.hangul_count(F.col("text")).cast("long").alias("n_hangul"), X.marker_count(F.col("text")).cast("long").alias("n_markers"), X.broken(F.col("text")).alias("broken"))
+
+
+@query("""SELECT c_custkey AS id, '서울 ' || c_name AS repaired, 'Café ' || c_name AS untouched FROM customer""")
+def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Korean names read in the wrong encoding come back; Western accents stay."""
+    broken = "서울".encode("cp949").decode("latin-1")
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(broken + " "), "c_name").alias("a"), F.concat(F.lit("Café "), "c_name").alias("b"))
+    return rows.select("id", X.repaired(F.col("a")).alias("repaired"), X.repaired(F.col("b")).alias("untouched"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(lang || ' ' || source), 'n src1')")
+def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.search(read(spark, sf_dir, "documents"), " N SRC1", "lang", "source").select("doc_id", "lang", "source")
+
+
+# --- merging ------------------------------------------------------------------------------------
+
+_LINE = ["l_orderkey", "l_linenumber"]
+_LINE_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LINE_ORDER = ", ".join(_LINE_REST)
+_LINE_OUT = "l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 6) AS l_extendedprice"
+
+
+def _line_out(df: DataFrame) -> list[Column]:
+    return [*(F.col(c) for c in _LINE + ["l_partkey", "l_suppkey"]), F.round("l_extendedprice", 6).alias("l_extendedprice")]
+
+
+@query(f"SELECT {_LINE_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS n FROM lineitem) WHERE n = 1")
+def merge_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.merged(read(spark, sf_dir, "lineitem"), _LINE, _LINE_REST)
+    return rows.select(*_line_out(rows))
+
+
+@query(f"SELECT {_LINE_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in _LINE_REST)}) AS n FROM lineitem) WHERE n = 1")
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge.merged(read(spark, sf_dir, "lineitem"), _LINE, _LINE_REST, keep="last")
+    return rows.select(*_line_out(rows))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, same AS identical FROM (
+  SELECT *, row_number() OVER w AS n, l_partkey = first_value(l_partkey) OVER w AND l_suppkey = first_value(l_suppkey) OVER w AS same FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n > 1""")
+def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.duplicates(read(spark, sf_dir, "lineitem"), _LINE, _LINE_REST, ["l_partkey", "l_suppkey"]).select(*_LINE, "l_partkey", "l_suppkey", "identical")
+
+
+@query("""SELECT id, string_agg(layer, ',' ORDER BY layer) AS layers FROM (
+  SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id, 'customer' AS layer FROM customer
+  UNION ALL SELECT DISTINCT CAST(s_suppkey AS VARCHAR), 'supplier' FROM supplier
+  UNION ALL SELECT DISTINCT CAST(p_partkey AS VARCHAR), 'part' FROM part) GROUP BY id HAVING count(*) > 1""")
+def global_id_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = merge.global_ids({t: read(spark, sf_dir, t).select(F.col(k).alias("id")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))})
+    return ids.filter("ambiguous").select("id", F.array_join("layers", ",").alias("layers"))
+
+
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS kinds FROM (
+  SELECT user_id, event_type, min(event_id) AS o FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type) GROUP BY user_id""")
+def distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.distinct_in_order(read(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+# --- references ---------------------------------------------------------------------------------
+
+TABLE_EDGES = [Edge("nation", "region", ("region",), True), Edge("customer", "nation", ("nation",), True), Edge("supplier", "nation", ("nation",), True), Edge("orders", "customer", ("customer",), True), Edge("lineitem", "orders", ("orders",), True), Edge("lineitem", "supplier", ("supplier",))]
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def pick(name: str, **columns: str) -> DataFrame:
+        return read(spark, sf_dir, name).select(*(F.expr(e).alias(c) for c, e in columns.items()))
+
+    return {
+        "region": pick("region", id="r_regionkey"),
+        "nation": pick("nation", id="n_nationkey", region="n_regionkey"),
+        "customer": pick("customer", id="c_custkey", nation="c_nationkey"),
+        "supplier": pick("supplier", id="s_suppkey", nation="s_nationkey"),
+        "orders": pick("orders", id="o_orderkey", customer="o_custkey"),
+        "lineitem": pick("lineitem", id="concat_ws('-', l_orderkey, l_linenumber)", orders="l_orderkey", supplier="l_suppkey").distinct(),
+    }
+
+
+_LOST_NATION = "n_nationkey = 3"
+
+
+@query("""SELECT 'nation' AS layer, CAST(n_nationkey AS VARCHAR) AS id, 'region' AS target, CAST(n_regionkey AS VARCHAR) AS target_id FROM nation
+UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 'nation', CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier
+UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'customer', CAST(o_custkey AS VARCHAR) FROM orders""")
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return integrity.resolved({k: t[k] for k in ("region", "nation", "customer", "supplier", "orders")}, TABLE_EDGES[:4]).select("layer", "id", "target", "target_id")
+
+
+_MULTI = """SELECT {0} AS target, CAST(o_orderkey AS VARCHAR) AS id FROM orders LEFT JOIN (SELECT DISTINCT c_custkey AS a FROM customer) c ON a = o_custkey LEFT JOIN (SELECT DISTINCT s_suppkey AS b FROM supplier) s ON b = o_custkey"""
+
+
+def _multi(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return integrity.resolved({k: t[k] for k in ("customer", "supplier", "orders")}, [Edge("orders", "customer", ("customer", "supplier"))], how).select("target", "id")
+
+
+@query(_MULTI.format("'customer'") + " WHERE a IS NOT NULL UNION ALL " + _MULTI.format("'supplier'") + " WHERE b IS NOT NULL")
+def resolve_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi(spark, sf_dir, "any")
+
+
+@query(_MULTI.format("CASE WHEN a IS NULL THEN 'supplier' ELSE 'customer' END") + " WHERE (a IS NULL) <> (b IS NULL)")
+def resolve_exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi(spark, sf_dir, "one")
+
+
+@query(_MULTI.format("CASE WHEN a IS NULL THEN 'supplier' ELSE 'customer' END") + " WHERE a IS NOT NULL OR b IS NOT NULL")
+def resolve_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi(spark, sf_dir, "first")
+
+
+@query(f"""SELECT 'customer' AS layer, CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS value FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE {_LOST_NATION})
+UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE {_LOST_NATION})""")
+def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    t["nation"] = t["nation"].filter("id <> 3")
+    return integrity.unresolved(t, TABLE_EDGES).select("layer", "id", "value")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS target_id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS ids FROM orders GROUP BY o_custkey""")
+def back_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    rows = integrity.back_references(integrity.resolved({k: t[k] for k in ("customer", "orders")}, [TABLE_EDGES[3]]))
+    return rows.select("target_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN l.doc_id IS NULL THEN 'Missing' ELSE 'ok' END AS status
+FROM orders LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = o_orderkey""")
+def placeholder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("ref"))
+    targets = read(spark, sf_dir, "labels").select("doc_id").distinct()
+    return integrity.with_placeholders(rows, targets, "ref", key="doc_id").select(F.col("key").alias("id"), F.col("ref_status").alias("status"))
+
+
+_CASCADE = f"""WITH RECURSIVE edge AS (
+  SELECT 'customer' AS layer, CAST(c_custkey AS VARCHAR) AS id, 'nation' AS target, CAST(c_nationkey AS VARCHAR) AS target_id FROM customer
+  UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'customer', CAST(o_custkey AS VARCHAR) FROM orders
+  UNION ALL SELECT DISTINCT 'lineitem', l_orderkey || '-' || l_linenumber, 'orders', CAST(l_orderkey AS VARCHAR) FROM lineitem),
+gone AS (SELECT 'nation' AS layer, CAST(n_nationkey AS VARCHAR) AS id, 0 AS depth FROM nation WHERE {_LOST_NATION}
+  UNION SELECT e.layer, e.id, g.depth + 1 FROM edge e JOIN gone g ON e.target = g.layer AND e.target_id = g.id)"""
+
+
+def _gone(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    t = _tables(spark, sf_dir)
+    seeds = read(spark, sf_dir, "nation").filter(_LOST_NATION).select(F.lit("nation").alias("layer"), F.col("n_nationkey").alias("id"))
+    return t, integrity.cascade(t, TABLE_EDGES, seeds)
+
+
+@query(_CASCADE + " SELECT layer, id, depth FROM gone")
+def cascade_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gone(spark, sf_dir)[1].select("layer", "id", "depth")
+
+
+@query(_CASCADE + """ SELECT DISTINCT 'lineitem' AS layer, l_orderkey || '-' || l_linenumber AS id, CAST(l_suppkey AS VARCHAR) AS value FROM lineitem
+WHERE CAST(l_suppkey AS VARCHAR) IN (SELECT id FROM gone WHERE layer = 'supplier') AND l_orderkey || '-' || l_linenumber NOT IN (SELECT id FROM gone WHERE layer = 'lineitem')
+  AND l_orderkey || '-' || l_linenumber NOT IN (SELECT l_orderkey || '-' || l_linenumber FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) NOT IN (SELECT id FROM gone WHERE layer = 'supplier'))""")
+def cascade_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, gone = _gone(spark, sf_dir)
+    return integrity.cleared(t, TABLE_EDGES, gone).select("layer", "id", "value")
+
+
+# --- network: geometry and topology -------------------------------------------------------------
+
+
+@query(net("SELECT node_id AS id, round(x, 6) AS x, round(y, 6) AS y, z, group_key, node_type FROM net_node"))
+def net_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network(spark, sf_dir)["nodes"].select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z", "group_key", "node_type")
+
+
+@query(net("SELECT link_id AS id, from_id, to_id, r_id, l_id, lane_no, link_type, round(x0, 6) AS x0, round(ym, 6) AS ym FROM net_link"))
+def net_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network(spark, sf_dir)["links"].select("id", "from_id", "to_id", "r_id", "l_id", "lane_no", "link_type", F.round(F.col("coords")[0]["x"], 6).alias("x0"), F.round(F.col("coords")[1]["y"], 6).alias("ym"))
+
+
+_LENGTH = "sqrt((xm - x0) * (xm - x0) + (ym - y0) * (ym - y0)) + sqrt((x1 - xm) * (x1 - xm) + (y1 - ym) * (y1 - ym))"
+
+
+@query(net(f"SELECT link_id AS id, round({_LENGTH}, 6) AS length_m FROM net_link"))
+def link_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.lengths(network(spark, sf_dir)["links"]).select("id", F.round("length_m", 6).alias("length_m"))
+
+
+@query(net(f"SELECT link_id AS id FROM net_link WHERE {_LENGTH} < 0.2"))
+def short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.too_short(network(spark, sf_dir)["links"]).select("id")
+
+
+@query(net("SELECT link_id AS id, round(abs(x0 * ym - xm * y0 + xm * y1 - x1 * ym + x1 * y0 - x0 * y1) / 2, 4) AS area FROM net_link"))
+def triangle_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network(spark, sf_dir)["links"].select("id", F.round(G.area(F.col("coords")), 4).alias("area"))
+
+
+@query(net("""SELECT round(min(least(x0, xm, x1)), 6) AS min_x, round(max(greatest(x0, xm, x1)), 6) AS max_x, round(min(least(y0, ym, y1)), 6) AS min_y,
+       round(max(greatest(y0, ym, y1)), 6) AS max_y, min(least(z0, zm, z1)) AS min_z, max(greatest(z0, zm, z1)) AS max_z FROM net_link"""))
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = G.bounds(network(spark, sf_dir)["links"])
+    return box.select(*(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")), "min_z", "max_z")
+
+
+_ENDS = "ends AS (SELECT link_id, 'from' AS side, from_id AS node FROM net_link WHERE from_id IS NOT NULL UNION ALL SELECT link_id, 'to', to_id FROM net_link WHERE to_id IS NOT NULL),\ndeg AS (SELECT node, count(DISTINCT link_id) AS n FROM ends GROUP BY node)"
+
+
+@query(net(f"{_ENDS} SELECT node_id AS id, coalesce(n, 0) AS degree FROM net_node LEFT JOIN deg ON node = node_id"))
+def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = network(spark, sf_dir)
+    return topology.node_degree(n["nodes"], n["links"])
+
+
+@query(net(f"{_ENDS} SELECT node_id AS id FROM net_node WHERE node_id NOT IN (SELECT node FROM ends)"))
+def unreferenced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = network(spark, sf_dir)
+    return topology.unreferenced_nodes(n["nodes"], n["links"])
+
+
+@query(net(f"{_ENDS} SELECT link_id AS id FROM net_link JOIN deg a ON a.node = from_id JOIN deg b ON b.node = to_id WHERE a.n = 1 AND b.n = 1 AND from_id IN (SELECT node_id FROM net_node) AND to_id IN (SELECT node_id FROM net_node)"))
+def isolated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = network(spark, sf_dir)
+    return topology.isolated_links(n["links"], n["nodes"])
+
+
+@query(net("""open AS (SELECT link_id, 'from' AS side, from_id AS current, x0 AS x, y0 AS y FROM net_link UNION ALL SELECT link_id, 'to', to_id, x1, y1 FROM net_link),
+bad AS (SELECT open.* FROM open LEFT JOIN net_node ON node_id = current WHERE node_id IS NULL),
+near AS (SELECT link_id, side, count(*) AS n_near, min(node_id) AS node FROM bad JOIN net_node n ON n.x BETWEEN bad.x - 0.5 AND bad.x + 0.5 AND n.y BETWEEN bad.y - 0.5 AND bad.y + 0.5
+         AND sqrt((n.x - bad.x) * (n.x - bad.x) + (n.y - bad.y) * (n.y - bad.y)) <= 0.5 GROUP BY link_id, side)
+SELECT bad.link_id AS id, bad.side, bad.current, coalesce(n_near, 0) AS n_near, CASE WHEN n_near = 1 THEN node END AS node FROM bad LEFT JOIN near ON near.link_id = bad.link_id AND near.side = bad.side"""))
+def endpoint_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = network(spark, sf_dir)
+    return topology.endpoint_candidates(n["links"], n["nodes"])
+
+
+_SIDES = """refs AS (SELECT a.link_id AS id, s.side, CASE WHEN s.side = 'l_id' THEN a.l_id ELSE a.r_id END AS target, a.from_id, a.to_id FROM net_link a CROSS JOIN (SELECT 'l_id' AS side UNION ALL SELECT 'r_id') s),
+side AS (SELECT r.*, t.from_id AS t_from, t.to_id AS t_to, CASE WHEN r.side = 'l_id' THEN t.r_id ELSE t.l_id END AS back FROM refs r JOIN net_link t ON t.link_id = r.target)"""
+
+
+@query(net(f"{_SIDES} SELECT id, side, target, CASE WHEN to_id = t_from THEN to_id ELSE from_id END AS node FROM side WHERE to_id = t_from OR from_id = t_to"))
+def longitudinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.longitudinal(network(spark, sf_dir)["links"])
+
+
+@query(net(f"""{_SIDES},
+inverse AS (SELECT r_id AS id, 'l_id' AS side, link_id FROM net_link WHERE r_id IS NOT NULL UNION ALL SELECT l_id, 'r_id', link_id FROM net_link WHERE l_id IS NOT NULL),
+cand AS (SELECT id, side, count(*) AS n, min(link_id) AS first_one FROM inverse GROUP BY id, side)
+SELECT side.id, side.side, target, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN first_one END AS redirect
+FROM side LEFT JOIN cand ON cand.id = side.id AND cand.side = side.side WHERE back IS NULL OR back <> side.id"""))
+def nonreciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.nonreciprocal(network(spark, sf_dir)["links"])
+
+
+@query(net("""found AS (SELECT a.link_id AS id, a.r_id AS target, t.l_id AS slot FROM net_link a JOIN net_link t ON t.link_id = a.r_id WHERE t.l_id IS NULL OR t.l_id <> a.link_id)
+SELECT id, target, CASE WHEN slot IS NULL AND row_number() OVER (PARTITION BY target ORDER BY id) = 1 THEN 'fill' ELSE 'conflict' END AS state FROM found"""))
+def reciprocal_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.reciprocal_state(network(spark, sf_dir)["links"], "r_id", "l_id")
+
+
+@query(net(f"{_ENDS} SELECT link_id AS id, a.n > 1 AS swap FROM net_link JOIN deg a ON a.node = from_id JOIN deg b ON b.node = to_id WHERE (a.n > 1) <> (b.n > 1)"))
+def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.votes(network(spark, sf_dir)["links"])
+
+
+@query()
+def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = network(spark, sf_dir)
+    return topology.orientation(n["links"], n["nodes"], topology.orientation_groups(n["links"], n["nodes"]))
+
+
+@query(net("""pair AS (SELECT link_id AS a, r_id AS b FROM net_link WHERE r_id IN (SELECT link_id FROM net_link) UNION SELECT link_id, l_id FROM net_link WHERE l_id IN (SELECT link_id FROM net_link)),
+sym AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT link_id AS id, link_id AS other FROM net_link UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.other),
+root AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
+SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS component FROM root"""))
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = network(spark, sf_dir)["links"]
+    pairs = links.select(F.col("id").alias("a"), F.explode(F.array("r_id", "l_id")).alias("b"))
+    return connected_components(links.select("id", "ord"), pairs, "id", "ord").select("id", "component")
+
+
+_CROSS = """crossing AS (SELECT s.link_id, m.marker_id, s.az + (s.bz - s.az) * t AS lz, m.z0 + (m.z1 - m.z0) * u AS mz FROM (
+  SELECT s.*, m.*, ((m.x0 - s.ax) * (m.y1 - m.y0) - (m.y0 - s.ay) * (m.x1 - m.x0)) / d AS t, ((m.x0 - s.ax) * s.uy - (m.y0 - s.ay) * s.ux) / d AS u FROM (
+    SELECT seg.*, mk.*, ux * (mk.y1 - mk.y0) - uy * (mk.x1 - mk.x0) AS d FROM (
+      SELECT link_id, x0 AS ax, y0 AS ay, z0 AS az, zm AS bz, xm - x0 AS ux, ym - y0 AS uy FROM net_link WHERE link_type = '6'
+      UNION ALL SELECT link_id, xm, ym, zm, z1, x1 - xm, y1 - ym FROM net_link WHERE link_type = '6') seg
+    JOIN (SELECT * FROM net_marker WHERE kind = '502') mk ON mk.x0 <= greatest(ax, ax + ux) AND mk.x1 >= least(ax, ax + ux) AND mk.y0 <= greatest(ay, ay + uy) AND mk.y1 >= least(ay, ay + uy)) q
+  WHERE d <> 0) r WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)""".replace("SELECT s.link_id, m.marker_id, s.az + (s.bz - s.az) * t AS lz, m.z0 + (m.z1 - m.z0) * u AS mz", "SELECT link_id, marker_id, az + (bz - az) * t AS lz, z0 + (z1 - z0) * u AS mz").replace("SELECT s.*, m.*, ((m.x0 - s.ax) * (m.y1 - m.y0) - (m.y0 - s.ay) * (m.x1 - m.x0)) / d AS t, ((m.x0 - s.ax) * s.uy - (m.y0 - s.ay) * s.ux) / d AS u", "SELECT *, ((x0 - ax) * (y1 - y0) - (y0 - ay) * (x1 - x0)) / d AS t, ((x0 - ax) * uy - (y0 - ay) * ux) / d AS u")
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The network with role flags; pocket lanes are those from the third on."""
+    n = network(spark, sf_dir)
+    n["links"] = n["links"].withColumns({"is_junction": F.col("link_type") == "1", "is_ordinary": F.col("link_type") == "6", "is_pocket": F.col("lane_no") >= 3, "is_uturn": F.lit(False)})
+    n["markers"] = n["markers"].filter("kind = '502'")
+    return n
+
+
+@query(net(f"{_CROSS} SELECT DISTINCT link_id AS a_id, marker_id AS b_id FROM crossing WHERE abs(lz - mz) <= 1.0"))
+def crossing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    return spatial.crossing_pairs(n["links"].filter("is_ordinary"), n["markers"], 1.0)
+
+
+@query(net(f"{_CROSS} SELECT dense_rank() OVER (ORDER BY link_id) - 1 AS id, link_id AS link, string_agg(DISTINCT CAST(marker_id AS VARCHAR), ',' ORDER BY CAST(marker_id AS VARCHAR)) AS markers FROM crossing WHERE abs(lz - mz) <= 1.0 GROUP BY link_id"))
+def uturns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    return segment.uturns(n["links"], n["markers"]).select("id", "link", F.array_join("markers", ",").alias("markers"))
+
+
+_GROUPS = f"""{_CROSS},
+turned AS (SELECT DISTINCT link_id FROM crossing WHERE abs(lz - mz) <= 1.0),
+item AS (SELECT * FROM net_link WHERE link_type = '6' AND link_id NOT IN (SELECT link_id FROM turned)),
+pair AS (SELECT link_id AS a, r_id AS b FROM item WHERE r_id IN (SELECT link_id FROM item) UNION SELECT link_id, l_id FROM item WHERE l_id IN (SELECT link_id FROM item)),
+sym AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT link_id AS id, link_id AS other FROM item UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.other),
+root AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+grp AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS grp FROM root)"""
+
+
+def _groups(n: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    lateral = segment.lateral_neighbours(n["links"])
+    return lateral, segment.lateral_groups(n["links"], segment.uturns(n["links"], n["markers"]), lateral)
+
+
+@query(net(f"{_GROUPS} SELECT grp, id FROM grp"))
+def lateral_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(_classes(spark, sf_dir))[1].select("grp", "id")
+
+
+@query(net(f"""{_GROUPS},
+plain AS (SELECT grp, id, lane_no FROM grp JOIN net_link ON link_id = id WHERE lane_no < 3),
+lefts AS (SELECT link_id AS id, l_id AS other FROM net_link UNION SELECT r_id, link_id FROM net_link),
+edge AS (SELECT p.*, p.id NOT IN (SELECT l.id FROM lefts l JOIN plain a ON a.id = l.id JOIN plain b ON b.id = l.other AND b.grp = a.grp WHERE l.id IS NOT NULL) AS is_edge FROM plain p),
+c AS (SELECT grp, count(*) AS n, count(*) FILTER (WHERE lane_no = 1) AS n1, min(id) FILTER (WHERE lane_no = 1) AS by1, count(*) FILTER (WHERE is_edge) AS ne, min(id) FILTER (WHERE is_edge) AS bye FROM edge GROUP BY grp)
+SELECT g.grp, CASE WHEN n1 = 1 THEN by1 WHEN ne = 1 THEN bye END AS reference, CASE WHEN n IS NULL OR n1 = 1 THEN 'lane_no' ELSE 'lateral_topology' END AS source
+FROM (SELECT DISTINCT grp FROM grp) g LEFT JOIN c ON c.grp = g.grp"""))
+def group_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    lateral, groups = _groups(n)
+    return segment.reference_links(groups, n["links"], lateral).select("grp", "reference", "source")
+
+
+@query(net(f"""{_GROUPS},
+e AS (SELECT link_id, 0 AS s, from_id AS node FROM net_link UNION ALL SELECT link_id, 1, to_id FROM net_link),
+m AS (SELECT DISTINCT grp, s, node FROM grp JOIN e ON link_id = id JOIN net_node ON node_id = node)
+SELECT dense_rank() OVER (ORDER BY grp, s) - 1 AS node_grp, grp, CASE WHEN s = 0 THEN 'from' ELSE 'to' END AS side, node FROM m"""))
+def node_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    return segment.node_groups(_groups(n)[1], segment.ends(n["links"], n["nodes"]))
+
+
+@query(net("""way AS (SELECT link_id AS id, xm - x0 AS dx, ym - y0 AS dy, sqrt((xm - x0) * (xm - x0) + (ym - y0) * (ym - y0)) AS d FROM net_link)
+SELECT id, round(dx / d, 6) AS tx, round(dy / d, 6) AS ty FROM way WHERE d >= 1.0"""))
+def start_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = network(spark, sf_dir)["links"].filter(G.distance(F.col("coords")[0], F.col("coords")[1]) >= 1.0)
+    t = G.tangent(F.col("coords"), "from", 1.0)
+    return links.select("id", F.round(t["x"], 6).alias("tx"), F.round(t["y"], 6).alias("ty"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    n = _classes(spark, sf_dir)
+    return segment.segment(n["links"], n["nodes"], n["markers"])
+
+
+@query()
+def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    lateral, groups = _groups(n)
+    groups, link_ends = groups.checkpoint(), segment.ends(n["links"], n["nodes"])
+    return segment.junctions(n["links"], groups, segment.node_groups(groups, link_ends), link_ends, lateral)
+
+
+@query()
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir)["connections"]
+
+
+@query()
+def junction_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir)["references"].select("connection", "junction", "link", "side", "source", F.round("tangent.x", 6).alias("tx"), F.round("tangent.y", 6).alias("ty"), "reversed_from_source")
+
+
+@query()
+def junction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir)["edges"]
+
+
+@query()
+def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.feature_report(segment.membership(_segmented(spark, sf_dir)))
+
+
+@query()
+def repair_then_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair steps on the derived network, then its lateral groups and junctions: findings per code, entities per stage."""
+    n = _classes(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    links, nodes, parts = n["links"], n["nodes"], []
+    for step in (lambda a: topology.assign_endpoints(a, nodes), topology.clear_longitudinal, topology.redirect_nonreciprocal, lambda a: topology.orient(a, topology.orientation(a, nodes, topology.orientation_groups(a, nodes))), lambda a: topology.fill_reciprocal(a, [("r_id", "l_id"), ("l_id", "r_id")])):
+        links, found = step(links)
+        links = links.checkpoint()
+        parts.append(found.groupBy("kind", "code").agg(F.count("*").alias("n")))
+    stages = segment.segment(links, nodes, n["markers"])
+    for name, column in (("lateral_groups", "grp"), ("junctions", "junction"), ("connections", "connection")):
+        parts.append(stages[name].agg(F.count_distinct(column).alias("n")).select(F.lit("stage").alias("kind"), F.lit(name).alias("code"), "n"))
+    return conform.union_all(parts)
+
+
+# --- edits and reports --------------------------------------------------------------------------
+
+_EDITED = _layer("part", "p_name:t12! p_type:t8! p_size:i", {})
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'x' || p_brand ELSE p_name END AS p_name, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 7 ELSE p_size END AS p_size
+FROM part WHERE length('x' || p_brand) <= 12""")
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of edits to every third name and every fourth size, some of them invalid."""
+    part = read(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_type", F.col("p_size").cast("long").alias("p_size"))
+    batch = [(3, "p_name", F.concat(F.lit("x"), "p_brand")), (4, "p_size", (F.col("p_partkey") % 7).cast("string")), (5, "p_type", F.lit("")), (6, "p_size", F.lit("many"))]
+    changes = conform.union_all([part.filter(F.col("p_partkey") % m == 0).select(F.col("p_partkey").cast("string").alias("id"), F.lit(c).alias("column"), v.alias("value"), F.lit(i).alias("seq")) for i, (m, c, v) in enumerate(batch)])
+    done, _ = edits.apply_edits(rows, _EDITED, changes)
+    return done.select(F.col("id").cast("long").alias("id"), "p_name", "p_size")
+
+
+@query("""SELECT layer, section, count(*) AS n FROM (SELECT 'customer' AS layer, CAST(c_nationkey AS VARCHAR) AS section FROM customer UNION ALL SELECT 'supplier', CAST(s_nationkey AS VARCHAR) FROM supplier)
+GROUP BY GROUPING SETS ((section, layer), (section), ())""")
+def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = {"customer": read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("section")), "supplier": read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("section"))}
+    return edits.counts(layers).groupBy("layer", "section").agg(F.max("n").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
