@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int,
         yield from S.sent(2, (owner[late] % n_buckets).astype(np.int32), n_buckets, none, owner[late], start[late])
 
 
-def _repeats(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _repeats(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows that also start in a document with a smaller key."""
     kind = np.asarray(rows.column("kind"))
     open_rows, done = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
@@ -82,7 +83,7 @@ def _repeats(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
     least = key[np.flatnonzero(new)][np.cumsum(new) - 1] if len(value) else key
     late = key > least
-    yield from S.hit_rows(np.concatenate([key[late], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[late], X.unpack(done.column("at"), "<u4")]))
+    yield from S.hit_rows(np.concatenate([key[late], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[late], X.unpack(done.column("at"), "<u4")]), n_buckets)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, A.Texts, A.Words, np.ndarray]]:
@@ -108,29 +109,31 @@ def _kept_texts(texts: A.Texts, words: A.Words, gone: np.ndarray) -> Iterator[by
             yield b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True))
 
 
-OUT = "doc_id long, n_words long, n_removed long, kept_text string"
-DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+OUT = "key long, n_words long, n_removed long, kept_text string"
+DIGEST = "key long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _results(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest else "kept_text", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest else "kept_text", pa.string())])
     for b, texts, words, gone in _removed(batches, window):
         kept = _kept_texts(texts, words, gone)
-        yield A.batch(schema, b.column("doc_id"), words.counts, A.per_doc(gone, words.first), [hashlib.sha256(t).hexdigest() if digest else t.decode("utf-8", "replace") for t in kept])
+        yield A.batch(schema, b.column("key"), words.counts, A.per_doc(gone, words.first), [hashlib.sha256(t).hexdigest() if digest else t.decode("utf-8", "replace") for t in kept])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text (or its SHA-256) of every row of docs."""
     block = (window + 1) // 2
-    rows = S.keyed(docs)
+    rows, ids = S.keyed(docs)
     n_buckets = X.bucket_count(S.entries(rows) // 6, 1)
     copies = S.copies(rows)
     texts = S.by_key(rows)
-    fresh = texts.join(copies, "key", "left_anti").select("key", "text")
+    known = copies.withColumn("copy", F.lit(True))
+    # a left join leaves the shuffle of texts as it is; an anti join would be pushed below it
+    fresh = texts.join(known, "key", "left").filter("copy IS NULL").select("key", "text")
     probed = fresh.mapInArrow(lambda batches: _anchor_entries(batches, block, n_buckets), S.EXCHANGE_DDL)
-    anchors = S.gathered(X.per_bucket(probed, S.anchors, S.HITS_DDL))
+    anchors = S.gathered(X.per_bucket(probed, partial(S.anchors, n_buckets=n_buckets), S.HITS_DDL))
     around = texts.join(anchors, "key").select("key", "text", "hits")
     compared = around.mapInArrow(lambda batches: _window_entries(batches, window, block, n_buckets), S.EXCHANGE_DDL)
-    repeats = S.gathered(X.per_bucket(compared, _repeats, S.HITS_DDL))
-    marked = texts.join(repeats, "key", "left").join(copies.withColumn("copy", F.lit(True)), "key", "left").select("doc_id", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT)
+    repeats = S.gathered(X.per_bucket(compared, partial(_repeats, n_buckets=n_buckets), S.HITS_DDL))
+    marked = texts.join(repeats, "key", "left").join(known, "key", "left").select("key", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)

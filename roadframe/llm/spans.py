@@ -16,29 +16,37 @@ from .session import cut, shuffle_partitions, text_rows
 
 EXCHANGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("key", pa.binary()), ("at", pa.binary())])
 EXCHANGE_DDL = "bucket int, kind int, h binary, key binary, at binary"
-HITS = pa.schema([("key", pa.int64()), ("hits", pa.binary())])
-HITS_DDL = "key long, hits binary"
+HITS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.binary())])
+HITS_DDL = "bucket int, key binary, at binary"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key: the order of documents as distinct numbers.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key and text of every row; doc_id of every key, or None where the key is the doc_id).
 
-    The key is doc_id where ids are unique. Otherwise, null ids come first, rows that share an id
-    follow each other, and equal rows share a key.
+    Keys are distinct numbers in the order of documents. Where ids are not unique, null ids come first,
+    rows that share an id follow each other, and equal rows share a key.
     """
     rows = text_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     if (counted["most"] or 0) <= 1 and not counted["nulls"]:
-        return rows.withColumn("key", F.coalesce("doc_id", F.lit(0)))
+        return rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text"), None
     rows = rows.withColumn("own", F.xxhash64("text"))
     ids = cut(numbered(rows.select("doc_id", "own").distinct(), "doc_id", "key"))
     other = ids.select(F.col("doc_id").alias("id2"), F.col("own").alias("own2"), "key")
-    return rows.join(other, rows["doc_id"].eqNullSafe(other["id2"]) & (rows["own"] == other["own2"])).select("doc_id", "text", F.coalesce("key", F.lit(0)).alias("key"))
+    joined = rows.join(other, rows["doc_id"].eqNullSafe(other["id2"]) & (rows["own"] == other["own2"]))
+    return joined.select(F.coalesce("key", F.lit(0)).alias("key"), "text"), ids.select("key", "doc_id")
+
+
+def with_ids(results: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Results by key with their doc_id instead."""
+    if ids is None:
+        return results.withColumnRenamed("key", "doc_id")
+    return results.join(ids, "key").select("doc_id", *results.columns[1:])
 
 
 def by_key(rows: DataFrame) -> DataFrame:
     """Texts dealt by key in a fixed order. Every later pass reads this one shuffle again."""
-    return rows.select("doc_id", "text", "key").repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return rows.select("key", "text").repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key")
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def anchor_rows(h: np.ndarray, key: np.ndarray, at: np.ndarray, indexed: np.ndar
     yield from sent(2, (key[local] % n_buckets).astype(np.int32), n_buckets, none, key[local], at[local].astype("<u4"))
 
 
-def anchors(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def anchors(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Of one bucket: indexed entries that occur a second time, and those that were settled before."""
     kind = np.asarray(rows.column("kind"))
     index, done = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
@@ -95,30 +103,38 @@ def anchors(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     everything = np.sort(np.concatenate([mine, X.unpack(rows.filter(pa.array(kind == 0)).column("h"), "<u4")]))
     again = np.unique(everything[1:][everything[1:] == everything[:-1]])
     hit = np.isin(mine, again)
-    yield from hit_rows(np.concatenate([key[hit], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[hit], X.unpack(done.column("at"), "<u4")]))
+    yield from hit_rows(np.concatenate([key[hit], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[hit], X.unpack(done.column("at"), "<u4")]), n_buckets)
 
 
-def hit_rows(key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per document: its key and the packed places."""
-    if not len(key):
-        return
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    yield A.batch(HITS, key[new], A.ragged(at, np.append(new, len(key))))
+def hit_rows(key: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Hits packed by their documents' buckets, for gathered()."""
+    if len(key):
+        used, cells = X.pack((A.mix(key.view("<u8")) % np.uint64(n_buckets)).astype(np.int32), n_buckets, key, at)
+        yield A.batch(HITS, used, *cells)
+
+
+def gathered(hits: DataFrame, dtype: str | np.dtype = "<u4") -> DataFrame:
+    """key, hits: all places of a document in one row. A document's places bound its size."""
 
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("hits", pa.binary())])
+        key, at = X.unpack(rows.column("key"), "<i8"), X.unpack(rows.column("at"), dtype)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        edges = np.append(new, len(key))
+        for a in range(0, len(new), 4096):
+            yield A.batch(schema, key[new[a : a + 4096]], A.ragged(at[edges[a] : edges[min(a + 4096, len(new))]], edges[a : a + 4097] - edges[a]))
 
-def gathered(hits: DataFrame) -> DataFrame:
-    """All hit lists of a document in one row. A document's places bound its size."""
-    return hits.groupBy("key").agg(F.collect_list("hits").alias("hits"))
+    return X.per_bucket(hits, settle, "key long, hits binary")
 
 
 def places(column: pa.Array, dtype: str | np.dtype = "<u4") -> tuple[np.ndarray, np.ndarray]:
     """(places, row of each) of a batch's gathered hits; null rows have none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    cells = column.flatten()
-    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), dtype=np.int64)
-    row_of_cell = np.repeat(np.arange(len(column)), size)
-    found = X.unpack(cells, dtype)
-    return found.astype(np.int64) if found.dtype.names is None else found, np.repeat(row_of_cell, X.lengths(cells, found.dtype.itemsize))
+    if column.null_count:
+        column = column.fill_null(b"")
+    found = X.unpack(column, dtype)
+    rows = np.repeat(np.arange(len(column)), X.lengths(column, found.dtype.itemsize))
+    return found.astype(np.int64) if found.dtype.names is None else found, rows

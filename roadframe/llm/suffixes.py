@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +150,10 @@ def _settled(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarr
     return done, key[late], at[late], key[first[late]], at[first[late]]
 
 
-def _starters(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _starters(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     done, key, at, key0, at0 = _settled(rows)
     known = X.unpack(done.column("h"), PARTNER)
-    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([_partners(at, key0, at0), known]))
+    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([_partners(at, key0, at0), known]), n_buckets)
 
 
 def _known_repeats(b: pa.RecordBatch, r_off: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -183,17 +184,17 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n
         yield from S.sent(2, (key[late] % n_buckets).astype(np.int32), n_buckets, np.zeros(0, dtype="<u8"), key[late], place[late])
 
 
-def _windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _windows(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     done, key, at, _, _ = _settled(rows)
-    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([at, X.unpack(done.column("at"), "<u4")]))
+    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([at, X.unpack(done.column("at"), "<u4")]), n_buckets)
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string"
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+OUT = "key long, n_bytes long, n_removed long, n_spans long, kept_text string"
+DIGEST = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _results(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256" if digest else "kept_text", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256" if digest else "kept_text", pa.string())])
     for b in A.chunks(batches, limit=CHUNK):
         texts = A.Texts.of(b.column("text"))
         n, size = len(texts.buf), np.diff(texts.off)
@@ -211,7 +212,7 @@ def _results(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> It
             own = texts.buf[texts.off[d] : texts.off[d + 1]]
             raw = own[~gone[texts.off[d] : texts.off[d + 1]]].tobytes()
             kept.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace"))
-        yield A.batch(schema, b.column("doc_id"), size, A.per_doc(gone, texts.off), A.per_doc(begins, texts.off), kept)
+        yield A.batch(schema, b.column("key"), size, A.per_doc(gone, texts.off), A.per_doc(begins, texts.off), kept)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, digest: bool = False) -> DataFrame:
@@ -219,18 +220,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
 
     A cut inside a character leaves bytes that kept_text shows as U+FFFD; kept_sha256 is of the bytes.
     """
-    rows = S.keyed(docs)
+    rows, ids = S.keyed(docs)
     n_buckets = X.bucket_count(S.entries(rows) // 12, 1)
     copies = S.copies(rows)
     texts = S.by_key(rows)
-    fresh = texts.join(copies, "key", "left_anti").select("key", "text")
+    known = copies.withColumn("copy", F.lit(True))
+    # a left join leaves the shuffle of texts as it is; an anti join would be pushed below it
+    fresh = texts.join(known, "key", "left").filter("copy IS NULL").select("key", "text")
     sampled = fresh.mapInArrow(lambda batches: _sample_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
-    samples = S.gathered(X.per_bucket(sampled, S.anchors, S.HITS_DDL))
+    samples = S.gathered(X.per_bucket(sampled, partial(S.anchors, n_buckets=n_buckets), S.HITS_DDL))
     around = texts.join(samples, "key").select("key", "text", "hits")
     doubled = around.mapInArrow(lambda batches: _starter_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
-    partners = S.gathered(X.per_bucket(doubled, _starters, S.HITS_DDL)).withColumnRenamed("hits", "partners")
+    partners = S.gathered(X.per_bucket(doubled, partial(_starters, n_buckets=n_buckets), S.HITS_DDL), PARTNER).withColumnRenamed("hits", "partners")
     still = texts.join(samples, "key").join(partners, "key", "left").select("key", "text", "hits", "partners")
     compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
-    repeats = S.gathered(X.per_bucket(compared, _windows, S.HITS_DDL))
-    marked = texts.join(repeats, "key", "left").join(partners, "key", "left").join(copies.withColumn("copy", F.lit(True)), "key", "left").select("doc_id", "text", "hits", "partners", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT)
+    repeats = S.gathered(X.per_bucket(compared, partial(_windows, n_buckets=n_buckets), S.HITS_DDL))
+    marked = texts.join(repeats, "key", "left").join(partners, "key", "left").join(known, "key", "left").select("key", "text", "hits", "partners", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)
