@@ -30,9 +30,13 @@ from .session import cut, shuffle_partitions, text_rows, written
 
 CAPACITY, END_ID = 4096, 2
 #: Width of a length class in tokens, and the accepted distance of the linear program from its optimum.
-UNIT, TOLERANCE = 8, 1e-3
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+UNIT, TOLERANCE = 16, 1e-3
+#: Words of one generation whose ids a task remembers; two generations are kept.
+REMEMBERED = 400_000
+#: ASCII characters that are neither letters, digits nor blanks.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A control character that is one token of its own.
+MARK = "\x01"
 
 
 @lru_cache(maxsize=2)
@@ -40,7 +44,10 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    # words come once each, so the model's own memory of words would only cost time
+    found.model._resize_cache(0)
+    return found
 
 
 class Ids:
@@ -51,23 +58,62 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of new words, from short texts in which a control character parts the words.
+
+        Punctuation after a letter or digit is a token run of its own, so a word is learned without it.
+        """
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        split = {w: w.rstrip(PUNCTUATION) for w in words}
+        for w, core in split.items():
+            if len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1].isalnum():
+                split[w] = w
+        parts = {core for w, core in split.items()} | {w[len(core) :] for w, core in split.items() if core is not w}
+        self._learn([p for p in parts if p not in self.known])
+        known = self.known
+        known.update({w: known[core] + known[w[len(core) :]] for w, core in split.items() if core is not w})
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"\x01" not in w]
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        texts = [b" \x01 ".join(g).decode("utf-8", "replace") for g in groups]
+        for at in range(0, len(texts), 16):
+            for group, e in zip(groups[at : at + 16], self.tokenizer.encode_batch_fast(texts[at : at + 16], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+                raw = ids.tobytes()
+                self.known.update({w: raw[4 * a : 4 * b] for w, a, b in zip(group, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)})
+        for w in words:
+            if b"\x01" in w:
+                self.known[w] = self.encode(w.decode("utf-8", "replace")).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and "<|" in t else (t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        known = self.known
-        new = {w for words in split if words for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {w for words in split if words for w in words}
-        todo = list(new)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            known.update(zip(part, self.encode([w.decode("utf-8", "replace") for w in part]), strict=True))
-        return [self.encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        get, older, out, waiting, new = self.known.get, self.older, [], [], {}
+        for n, t in enumerate(texts):
+            if t and "<|" in t:
+                out.append(self.encode(t).tobytes())
+                continue
+            words = (t or "").encode("utf-8", "replace").lower().split()
+            parts = [get(w) for w in words]
+            out.append(parts)
+            if None in parts:
+                waiting.append((n, words))
+                for w, p in zip(words, parts, strict=True):
+                    if p is None and w not in new:
+                        new[w] = older.get(w)
+        self.learn([w for w, p in new.items() if p is None])
+        self.known.update((w, p) for w, p in new.items() if p is not None)
+        get, older = self.known.get, self.older
+        for n, words in waiting:
+            out[n] = [p if p is not None else get(w) or older.get(w, b"") for w, p in zip(words, out[n], strict=True)]
+        return [p if isinstance(p, bytes) else b"".join(p) for p in out]
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
