@@ -198,8 +198,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def stitch(parts: list[list[dict]], tolerance: float) -> list[dict] | None:
     """One line from parts that join end to end, else None. Ends within the tolerance count as one place."""
-    if len(parts) == 1:
-        return parts[0]
+    if len(parts) <= 1:
+        return parts[0] if parts else None
     ends: list[tuple[float, float]] = []
 
     def place(p: dict) -> int:
@@ -246,7 +246,7 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
 
     @F.pandas_udf("array<struct<x:double,y:double,z:double>>")
     def joined(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: stitch([list(x) for x in p], tolerance))
+        return parts.map(lambda p: None if p is None else stitch([list(x) for x in p], tolerance))
 
     coords = F.when(several, joined("parts")).otherwise(F.try_element_at("parts", F.lit(1)))
     judged = judged.withColumn("coords", F.when(F.col("reason").isNull(), with_z(coords))).withColumn("reason", F.when(F.col("reason").isNull() & F.col("coords").isNull(), "parts do not join").otherwise(F.col("reason")))
