@@ -171,7 +171,7 @@ def _dbf(names, rows, width=20):
 
 
 def test_shapefile_ingest(spark, tmp_path):
-    folder = tmp_path / "SEC01" / "HDMap_UTMK"
+    folder = tmp_path / "SEC01" / "COORD_A"
     folder.mkdir(parents=True)
     (folder / "A1_NODE.shp").write_bytes(_shp([(1, struct.pack("<2d", 1, 2)), (1, struct.pack("<2d", 3, 4)), (0, b"")]))
     (folder / "A1_NODE.dbf").write_bytes(_dbf(["ID", "NodeType", "Extra"], [[b"N1", b"1", b"x"], [b"N2", "서울".encode("cp949"), b"y"], [b"N3", b"1", b"z"]]))
@@ -179,7 +179,7 @@ def test_shapefile_ingest(spark, tmp_path):
     (folder / "A2_LINK.dbf").write_bytes(_dbf(["ID", "FromNodeID", "ToNodeId", "LaneNo"], [[b"L1", b"N1", b"N2", b"1"], [b"L2", b"N1", b"N2", b"2"]]))
     (folder / "ZZ.shp").write_bytes(_shp([]))
     spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
-    schema, layers, found = shapefile.load_layers(spark, str(tmp_path), "HDMap_UTMK")
+    schema, layers, found = shapefile.load_layers(spark, str(tmp_path), "COORD_A")
     assert schema.version == "2023.07"
     nodes = {r["id"]: r for r in layers["A1_NODE"].collect()}
     assert set(nodes) == {"N1", "N2"} and nodes["N2"]["node_type"] == "서울" and nodes["N1"]["section"] == "SEC01"
