@@ -39,7 +39,8 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from training; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -108,7 +109,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    return text_rows(docs, "doc_id", "text", "lang").filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return text_rows(docs, "doc_id", "text", "lang").filter(~held_out(F.col("doc_id")))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
