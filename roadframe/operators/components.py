@@ -16,25 +16,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges that one task of a star round should hold on average.
+TASK_EDGES = 100_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Hang each node's larger neighbours on its smallest one."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = edges.select("a", "b").union(edges.select("b", "a")).coalesce(tasks)
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest; edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b")))
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    rest = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+    return rest.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks)
 
 
 def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of pairs that is not its own component's smallest node.
 
     Alternates large-star and small-star rounds, each halving what is left of long chains. Every
-    round is checkpointed, and the loop stops when the edges no longer change.
+    round is checkpointed, and the loop stops when the edges no longer change. The number of tasks
+    follows the number of edges, since a round has many shuffles and a small graph needs few files.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     x, y = F.col(a), F.col(b)
@@ -43,8 +48,11 @@ def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = edges.agg(*mark).first()
     if not before["n"]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    tasks = -(-before["n"] // TASK_EDGES)
+    edges = edges.coalesce(tasks)
     for _ in range(MAX_ROUNDS):
-        edges = _small_star(_large_star(edges).distinct()).distinct().checkpoint()
+        large = _large_star(edges, tasks).distinct().coalesce(tasks)
+        edges = _small_star(large, tasks).distinct().coalesce(tasks).checkpoint()
         after = edges.agg(*mark).first()
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
