@@ -9,7 +9,8 @@ where they can still decide something:
 2. Ranks double: a string's rank is the pair of its parts' ranks, at growing offsets up to WINDOW bytes.
    First the windows that start with their own sample are ranked. Where two of them up to WINDOW bytes apart
    repeat one earlier text at the same distance, all windows between repeat it too.
-3. What stays open, mainly the edges of repeats and their first occurrences, is ranked position by position.
+3. What stays open, mainly the edges of repeats and their first occurrences, is ranked position by
+   position. Windows with one sample travel as one stretch of text, which is far smaller than their ranks.
 
 Ranks are 64-bit fingerprints (32 bits in step 1, a filter); Spark deals them by bucket, and each
 bucket is sorted by (rank, document, position), so the first occurrence of every string is known. An
@@ -169,24 +170,61 @@ def _known_repeats(b: pa.RecordBatch, r_off: np.ndarray, n: int, window: int) ->
     return A.covered(at, length, n) if len(at) else np.zeros(n, dtype=bool)
 
 
+STRETCH = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
+STRETCH_DDL = "bucket int, kind int, key binary, at binary, n binary, text binary"
+
+
 def _window_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Open windows as stretches of text: those that share a sample go to its bucket together, since equal windows have equal samples."""
     for b, r in _ranked(batches, window, head):
         hit = _hit_samples(b, r)
         still = r.valid & hit[r.sample] & ~(r.starters()) & ~_known_repeats(b, r.texts.off, len(r.valid), window)
         at = np.flatnonzero(still)
         doc = r.doc(at)
-        key, place, value = np.asarray(b.column("key"))[doc], (at - r.texts.off[doc]).astype("<u4"), r.doubled(at)
+        keys = np.asarray(b.column("key"))
+        key, place, value = keys[doc], (at - r.texts.off[doc]).astype("<u4"), r.doubled(at)
         order, first = _first_of(value, key, place)
         late = np.zeros(len(order), dtype=bool)
         late[order] = first != np.arange(len(order))
-        # back in order of position, which packs better
-        yield from S.sent(1, X.bucket_of(value[~late], n_buckets), n_buckets, value[~late], key[~late], place[~late])
-        yield from S.sent(2, (key[late] % n_buckets).astype(np.int32), n_buckets, np.zeros(0, dtype="<u8"), key[late], place[late])
-
-
-def _windows(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    done, key, at, _, _ = _settled(rows)
-    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([at, X.unpack(done.column("at"), "<u4")]), n_buckets)
+        used, cells = X.pack((key[late] % n_buckets).astype(np.int32), n_buckets, key[late], place[late])
+        none = pa.array([b""] * len(used), type=pa.binary())
+        yield A.batch(STRETCH, used, np.full(len(used), 2, dtype=np.int32), *cells, none, none)
+        at = at[~late]
+        if not len(at):
+            continue
+        sample = r.sample[at]
+        new = np.concatenate([[True], sample[1:] != sample[:-1]])
+        low, high = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+        doc = r.doc(low)
+        bucket = X.bucket_of(r.rank[sample[new]], n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        low, n, doc = low[order], (high - low + 1)[order], doc[order]
+        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        used = np.flatnonzero(np.diff(bounds))
+        edges = np.append(bounds[used], len(low))
+        size = n + window - 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        text = A.ragged(r.texts.buf[A.covered_runs(low, size)], ends[edges])
+        yield A.batch(STRETCH, used, np.ones(len(used), dtype=np.int32), A.ragged(keys[doc], edges), A.ragged((low - r.texts.off[doc]).astype("<u4"), edges), A.ragged(n.astype("<u4"), edges), text)
+
+
+def _windows(rows: pa.Table, window: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Every window of the stretches of one bucket that also starts earlier."""
+    todo, done = _open_and_done(rows)
+    key, at, n = (X.unpack(todo.column(c), t) for c, t in (("key", "<i8"), ("at", "<u4"), ("n", "<u4")))
+    n, text = n.astype(np.int64), X.unpack(todo.column("text"), "u1")
+    ends = np.concatenate([[0], np.cumsum(n + window - 1)])
+    values, i = [np.zeros(0, dtype=np.uint64)], 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, side="right")) - 1)
+        part = A.Texts(text[ends[i] : ends[j]], np.array([0, ends[j] - ends[i]]))
+        start = A.covered_runs(ends[i:j] - ends[i], n[i:j])
+        values.append(A.segment(part.sums(), start, start + window))
+        i = j
+    key, at = np.repeat(key, n), A.covered_runs(at.astype(np.int64), n).astype("<u4")
+    order, first = _first_of(np.concatenate(values), key, at)
+    late = order[first != np.arange(len(order))]
+    yield from S.hit_rows(np.concatenate([key[late], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[late], X.unpack(done.column("at"), "<u4")]), n_buckets)
 
 
 OUT = "key long, n_bytes long, n_removed long, n_spans long, kept_text string"
@@ -233,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
     doubled = around.mapInArrow(lambda batches: _starter_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
     partners = S.gathered(X.per_bucket(doubled, partial(_starters, n_buckets=n_buckets), S.HITS_DDL), PARTNER).withColumnRenamed("hits", "partners")
     still = texts.join(samples, "key").join(partners, "key", "left").select("key", "text", "hits", "partners")
-    compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
-    repeats = S.gathered(X.per_bucket(compared, partial(_windows, n_buckets=n_buckets), S.HITS_DDL))
+    compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), STRETCH_DDL)
+    repeats = S.gathered(X.per_bucket(compared, partial(_windows, window=window, n_buckets=n_buckets), S.HITS_DDL))
     marked = texts.join(repeats, "key", "left").join(partners, "key", "left").join(known, "key", "left").select("key", "text", "hits", "partners", F.coalesce("copy", F.lit(False)).alias("copy"))
     return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)
