@@ -29,7 +29,7 @@ def pack(bucket: np.ndarray, n_buckets: int, *cells: np.ndarray) -> tuple[np.nda
     bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     used = np.flatnonzero(np.diff(bounds))
     edges = np.append(bounds[used], len(bucket))
-    return used, [A.ragged(c[order], edges) for c in cells]
+    return used, [A.ragged(c[order], edges) if len(c) else A.ragged(c, np.zeros(len(used) + 1, dtype=np.int64)) for c in cells]
 
 
 def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
