@@ -28,9 +28,13 @@ from ..operators.components import numbered
 from . import arrays as A
 from .session import cut, shuffle_partitions, text_rows, written
 
-CAPACITY, END_ID = 4096, 2
+CAPACITY, END_ID, PAD_ID = 4096, 2, 0
 #: Width of a length class in tokens, and the accepted distance of the linear program from its optimum.
 UNIT, TOLERANCE = 16, 1e-3
+#: Pieces and tokens after which a block of best-fit packing is closed; both bound what a task holds.
+BLOCK_PIECES, BLOCK_TOKENS = 50_000, 4_000_000
+#: Matrix rows handed on at once.
+MATRIX_ROWS = 256
 #: Words of one generation whose ids a task remembers; two generations are kept.
 REMEMBERED = 400_000
 #: ASCII characters that are neither letters, digits nor blanks.
@@ -296,3 +300,116 @@ def sequences(placed: DataFrame) -> DataFrame:
             yield A.batch(schema, b.column("sequence_id"), b.column("n_tokens"), pa.array(ids, type=pa.list_(pa.int64())))
 
     return joined.mapInArrow(joined_ids, "sequence_id long, n_tokens long, ids array<long>")
+
+
+class Rooms:
+    """Open sequences by the room they have left: a segment tree of maxima over the rooms 0 to capacity.
+
+    A leaf holds its room while some open sequence has just that much left, else 0. Going down to the leftmost leaf
+    that reaches a length finds the tightest fit in log2(capacity) steps.
+    """
+
+    def __init__(self, capacity: int):
+        self.leaves = 1 << capacity.bit_length()
+        self.most = [0] * (2 * self.leaves)
+        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def _set(self, room: int, value: int) -> None:
+        most, at = self.most, self.leaves + room
+        most[at] = value
+        while at > 1:
+            at >>= 1
+            best = max(most[2 * at], most[2 * at + 1])
+            if most[at] == best:
+                break
+            most[at] = best
+
+    def put(self, room: int, sequence: int) -> None:
+        if room:
+            self.open[room].append(sequence)
+            if len(self.open[room]) == 1:
+                self._set(room, room)
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        """(room, sequence) of the open sequence with the least room of at least length, no longer open; None without one."""
+        most, at = self.most, 1
+        if most[1] < length:
+            return None
+        while at < self.leaves:
+            at *= 2
+            if most[at] < length:
+                at += 1
+        room = at - self.leaves
+        sequence = self.open[room].pop()
+        if not self.open[room]:
+            self._set(room, 0)
+        return room, sequence
+
+
+def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """Pieces of each sequence, longest piece first; each goes where it leaves the least room."""
+    rooms, filled = Rooms(capacity), []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length = int(lengths[i])
+        room, sequence = rooms.take(length) or (capacity, len(filled))
+        if sequence == len(filled):
+            filled.append([])
+        filled[sequence].append(i)
+        rooms.put(room - length, sequence)
+    return filled
+
+
+MATRIX = "sequence_id long, n_tokens long, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
+
+
+def _matrix_rows(block: list[tuple[int | None, int, bytes]], first: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    filled = best_fit_decreasing(np.array([len(raw) // 4 for _, _, raw in block], dtype=np.int64))
+    for at in range(0, len(filled), MATRIX_ROWS):
+        part = filled[at : at + MATRIX_ROWS]
+        ids, positions = np.full((len(part), CAPACITY), PAD_ID, dtype="<u4"), np.zeros((len(part), CAPACITY), dtype="<u2")
+        bounds = []
+        for row, members in enumerate(part):
+            ends = [0]
+            for i in members:
+                raw = block[i][2]
+                a, n = ends[-1], len(raw) // 4
+                ids[row, a : a + n] = np.frombuffer(raw, dtype="<u4")
+                positions[row, a : a + n] = np.arange(n, dtype="<u2")
+                ends.append(a + n)
+            bounds.append(ends)
+        edges = np.arange(len(part) + 1) * CAPACITY
+        yield A.batch(schema, np.arange(first + at, first + at + len(part)), [e[-1] for e in bounds], A.ragged(ids.reshape(-1), edges), bounds, A.ragged(positions.reshape(-1), edges), [[block[i][0] for i in m] for m in part], [[block[i][1] for i in m] for m in part])
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], path: str, block_pieces: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    schema = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+    ids, end = Ids(path), END_ID.to_bytes(4, "little")
+    block, tokens, done = [], 0, TaskContext.get().partitionId() << 40
+    for b in A.chunks(batches):
+        for doc_id, raw in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):
+            raw += end
+            for at in range(0, len(raw), 4 * CAPACITY):
+                part = raw[at : at + 4 * CAPACITY]
+                block.append((doc_id, at // 4, part))
+                tokens += len(part) // 4
+                if len(block) >= block_pieces or tokens >= block_tokens:
+                    for out in _matrix_rows(block, done, schema):
+                        done += out.num_rows
+                        yield out
+                    block, tokens = [], 0
+    yield from _matrix_rows(block, done, schema)
+
+
+def matrices(docs: DataFrame, path: str, block_pieces: int = BLOCK_PIECES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows of the packed id matrix, written as Parquet under the shared folder.
+
+    Every document's ids, with the end id, are cut at multiples of CAPACITY and nothing else; each task packs bounded
+    blocks of its pieces best-fit decreasing. ids holds CAPACITY unsigned 32-bit values, padded with PAD_ID from n_tokens
+    on; cu_seqlens are the bounds of the pieces, from 0 to n_tokens; position_ids are CAPACITY unsigned 16-bit values that
+    start again from 0 at every piece, 0 in the padding; doc_ids and starts say which ids of which document a piece holds.
+    Which pieces share a sequence depends on how the rows are dealt to tasks; the pieces do not.
+    """
+    rows = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return written(rows.mapInArrow(lambda batches: _matrices(batches, path, block_pieces, block_tokens), MATRIX))

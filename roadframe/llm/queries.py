@@ -43,6 +43,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.matrices(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -75,7 +79,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op8_secret_scans, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op7_packed_matrices, op8_secret_scans, op9_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -231,6 +231,45 @@ def test_packing(docs, rows, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("block_pieces", [packing.BLOCK_PIECES, 7])
+def test_packed_matrices(spark, rows, docs, empty, block_pieces):
+    from tokenizers import Tokenizer
+
+    whole, path = Tokenizer.from_file(tokenizer_path()), tokenizer_path()
+    long = [(1000 + i, " ".join(t or "" for _, t in rows) * (i + 1)) for i in range(2)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*long, (3000, "same"), (3000, "same"), (None, "no id")], "doc_id long, text string"))
+    got, seen = {}, set()
+    for r in packing.matrices(every, path, block_pieces).collect():
+        ids, positions, ends = np.frombuffer(r["ids"], dtype="<u4"), np.frombuffer(r["position_ids"], dtype="<u2"), r["cu_seqlens"]
+        assert len(ids) == len(positions) == 4096 and ends[0] == 0 and ends[-1] == r["n_tokens"] and len(ends) - 1 == len(r["doc_ids"]) == len(r["starts"])
+        assert not ids[ends[-1] :].any() and not positions[ends[-1] :].any() and r["sequence_id"] not in seen
+        seen.add(r["sequence_id"])
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], ends, ends[1:], strict=False):
+            assert positions[a:b].tolist() == list(range(b - a))
+            got.setdefault(doc, []).append((start, ids[a:b].tolist()))
+    want = {}
+    for i, t in [*rows, *long, (3000, "same"), (3000, "same"), (None, "no id")]:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        want.setdefault(i, []).extend((at, ids[at : at + 4096]) for at in range(0, len(ids), 4096))
+    assert {i: sorted(p) for i, p in got.items()} == {i: sorted(p) for i, p in want.items()}
+    assert packing.matrices(empty, path).count() == 0
+
+
+def test_segment_tree_finds_the_tightest_room():
+    rng = random.Random(9)
+    for capacity in (1, 7, 64, 4096):
+        lengths = [rng.randint(1, capacity) for _ in range(400)]
+        rooms, want = [], []
+        for i in sorted(range(400), key=lambda i: -lengths[i]):
+            fits = [r for r in rooms if r >= lengths[i]]
+            rooms.append((min(fits) if fits else capacity) - lengths[i])
+            if fits:
+                rooms.remove(min(fits))
+        made = packing.best_fit_decreasing(np.array(lengths), capacity)
+        assert sorted(i for m in made for i in m) == list(range(400))
+        assert sorted(capacity - sum(lengths[i] for i in m) for m in made) == sorted(rooms)
+
+
 def test_cutting_stock_is_near_its_bound():
     rng = random.Random(2)
     demand = {s: rng.randint(50, 500) for s in rng.sample(range(3, 90), 60)}
