@@ -6,8 +6,8 @@ m * m tables are keyed by the pairs (A_i, B_j), so m * m bands of 2 * TUPLE minh
 (1 - (1 - s**TUPLE)**m)**2, which is 0.9999 at s = 0.8 for the values below, and rises with s.
 
 Equal sets are one class from the start. Tables run over class representatives. Under a table key that
-many share, every member meets the smallest id, never all others; a task settles its own part of such
-a group and sends on its smallest id. Candidate pairs are then confirmed on the full sets: first the most alike partner of each representative,
+many share, every member first meets the smallest id; once components have formed, all pairs of such
+a group that still lie in different components are looked at as well. Candidate pairs are then confirmed on the full sets: first the most alike partner of each representative,
 next, in growing numbers, pairs that still join different components, last whatever met a component without joining it
 against that component's most typical members. Components come from star rounds.
 
@@ -43,6 +43,8 @@ MEDOIDS, MAX_ROUNDS = 8, 20
 ROUND_ROWS = 5_000
 #: Table keys with up to this many members pair them all; larger ones pair with the first and the next.
 SMALL_GROUP, CENTRES, NEXT = 6, 1, 1
+#: Members of a large group that a task holds against as many others.
+GROUP_PART = 4096
 
 
 def shingle_sets(texts: A.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,44 +146,82 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], high[new]
 
 
+def _table_keys(sig: np.ndarray) -> np.ndarray:
+    """[rows, TABLES * TABLES] keys of the tables (A_i, B_j), i before j."""
+    table = np.arange(TABLES * TABLES, dtype=np.uint64)
+    key = (sig[:, :TABLES, None] + np.uint64(0x9E3779B97F4A7C15) * sig[:, None, TABLES:]).reshape(len(sig), -1)
+    return A.mix((key + table * np.uint64(0xD1342543DE82EF95)).reshape(-1)).reshape(key.shape)
+
+
 def candidates(reps: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b), a < b: pairs of representatives that meet under a table key."""
+    """(a, b, large): pairs a < b that meet under a table key, and where large is set, each member a of a large group with the group's key b."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
-        table = np.arange(TABLES * TABLES, dtype=np.uint64)
+        schema = pa.schema([("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                sig = X.unpack(b.column("sig"), "<u8").reshape(b.num_rows, 2 * TABLES)
-                key = sig[:, :TABLES, None] + np.uint64(0x9E3779B97F4A7C15) * sig[:, None, TABLES:]
-                key = A.mix((key.reshape(b.num_rows, -1) + table * np.uint64(0xD1342543DE82EF95)).reshape(-1))
+                key = _table_keys(X.unpack(b.column("sig"), "<u8").reshape(b.num_rows, 2 * TABLES)).reshape(-1)
                 ids = np.repeat(np.asarray(b.column("doc_id")), TABLES * TABLES)
-                order, first, group, place = _grouped(key, ids)
-                key, ids = key[order], ids[order]
-                left, right = _group_pairs(ids, first, group, place)
-                # small groups go on whole, of a large one its smallest id
-                go = (np.diff(np.append(first, len(ids)))[group] <= SMALL_GROUP) | (place == 0)
-                used, cells = X.pack(X.bucket_of(key[go], n_buckets), n_buckets, key[go], ids[go])
-                yield A.batch(schema, used, np.zeros(len(used), dtype=np.int32), *cells)
-                left, right = _distinct(left, right)
-                if len(left):
-                    used, cells = X.pack((left % n_buckets).astype(np.int32), n_buckets, left, right)
-                    yield A.batch(schema, used, np.ones(len(used), dtype=np.int32), *cells)
+                used, cells = X.pack(X.bucket_of(key, n_buckets), n_buckets, key, ids)
+                yield A.batch(schema, used, *cells)
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        kind = np.asarray(rows.column("kind"))
-        keyed, paired = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
-        key, ids = X.unpack(keyed.column("x"), "<u8"), X.unpack(keyed.column("y"), "<i8")
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
+        key, ids = X.unpack(rows.column("x"), "<u8"), X.unpack(rows.column("y"), "<i8")
         order, first, group, place = _grouped(key, ids)
-        a, b = _group_pairs(ids[order], first, group, place)
-        a, b = _distinct(np.concatenate([a, X.unpack(paired.column("x"), "<i8")]), np.concatenate([b, X.unpack(paired.column("y"), "<i8")]))
+        key, ids = key[order], ids[order]
+        a, b = _distinct(*_group_pairs(ids, first, group, place))
+        large = np.diff(np.append(first, len(ids)))[group] > SMALL_GROUP
+        n = len(a)
+        a, b = np.concatenate([a, ids[large]]), np.concatenate([b, key[large].view(np.int64)])
         for at in range(0, len(a), 100_000):
-            yield A.batch(schema, a[at : at + 100_000], b[at : at + 100_000])
+            to = min(len(a), at + 100_000)
+            yield A.batch(schema, a[at:to], b[at:to], np.arange(at, to) >= n)
+
+    packed = reps.select("doc_id", "sig").mapInArrow(spread, "bucket int, x binary, y binary")
+    return X.per_bucket(packed, settle, "a long, b long, large boolean").distinct()
+
 
-    packed = reps.select("doc_id", "sig").mapInArrow(spread, "bucket int, kind int, x binary, y binary")
-    return X.per_bucket(packed, settle, "a long, b long").distinct()
+def apart_in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buckets: int) -> DataFrame:
+    """(a, b): all pairs of large table groups whose ends lie in different components, each once.
+
+    Groups that are one component by now drop out. In the others every member outside the largest
+    component meets every member of other components, part by part of GROUP_PART members, so that no task
+    holds a whole group. A pair comes from the first table that it shares, if it shares enough tuples.
+    """
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        ids, key, root, main, part, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "key", "root", "main", "part", "low", "high"))
+        sig = X.unpack(rows.column("sig"), "<u8").reshape(len(ids), 2 * TABLES)
+        order = np.lexsort((high, low, key))
+        new = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        for m in np.split(order, new):
+            g_ids, g_root, g_part, g_sig = ids[m], root[m], part[m], sig[m]
+            outside = g_root != main[m[0]]
+            for x in np.flatnonzero(outside):
+                wanted = (g_root != g_root[x]) & (~outside | (g_ids > g_ids[x]))
+                if low[m[0]] != high[m[0]]:
+                    wanted &= g_part != g_part[x]
+                y = np.flatnonzero(wanted)
+                same = g_sig[y] == g_sig[x]
+                enough = same.sum(axis=1) >= LEAST_SHARED
+                y, same = y[enough], same[enough]
+                if len(y):
+                    table = same[:, :TABLES].argmax(axis=1) * TABLES + same[:, TABLES:].argmax(axis=1)
+                    y = y[_table_keys(g_sig[x : x + 1])[0][table].view(np.int64) == key[m[0]]]
+                if len(y):
+                    yield A.batch(schema, np.minimum(g_ids[y], g_ids[x]), np.maximum(g_ids[y], g_ids[x]))
+
+    label = forest.select(F.col("node").alias("doc_id"), "component")
+    rows = large.select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("root"))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    parts = F.ceil(F.col("size") / GROUP_PART).cast("int")
+    rows = rows.join(sizes.filter("roots > 1"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")).join(reps, "doc_id")
+    return X.per_bucket(dealt.select("bucket", "doc_id", "key", "root", "main", "part", "low", "high", "sig"), pairs, "a long, b long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +297,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     # one document id may have several texts
     reps = cut(classes.select(F.col("rep").alias("doc_id"), "sig"))
     n = reps.count()
-    found = cut(candidates(reps, X.bucket_count(n * TABLES * TABLES, shuffle_partitions(spark))))
+    n_buckets = X.bucket_count(n * TABLES * TABLES, shuffle_partitions(spark))
+    met = cut(candidates(reps, n_buckets))
+    found, large = met.filter("NOT large").select("a", "b"), met.filter("large").select("a", "b")
     sig_a, sig_b = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
     rated = cut(found.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_shared, "a long, b long, shared int").filter(F.col("shared") >= LEAST_SHARED).groupBy("a", "b").agg(F.max("shared").alias("shared")))
-    wanted = rated.select(F.col("a").alias("doc_id")).union(rated.select(F.col("b"))).distinct()
+    wanted = rated.select(F.col("a").alias("doc_id")).union(rated.select(F.col("b"))).union(large.select("a")).distinct()
     texts = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi")
     sets = written(texts.mapInArrow(lambda batches: _packed_sets(batches, k), "doc_id long, set binary"))
     # the most alike partner of each first; what then still joins different components, in growing numbers
@@ -292,6 +334,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         if found.isEmpty():
             break
         forest, tried = joined(found), tried.unionByName(wide)
+    else:
+        raise RuntimeError(f"near duplicates not settled after {MAX_ROUNDS} rounds")
+    # what met in a large group and is in different components still: all pairs, so none is lost to the group's size
+    rest = cut(apart_in_large_groups(large, reps, forest, n_buckets).join(tried, ["a", "b"], "left_anti").coalesce(tasks))
+    if not rest.isEmpty():
+        forest = joined(confirmed(rest, sets, percent))
     own = classes.select("set_a", "set_b", F.col("n_shingles").alias("size"), "rep")
     member = rows.join(own, (rows["set_a"] == own["set_a"]) & (rows["set_b"] == own["set_b"]) & (rows["n_shingles"] == own["size"]) & rows["doc_id"].isNotNull(), "left").select("doc_id", "n_shingles", "rep")
     # a document id with several texts ties their classes together

@@ -124,6 +124,18 @@ def test_near_duplicates(rows, docs, empty, k):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in sets if find(i) == i}
 
 
+def test_near_duplicates_inside_one_template(spark):
+    """Pairs at 0.83 among pages of one template, each at 0.79 to all other pages."""
+    template, texts = [f"t{i}" for i in range(440)], []
+    for family in range(40):
+        both = template + [f"f{family}x{i}" for i in range(15)]
+        texts += [" ".join(both + [f"o{family}y{side}z{i}" for i in range(45)]) for side in range(2)]
+    order = random.Random(8).sample(range(80), 80)
+    want = {order[i]: min(order[i - i % 2], order[i - i % 2 + 1]) for i in range(80)}
+    got = minhash.near_duplicates(frame(spark, [(order[i], t) for i, t in enumerate(texts)]), k=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 @pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 900])
 def test_decontamination(spark, rows, docs, empty, block_bytes):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
