@@ -88,6 +88,25 @@ def check_fields(rows: DataFrame, layer: Layer, config: Config | None = None, fe
     return findings(out, "warning", F.col("code"), layer.name, F.col("__id"), F.concat_ws(" ", "field"), before=F.create_map("field", "value"), source_path=F.col("__path"))
 
 
+def check_numbers(rows: DataFrame, layer: Layer, config: Config | None = None) -> DataFrame:
+    """Findings of numbers as the file's texts, before typed() gives them defaults: bad ones, and empty integers if asked for.
+
+    An empty float stays visible to check_fields as NaN. Rows need source_path and source_row.
+    """
+    config = config or Config()
+    plan, _ = column_plan([c for c in rows.columns if c not in _POSITION], layer)
+    of = {f.name: F.col(f"`{plan[f.name]}`") for f in layer.fields if f.name in plan}
+    feature = next((of[f.name] for f in layer.fields if f.column == "id" and f.name in of), F.lit(""))
+    checks = [r for f in layer.fields if f.kind in ("integer", "float") and f.name in of for r in field_rules(f, layer.name, of[f.name], config, raw=True)]
+    if not checks:
+        return findings(rows.filter(F.lit(False)), "warning", "", layer.name, F.lit(""), "")
+    integers = [f.name for f in layer.fields if f.kind == "integer"]
+    out = rows.select(stripped(feature).alias("__id"), F.col("source_path").alias("__path"), F.col("source_row").alias("__row"), F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+    # length and code rules look at typed numbers as well
+    out = out.filter((F.col("code") == "manual-field-type-invalid") | ((F.col("code") == "manual-field-required-missing") & F.col("field").isin(*integers)))
+    return findings(out, "warning", F.col("code"), layer.name, F.col("__id"), F.concat_ws(" ", "field", F.lit("row"), F.col("__row").cast("string")), before=F.create_map("field", "value"), source_path=F.col("__path"))
+
+
 def column_plan(columns: Sequence[str], layer: Layer) -> tuple[dict[str, str], list[tuple[str, str]]]:
     """(canonical name -> column of the file; (code, column) findings).
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.geometry import accepts, with_z
-from ..operators.conform import column_plan, findings, typed, union_all
+from ..operators.conform import check_numbers, column_plan, findings, typed, union_all
 from ..schema import Layer, Schema
 from ..specs import SCHEMAS
 
@@ -253,8 +253,9 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
     missing = F.col("reason") == "missing"
     bad = findings(judged.filter("reason IS NOT NULL"), "warning", F.when(missing, "missing-geometry").otherwise("geometry-invalid"), layer.name, F.lit(""), F.concat_ws(" ", F.col("reason"), F.lit("row"), F.col("source_row").cast("string")), source_path=F.col("source_path"))
     trouble = findings(judged.filter("issue IS NOT NULL"), "warning", F.substring_index("issue", " ", 1), layer.name, F.lit(""), F.col("issue"), source_path=F.col("source_path"))
-    good = typed(judged.filter("reason IS NULL").drop("reason", "issue", "parts"), layer, keep_unknown)
-    return good, union_all([x for x in (columns, bad, trouble) if x is not None])
+    whole = judged.filter("reason IS NULL").drop("reason", "issue", "parts")
+    good = typed(whole, layer, keep_unknown)
+    return good, union_all([x for x in (columns, bad, trouble, check_numbers(whole, layer, config)) if x is not None])
 
 
 def load_layers(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, schemas: Sequence[Schema] = SCHEMAS) -> tuple[Schema, dict[str, DataFrame], DataFrame]:

@@ -206,3 +206,17 @@ def test_load_map_repairs(spark, tmp_path):
     codes = {r["code"] for r in found.filter("kind = 'action'").collect()}
     assert {"link-too-short-removed", "link-endpoint-unresolved-assigned", "link-side-reference-longitudinal-cleared", "node-unreferenced-removed"} <= codes
     assert repair(ds)[1].filter("kind = 'action'").count() == 0
+
+
+def test_raw_numbers_of_a_load(spark, tmp_path):
+    folder = tmp_path / "HD"
+    folder.mkdir(parents=True)
+    (folder / "C2_KILOPOST.shp").write_bytes(_shp([(1, struct.pack("<2d", i, 0)) for i in range(3)]))
+    (folder / "C2_KILOPOST.dbf").write_bytes(_dbf(["ID", "Distance", "Ref_Lane"], [[b"K1", b"1.5", b"2"], [b"K2", b"far", b"x1"], [b"K3", b"2", b""]]))
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
+    bad = {("manual-field-type-invalid", "K2", "Distance row 1", "far"), ("manual-field-type-invalid", "K2", "Ref_Lane row 1", "x1")}
+    for config, more in ((Config(), set()), (Config(report_required_numbers=True), {("manual-field-required-missing", "K3", "Ref_Lane row 2", "")})):
+        layers, found = shapefile.load_layers(spark, str(tmp_path), "HD", config)[1:]
+        got = found.filter("code IN ('manual-field-type-invalid', 'manual-field-required-missing')").collect()
+        assert {(r["code"], r["feature_id"], r["reason"], next(v for k, v in r["before"].items())) for r in got} == bad | more
+        assert all(r["source_path"].endswith("C2_KILOPOST.shp") for r in got) and layers["C2_KILOPOST"].count() == 3
