@@ -39,6 +39,10 @@ MATRIX_ROWS = 256
 REMEMBERED = 400_000
 #: ASCII characters that are neither letters, digits nor blanks.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters end here; words that end in other characters are learned with their punctuation.
+LATIN_END = 0x250
+#: First bytes of the combining marks U+0300 to U+036F in UTF-8.
+MARKS = b"\xcc", b"\xcd"
 #: A control character that is one token of its own.
 MARK = "\x01"
 
@@ -54,11 +58,20 @@ def _tokenizer(path: str):
     return found
 
 
+def _ends_plainly(core: bytes) -> bool:
+    """Whether the last character is a letter or digit that lower-casing leaves one: ASCII, or a Latin letter without a special case."""
+    if core[-1] < 0x80:
+        return core[-1:].isalnum()
+    last = core.decode("utf-8", "replace")[-1]
+    return ord(last) < LATIN_END and last.isalpha() and len(last.lower()) == 1
+
+
 class Ids:
     """Ids of whole texts as little-endian unsigned 32-bit values.
 
-    This vocabulary's pieces never cross white space and ignore case, so the ids of a text are those of
-    its blank-separated words; texts that may hold a special token's string are encoded whole.
+    This vocabulary's pieces never cross white space and ignore the case of ASCII letters, so the ids of a text are
+    those of its blank-separated words. Texts that may hold a special token's string are encoded whole, and so are
+    texts with combining marks, since composing a letter with a mark depends on the letter's case.
     """
 
     def __init__(self, path: str):
@@ -77,7 +90,7 @@ class Ids:
             self.known, self.older = {}, self.known
         split = {w: w.rstrip(PUNCTUATION) for w in words}
         for w, core in split.items():
-            if len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1].isalnum():
+            if len(core) == len(w) or not core or not _ends_plainly(core):
                 split[w] = w
         parts = {core for w, core in split.items()} | {w[len(core) :] for w, core in split.items() if core is not w}
         self._learn([p for p in parts if p not in self.known])
@@ -101,10 +114,11 @@ class Ids:
     def of(self, texts: list[str | None]) -> list[bytes]:
         get, older, out, waiting, new = self.known.get, self.older, [], [], {}
         for n, t in enumerate(texts):
-            if t and "<|" in t:
+            raw = (t or "").encode("utf-8", "replace")
+            if b"<|" in raw or MARKS[0] in raw or MARKS[1] in raw:
                 out.append(self.encode(t).tobytes())
                 continue
-            words = (t or "").encode("utf-8", "replace").lower().split()
+            words = raw.lower().split()
             parts = [get(w) for w in words]
             out.append(parts)
             if None in parts:
@@ -120,12 +134,18 @@ class Ids:
         return [p if isinstance(p, bytes) else b"".join(p) for p in out]
 
 
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """One memory of words for each Python worker, kept from task to task; REMEMBERED bounds it."""
+    return Ids(path)
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())] * with_ids)
-    ids, end = Ids(path), END_ID.to_bytes(4, "little")
+    ids, end = _ids(path), END_ID.to_bytes(4, "little")
     for b in A.chunks(batches):
         out: list[tuple] = []
         for doc_id, raw in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):
@@ -164,19 +184,38 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(value[capacity]), column
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """matrix @ vector by plain sums: threads of a linear algebra library can hang in a driver that has forked."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, again without such a library."""
+    m = len(matrix)
+    both = np.concatenate([matrix, np.eye(m)], axis=1)
+    for i in range(m):
+        at = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, at]] = both[[at, i]]
+        both[i] /= both[i, i]
+        rest = both[:, i].copy()
+        rest[i] = 0.0
+        both -= rest[:, None] * both[i]
+    return both[:, m:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often each is used) of the relaxed cutting-stock problem. sizes ascend."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ demand
+    used = _times(inverse, demand)
     for step in range(1, 20 * m + 200):
         duals = inverse.sum(axis=0)
         worth, column = price(np.maximum(duals, 0.0), sizes, capacity)
         # used.sum() / worth bounds the optimum from below
         if worth <= 1.0 + tolerance:
             break
-        way = inverse @ column
+        way = _times(inverse, column)
         ahead = way > 1e-9
         ratio = np.where(ahead, used / np.where(ahead, way, 1.0), np.inf)
         out = int(np.argmin(ratio))
@@ -189,8 +228,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
         used = np.maximum(used - ratio[out] * way, 0.0)
         used[out] = ratio[out]
         if step % 200 == 0:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0.0)
+            inverse = _inverse(basis)
+            used = np.maximum(_times(inverse, demand), 0.0)
     return basis, used
 
 
@@ -385,7 +424,7 @@ def _matrices(batches: Iterator[pa.RecordBatch], path: str, block_pieces: int, b
     from pyspark import TaskContext
 
     schema = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
-    ids, end = Ids(path), END_ID.to_bytes(4, "little")
+    ids, end = _ids(path), END_ID.to_bytes(4, "little")
     block, tokens, done = [], 0, TaskContext.get().partitionId() << 40
     for b in A.chunks(batches):
         for doc_id, raw in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):

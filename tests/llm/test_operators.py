@@ -282,6 +282,25 @@ def test_segment_tree_finds_the_tightest_room():
         assert sorted(capacity - sum(lengths[i] for i in m) for m in made) == sorted(rooms)
 
 
+@pytest.mark.parametrize("marks", [True, False])
+def test_ids_are_those_of_the_tokenizer(marks):
+    """Letters whose case or composition depends on what follows, odd blanks, contractions, special strings."""
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(6), tokenizer_path()
+    parts = [*"İıßẞHTWYJjΣςKÅéÉeEasStT12９²Ⅷªº中क१가😀", "'", "’", "'s", "'LL", ".", ",", "!!", "<|", "<|endoftext|>", "ǰ", "ŉ", "ﬁ", "ǅ", "\x00", "\x01", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "İ.", "ALİ.", "MİLLİ,", "é.", " ", " ", "\n", "\t"]
+    parts += ["\u0331", "\u0308", "\u030a", "\u030c", "\u0301", "\u0307", "\u0345"] * marks
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    whole, ids = Tokenizer.from_file(path), packing.Ids(path)
+    for t, raw in zip(texts, ids.of(texts), strict=True):
+        assert np.frombuffer(raw, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_inverse_of_a_basis():
+    made = np.random.default_rng(3).integers(0, 9, (60, 60)).astype(float) + np.eye(60)
+    assert np.abs(packing._inverse(made) @ made - np.eye(60)).max() < 1e-8
+
+
 def test_cutting_stock_is_near_its_bound():
     rng = random.Random(2)
     demand = {s: rng.randint(50, 500) for s in rng.sample(range(3, 90), 60)}
