@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; set a temporary one only where none is configured."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Use the folder of spark.checkpoint.dir; a temporary one only where none is configured and everything runs on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 #: Edges that one task of a star round should hold on average.
-TASK_EDGES = 100_000
+TASK_EDGES = 500_000
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) over the edges at hand, without the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    x, y = at[: len(a)], at[len(a) :]
+    while True:
+        x, y = parent[x], parent[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent != (further := parent[parent])).any():
+            parent = further
+    rest = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[rest], nodes[parent[rest]]
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """The forest of every task's edges in place of the edges: same components, at most one edge a node and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            whole = pa.Table.from_batches(got)
+            a, b = contracted(*(c.to_numpy() for c in whole.columns))
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000], type=f.type) for v, f in zip((a, b), whole.schema, strict=True)], schema=whole.schema)
+
+    return edges.mapInArrow(run, edges.schema)
 
 
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
@@ -37,19 +80,22 @@ def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
 def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of pairs that is not its own component's smallest node.
 
-    Alternates large-star and small-star rounds, each halving what is left of long chains. Every
-    round is checkpointed, and the loop stops when the edges no longer change. The number of tasks
-    follows the number of edges, since a round has many shuffles and a small graph needs few files.
+    Tasks of about TASK_EDGES edges first contract what they hold; where one task holds all edges, that is the
+    result. Else large-star and small-star rounds alternate, each halving what is left of long chains.
+    Every round is checkpointed, and the loop stops when the edges no longer change.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     x, y = F.col(a), F.col(b)
-    edges = pairs.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct().checkpoint()
-    mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    before = edges.agg(*mark).first()
-    if not before["n"]:
+    edges = pairs.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).checkpoint()
+    n = edges.count()
+    tasks = max(1, -(-n // TASK_EDGES))
+    if not n:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    edges = _contract(edges.coalesce(tasks)).checkpoint()
+    if tasks == 1:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    tasks = -(-before["n"] // TASK_EDGES)
-    edges = edges.coalesce(tasks)
+    mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+    before = None
     for _ in range(MAX_ROUNDS):
         large = _large_star(edges, tasks).distinct().coalesce(tasks)
         edges = _small_star(large, tasks).distinct().coalesce(tasks).checkpoint()
@@ -81,8 +127,6 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     """
     ensure_checkpoint_dir(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql import Window
-
     # the partition of each row must not change between its two uses
     parted = rows.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()).checkpoint()
     sizes = parted.groupBy("part").agg(F.count("*").alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadframe.config import DEFAULT_MODES, WARN_ONLY, Config
 from roadframe.functions import geometry as G
 from roadframe.functions import text as X
-from roadframe.operators import conform, integrity, merge, segment, spatial, topology
+from roadframe.operators import components, conform, integrity, merge, segment, spatial, topology
 from roadframe.operators.components import connected_components, numbered
 from roadframe.operators.integrity import Edge
 from roadframe.schema import snake_case
@@ -131,6 +131,34 @@ def test_components_and_numbers(spark):
     assert connected_components(spark.range(301).withColumn("o", F.col("id")), chain, "id", "o").select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("task_edges", [1, 40, 500_000])
+def test_forest_in_few_and_many_tasks(spark, monkeypatch, task_edges):
+    import random
+
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
+    pairs += [(5, 5), *pairs[:5]]
+    least = {}
+    for x in sorted({v for p in pairs for v in p}):
+        least.setdefault(x, x)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    want = {k: v for k, v in least.items() if k != v}
+    if task_edges == 1:
+        pairs = pairs[:12] + pairs[30:36]
+        want = {k: 0 for k in range(1, 13)} | {k: 100 for k in range(101, 107)}
+    got = components.star_forest(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    named = components.star_forest(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in pairs], "a string, b string")).collect()
+    assert {r["node"]: r["component"] for r in named} == {f"n{k:03}": f"n{v:03}" for k, v in want.items()}
+
+
 def test_orientation_tie_is_skipped(spark):
     c = line((0, 0), (1, 0))
     links = spark.createDataFrame([(1, 1, 10, 11, 2, None, c), (2, 2, 12, 13, None, 1, c), (3, 3, 11, 14, None, None, c), (4, 4, 15, 12, None, None, c)], f"id long, ord long, from_id long, to_id long, r_id long, l_id long, coords {COORDS}")
