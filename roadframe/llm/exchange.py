@@ -23,13 +23,20 @@ def bucket_count(entries: int, floor: int) -> int:
     return max(1, floor, -(-entries // BUCKET_ENTRIES))
 
 
-def pack(bucket: np.ndarray, n_buckets: int, *cells: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """(buckets that occur, one binary column per cell array)."""
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    if not len(values):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def pack(bucket: np.ndarray, *cells: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(buckets that occur, one binary column per cell array). Work follows the entries, not the number of buckets."""
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    used = np.flatnonzero(np.diff(bounds))
-    edges = np.append(bounds[used], len(bucket))
-    return used, [A.ragged(c[order], edges) if len(c) else A.ragged(c, np.zeros(len(used) + 1, dtype=np.int64)) for c in cells]
+    dealt = bucket[order]
+    first = runs(dealt)
+    edges = np.append(first, len(bucket))
+    return dealt[first], [A.ragged(c[order], edges) if len(c) else A.ragged(c, np.zeros(len(first) + 1, dtype=np.int64)) for c in cells]
 
 
 def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -5,11 +5,18 @@ m * m tables are keyed by the pairs (A_i, B_j), so m * m bands of 2 * TUPLE minh
 2 * m * TUPLE minhashes. Two sets at similarity s meet in some table with probability
 (1 - (1 - s**TUPLE)**m)**2, which is 0.9999 at s = 0.8 for the values below, and rises with s.
 
-Equal sets are one class from the start. Tables run over class representatives. Under a table key that
-many share, every member first meets the smallest id; once components have formed, all pairs of such
-a group that still lie in different components are looked at as well. Candidate pairs are then confirmed on the full sets: first the most alike partner of each representative,
-next, in growing numbers, pairs that still join different components, last whatever met a component without joining it
-against that component's most typical members. Components come from star rounds.
+Equal sets are one class from the start. Tables run over class representatives, and every pair that meets
+under some key is settled, however many share the key:
+
+1. A key that few share gives all their pairs. Under one that many share, the members of each part of
+   GROUP_PART first meet the part's most central member, then each its nearest one in another component,
+   and last all that are still in other components, so work follows the members that stay apart.
+2. A pair is dropped before its sets are fetched only where it cannot reach the similarity: a parity bitmap of
+   each set bounds the number of differing shingles from below.
+3. What is left is confirmed on the full sets, nearest pairs first; pairs inside one component need no look.
+
+Joins on a central member have one hot side; they read Spark's splitting of skewed joins. Components come
+from operators.components.
 
 Defined results: texts without words have an empty set and stay alone; rows that share a doc_id are
 one document; a null doc_id stays alone; extra columns are ignored; an empty table gives no rows.
@@ -32,19 +39,14 @@ from .session import cut, shuffle_partitions, text_rows, written
 SHINGLE, PERCENT = 5, 80
 #: Hash collections: TABLES tuples of TUPLE minhashes in each of the two.
 TABLES, TUPLE = 10, 2
-#: Of the 2 * TABLES tuples, candidates must share so many before their sets are fetched.
-#: A pair at similarity 0.8 shares 12.8 on average, and fewer than 4 about once in a hundred thousand times.
-LEAST_SHARED = 4
-#: Partners of each representative that are confirmed in the first rounds; the last round takes the rest.
-ROUNDS = (1, 8)
-#: Typical members of a component that outsiders are held against, and rounds of that; each adds links or is the last.
-MEDOIDS, MAX_ROUNDS = 8, 20
-#: Representatives for each task that holds a table of the confirming rounds.
-ROUND_ROWS = 5_000
-#: Table keys with up to this many members pair them all; larger ones pair with the first and the next.
-SMALL_GROUP, CENTRES, NEXT = 6, 1, 1
+#: Bits of the parity bitmap of a set.
+BITS = 1024
+#: Table keys with up to this many members pair them all at once; those of larger ones meet part by part.
+SMALL_GROUP = 8
 #: Members of a large group that a task holds against as many others.
 GROUP_PART = 4096
+#: Representatives for each task that holds a table of the confirming rounds.
+ROUND_ROWS = 5_000
 
 
 def shingle_sets(texts: A.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,21 @@ def signature(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return A.mix(out.reshape(-1)).reshape(out.shape)
 
 
+def parities(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """[n, BITS / 8] bitmaps: bit i says whether an odd number of the set's shingles hash to i.
+
+    Two bitmaps differ in at most as many bits as the sets differ in shingles.
+    """
+    out = np.zeros((n, BITS // 8), dtype=np.uint8)
+    slot = (A.mix(keys ^ np.uint64(0x5DEECE66D)) % np.uint64(BITS)).astype(np.int64)
+    for at in range(0, n, 1024):
+        own = slice(*np.searchsorted(doc, [at, at + 1024]))
+        size = min(1024, n - at)
+        odd = np.bincount((doc[own] - at) * BITS + slot[own], minlength=size * BITS) & 1
+        out[at : at + size] = np.packbits(odd.astype(bool).reshape(size, BITS), axis=1)
+    return out
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in A.chunks(batches):
         keys, doc = shingle_sets(A.Texts.of(b.column("text")), k)
@@ -93,45 +110,38 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Ite
         first = np.concatenate([[0], np.cumsum(size)])[has]
         one = np.zeros(b.num_rows, dtype=np.uint64)
         two = np.zeros(b.num_rows, dtype=np.uint64)
-        bounds = np.zeros(b.num_rows + 1, dtype=np.int64)
         values = np.zeros((0, 2 * TABLES), dtype=np.uint64)
         if len(has):
             one[has] = np.add.reduceat(A.mix(keys ^ np.uint64(0x1234567)), first)
             two[has] = np.add.reduceat(A.mix(keys * np.uint64(0x2545F4914F6CDD1D)), first)
             values = signature(keys, first)
-        bounds[1:] = np.cumsum(size > 0) * 2 * TABLES
-        yield A.batch(schema, b.column("doc_id"), size, one.view(np.int64), two.view(np.int64), A.ragged(values.reshape(-1), bounds))
+        filled = np.concatenate([[0], np.cumsum(size > 0)])
+        bits = parities(keys, np.searchsorted(has, doc), len(has))
+        yield A.batch(schema, b.column("doc_id"), size, one.view(np.int64), two.view(np.int64), A.ragged(values.reshape(-1), filled * 2 * TABLES), A.ragged(bits.reshape(-1), filled * (BITS // 8)))
 
 
 def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, an order-free 128-bit fingerprint of the set, and the minhash tuples."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary())])
+    """doc_id, n_shingles, an order-free 128-bit fingerprint of the set, the minhash tuples and the parity bitmap."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary())])
     rows = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lambda batches: _signed(batches, k, schema), "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return rows.mapInArrow(lambda batches: _signed(batches, k, schema), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bits binary")
 
 
-def _grouped(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order by key and id; start of each key's group in it; group and place of each entry)."""
+def _grouped(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key and id; size of the group of each entry in it, and the entry's place there)."""
     order = np.lexsort((ids, key))
-    key = key[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    return order, first, group, np.arange(len(key)) - first[group]
+    first = X.runs(key[order])
+    size = np.diff(np.append(first, len(key)))
+    return order, np.repeat(size, size), np.arange(len(key)) - np.repeat(first, size)
 
 
-def _group_pairs(ids: np.ndarray, first: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each group, from entries in group order: all of a small group, each with the smallest id in a large one."""
-    many = np.diff(np.append(first, len(ids)))[group]
+def _group_pairs(ids: np.ndarray, many: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of each small group, from entries in group order."""
     a, b = [ids[:0]], [ids[:0]]
     for back in range(1, SMALL_GROUP):
         at = np.flatnonzero((place >= back) & (many <= SMALL_GROUP))
         a.append(ids[at - back])
         b.append(ids[at])
-    at = np.flatnonzero((many > SMALL_GROUP) & (place > 0))
-    a.append(ids[first[group[at]]])
-    b.append(ids[at])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -154,63 +164,104 @@ def _table_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def candidates(reps: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b, large): pairs a < b that meet under a table key, and where large is set, each member a of a large group with the group's key b."""
+    """(a, b, large): pairs a < b under the same table key, and where large is set, each member a of a large group with the group's number b.
+
+    What is large depends on a key's members alone. Of a key that many rows of one chunk share, only the first few
+    go to the key's bucket; the others are known to be of a large group and are dealt by their ids.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("large", pa.bool_()), ("x", pa.binary()), ("y", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 key = _table_keys(X.unpack(b.column("sig"), "<u8").reshape(b.num_rows, 2 * TABLES)).reshape(-1)
                 ids = np.repeat(np.asarray(b.column("doc_id")), TABLES * TABLES)
-                used, cells = X.pack(X.bucket_of(key, n_buckets), n_buckets, key, ids)
-                yield A.batch(schema, used, *cells)
+                order, _, place = _grouped(key, ids)
+                key, ids, more = key[order], ids[order], place > SMALL_GROUP
+                home = X.bucket_of(key, n_buckets)
+                used, cells = X.pack(home[~more], key[~more].astype("<u4"), ids[~more])
+                yield A.batch(schema, used, np.zeros(len(used), dtype=bool), *cells)
+                if more.any():
+                    number = home[more].astype(np.int64) << 32 | key[more].astype("<u4").astype(np.int64)
+                    used, cells = X.pack(X.bucket_of(A.mix(ids[more].view(np.uint64)), n_buckets), number, ids[more])
+                    yield A.batch(schema, used, np.ones(len(used), dtype=bool), *cells)
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
-        key, ids = X.unpack(rows.column("x"), "<u8"), X.unpack(rows.column("y"), "<i8")
-        order, first, group, place = _grouped(key, ids)
+        known, open_rows = rows.filter(rows.column("large")), rows.filter(pa.compute.invert(rows.column("large")))
+        key, ids = X.unpack(open_rows.column("x"), "<u4"), X.unpack(open_rows.column("y"), "<i8")
+        order, many, place = _grouped(key, ids)
         key, ids = key[order], ids[order]
-        a, b = _distinct(*_group_pairs(ids, first, group, place))
-        large = np.diff(np.append(first, len(ids)))[group] > SMALL_GROUP
-        n = len(a)
-        a, b = np.concatenate([a, ids[large]]), np.concatenate([b, key[large].view(np.int64)])
+        a, b = _distinct(*_group_pairs(ids, many, place))
+        large, n = many > SMALL_GROUP, len(a)
+        number = np.int64(rows.column("bucket")[0].as_py()) << np.int64(32) | key[large].astype(np.int64)
+        a = np.concatenate([a, ids[large], X.unpack(known.column("y"), "<i8")])
+        b = np.concatenate([b, number, X.unpack(known.column("x"), "<i8")])
         for at in range(0, len(a), 100_000):
             to = min(len(a), at + 100_000)
             yield A.batch(schema, a[at:to], b[at:to], np.arange(at, to) >= n)
 
-    packed = reps.select("doc_id", "sig").mapInArrow(spread, "bucket int, x binary, y binary")
-    return X.per_bucket(packed, settle, "a long, b long, large boolean").distinct()
+    packed = reps.select("doc_id", "sig").mapInArrow(spread, "bucket int, large boolean, x binary, y binary")
+    return X.per_bucket(packed, settle, "a long, b long, large boolean")
+
+
+def least_apart(bits: np.ndarray, size: np.ndarray, other_bits: np.ndarray, other_size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(share of differing shingles, at least; whether the pair may still reach the similarity). bits are rows of 64-bit words."""
+    differ = np.maximum(np.bitwise_count(bits ^ other_bits).sum(axis=-1, dtype=np.int64), np.abs(size - other_size))
+    total = size + other_size
+    return differ / total, differ * (100 + percent) <= total * (100 - percent)
+
+
+def _rated(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.float64())])
+    for b in batches:
+        left, right = (X.unpack(b.column(c), "<u8").reshape(b.num_rows, BITS // 64) for c in ("bits_a", "bits_b"))
+        apart, may = least_apart(left, np.asarray(b.column("n_a")), right, np.asarray(b.column("n_b")), percent)
+        yield A.batch(schema, np.asarray(b.column("a"))[may], np.asarray(b.column("b"))[may], apart[may])
+
+
+def rated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart): the pairs that may reach the similarity, each once."""
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+    return pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(lambda batches: _rated(batches, percent), "a long, b long, apart double")
 
 
-def apart_in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b): all pairs of large table groups whose ends lie in different components, each once.
+def _central(bits: np.ndarray) -> int:
+    """The row closest to what most rows have."""
+    flags = np.unpackbits(bits.view(np.uint8), axis=1)
+    usual = np.packbits(2 * flags.sum(axis=0, dtype=np.int64) > len(bits)).view(np.uint64)
+    return int(np.bitwise_count(bits ^ usual).sum(axis=1).argmin())
 
-    Groups that are one component by now drop out. In the others every member outside the largest
-    component meets every member of other components, part by part of GROUP_PART members, so that no task
-    holds a whole group. A pair comes from the first table that it shares, if it shares enough tuples.
+
+def in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buckets: int, percent: int, which: str) -> DataFrame:
+    """(a, b): pairs of large table groups whose ends lie in different components and that may reach the similarity.
+
+    which: "central" pairs each member with the most central one of its part, "nearest" each member outside the group's
+    largest component with its nearest one in another component of each part, "all" gives all pairs. A task holds two parts.
     """
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        ids, key, root, main, part, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "key", "root", "main", "part", "low", "high"))
-        sig = X.unpack(rows.column("sig"), "<u8").reshape(len(ids), 2 * TABLES)
+        ids, size, key, root, main, part, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "n_shingles", "key", "root", "main", "part", "low", "high"))
+        bits = X.unpack(rows.column("bits"), "<u8").reshape(len(ids), BITS // 64)
         order = np.lexsort((high, low, key))
-        new = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
-        for m in np.split(order, new):
-            g_ids, g_root, g_part, g_sig = ids[m], root[m], part[m], sig[m]
-            outside = g_root != main[m[0]]
-            for x in np.flatnonzero(outside):
-                wanted = (g_root != g_root[x]) & (~outside | (g_ids > g_ids[x]))
-                if low[m[0]] != high[m[0]]:
-                    wanted &= g_part != g_part[x]
-                y = np.flatnonzero(wanted)
-                same = g_sig[y] == g_sig[x]
-                enough = same.sum(axis=1) >= LEAST_SHARED
-                y, same = y[enough], same[enough]
-                if len(y):
-                    table = same[:, :TABLES].argmax(axis=1) * TABLES + same[:, TABLES:].argmax(axis=1)
-                    y = y[_table_keys(g_sig[x : x + 1])[0][table].view(np.int64) == key[m[0]]]
+        cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        for m in np.split(order, cuts):
+            g_ids, g_size, g_root, g_part, g_bits = ids[m], size[m], root[m], part[m], bits[m]
+            outside, crossing = g_root != main[m[0]], low[m[0]] != high[m[0]]
+            for x in [_central(g_bits)] if which == "central" else np.flatnonzero(outside):
+                apart, may = least_apart(g_bits, g_size, g_bits[x], g_size[x], percent)
+                may &= g_root != g_root[x]
+                if which == "all":
+                    # a pair of two outsiders comes up twice
+                    may &= ~outside | (g_ids > g_ids[x])
+                if crossing:
+                    may &= g_part != g_part[x]
+                y = np.flatnonzero(may)
+                if which == "nearest" and len(y):
+                    y = y[apart[y].argmin()][None]
                 if len(y):
                     yield A.batch(schema, np.minimum(g_ids[y], g_ids[x]), np.maximum(g_ids[y], g_ids[x]))
 
@@ -219,16 +270,10 @@ def apart_in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame,
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main"))
     parts = F.ceil(F.col("size") / GROUP_PART).cast("int")
     rows = rows.join(sizes.filter("roots > 1"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    others = F.array("part") if which == "central" else F.sequence(F.lit(0), F.col("parts") - 1)
+    rows = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")).join(reps, "doc_id")
-    return X.per_bucket(dealt.select("bucket", "doc_id", "key", "root", "main", "part", "low", "high", "sig"), pairs, "a long, b long")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32())])
-    for b in batches:
-        left, right = (X.unpack(b.column(c), "<u8").reshape(b.num_rows, 2 * TABLES) for c in ("sig_a", "sig_b"))
-        yield A.batch(schema, b.column("a"), b.column("b"), (left == right).sum(axis=1).astype(np.int32))
+    return X.per_bucket(dealt.select("bucket", "doc_id", "n_shingles", "key", "root", "main", "part", "low", "high", "bits"), pairs, "a long, b long").distinct()
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -260,28 +305,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.mapInArrow(lambda batches: _confirmed(batches, percent), "a long, b long")
 
 
-def _tuple_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("root", pa.int64()), ("doc_id", pa.int64()), ("i", pa.int32()), ("v", pa.int64())])
-    for b in batches:
-        sig = X.unpack(b.column("sig"), "<i8")
-        yield A.batch(schema, np.repeat(np.asarray(b.column("root")), 2 * TABLES), np.repeat(np.asarray(b.column("doc_id")), 2 * TABLES), np.tile(np.arange(2 * TABLES, dtype=np.int32), b.num_rows), sig)
-
-
-def typical_members(reps: DataFrame, forest: DataFrame) -> DataFrame:
-    """(root, typical): MEDOIDS members of each component that agree most with its most frequent tuples.
-
-    Every step is an aggregate per component and tuple, so a component of any size has no hot task
-    beyond its partial sums.
-    """
-    roots = forest.select(F.col("component").alias("doc_id"), F.col("component").alias("root")).distinct()
-    member = forest.select(F.col("node").alias("doc_id"), F.col("component").alias("root")).unionByName(roots)
-    cells = cut(member.join(reps, "doc_id").select("root", "doc_id", "sig").mapInArrow(_tuple_rows, "root long, doc_id long, i int, v long"))
-    mode = cells.groupBy("root", "i", "v").agg(F.count("*").alias("n")).groupBy("root", "i").agg(F.max(F.struct("n", "v")).alias("m")).select("root", "i", F.col("m.v").alias("mode"))
-    score = cells.join(cut(mode), ["root", "i"]).groupBy("root", "doc_id").agg(F.sum((F.col("v") == F.col("mode")).cast("int")).alias("score"))
-    dealt = score.groupBy("root", F.pmod(F.xxhash64("doc_id"), F.lit(MEDOIDS)).alias("part"))
-    return dealt.agg(F.max(F.struct("score", -F.col("doc_id"), "doc_id")).alias("best")).select("root", F.col("best.doc_id").alias("typical"))
-
-
 def _between(pairs: DataFrame, forest: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components, with root_a and root_b."""
     label_a, label_b = forest.select(F.col("node").alias("a"), F.col("component").alias("root_a")), forest.select(F.col("node").alias("b"), F.col("component").alias("root_b"))
@@ -293,53 +316,45 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     spark = docs.sparkSession
     rows = cut(signed(docs, k))
-    classes = cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "sig")).alias("rep"), F.count("*").alias("copies")).select("n_shingles", "set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.sig").alias("sig")))
+    by_set = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "sig", "bits")).alias("rep"))
+    classes = cut(by_set.select("n_shingles", "set_a", "set_b", F.col("rep.doc_id").alias("rep"), F.col("rep.sig").alias("sig"), F.col("rep.bits").alias("bits")))
     # one document id may have several texts
-    reps = cut(classes.select(F.col("rep").alias("doc_id"), "sig"))
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig", "bits")
     n = reps.count()
     n_buckets = X.bucket_count(n * TABLES * TABLES, shuffle_partitions(spark))
     met = cut(candidates(reps, n_buckets))
-    found, large = met.filter("NOT large").select("a", "b"), met.filter("large").select("a", "b")
-    sig_a, sig_b = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    rated = cut(found.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_shared, "a long, b long, shared int").filter(F.col("shared") >= LEAST_SHARED).groupBy("a", "b").agg(F.max("shared").alias("shared")))
-    wanted = rated.select(F.col("a").alias("doc_id")).union(rated.select(F.col("b"))).union(large.select("a")).distinct()
+    large = met.filter("large").select("a", "b")
+    near = written(rated(met.filter("NOT large").select("a", "b").distinct(), reps, percent))
+    # a written table has a known size, so Spark may send it to the texts instead of dealing the texts
+    wanted = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(large.select("a")).distinct())
     texts = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi")
     sets = written(texts.mapInArrow(lambda batches: _packed_sets(batches, k), "doc_id long, set binary"))
-    # the most alike partner of each first; what then still joins different components, in growing numbers
     tried = spark.createDataFrame([], "a long, b long")
     forest = spark.createDataFrame([], "node long, component long")
+    # the rounds' tables have a few numbers for each representative
+    tasks = -(-(n + 1) // ROUND_ROWS)
 
     def joined(found: DataFrame) -> DataFrame:
-        """The components with more links: stars and new links only, so few rounds settle them."""
+        """The components with more links: the forest and new links only, so few rounds settle them."""
         return star_forest(forest.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
-    # the rounds' tables have a few numbers for each representative
-    tasks = -(-(n + 1) // ROUND_ROWS)
-    for most in (*ROUNDS, None):
-        between = _between(rated.join(tried, ["a", "b"], "left_anti"), forest)
-        if most is not None:
-            nearest = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-            between = between.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= most)
-        now = cut(between.select("a", "b").coalesce(tasks))
+    def nearest_of_few() -> DataFrame:
+        return near.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).filter("n = 1").select("a", "b")
+
+    def of_many(which: str) -> DataFrame:
+        return in_large_groups(large, reps.select("doc_id", "n_shingles", "bits"), forest, n_buckets, percent, which)
+
+    rounds = (
+        lambda: nearest_of_few().unionByName(of_many("central")),
+        lambda: _between(near, forest).select("a", "b").unionByName(of_many("nearest")),
+        lambda: of_many("nearest"),
+        lambda: of_many("all"),
+    )
+    for pairs in rounds:
+        now = cut(pairs().distinct().join(tried, ["a", "b"], "left_anti").coalesce(tasks))
         if not now.isEmpty():
             forest = joined(confirmed(now, sets, percent))
             tried = tried.unionByName(now)
-    # what met a component without joining it is held against the component's most typical members
-    for _ in range(MAX_ROUNDS):
-        apart = _between(rated, forest)
-        meets = apart.select(F.col("a").alias("x"), F.col("root_b").alias("root")).unionByName(apart.select(F.col("b").alias("x"), F.col("root_a").alias("root"))).distinct()
-        wide = meets.join(typical_members(reps, forest), "root").select(F.least("x", "typical").alias("a"), F.greatest("x", "typical").alias("b")).filter("a <> b").distinct()
-        wide = cut(wide.join(tried, ["a", "b"], "left_anti").coalesce(tasks))
-        found = cut(confirmed(wide, sets, percent).coalesce(tasks))
-        if found.isEmpty():
-            break
-        forest, tried = joined(found), tried.unionByName(wide)
-    else:
-        raise RuntimeError(f"near duplicates not settled after {MAX_ROUNDS} rounds")
-    # what met in a large group and is in different components still: all pairs, so none is lost to the group's size
-    rest = cut(apart_in_large_groups(large, reps, forest, n_buckets).join(tried, ["a", "b"], "left_anti").coalesce(tasks))
-    if not rest.isEmpty():
-        forest = joined(confirmed(rest, sets, percent))
     own = classes.select("set_a", "set_b", F.col("n_shingles").alias("size"), "rep")
     member = rows.join(own, (rows["set_a"] == own["set_a"]) & (rows["set_b"] == own["set_b"]) & (rows["n_shingles"] == own["size"]) & rows["doc_id"].isNotNull(), "left").select("doc_id", "n_shingles", "rep")
     # a document id with several texts ties their classes together

@@ -68,9 +68,9 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int,
         new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
         least = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(value) else owner
         late = owner > least
-        yield from S.sent(1, X.bucket_of(value[~late], n_buckets), n_buckets, value[~late], owner[~late], start[~late])
+        yield from S.sent(1, X.bucket_of(value[~late], n_buckets), value[~late], owner[~late], start[~late])
         none = np.zeros(0, dtype="<u8")
-        yield from S.sent(2, (owner[late] % n_buckets).astype(np.int32), n_buckets, none, owner[late], start[late])
+        yield from S.sent(2, (owner[late] % n_buckets).astype(np.int32), none, owner[late], start[late])
 
 
 def _repeats(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:

@@ -61,16 +61,11 @@ def entries(rows: DataFrame) -> int:
     return int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
-def sent(kind: int, bucket: np.ndarray, n_buckets: int, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def sent(kind: int, bucket: np.ndarray, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Entries packed by bucket; probes carry no key and no place."""
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    used = np.flatnonzero(np.diff(bounds))
-    edges = np.append(bounds[used], len(bucket))
-    empty = np.zeros(len(used) + 1, dtype=np.int64)
-    cells = [A.ragged(v[order], edges) if len(v) else A.ragged(v, empty) for v in (h, key, at)]
+    used, cells = X.pack(bucket, h, key, at)
     yield A.batch(EXCHANGE, used, np.full(len(used), kind, dtype=np.int32), *cells)
 
 
@@ -89,9 +84,9 @@ def anchor_rows(h: np.ndarray, key: np.ndarray, at: np.ndarray, indexed: np.ndar
     local, index = indexed & ~alone, indexed & alone
     probe = np.concatenate([h[alone & ~indexed], h[order[first[~single]]]])
     none = np.zeros(0, dtype="<u4")
-    yield from sent(0, X.bucket_of(probe, n_buckets), n_buckets, probe.astype("<u4"), none, none)
-    yield from sent(1, X.bucket_of(h[index], n_buckets), n_buckets, h[index].astype("<u4"), key[index], at[index].astype("<u4"))
-    yield from sent(2, (key[local] % n_buckets).astype(np.int32), n_buckets, none, key[local], at[local].astype("<u4"))
+    yield from sent(0, X.bucket_of(probe, n_buckets), probe.astype("<u4"), none, none)
+    yield from sent(1, X.bucket_of(h[index], n_buckets), h[index].astype("<u4"), key[index], at[index].astype("<u4"))
+    yield from sent(2, (key[local] % n_buckets).astype(np.int32), none, key[local], at[local].astype("<u4"))
 
 
 def anchors(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -109,7 +104,7 @@ def anchors(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
 def hit_rows(key: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Hits packed by their documents' buckets, for gathered()."""
     if len(key):
-        used, cells = X.pack((A.mix(key.view("<u8")) % np.uint64(n_buckets)).astype(np.int32), n_buckets, key, at)
+        used, cells = X.pack((A.mix(key.view("<u8")) % np.uint64(n_buckets)).astype(np.int32), key, at)
         yield A.batch(HITS, used, *cells)
 
 

@@ -125,9 +125,9 @@ def _starter_entries(batches: Iterator[pa.RecordBatch], window: int, head: int,
         order, first = _first_of(value, key, place)
         value, key, place = value[order], key[order], place[order]
         lead = first == np.arange(len(order))
-        yield from S.sent(1, X.bucket_of(value[lead], n_buckets), n_buckets, value[lead], key[lead], place[lead])
+        yield from S.sent(1, X.bucket_of(value[lead], n_buckets), value[lead], key[lead], place[lead])
         known = _partners(place[~lead], key[first[~lead]], place[first[~lead]])
-        yield from S.sent(2, (key[~lead] % n_buckets).astype(np.int32), n_buckets, known, key[~lead], place[~lead])
+        yield from S.sent(2, (key[~lead] % n_buckets).astype(np.int32), known, key[~lead], place[~lead])
 
 
 def _partners(at: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n
         order, first = _first_of(value, key, place)
         late = np.zeros(len(order), dtype=bool)
         late[order] = first != np.arange(len(order))
-        used, cells = X.pack((key[late] % n_buckets).astype(np.int32), n_buckets, key[late], place[late])
+        used, cells = X.pack((key[late] % n_buckets).astype(np.int32), key[late], place[late])
         none = pa.array([b""] * len(used), type=pa.binary())
         yield A.batch(STRETCH, used, np.full(len(used), 2, dtype=np.int32), *cells, none, none)
         at = at[~late]
@@ -198,10 +198,9 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n
         doc = r.doc(low)
         bucket = X.bucket_of(r.rank[sample[new]], n_buckets)
         order = np.argsort(bucket, kind="stable")
-        low, n, doc = low[order], (high - low + 1)[order], doc[order]
-        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        used = np.flatnonzero(np.diff(bounds))
-        edges = np.append(bounds[used], len(low))
+        low, n, doc, bucket = low[order], (high - low + 1)[order], doc[order], bucket[order]
+        first_of = X.runs(bucket)
+        used, edges = bucket[first_of], np.append(first_of, len(low))
         size = n + window - 1
         ends = np.concatenate([[0], np.cumsum(size)])
         text = A.ragged(r.texts.buf[A.covered_runs(low, size)], ends[edges])
