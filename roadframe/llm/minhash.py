@@ -45,6 +45,8 @@ BITS = 1024
 SMALL_GROUP = 8
 #: Members of a large group that a task holds against as many others.
 GROUP_PART = 4096
+#: Parts in which the rows of one table key meet what is known of the key.
+SALTS = 32
 #: Representatives for each task that holds a table of the confirming rounds.
 ROUND_ROWS = 5_000
 
@@ -269,7 +271,9 @@ def in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buck
     rows = large.select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("root"))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main"))
     parts = F.ceil(F.col("size") / GROUP_PART).cast("int")
-    rows = rows.join(sizes.filter("roots > 1"), "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # a key that many share is dealt by key and salt
+    salted = sizes.filter("roots > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     others = F.array("part") if which == "central" else F.sequence(F.lit(0), F.col("parts") - 1)
     rows = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")).join(reps, "doc_id")
