@@ -22,10 +22,11 @@ LINK = {"from_node_id": "from_id", "to_node_id": "to_id", "r_link_id": "r_id", "
 
 @dataclass(frozen=True)
 class MapDataset:
-    """Layer tables of one version."""
+    """Layer tables of one version; absent names those known to be empty."""
 
     schema: Schema
     layers: dict[str, DataFrame]
+    absent: frozenset[str] = frozenset()
 
     def with_layer(self, name: str, df: DataFrame) -> MapDataset:
         return replace(self, layers=self.layers | {name: df})
@@ -92,7 +93,10 @@ def nonreciprocal(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame
 def orientation(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
     links, nodes = ds.links(), ds.nodes()
     judged = topology.orientation(links, nodes, topology.orientation_groups(links, nodes), config.node_match_tolerance_m)
-    return _update(ds, config, "link_orientation_reversed", topology.orient(links, judged))
+    oriented, found = topology.orient(links, judged)
+    if not config.reports("link_endpoint_misaligned"):
+        found = found.filter("code <> 'link-endpoint-misaligned'")
+    return _update(ds, config, "link_orientation_reversed", (oriented, found))
 
 
 def unused_nodes(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
@@ -112,7 +116,7 @@ def reciprocals(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
     parts = [_none(ds)]
     for name, column, inverse in ds.schema.reciprocal:
         rows, found = topology.fill_reciprocal(ds.layers[name], [(column, inverse)], name)
-        parts.append(found)
+        parts.append(found if config.reports("reciprocal_reference_conflict") else found.filter("code <> 'reciprocal-reference-conflict'"))
         if config.repairs("reciprocal_reference_missing"):
             ds = ds.with_layer(name, rows)
     return ds, union_all(parts)
@@ -132,29 +136,43 @@ STEPS: tuple[tuple[str, Step], ...] = (
 )
 
 
-def _settled(ds: MapDataset) -> MapDataset:
-    """Cut lineage between steps, since each rewrites keys that the next joins on."""
-    return replace(ds, layers={k: v.checkpoint() for k, v in ds.layers.items()})
+def _settled(ds: MapDataset, before: MapDataset | None = None) -> MapDataset:
+    """Cut the lineage of the layers that changed, since each step rewrites keys that the next joins on."""
+    same = {} if before is None else before.layers
+    return replace(ds, layers={k: v if v is same.get(k) or k in ds.absent else v.checkpoint() for k, v in ds.layers.items()})
 
 
 def repair(ds: MapDataset, config: Config | None = None, steps: Sequence[tuple[str, Step]] = STEPS) -> tuple[MapDataset, DataFrame]:
-    """Run the switched-on steps in order; each sees the previous one's result."""
+    """Run the switched-on steps in order; each sees the previous one's result. A step without an action changes nothing."""
     config = config or Config()
     ensure_checkpoint_dir(next(iter(ds.layers.values())).sparkSession)
     parts = [_none(ds)]
     for check, step in steps:
         if config.reports(check):
-            ds, found = step(ds, config)
-            parts.append(found.checkpoint())
-            ds = _settled(ds)
+            after, found = step(ds, config)
+            found = found.checkpoint()
+            parts.append(found)
+            if not found.filter("kind = 'action'").isEmpty():
+                ds = _settled(after, ds)
     return ds, union_all(parts)
 
 
+def remaining(ds: MapDataset, config: Config | None = None) -> DataFrame:
+    """References that are still unresolved after the repairs; asked for only where references are repaired."""
+    config = config or Config()
+    if not config.repairs("reference_unresolved"):
+        return _none(ds)
+    lost = integrity.unresolved(ds.layers, integrity.schema_edges(ds.schema))
+    return findings(lost, "warning", "reference-unresolved", F.col("layer"), F.col("id"), F.col("column"))
+
+
 def prepare(ds: MapDataset, config: Config | None = None) -> tuple[MapDataset, DataFrame]:
     """Merge each layer's rows by id, find ids shared by layers, repair texts and check fields."""
     config = config or Config()
-    parts, layers = [], {}
+    parts, layers = [_none(ds)], dict(ds.layers)
     for layer in ds.schema.layers:
+        if layer.name in ds.absent:
+            continue
         rows, merged = merge_layer(ds.layers[layer.name], layer.name, config=config)
         rows, texts = repair_text(rows, layer, config)
         parts += [merged, texts, check_fields(rows, layer, config, raw=False)]
@@ -164,13 +182,14 @@ def prepare(ds: MapDataset, config: Config | None = None) -> tuple[MapDataset, D
     return replace(ds, layers=layers), union_all(parts)
 
 
-def load_map(spark: SparkSession, root: str, coordinate: str, config: Config | None = None) -> tuple[MapDataset, DataFrame]:
+def load_map(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, keep_unknown: bool = False) -> tuple[MapDataset, DataFrame]:
     """Read, merge, check and repair one coordinate product of a delivery."""
     ensure_checkpoint_dir(spark)
-    schema, layers, read = load_layers(spark, root, coordinate, config)
-    ds, checked = prepare(MapDataset(schema, layers), config)
+    schema, layers, read = load_layers(spark, root, coordinate, config, keep_unknown=keep_unknown)
+    absent = frozenset(n for n, df in layers.items() if df.isEmpty())
+    ds, checked = prepare(MapDataset(schema, layers, absent), config)
     ds, repaired = repair(_settled(ds), config)
-    return ds, union_all([read, checked, repaired])
+    return ds, union_all([read.checkpoint(), checked.checkpoint(), repaired, remaining(ds, config).checkpoint()])
 
 
 def segmented(ds: MapDataset, config: Config | None = None) -> dict[str, DataFrame]:

@@ -24,9 +24,14 @@ def last_point(coords: Column) -> Column:
     return F.try_element_at(coords, F.lit(-1))
 
 
+def norm(dx: Column, dy: Column) -> Column:
+    """Planar length of a difference, by the root that every engine rounds alike."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def distance(a: Column, b: Column) -> Column:
     """Planar distance of two points."""
-    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    return norm(a["x"] - b["x"], a["y"] - b["y"])
 
 
 def _pairs(coords: Column) -> Column:
@@ -129,8 +134,8 @@ def tangent(coords: Column, side: str, lookback: float) -> Column:
     end = F.aggregate(_pairs(line), zero, step, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y")))
     sign = 1.0 if side == "from" else -1.0
     dx, dy = sign * (end["x"] - start["x"]), sign * (end["y"] - start["y"])
-    norm = F.hypot(dx, dy)
-    return F.when(norm > 0, F.struct((dx / norm).alias("x"), (dy / norm).alias("y")))
+    length = norm(dx, dy)
+    return F.when(length > 0, F.struct((dx / length).alias("x"), (dy / length).alias("y")))
 
 
 def segments(rows: DataFrame, keep: list[str], coords: str = "coords") -> DataFrame:

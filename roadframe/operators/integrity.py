@@ -28,13 +28,13 @@ def schema_edges(schema: Schema) -> list[Edge]:
 
 
 def _references(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str) -> DataFrame:
-    """layer, id, column, rank, required, value and target (one row per possible target, in declared order)."""
+    """layer, id, column, rank, required, value, target_rank and target: one row per filled reference and possible target, in declared order."""
     parts = []
-    for rank, e in enumerate(edges):
-        if e.layer in layers:
-            rows = layers[e.layer].filter(F.col(e.column).isNotNull() & (F.col(e.column).cast("string") != ""))
-            targets = F.posexplode(F.array(*(F.lit(t) for t in e.targets))).alias("target_rank", "target")
-            parts.append(rows.select(F.lit(e.layer).alias("layer"), F.col(key).cast("string").alias("id"), F.lit(e.column).alias("column"), F.lit(rank).alias("rank"), F.lit(e.required).alias("required"), F.col(e.column).cast("string").alias("value"), targets))
+    for name, df in layers.items():
+        own = [(rank, e) for rank, e in enumerate(edges) if e.layer == name]
+        if own:
+            cells = [F.struct(F.lit(e.column).alias("column"), F.lit(rank).alias("rank"), F.lit(e.required).alias("required"), F.col(e.column).cast("string").alias("value"), F.lit(i).alias("target_rank"), F.lit(t).alias("target")) for rank, e in own for i, t in enumerate(e.targets)]
+            parts.append(df.select(F.lit(name).alias("layer"), F.col(key).cast("string").alias("id"), F.inline(F.array(*cells))).filter("value IS NOT NULL AND value <> ''"))
     return union_all(parts)
 
 
@@ -90,10 +90,11 @@ def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataF
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     refs = _references(layers, edges, key)
-    required = refs.filter("required").select("layer", "id", "rank", "target", "value").checkpoint()
-    held = required.join(_ids(layers, key), ["target", "value"], "left_semi").checkpoint()
-    gone = seeds.select("layer", F.col("id").cast("string").alias("id")).distinct().withColumns({"depth": F.lit(0), "cause_layer": F.lit(None).cast("string"), "cause_id": F.lit(None).cast("string")}).checkpoint()
-    frontier = gone
+    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key), ["target", "value"], "left_semi").checkpoint()
+    none = F.lit(None).cast("string")
+    gone = frontier = seeds.select("layer", F.col("id").cast("string").alias("id")).distinct().withColumns({"depth": F.lit(0), "cause_layer": none, "cause_id": none}).checkpoint()
+    if gone.isEmpty():
+        return gone
     for depth in range(1, MAX_ROUNDS):
         hit = held.join(frontier.select(F.col("layer").alias("target"), F.col("id").alias("value")), ["target", "value"])
         # another target may still hold the same id
@@ -104,7 +105,8 @@ def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataF
         frontier = new.select("layer", "id", F.lit(depth).alias("depth"), F.col("c.target").alias("cause_layer"), F.col("c.value").alias("cause_id")).checkpoint()
         if frontier.isEmpty():
             return gone
-        gone = gone.unionByName(frontier).checkpoint()
+        # each round's rows are written once; gone is their union
+        gone = gone.unionByName(frontier)
     raise RuntimeError(f"cascade not settled after {MAX_ROUNDS} rounds")
 
 
@@ -118,22 +120,31 @@ def cleared(layers: Mapping[str, DataFrame], edges: Sequence[Edge], gone: DataFr
     return hit.join(alive, ["layer", "id", "column"], "left_anti").join(gone.select("layer", "id"), ["layer", "id"], "left_anti")
 
 
+def _without_references(layers: Mapping[str, DataFrame], lost: DataFrame, key: str) -> dict[str, DataFrame]:
+    """layers with the references (layer, id, column) of lost set to null; layers that lose none stay as they are."""
+    out = dict(layers)
+    hit = {r["layer"]: sorted(r["columns"]) for r in lost.groupBy("layer").agg(F.collect_set("column").alias("columns")).collect()}
+    for name, columns in hit.items():
+        df = out[name]
+        own = lost.filter(F.col("layer") == name).groupBy(F.col("id").alias("__id")).agg(F.collect_set("column").alias("__lost"))
+        joined = df.join(own, F.col(key).cast("string") == F.col("__id"), "left")
+        out[name] = joined.withColumns({c: F.when(F.coalesce(F.array_contains("__lost", c), F.lit(False)), None).otherwise(F.col(c)).cast(df.schema[c].dataType) for c in columns}).select(*df.columns)
+    return out
+
+
 def remove_cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataFrame, code: str, key: str = "id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """(layers without the gone rows and with optional references to them cleared, findings)."""
+    """(layers without the gone rows and with optional references to them cleared, findings). Layers without a change are the same objects."""
     gone = cascade(layers, edges, seeds, key)
-    clear = cleared(layers, edges, gone, key).checkpoint()
-    out = {}
-    for name, df in layers.items():
-        ids = gone.filter(F.col("layer") == name).select(F.col("id").alias("__gone"))
-        df = df.join(ids, F.col(key).cast("string") == F.col("__gone"), "left_anti")
-        for e in edges:
-            if e.layer == name and not e.required:
-                hit = clear.filter((F.col("layer") == name) & (F.col("column") == e.column)).select(F.col("id").alias("__id"), F.lit(True).alias("__clear"))
-                value = F.when(F.coalesce(F.col("__clear"), F.lit(False)), F.lit(None)).otherwise(F.col(e.column))
-                df = df.join(hit, F.col(key).cast("string") == F.col("__id"), "left").withColumn(e.column, value.cast(df.schema[e.column].dataType)).drop("__id", "__clear")
-        out[name] = df
     acted = F.when(F.col("depth") == 0, F.lit(code)).otherwise(F.lit("required-reference-dependent-removed"))
     removed = findings(gone, "action", acted, F.col("layer"), F.col("id"), F.concat_ws(" ", "cause_layer", "cause_id"))
+    names = {r["layer"] for r in gone.select("layer").distinct().collect()}
+    if not names:
+        return dict(layers), removed
+    clear = cleared(layers, edges, gone, key).checkpoint()
+    out = _without_references(layers, clear, key)
+    for name in names & set(out):
+        ids = gone.filter(F.col("layer") == name).select(F.col("id").alias("__gone"))
+        out[name] = out[name].join(ids, F.col(key).cast("string") == F.col("__gone"), "left_anti")
     nulled = findings(clear, "action", "optional-dependent-reference-cleared", F.col("layer"), F.col("id"), F.col("column"), before=F.create_map("column", "value"), after=F.create_map(F.col("column"), F.lit(None).cast("string")))
     return out, removed.unionByName(nulled)
 
@@ -143,13 +154,22 @@ def repair_unresolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], ke
     ensure_checkpoint_dir(next(iter(layers.values())).sparkSession)
     lost = unresolved(layers, edges, key).checkpoint()
     optional = lost.filter("NOT required")
-    out = dict(layers)
-    for e in edges:
-        if e.layer in out and not e.required:
-            df = out[e.layer]
-            hit = optional.filter((F.col("layer") == e.layer) & (F.col("column") == e.column)).select(F.col("id").alias("__id"), F.lit(True).alias("__clear"))
-            value = F.when(F.coalesce(F.col("__clear"), F.lit(False)), F.lit(None)).otherwise(F.col(e.column))
-            out[e.layer] = df.join(hit, F.col(key).cast("string") == F.col("__id"), "left").withColumn(e.column, value.cast(df.schema[e.column].dataType)).drop("__id", "__clear")
     nulled = findings(optional, "action", "reference-optional-unresolved-cleared", F.col("layer"), F.col("id"), F.col("column"), before=F.create_map("column", "value"))
+    out = _without_references(layers, optional, key)
     out, removed = remove_cascade(out, edges, lost.filter("required").select("layer", "id").distinct(), "reference-required-unresolved-removed", key)
     return out, nulled.unionByName(removed)
+
+
+def resolved_by_id(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str = "id") -> DataFrame:
+    """layer, id, column, value, target, how: the row that each filled reference means to a reader.
+
+    how is `declared` where exactly one declared target holds the id, else `global` where exactly one layer at all
+    does, else null with no target.
+    """
+    keys = ["layer", "id", "column", "value"]
+    refs = _references(layers, edges, key).select(*keys).distinct()
+    own = resolved(layers, edges, "one", key).select("layer", "id", "column", F.col("target_id").alias("value"), F.col("target").alias("own"))
+    every = _ids(layers, key).groupBy("value").agg(F.count("*").alias("n"), F.min("target").alias("only")).filter("n = 1").select("value", "only")
+    found = refs.join(own, keys, "left").join(every, "value", "left")
+    how = F.when(F.col("own").isNotNull(), "declared").when(F.col("only").isNotNull(), "global")
+    return found.select(*keys, F.coalesce("own", "only").alias("target"), how.alias("how"))

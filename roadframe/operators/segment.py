@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geometry import first_point, last_point, segments, tangent
+from ..functions.geometry import first_point, last_point, norm, segments, tangent
 from ..functions.text import stripped
 from ..schema import RoleFilter, Schema
 from .components import connected_components, ensure_checkpoint_dir, numbered, star_forest
@@ -229,7 +229,7 @@ def junction_references(connection: DataFrame, node_grp: DataFrame, nodes_of: Da
 def centroids(junction: DataFrame, nodes_of: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
     """junction, cx, cy: length-weighted middle of the links' segments; without length the mean of the end nodes."""
     s = segments(junction.join(links.select("id", "coords"), "id"), ["junction"])
-    w = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    w = norm(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     by_line = s.groupBy("junction").agg((F.sum((F.col("ax") + F.col("bx")) / 2 * w) / F.sum(w)).alias("lx"), (F.sum((F.col("ay") + F.col("by")) / 2 * w) / F.sum(w)).alias("ly"))
     by_node = nodes_of.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").groupBy("junction").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
     every = junction.select("junction").distinct()
@@ -243,7 +243,8 @@ def junction_edges(references: DataFrame, connection: DataFrame, node_grp: DataF
     with the line across; without two distinct ones it spans the nodes' projections.
     """
     r = references.join(centre, "junction")
-    out = (F.col("tangent.x") * (F.col("anchor.x") - F.col("cx")) + F.col("tangent.y") * (F.col("anchor.y") - F.col("cy"))) >= 0
+    # rounded far below any real distance: the centre is a sum whose last digits depend on its order
+    out = F.round(F.col("tangent.x") * (F.col("anchor.x") - F.col("cx")) + F.col("tangent.y") * (F.col("anchor.y") - F.col("cy")), 6) >= 0
     sign = F.when(out, 1.0).otherwise(-1.0)
     r = r.select("connection", "junction", "link", "anchor", (F.col("tangent.x") * sign).alias("fx"), (F.col("tangent.y") * sign).alias("fy"))
     at = connection.select("connection", "node_grp").join(node_grp.select("node_grp", "node"), "node_grp").select("connection", "node").distinct().join(nodes.select(F.col("id").alias("node"), "x", "y", "z"), "node")

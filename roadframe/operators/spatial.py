@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import segments
+from ..functions.geometry import norm, segments
 
 
 def distance_join(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
@@ -22,7 +22,7 @@ def distance_join(left: DataFrame, right: DataFrame, tolerance: float) -> DataFr
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = left.filter("NOT isnan(x) AND NOT isnan(y)").withColumnsRenamed({"x": "lx", "y": "ly"}).withColumn("d", F.explode(around)).withColumns({"cx": cell(F.col("lx")) + F.col("d.i"), "cy": cell(F.col("ly")) + F.col("d.j")}).drop("d")
     b = right.filter("NOT isnan(x) AND NOT isnan(y)").withColumnsRenamed({"x": "rx", "y": "ry"}).withColumns({"cx": cell(F.col("rx")), "cy": cell(F.col("ry"))})
-    away = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
+    away = norm(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
     return a.join(b, ["cx", "cy"]).withColumn("distance", away).filter(F.col("distance") <= tolerance).drop("cx", "cy", "lx", "ly", "rx", "ry")
 
 
@@ -86,6 +86,6 @@ def height_at(rows: DataFrame, points: DataFrame) -> DataFrame:
     s = segments(rows, ["id"]).join(points, "id")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = F.greatest(F.least(((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy), F.lit(1.0)), F.lit(0.0))
-    away = F.hypot(F.col("ax") + dx * t - F.col("x"), F.col("ay") + dy * t - F.col("y"))
+    away = norm(F.col("ax") + dx * t - F.col("x"), F.col("ay") + dy * t - F.col("y"))
     z = F.col("az") + (F.col("bz") - F.col("az")) * t
     return s.groupBy("key").agg(F.min_by(z, F.struct(away, F.col("seg"))).alias("z"))

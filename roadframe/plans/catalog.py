@@ -16,6 +16,7 @@ from ..operators import conform, edits, integrity, merge, segment, spatial, topo
 from ..operators.components import connected_components, ensure_checkpoint_dir
 from ..operators.integrity import Edge
 from ..schema import Layer, parse_fields
+from . import network_sql as N
 from .network import ctes, network
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def net(sql: str) -> str:
     return f"WITH RECURSIVE {ctes()}\n{sql}" if sql.lstrip().upper().startswith("SELECT") else f"WITH RECURSIVE {ctes()},\n{sql}"
 
 
+def _unit(c: str) -> str:
+    """Part of a direction, rounded, without a negative zero."""
+    return f"CASE WHEN abs({c}) < 5e-7 THEN 0.0e0 ELSE round({c}, 6) END"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -381,7 +387,7 @@ def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.votes(network(spark, sf_dir)["links"])
 
 
-@query()
+@query(net(f"{N.orientation('o_', 'net_link')} SELECT id, grp, swap, verdict, flip FROM o_judged"))
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = network(spark, sf_dir)
     return topology.orientation(n["links"], n["nodes"], topology.orientation_groups(n["links"], n["nodes"]))
@@ -482,7 +488,7 @@ def _segmented(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return segment.segment(n["links"], n["nodes"], n["markers"])
 
 
-@query()
+@query(net(f"{N.stages('s_', 'net_link', 'junctions')} SELECT junction, id, kind FROM s_junction"))
 def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _classes(spark, sf_dir)
     ensure_checkpoint_dir(spark)
@@ -491,27 +497,41 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.junctions(n["links"], groups, segment.node_groups(groups, link_ends), link_ends, lateral)
 
 
-@query()
+@query(net(f"{N.stages('s_', 'net_link', 'connections')} SELECT connection, junction, node_grp, grp, side, method FROM s_connection"))
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir)["connections"]
 
 
-@query()
+@query(net(f"{N.stages('s_', 'net_link', 'references')} SELECT connection, junction, id AS link, side, source, {_unit('tx')} AS tx, {_unit('ty')} AS ty, false AS reversed_from_source FROM s_reference"))
 def junction_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(spark, sf_dir)["references"].select("connection", "junction", "link", "side", "source", F.round("tangent.x", 6).alias("tx"), F.round("tangent.y", 6).alias("ty"), "reversed_from_source")
+    return _segmented(spark, sf_dir)["references"].select("connection", "junction", "link", "side", "source", F.expr(_unit("tangent.x")).alias("tx"), F.expr(_unit("tangent.y")).alias("ty"), "reversed_from_source")
+
 
+_SPAN = ", ".join(f"round({end}[{i}], 4) AS {name}_{c}" for end, name in (("lo", "start"), ("hi", "end")) for i, c in ((2, "x"), (3, "y"), (4, "z")))
 
-@query()
+
+@query(net(f"{N.stages('s_', 'net_link', 'edges')} SELECT connection, junction, link, node, {_unit('ux')} AS px, {_unit('uy')} AS py, {_SPAN}, n AS n_crossings FROM s_edge"))
 def junction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(spark, sf_dir)["edges"]
+    span = [F.round(f"{end}.{c}", 4).alias(f"{end}_{c}") for end in ("start", "end") for c in "xyz"]
+    return _segmented(spark, sf_dir)["edges"].select("connection", "junction", "link", "node", F.expr(_unit("px")).alias("px"), F.expr(_unit("py")).alias("py"), *span, "n_crossings")
+
+
+_MEMBERS = """member AS (SELECT 'uturns' AS stage, 'link' AS layer, link_id AS feature, dense_rank() OVER (ORDER BY link_id) - 1 AS entity FROM s_turned
+  UNION SELECT 'lateral_groups', 'link', id, grp FROM s_grp UNION SELECT 'node_groups', 'node', node, node_grp FROM s_ng
+  UNION SELECT 'junctions', 'link', id, junction FROM s_junction UNION SELECT 'junctions', 'node', node, junction FROM s_jn
+  UNION SELECT 'references', 'link', id, connection FROM s_reference UNION SELECT 'edges', 'link', link, connection FROM s_edge
+  UNION SELECT 'connections', 'link', g.id, c.connection FROM s_connection c JOIN s_grp g ON g.grp = c.grp
+  UNION SELECT 'connections', 'node', n.node, c.connection FROM s_connection c JOIN s_ng n ON n.node_grp = c.node_grp)"""
 
 
-@query()
+@query(net(f"{N.stages('s_', 'net_link', 'edges')},\n{_MEMBERS} SELECT layer, CAST(feature AS VARCHAR) AS feature_id, stage, string_agg(CAST(entity AS VARCHAR), ',' ORDER BY entity) AS entities FROM member GROUP BY layer, feature, stage"))
 def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.feature_report(segment.membership(_segmented(spark, sf_dir)))
+    report = segment.feature_report(segment.membership(_segmented(spark, sf_dir)))
+    return report.withColumn("entities", F.array_join(F.transform("entities", lambda e: e.cast("string")), ","))
 
 
-@query()
+@query(net(N.repaired("r_", "net_link") + ",\n" + N.stages("s_", "r_links", "connections") + """ SELECT kind, code, n FROM r_found
+UNION ALL SELECT 'stage', 'lateral_groups', count(DISTINCT grp) FROM s_grp UNION ALL SELECT 'stage', 'junctions', count(DISTINCT junction) FROM s_junction UNION ALL SELECT 'stage', 'connections', count(DISTINCT connection) FROM s_connection"""))
 def repair_then_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repair steps on the derived network, then its lateral groups and junctions: findings per code, entities per stage."""
     n = _classes(spark, sf_dir)

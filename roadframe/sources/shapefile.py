@@ -52,7 +52,26 @@ def detect_schema(files: DataFrame, schemas: Sequence[Schema] = SCHEMAS) -> Sche
     return next(s for s in schemas if s.version == found[0])
 
 
-def discover(files: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
+def _reported(found: DataFrame, config: Config, checks: dict[str, str]) -> DataFrame:
+    """Findings without those whose check is off; checks maps codes to checks."""
+    off = [code for code, check in checks.items() if not config.reports(check)]
+    return found.filter(~F.col("code").isin(off)) if off else found
+
+
+#: The check that governs each finding of the ingest.
+DISCOVERY = {"unknown-layer": "layer_unknown", "missing-shp-sidecar": "shp_sidecar_missing", "missing-required-layer": "layer_required_missing"}
+RECORDS = {
+    "dbf-column-case-duplicate": "dbf_column_case_duplicate",
+    "missing-manual-columns": "manual_column_missing",
+    "unknown-manual-column": "manual_column_unknown",
+    "missing-geometry": "geometry_missing",
+    "geometry-invalid": "geometry_invalid",
+    "text-utf8-dbf-row-mismatch": "text_utf8_dbf_row_mismatch",
+    "text-utf8-decode-replacement": "text_utf8_decode_replacement",
+}
+
+
+def discover(files: DataFrame, schema: Schema, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, stem, dir, section, layer, file_rank; findings): a directory's canonical files suppress its alias files.
 
     file_rank is the load order: layer, alias after canonical, path.
@@ -71,7 +90,7 @@ def discover(files: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
     sidecar = findings(wanted.join(present, ["dir", "stem", "s"], "left_anti"), "warning", "missing-shp-sidecar", F.col("layer"), F.lit(""), F.col("s"), source_path=F.col("path"))
     required = spark.createDataFrame([(x.name,) for x in schema.layers if x.required] or [("",)], "layer string").filter("layer <> ''")
     missing = findings(required.join(out.select("layer").distinct(), "layer", "left_anti"), "warning", "missing-required-layer", F.col("layer"), F.lit(""), "")
-    return out, union_all([unknown, sidecar, missing])
+    return out, _reported(union_all([unknown, sidecar, missing]), config or Config(), DISCOVERY)
 
 
 #: The kinds of the shapefile format's shape types.
@@ -151,11 +170,11 @@ def decode_cells(rows: list[list[bytes]], declared: str | None, ratio_max: float
     return cells("cp949", "replace"), [], "cp949"
 
 
-RAW = "layer string, section string, source_path string, source_row long, ord long, attributes map<string,string>, geom_kind string, parts array<array<struct<x:double,y:double,z:double>>>, issue string"
+RAW = "layer string, section string, source_path string, source_row long, ord long, attributes map<string,string>, geom_kind string, parts array<array<struct<x:double,y:double,z:double>>>, issues array<string>"
 
 
 def read_raw(spark: SparkSession, found: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row per record of the discovered files: raw attribute texts and geometry parts. issue names cells or files with decoding trouble."""
+    """One row per record of the discovered files: raw attribute texts and geometry parts. issues names each cell, or the file, with decoding trouble."""
     ratio = (config or Config()).utf8_invalid_ratio_max
     dirs = [r["dir"] for r in found.select("dir").distinct().collect()]
     if not dirs:
@@ -172,11 +191,11 @@ def read_raw(spark: SparkSession, found: DataFrame, config: Config | None = None
                 names, cells = parse_dbf(file.dbf) if file.dbf is not None else ([], [])
                 declared = file.cpg.decode("ascii", "replace") if file.cpg is not None else None
                 texts, bad, _ = decode_cells(cells, declared, ratio)
-                issues: dict[int, str] = {}
+                issues: dict[int, list[str]] = {}
                 if names and len(texts) != len(shapes):
-                    issues[0] = "text-utf8-dbf-row-mismatch"
+                    issues[0] = ["text-utf8-dbf-row-mismatch"]
                 for i, j in bad:
-                    issues[i] = f"text-utf8-decode-replacement {names[j]}"
+                    issues.setdefault(i, []).append(f"text-utf8-decode-replacement {names[j]}")
                 out = []
                 for i, (kind, parts) in enumerate(shapes):
                     values = dict(zip(names, texts[i], strict=True)) if i < len(texts) else {}
@@ -193,7 +212,7 @@ def read_raw(spark: SparkSession, found: DataFrame, config: Config | None = None
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["layer", "section", "source_path", "source_row", "ord", "attributes", "geom_kind", "parts", "issue"])
+    return pd.DataFrame(rows, columns=["layer", "section", "source_path", "source_row", "ord", "attributes", "geom_kind", "parts", "issues"])
 
 
 def stitch(parts: list[list[dict]], tolerance: float) -> list[dict] | None:
@@ -238,7 +257,7 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
     notes = [(p, code, c) for p, names in files for code, c in column_plan(names, layer)[1]]
     columns = findings(spark.createDataFrame(notes, "p string, code string, c string"), "warning", F.col("code"), layer.name, F.lit(""), F.col("c"), source_path=F.col("p")) if notes else None
     names = sorted({n for _, ns in files for n in ns})
-    flat = rows.select("ord", "section", "source_path", "source_row", "geom_kind", "parts", "issue", *(F.col("attributes").getItem(n).alias(n) for n in names))
+    flat = rows.select("ord", "section", "source_path", "source_row", "geom_kind", "parts", "issues", *(F.col("attributes").getItem(n).alias(n) for n in names))
     reason = accepts(F.col("geom_kind"), F.col("parts"), layer.kinds)
     judged = flat.withColumn("reason", reason)
     several = F.coalesce((F.col("geom_kind") == "line") & (F.size("parts") > 1), F.lit(False))
@@ -252,26 +271,36 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
     judged = judged.withColumn("coords", F.when(F.col("reason").isNull(), with_z(coords))).withColumn("reason", F.when(F.col("reason").isNull() & F.col("coords").isNull(), "parts do not join").otherwise(F.col("reason")))
     missing = F.col("reason") == "missing"
     bad = findings(judged.filter("reason IS NOT NULL"), "warning", F.when(missing, "missing-geometry").otherwise("geometry-invalid"), layer.name, F.lit(""), F.concat_ws(" ", F.col("reason"), F.lit("row"), F.col("source_row").cast("string")), source_path=F.col("source_path"))
-    trouble = findings(judged.filter("issue IS NOT NULL"), "warning", F.substring_index("issue", " ", 1), layer.name, F.lit(""), F.col("issue"), source_path=F.col("source_path"))
-    whole = judged.filter("reason IS NULL").drop("reason", "issue", "parts")
+    told = judged.select("source_path", F.explode("issues").alias("issue"))
+    trouble = findings(told, "warning", F.substring_index("issue", " ", 1), layer.name, F.lit(""), F.col("issue"), source_path=F.col("source_path"))
+    whole = judged.filter("reason IS NULL").drop("reason", "issues", "parts")
     good = typed(whole, layer, keep_unknown)
-    return good, union_all([x for x in (columns, bad, trouble, check_numbers(whole, layer, config)) if x is not None])
+    found = union_all([x for x in (columns, bad, trouble) if x is not None])
+    return good, _reported(found, config, RECORDS).unionByName(check_numbers(whole, layer, config))
 
 
-def load_layers(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, schemas: Sequence[Schema] = SCHEMAS) -> tuple[Schema, dict[str, DataFrame], DataFrame]:
+def empty_layer(spark: SparkSession, layer: Layer, keep_unknown: bool = False) -> DataFrame:
+    """A layer without rows, which the optimizer takes out of joins and unions."""
+    cells = [F.lit(None).cast(f.dataType).alias(f.name) for f in layer.struct()]
+    if keep_unknown:
+        cells.append(F.lit(None).cast("map<string,string>").alias("undocumented"))
+    return spark.range(1).filter(F.lit(False)).select(*cells)
+
+
+def load_layers(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, schemas: Sequence[Schema] = SCHEMAS, keep_unknown: bool = False) -> tuple[Schema, dict[str, DataFrame], DataFrame]:
     """(version, typed layers, findings) of one coordinate product below root; absent layers are empty tables."""
     files = coordinate_files(listing(spark, root), coordinate)
     schema = detect_schema(files, schemas)
-    found, notes = discover(files, schema)
+    found, notes = discover(files, schema, config)
     raw = read_raw(spark, found, config).checkpoint()
     parts, layers = [notes], {}
     present = {r["layer"] for r in found.select("layer").distinct().collect()}
     for layer in schema.layers:
         if layer.name in present:
-            layers[layer.name], more = layer_table(raw, layer, config)
+            layers[layer.name], more = layer_table(raw, layer, config, keep_unknown)
             parts.append(more)
         else:
-            layers[layer.name] = spark.createDataFrame([], layer.struct())
+            layers[layer.name] = empty_layer(spark, layer, keep_unknown)
     return schema, layers, union_all(parts)
 
 
