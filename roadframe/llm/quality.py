@@ -3,7 +3,8 @@
 measure() counts each whole text once. thresholds() turns the measures into mergeable quantile
 sketches: logarithmic histograms with a fixed relative error, whose bucket counts add up, so that
 partial aggregation merges them before any shuffle and a source, a language and the whole corpus
-share the same counts. verdicts() joins the fences back and filters.
+share the same counts. verdicts() joins the fences back and filters. A group without a document that passes
+the base rules has no fences and needs none.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and
 sources are groups of their own; repeated rows give one row each; other columns are ignored.
@@ -27,18 +28,19 @@ MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 #: Sketch resolution: neighbouring buckets differ by this factor, after adding SHIFT.
 GAMMA, SHIFT = 1.02, 1e-3
-#: A group's own sketch decides from this many documents on; below it the language's, then the corpus'.
-MIN_GROUP = 200
-#: Fences lie this many interquartile ranges outside the quartiles, and at least this slack.
+#: A group of so many documents weighs as much as its language, and a language as much as the corpus.
+PRIOR = 200
+#: Fences lie this many interquartile ranges outside the quartiles, and at least this slack, which is
+#: the width where most documents show nothing of a feature and the ranges are 0.
 SPREAD = 6.0
-FEATURES = {"mean_word": 4.0, "symbol_share": 0.05, "dup_share": 0.25, "repeat_share": 0.25}
+FEATURES = {"mean_word": 2.0, "symbol_share": 0.05, "dup_share": 0.4, "repeat_share": 0.25}
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _line_repeats(texts: A.Texts, sums: np.ndarray, words: A.Words) -> np.ndarray:
-    """Per document: lines holding a word that equal an earlier line."""
+def _line_repeats(texts: A.Texts, sums: np.ndarray, words: A.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: lines holding a word, and how many of them equal an earlier one."""
     breaks = np.flatnonzero(texts.buf == 0x0A)
     filled = np.flatnonzero(np.diff(texts.off))
     start = np.unique(np.concatenate([texts.off[:-1][filled], breaks + 1, texts.off[1:][filled]]))
@@ -51,7 +53,8 @@ def _line_repeats(texts: A.Texts, sums: np.ndarray, words: A.Words) -> np.ndarra
     keys = A.segment(sums, start, end) ^ A.mix(doc.astype(np.uint64))
     first = np.unique(keys, return_index=True)[1]
     distinct = np.bincount(doc[first], minlength=texts.n)
-    return np.bincount(doc, minlength=texts.n) - distinct
+    lines = np.bincount(doc, minlength=texts.n)
+    return lines, lines - distinct
 
 
 def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -70,19 +73,20 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         repeats = A.covered(at[twice], REPEAT_WINDOW, words.n)
         per_word = chars[words.end] - chars[words.start]
         symbols = A.per_doc(_SYMBOL[texts.buf], texts.off)
-        yield A.batch(schema, *(b.column(c) for c in ("doc_id", "lang", "source")), words.counts, A.per_doc(per_word, words.first), symbols, _line_repeats(texts, sums, words), A.per_doc(repeats, words.first))
+        lines, dup_lines = _line_repeats(texts, sums, words)
+        yield A.batch(schema, *(b.column(c) for c in ("doc_id", "lang", "source")), words.counts, A.per_doc(per_word, words.first), symbols, dup_lines, A.per_doc(repeats, words.first), lines)
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, lang, source and the five counts."""
+    """One row per document row: doc_id, lang, source, the five counts and n_lines, its lines with a word."""
     rows = text_rows(docs, "doc_id", "lang", "source", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((m, pa.int64()) for m in MEASURES)])
-    return rows.mapInArrow(lambda batches: _counted(batches, schema), "doc_id long, lang string, source string, " + ", ".join(f"{m} long" for m in MEASURES))
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((m, pa.int64()) for m in (*MEASURES, "n_lines"))])
+    return rows.mapInArrow(lambda batches: _counted(batches, schema), "doc_id long, lang string, source string, " + ", ".join(f"{m} long" for m in (*MEASURES, "n_lines")))
 
 
 def _features() -> dict[str, Column]:
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return {"mean_word": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / chars, "dup_share": F.col("n_dup_lines") / words, "repeat_share": F.col("n_repeat_words") / words}
+    return {"mean_word": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / chars, "dup_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / words}
 
 
 def _base_failed() -> Column:
@@ -96,7 +100,11 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, and lo_/hi_ for each feature: the fences that hold for each group."""
+    """lang, source, and lo_/hi_ for each feature: the fences that hold for each group.
+
+    A fence is the mean of the group's, its language's and the corpus' own, weighted by documents against PRIOR, so
+    that no verdict jumps when a group grows by one.
+    """
     levels = {"g": ["lang", "source"], "l": ["lang"], "c": []}
     fences = {}
     for level, keys in levels.items():
@@ -111,10 +119,12 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     # one row for the corpus and one per language: aggregates without further growth
     found = g.join(lang, g["lang"].eqNullSafe(lang["l_lang"]), "left").crossJoin(F.broadcast(corpus))
 
-    def chosen(f: str) -> Column:
-        return F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{f}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{f}")).otherwise(F.col(f"c_{f}"))
+    def blended(f: str, side: str) -> Column:
+        weight = {level: F.col(f"{level}_n") / (F.col(f"{level}_n") + PRIOR) for level in "gl"}
+        wide = weight["l"] * F.col(f"l_{f}")[side] + (1 - weight["l"]) * F.col(f"c_{f}")[side]
+        return weight["g"] * F.col(f"g_{f}")[side] + (1 - weight["g"]) * wide
 
-    return found.select("lang", "source", *(chosen(f)[side].alias(f"{side}_{f}") for f in FEATURES for side in ("lo", "hi")))
+    return found.select("lang", "source", *(blended(f, side).alias(f"{side}_{f}") for f in FEATURES for side in ("lo", "hi")))
 
 
 def verdicts(measured: DataFrame, fences: DataFrame) -> DataFrame:

@@ -195,6 +195,74 @@ def test_quality_keeps_ordinary_and_drops_odd(spark):
     assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(3))
 
 
+def test_quality_verdicts_equal_plain_sketches(spark):
+    """Verdicts from sketches counted in plain Python, for groups small and large, nulls and repeated rows."""
+    rng = random.Random(12)
+
+    def text(kind):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9 + 9 * (kind == 3)))) for _ in range(rng.randint(20, 90))]
+        if kind == 1:
+            words = [w + rng.choice(["#", "$$", ""]) for w in words]
+        lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+        if kind == 2:
+            lines = [x for i in range(0, len(lines)) for x in (lines[i], "so it says")]
+        return "\n".join(lines)
+
+    data = [(i, text(rng.choice([0] * 12 + [1, 2, 3])), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None])) for i in range(700)]
+    data += data[:40] + [(1000, text(2), "xx", "once"), (1001, None, "yy", "none")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = sorted((r["doc_id"], r["kept"]) for r in quality.quality_rules(df).collect())
+
+    counted = []
+    for i, t, lang, source in data:
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        runs = {}
+        for j in range(len(w) - 7):
+            runs.setdefault(tuple(w[j : j + 8]), []).append(j)
+        repeat = len({k for at in runs.values() if len(at) > 1 for j in at for k in range(j, j + 8)})
+        chars = sum(map(len, w))
+        value = {"mean_word": chars / max(len(w), 1), "symbol_share": len(re.findall(r"[#*$%&|<>]", t or "")) / max(chars, 1), "dup_share": (len(lines) - len(set(lines))) / max(len(lines), 1), "repeat_share": repeat / max(len(w), 1)}
+        counted.append((i, lang, source, len(w) < 20 or 100 * repeat > 30 * len(w), value))
+
+    def fence(rows, f):
+        sketch = {}
+        for r in rows:
+            b = int(np.floor(np.log(r[4][f] + quality.SHIFT) / np.log(quality.GAMMA)))
+            sketch[b] = sketch.get(b, 0) + 1
+        quart, upto = [], 0
+        for q in (0.25, 0.75):
+            upto = 0
+            for b in sorted(sketch):
+                upto += sketch[b]
+                if upto >= q * len(rows):
+                    quart.append(max(quality.GAMMA ** (b + 0.5) - quality.SHIFT, 0.0))
+                    break
+        wide = max(quality.SPREAD * (quart[1] - quart[0]), quality.FEATURES[f])
+        return np.array([quart[0] - wide, quart[1] + wide])
+
+    good, want, judged = [r for r in counted if not r[3]], [], {}
+    for i, lang, source, failed, value in counted:
+        kept = not failed
+        for f in quality.FEATURES if kept else ():
+            if (lang, source, f) not in judged:
+                own, wide = [r for r in good if r[1:3] == (lang, source)], [r for r in good if r[1] == lang]
+                g, x = len(own) / (len(own) + quality.PRIOR), len(wide) / (len(wide) + quality.PRIOR)
+                judged[lang, source, f] = g * fence(own, f) + (1 - g) * (x * fence(wide, f) + (1 - x) * fence(good, f))
+            low, high = judged[lang, source, f]
+            kept &= bool(low <= value[f] <= high)
+        want.append((i, kept))
+    assert got == sorted(want) and 20 < sum(not k for _, k in want) < 400
+
+
+def test_quality_drops_mainly_repeated_short_lines(spark):
+    rng = random.Random(2)
+    plain = [(i, "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(20)), "en", "s") for i in range(60)]
+    fixed = ["just six short words in here", "and six other words over there", "the last six words of it"]
+    menu = "\n".join(x for _ in range(4) for x in [*rng.sample(fixed, 3), *(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2)) for _ in range(2))])
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_rules(spark.createDataFrame([*plain, (100, menu, "en", "s")], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] == (False, True) for i in range(60)) and not got[100][1]
+
+
 def test_language(spark, empty):
     rng = random.Random(5)
     kinds = {"aa": ["th", "he", "in", "er"], "bb": ["ö", "ch", "sch", "ung"]}
