@@ -13,6 +13,7 @@ offsets are code points, ends exclusive; extra columns are ignored; an empty tab
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +71,10 @@ def base_matches(text: Column) -> dict[str, Column]:
 
 def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(token, random): tokens of a bounded sample of documents, labelled by the fixed patterns."""
-    rows = text_rows(docs, "text").filter("text IS NOT NULL")
+    rows = text_rows(docs, "doc_id", "text").filter("text IS NOT NULL")
     n = rows.count()
-    part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
+    # by id and text, so that copies of one text enter one by one
+    part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
     text = F.col("text")
     found = base_matches(text)
     secret = F.transform(F.concat(*(found[k] for k in KINDS[:3])), lambda m: m["value"])
@@ -116,20 +118,36 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(codes, zero, step, lambda acc: acc["sum"])
 
 
-def spans(docs: DataFrame, model: list[float], *keep: str) -> DataFrame:
-    """The kept columns with base (spans of the fixed patterns) and spans (these and the random tokens), each by start, then kind."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("__text"))
-    text = F.col("__text")
-    found = base_matches(text)
-    found["random"] = F.when(text.rlike(TOKEN), F.filter(located(text, TOKEN), lambda m: ratio(m["value"], model) >= LEAST_RATIO)).otherwise(_none())
+def _spliced(text: Column, found: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """text with put(span, start) in place of each of the spans found, which ascend by start and may overlap."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        # what an earlier span has covered is not put again
+        start = F.greatest(s["start"], acc["at"])
+        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
+        return F.struct(F.when(s["end"] > acc["at"], F.concat(acc["out"], gap, put(s, start))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    whole = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
+
 
-    def marked(kind: str) -> Column:
-        return F.transform(found[kind], lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+def found_spans(docs: DataFrame, model: list[float]) -> DataFrame:
+    """row (all columns of docs as a struct, so that no name can clash), base (spans of the fixed patterns) and spans (these and the random tokens), each by start, then kind.
 
-    rows = rows.withColumns({"base": F.array_sort(F.concat(*(marked(k) for k in KINDS[:3]))), "__random": marked("random")})
-    free = F.filter("__random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", free))).drop("__random", "__text")
+    Tokens are looked for in what the fixed patterns leave of a text, so the rest of a token that they cut is scored too.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
+    found = base_matches(F.col("text"))
+
+    def marked(kind: str, matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    rows = rows.withColumn("base", F.array_sort(F.concat(*(marked(k, found[k]) for k in KINDS[:3]))))
+    rows = rows.withColumn("open", _spliced(F.col("text"), F.col("base"), lambda s, start: F.repeat(F.lit(" "), s["end"] - start)))
+    left = F.col("open")
+    random = F.when(left.rlike(TOKEN), F.filter(located(left, TOKEN), lambda m: ratio(m["value"], model) >= LEAST_RATIO)).otherwise(_none())
+    return rows.select("row", "base", F.array_sort(F.concat("base", marked("random", random))).alias("spans"))
 
 
 def joined(found: Column) -> Column:
@@ -138,21 +156,21 @@ def joined(found: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of every row, with models trained from the same documents."""
-    return spans(text_rows(docs, "doc_id", "text"), train(labelled_tokens(docs)), "doc_id")
+    rows = text_rows(docs, "doc_id", "text")
+    return found_spans(rows, train(labelled_tokens(rows))).select("row.doc_id", "base", "spans")
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by MASK; all other columns and rows stay."""
-    names = docs.columns
-    found = spans(docs, train(labelled_tokens(docs)), *names)
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in names))
+    """docs with every span in text replaced by MASK, overlapping ones by one; all other columns and rows stay, null texts too."""
+    found = found_spans(docs, train(labelled_tokens(docs)))
+    text = F.col("row").getField("text")
+    merged = F.aggregate(
+        "spans",
+        F.expr("CAST(array() AS array<struct<start:int,end:int>>)"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+    )
+    clean = _spliced(text, merged, lambda s, start: F.lit(MASK))
+    return found.select(*((clean if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -404,6 +404,53 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_spans_equal_a_plain_scan(spark):
+    """All spans, random ones too, against Python with the same model: cut tokens, overlaps, repeated rows, a long text, clashing columns."""
+    rng = random.Random(14)
+    letters = secrets.ALPHABET
+
+    def noise(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    prose = [" ".join("".join(rng.choice(["ing", "tion", "er", "the", "un"]) for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(40)]
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(8)]
+    texts = prose + [f"id={hexes[0]}/{noise(40)} tail", f"secret={hexes[1]}{noise(3)} {noise(25)}", f"token='{hexes[2]}' AKIA{'7Q' * 12}{hexes[3]}"]
+    texts += [f"key {noise(44)} and password: {noise(18)} é {hexes[4]}" for _ in range(20)]
+    texts += [None, "", "x", (prose[0] + f" api_key={noise(30)} ") * 300, texts[40], texts[40]]
+    clash = spark.createDataFrame([(i, t, "b", "s", "o", "r", [i], None) for i, t in enumerate(texts)], "doc_id long, text string, base string, spans string, open string, row string, `__text` array<int>, `a.b` string")
+    model = secrets.train(secrets.labelled_tokens(clash))
+    size = len(letters)
+
+    def ratio(token):
+        at = [letters.find(c) for c in token]
+        return sum(model[a * size + b] for a, b in zip(at, at[1:]))
+
+    rules = [("assign", re.compile(secrets.ASSIGN), lambda m: len(m[2]) >= 6), ("access", re.compile(secrets.ACCESS), lambda m: len(m[0]) >= 20), ("hex", re.compile(secrets.HEX), lambda m: len(m[0]) >= 24)]
+    found = {r["doc_id"]: r for r in secrets.scan(clash).collect()}
+    masked = {r["doc_id"]: r for r in secrets.masked(clash).collect()}
+    n_random = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = sorted((m.start(), k, m.end(), name) for k, (name, rule, ok) in enumerate(rules) for m in rule.finditer(t) if ok(m))
+        blank = list(t)
+        for a, _, b, _ in base:
+            blank[a:b] = " " * (b - a)
+        tokens = [m for m in re.finditer(secrets.TOKEN, "".join(blank))]
+        assert all(abs(ratio(m[0]) - secrets.LEAST_RATIO) > 1e-3 for m in tokens)
+        more = [(m.start(), 3, m.end(), "random") for m in tokens if ratio(m[0]) >= secrets.LEAST_RATIO]
+        n_random += len(more)
+        assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in found[i]["spans"]] == sorted(base + more)
+        want, at = "", 0
+        for a, _, b, _ in sorted(base + more):
+            if b > at:
+                want += t[at : max(a, at)] + secrets.MASK * (a >= at)
+                at = b
+        assert (masked[i]["text"] or "") == want + t[at:] and (masked[i]["text"] is None) == (texts[i] is None)
+        assert (masked[i]["base"], masked[i]["spans"], masked[i]["__text"], masked[i]["a.b"]) == ("b", "s", [i], None)
+    assert n_random > 10 and secrets.masked(clash).columns == clash.columns
+    assert [s["kind"] for s in found[40]["spans"]] == ["hex", "random"]
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|>", "<\\|im_start|>\\", "a<\\\\|b", "", None, "x\ny", "<|"]
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(nasty)] + [(2, 0, "sys\nte%m", "one"), (3, 5, "assistant", "b"), (3, 5, "assistant", "a"), (4, None, None, None)]
