@@ -10,7 +10,8 @@ pattern bounds every jump.
 Defined results: null or empty texts have no words; items without words are never found; repeated
 items count once per item_id; repeated document rows give one row each; extra columns are ignored.
 The pattern table travels to the tasks in blocks of at most BLOCK_BYTES of item text; a larger
-benchmark is searched block by block and the findings are merged per document row.
+benchmark is searched block by block and the findings are merged per document row. Each block reads the
+documents once more and each task builds its tables anew, which suits benchmarks of up to about 1 GB.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WINDOW = 10
 #: Largest item text that one search block holds.
 BLOCK_BYTES = 16_000_000
 LANE = 1024
+#: Bytes of a pattern that the shift table looks at, at most.
+HEAD_MOST = 128
 _CLASSES = ((48, 10), (20, 8), (8, 4), (3, 2), (1, 1))
 
 
@@ -65,19 +68,18 @@ class Patterns:
     BITS = 18
 
     def __init__(self, patterns: list[tuple[bytes, int]], block: int):
-        """patterns: (bytes, pattern id)."""
+        """patterns: (bytes, pattern id). They lie one after another, each filled up to whole 64-bit words."""
         self.ids = np.array([i for _, i in patterns], dtype=np.int64)
         self.length = np.array([len(p) for p, _ in patterns], dtype=np.int64)
-        self.block, self.head = block, int(self.length.min())
-        width = -(-int(self.length.max()) // 8) * 8
-        raw = np.zeros((len(patterns), width + 8), dtype=np.uint8)
-        for i, (p, _) in enumerate(patterns):
-            raw[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
-        self.words = raw[:, :width].copy().view("<u8")
+        self.block, self.head = block, min(int(self.length.min()), HEAD_MOST)
+        self.first = np.concatenate([[0], np.cumsum((self.length + 7) // 8)])
+        raw = np.zeros(8 * int(self.first[-1]) + 8, dtype=np.uint8)
+        raw[A.covered_runs(8 * self.first[:-1], self.length)] = np.frombuffer(b"".join(p for p, _ in patterns), dtype=np.uint8)
+        self.words = raw.view("<u8")
         slots = 1 << self.BITS
         self.shift = np.full(slots, self.head - block + 1, dtype=np.int32)
         for at in range(self.head - block + 1):
-            h = self.hashes(raw.reshape(-1), np.arange(len(patterns), dtype=np.int64) * raw.shape[1] + at + block - 1)
+            h = self.hashes(raw, 8 * self.first[:-1] + at + block - 1)
             np.minimum.at(self.shift, h, self.head - block - at)
         order = np.argsort(h, kind="stable")
         self.bucket, self.by_slot = order, np.searchsorted(h[order], np.arange(slots + 1))
@@ -101,7 +103,8 @@ class Patterns:
     def scan(self, buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, pattern numbers): exact occurrences that start and end at separators."""
         n = len(buf)
-        padded = np.concatenate([buf, np.zeros(8 + 8 * self.words.shape[1], dtype=np.uint8)])
+        # no pattern holds a zero byte, so none goes on beyond the text
+        padded = np.concatenate([buf, np.zeros(16, dtype=np.uint8)])
         view = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
         pos = np.arange(self.head, max(n - 1, self.head), LANE, dtype=np.int64)
         stop = np.minimum(pos + LANE, n - 1)
@@ -117,17 +120,20 @@ class Patterns:
                 count = self.by_slot[s + 1] - self.by_slot[s]
                 start = np.repeat(at, count)
                 number = self.bucket[A.covered_runs(self.by_slot[s], count)]
-                for w in range(self.words.shape[1]):
-                    if not len(start):
-                        break
+                w = 0
+                while len(start):
                     left = np.clip(self.length[number] - 8 * w, 0, 8)
                     mask = np.where(left == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left * 8).astype(np.uint64) % np.uint64(64)) - np.uint64(1))
-                    same = (view[start + 8 * w] & mask) == self.words[number, w]
+                    same = (view[start + 8 * w] & mask) == self.words[self.first[number] + w]
+                    w += 1
                     start, number = start[same], number[same]
-                after = padded[start + self.length[number]]
-                closed = (after == 0x20) | (after == 0x0A)
-                if closed.any():
-                    yield start[closed], number[closed]
+                    whole = self.length[number] <= 8 * w
+                    if whole.any():
+                        done, which = start[whole], number[whole]
+                        after = padded[done + self.length[which]]
+                        closed = (after == 0x20) | (after == 0x0A)
+                        yield done[closed], which[closed]
+                    start, number = start[~whole], number[~whole]
             pos = pos + np.maximum(step, 1)
             going = pos < stop
             pos, stop = pos[going], stop[going]

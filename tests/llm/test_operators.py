@@ -164,6 +164,18 @@ def test_decontamination(spark, rows, docs, empty, block_bytes):
     assert {r["n_hit"] for r in decontaminate.find_items(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_with_very_long_words(spark):
+    """An item word of 300,000 characters beside ordinary items; near misses of it at its end and beyond a text's end."""
+    rng = random.Random(4)
+    giant = "".join(rng.choice("abcdef") for _ in range(300_000))
+    plain = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(300)]
+    items = [(f"i{n}", t) for n, t in enumerate(plain)] + [("big", f"see {giant} here"), ("alone", giant[:200_000]), ("tiny", "zq")]
+    texts = [f"we see {giant} here now", f"we see {giant}x here", f"see {giant}", giant[:200_000], giant[:199_999], "ZQ zqq zq", plain[7] + " " + plain[8], "", None]
+    found = decontaminate.find_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in found.collect()}
+    assert got == {0: (5, 3, ["big"]), 1: (4, 0, []), 2: (2, 0, []), 3: (1, 1, ["alone"]), 4: (1, 0, []), 5: (3, 2, ["tiny"]), 6: (80, 80, ["i7", "i8"]), 7: (0, 0, []), 8: (0, 0, [])}
+
+
 def test_quality_measures(rows, docs, empty):
     want = {}
     for i, t in rows:
