@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,7 @@ def connected_components(items: DataFrame, pairs: DataFrame, item: str, order: s
     return rows.select("node", "root").join(numbered(first, "ord", "component"), "root").select(F.col("node").alias(item), "component")
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
     """rows with a gapless number from 0 in the given order, without one task that holds all rows.
 
     Range-partitions by the order, numbers inside each partition, and adds the sizes of the
@@ -127,9 +127,10 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     """
     ensure_checkpoint_dir(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [order] if isinstance(order, str) else list(order)
     # the partition of each row must not change between its two uses
-    parted = rows.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()).checkpoint()
+    parted = rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).checkpoint()
     sizes = parted.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("skip", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "skip")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*by))
     return parted.join(F.broadcast(before), "part").withColumn(name, F.col("skip") + inside - 1).drop("part", "skip")
