@@ -9,8 +9,9 @@ text equals an earlier one are settled before.
 Probing compares 32 bits inside a bucket, a filter whose chance hits the second comparison removes.
 Fingerprints and hits travel packed (see exchange); texts are shuffled once, by key.
 
-Defined results: null and empty texts have no words; rows that share a doc_id count as documents of
-their own (see spans.keyed); extra columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have no words; rows that share a doc_id are one document, whose rows take
+nothing from each other; rows without an id are together a document before all others; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def _anchor_entries(batches: Iterator[pa.RecordBatch], block: int, n_buckets: in
         yield from S.anchor_rows(runs, key[words.doc[at]], place, place % block == 0, n_buckets)
 
 
-def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int, n_buckets: int, shift: int) -> Iterator[pa.RecordBatch]:
     for b in A.chunks(batches):
         _, words, h = _words(b)
         place, row = S.places(b.column("hits"))
@@ -67,14 +68,14 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, block: int,
         value, start, owner = value[order], start[order].astype("<u4"), key[row][order]
         new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
         least = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(value) else owner
-        late = owner > least
+        late = owner >> shift > least >> shift
         yield from S.sent(1, X.bucket_of(value[~late], n_buckets), value[~late], owner[~late], start[~late])
-        none = np.zeros(0, dtype="<u8")
-        yield from S.sent(2, (owner[late] % n_buckets).astype(np.int32), none, owner[late], start[late])
+        mine, runs = S.in_runs(owner[late], start[late])
+        yield from S.sent(2, (mine % n_buckets).astype(np.int32), np.zeros(0, dtype="<u8"), mine, runs)
 
 
-def _repeats(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows that also start in a document with a smaller key."""
+def _repeats(rows: pa.Table, n_buckets: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Windows that also start in a document before their own."""
     kind = np.asarray(rows.column("kind"))
     open_rows, done = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
     value, key, at = X.unpack(open_rows.column("h"), "<u8"), X.unpack(open_rows.column("key"), "<i8"), X.unpack(open_rows.column("at"), "<u4")
@@ -82,8 +83,8 @@ def _repeats(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     value, key, at = value[order], key[order], at[order]
     new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
     least = key[np.flatnonzero(new)][np.cumsum(new) - 1] if len(value) else key
-    late = key > least
-    yield from S.hit_rows(np.concatenate([key[late], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[late], X.unpack(done.column("at"), "<u4")]), n_buckets)
+    late = key >> shift > least >> shift
+    yield from S.hit_rows(*S.with_done(done, key[late], at[late]), n_buckets)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, A.Texts, A.Words, np.ndarray]]:
@@ -91,7 +92,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[p
     for b in A.chunks(batches):
         texts = A.Texts.of(b.column("text"))
         words = A.Words(texts, A.NOT_SPACE)
-        place, row = S.places(b.column("hits"))
+        place, row = S.places(b.column("hits"), S.RUN)
         gone = A.covered(words.first[row] + place, window, words.n)
         copy = np.asarray(b.column("copy")) & (words.counts >= window)
         gone |= copy[words.doc]
@@ -123,9 +124,9 @@ def _results(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> It
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text (or its SHA-256) of every row of docs."""
     block = (window + 1) // 2
-    rows, ids = S.keyed(docs)
-    n_buckets = X.bucket_count(S.entries(rows) // 6, 1)
-    copies = S.copies(rows)
+    rows, ids, shift = S.keyed(docs)
+    n_buckets = X.bucket_count(S.entries(rows) // 6, shuffle_partitions(docs.sparkSession))
+    copies = S.copies(rows, shift)
     texts = S.by_key(rows)
     known = copies.withColumn("copy", F.lit(True))
     # a left join leaves the shuffle of texts as it is; an anti join would be pushed below it
@@ -133,7 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     probed = fresh.mapInArrow(lambda batches: _anchor_entries(batches, block, n_buckets), S.EXCHANGE_DDL)
     anchors = S.gathered(X.per_bucket(probed, partial(S.anchors, n_buckets=n_buckets), S.HITS_DDL))
     around = texts.join(anchors, "key").select("key", "text", "hits")
-    compared = around.mapInArrow(lambda batches: _window_entries(batches, window, block, n_buckets), S.EXCHANGE_DDL)
-    repeats = S.gathered(X.per_bucket(compared, partial(_repeats, n_buckets=n_buckets), S.HITS_DDL))
+    compared = around.mapInArrow(lambda batches: _window_entries(batches, window, block, n_buckets, shift), S.EXCHANGE_DDL)
+    repeats = S.gathered(X.per_bucket(compared, partial(_repeats, n_buckets=n_buckets, shift=shift), S.HITS_DDL), S.RUN)
     marked = texts.join(repeats, "key", "left").join(known, "key", "left").select("key", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
     return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)

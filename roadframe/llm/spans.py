@@ -18,23 +18,30 @@ EXCHANGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.bin
 EXCHANGE_DDL = "bucket int, kind int, h binary, key binary, at binary"
 HITS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.binary())])
 HITS_DDL = "bucket int, key binary, at binary"
+#: Consecutive places of one document.
+RUN = np.dtype([("at", "<u4"), ("n", "<u4")])
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(key and text of every row; doc_id of every key, or None where the key is the doc_id).
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(key and text of every row; doc_id of every key, or None where the key is the doc_id; bits of a key below its document).
 
-    Keys are distinct numbers in the order of documents. Where ids are not unique, null ids come first,
-    rows that share an id follow each other, and equal rows share a key.
+    Keys ascend with doc_id. Where ids are not unique, null ids come first and are one document, rows that share an
+    id have keys that agree above the given number of bits, and equal rows share a key.
     """
     rows = text_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     if (counted["most"] or 0) <= 1 and not counted["nulls"]:
-        return rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text"), None
+        return rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text"), None, 0
     rows = rows.withColumn("own", F.xxhash64("text"))
-    ids = cut(numbered(rows.select("doc_id", "own").distinct(), "doc_id", "key"))
+    # numbers of one id follow each other
+    counted_rows = cut(numbered(rows.select("doc_id", "own").distinct(), "doc_id", "number"))
+    first = counted_rows.groupBy(F.col("doc_id").alias("id1")).agg(F.min("number").alias("first"))
+    shift = int(counted["most"]).bit_length()
+    key = F.shiftleft(F.col("first"), shift) + F.col("number") - F.col("first")
+    ids = cut(counted_rows.join(first, counted_rows["doc_id"].eqNullSafe(first["id1"])).select("doc_id", "own", key.alias("key")))
     other = ids.select(F.col("doc_id").alias("id2"), F.col("own").alias("own2"), "key")
     joined = rows.join(other, rows["doc_id"].eqNullSafe(other["id2"]) & (rows["own"] == other["own2"]))
-    return joined.select(F.coalesce("key", F.lit(0)).alias("key"), "text"), ids.select("key", "doc_id")
+    return joined.select(F.coalesce("key", F.lit(0)).alias("key"), "text"), ids.select("key", "doc_id"), shift
 
 
 def with_ids(results: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -49,11 +56,11 @@ def by_key(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key")
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """key of every document whose whole text equals that of a document before it."""
-    digest = cut(rows.select("key", F.unhex(F.md5("text")).alias("digest")))
+def copies(rows: DataFrame, shift: int = 0) -> DataFrame:
+    """key of every text that equals one of a document before its own, or with shift 0 one of a key before it."""
+    digest = cut(rows.select("key", F.unhex(F.sha2("text", 256)).alias("digest")).distinct())
     first = cut(digest.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("digest", "first"))
-    return cut(digest.join(first, "digest").filter("key > first").select("key").distinct())
+    return cut(digest.join(first, "digest").filter(F.shiftright("key", shift) > F.shiftright("first", shift)).select("key").distinct())
 
 
 def entries(rows: DataFrame) -> int:
@@ -101,8 +108,26 @@ def anchors(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
     yield from hit_rows(np.concatenate([key[hit], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[hit], X.unpack(done.column("at"), "<u4")]), n_buckets)
 
 
+def in_runs(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each run, RUN): places of a document that follow each other travel as one."""
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order].astype(np.int64)
+    if not len(key):
+        return key, np.zeros(0, dtype=RUN)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)]))
+    out = np.zeros(len(first), dtype=RUN)
+    out["at"], out["n"] = at[first], np.diff(np.append(first, len(at)))
+    return key[first], out
+
+
+def with_done(done: pa.Table, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the places found, together with the runs that were settled before."""
+    key, runs = in_runs(key, at)
+    return np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([runs, X.unpack(done.column("at"), RUN)])
+
+
 def hit_rows(key: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Hits packed by their documents' buckets, for gathered()."""
+    """Hits (places, runs or records) packed by their documents' buckets, for gathered()."""
     if len(key):
         used, cells = X.pack((A.mix(key.view("<u8")) % np.uint64(n_buckets)).astype(np.int32), key, at)
         yield A.batch(HITS, used, *cells)
@@ -132,4 +157,7 @@ def places(column: pa.Array, dtype: str | np.dtype = "<u4") -> tuple[np.ndarray,
         column = column.fill_null(b"")
     found = X.unpack(column, dtype)
     rows = np.repeat(np.arange(len(column)), X.lengths(column, found.dtype.itemsize))
+    if found.dtype == RUN:
+        n = found["n"].astype(np.int64)
+        return A.covered_runs(found["at"], n), np.repeat(rows, n)
     return found.astype(np.int64) if found.dtype.names is None else found, rows

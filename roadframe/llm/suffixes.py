@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import exchange as X
 from . import spans as S
+from .session import shuffle_partitions
 
 WINDOW, HEAD = 100, 40
 CHUNK = 1 << 19
@@ -186,7 +187,8 @@ def _window_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n
         order, first = _first_of(value, key, place)
         late = np.zeros(len(order), dtype=bool)
         late[order] = first != np.arange(len(order))
-        used, cells = X.pack((key[late] % n_buckets).astype(np.int32), key[late], place[late])
+        mine, runs = S.in_runs(key[late], place[late])
+        used, cells = X.pack((mine % n_buckets).astype(np.int32), mine, runs)
         none = pa.array([b""] * len(used), type=pa.binary())
         yield A.batch(STRETCH, used, np.full(len(used), 2, dtype=np.int32), *cells, none, none)
         at = at[~late]
@@ -223,7 +225,7 @@ def _windows(rows: pa.Table, window: int, n_buckets: int) -> Iterator[pa.RecordB
     key, at = np.repeat(key, n), A.covered_runs(at.astype(np.int64), n).astype("<u4")
     order, first = _first_of(np.concatenate(values), key, at)
     late = order[first != np.arange(len(order))]
-    yield from S.hit_rows(np.concatenate([key[late], X.unpack(done.column("key"), "<i8")]), np.concatenate([at[late], X.unpack(done.column("at"), "<u4")]), n_buckets)
+    yield from S.hit_rows(*S.with_done(done, key[late], at[late]), n_buckets)
 
 
 OUT = "key long, n_bytes long, n_removed long, n_spans long, kept_text string"
@@ -236,7 +238,7 @@ def _results(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> It
         texts = A.Texts.of(b.column("text"))
         n, size = len(texts.buf), np.diff(texts.off)
         start = _known_repeats(b, texts.off, n, window)
-        place, row = S.places(b.column("hits"))
+        place, row = S.places(b.column("hits"), S.RUN)
         start[texts.off[row] + place] = True
         gone = A.covered(np.flatnonzero(start), window, n)
         gone |= np.repeat(np.asarray(b.column("copy")) & (size >= window), size)
@@ -257,8 +259,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
 
     A cut inside a character leaves bytes that kept_text shows as U+FFFD; kept_sha256 is of the bytes.
     """
-    rows, ids = S.keyed(docs)
-    n_buckets = X.bucket_count(S.entries(rows) // 12, 1)
+    rows, ids, _ = S.keyed(docs)
+    n_buckets = X.bucket_count(S.entries(rows) // 12, shuffle_partitions(docs.sparkSession))
     copies = S.copies(rows)
     texts = S.by_key(rows)
     known = copies.withColumn("copy", F.lit(True))
@@ -271,6 +273,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
     partners = S.gathered(X.per_bucket(doubled, partial(_starters, n_buckets=n_buckets), S.HITS_DDL), PARTNER).withColumnRenamed("hits", "partners")
     still = texts.join(samples, "key").join(partners, "key", "left").select("key", "text", "hits", "partners")
     compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), STRETCH_DDL)
-    repeats = S.gathered(X.per_bucket(compared, partial(_windows, window=window, n_buckets=n_buckets), S.HITS_DDL))
+    repeats = S.gathered(X.per_bucket(compared, partial(_windows, window=window, n_buckets=n_buckets), S.HITS_DDL), S.RUN)
     marked = texts.join(repeats, "key", "left").join(partners, "key", "left").join(known, "key", "left").select("key", "text", "hits", "partners", F.coalesce("copy", F.lit(False)).alias("copy"))
     return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)

@@ -75,10 +75,14 @@ def test_passages(spark, rows, docs, empty):
 
 
 def test_passages_with_shared_and_null_ids(spark):
+    """Rows of one doc_id take nothing from each other; smaller ids, and rows without one, come first."""
     text = " ".join(f"w{i}" for i in range(20))
-    twice = spark.createDataFrame([(None, text), (4, text + " x"), (4, text + " y"), (4, text + " y")], "doc_id long, text string")
-    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in passages.remove_repeats(twice).collect())
-    assert got[0] == (0, 20, 0) and len(got) == 4 and all(r[2] >= 20 for r in got[1:])
+    shared = [(4, text + " x"), (4, text + " y"), (4, text + " y"), (4, text), (4, text), (7, "z " + text), (7, text)]
+    found = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in passages.remove_repeats(spark.createDataFrame(shared, "doc_id long, text string")).collect()]
+    assert sorted(found) == [(4, 20, 0), (4, 20, 0), (4, 21, 0), (4, 21, 0), (4, 21, 0), (7, 20, 20), (7, 21, 20)]
+    shared += [(None, text), (None, text + " q")]
+    found = [(r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in passages.remove_repeats(spark.createDataFrame(shared, "doc_id long, text string")).collect()]
+    assert sorted(found) == [(0, 20, 0), (0, 21, 0), (4, 20, 20), (4, 20, 20), (4, 21, 20), (4, 21, 20), (4, 21, 20), (7, 20, 20), (7, 21, 20)]
 
 
 def test_suffixes(rows, docs, empty):
