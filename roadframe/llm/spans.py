@@ -34,7 +34,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
         return rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text"), None, 0
     rows = rows.withColumn("own", F.xxhash64("text"))
     # numbers of one id follow each other
-    counted_rows = cut(numbered(rows.select("doc_id", "own").distinct(), "doc_id", "number"))
+    counted_rows = cut(numbered(rows.select("doc_id", "own").distinct(), ["doc_id", "own"], "number"))
     first = counted_rows.groupBy(F.col("doc_id").alias("id1")).agg(F.min("number").alias("first"))
     shift = int(counted["most"]).bit_length()
     key = F.shiftleft(F.col("first"), shift) + F.col("number") - F.col("first")

@@ -6,19 +6,21 @@ where they can still decide something:
 1. Positions are sampled by their content: of each run of window - HEAD + 1 positions the one whose
    HEAD bytes have the least fingerprint. Every window of WINDOW bytes holds such a position, and equal
    windows hold it at the same place. Ranks of HEAD bytes that are unique drop out.
-2. Ranks double: a string's rank is the pair of its parts' ranks, at growing offsets up to WINDOW bytes.
-   First the windows that start with their own sample are ranked. Where two of them up to WINDOW bytes apart
-   repeat one earlier text at the same distance, all windows between repeat it too.
-3. What stays open, mainly the edges of repeats and their first occurrences, is ranked position by
+2. The windows that start with their own sample are ranked by prefix doubling: each round Spark sorts the
+   distinct pairs (rank so far, rank of the piece that follows) at growing offsets, HEAD, 2 * HEAD and on to
+   WINDOW bytes, numbers them anew and drops the unique ones. Where two of the windows left, up to WINDOW bytes
+   apart, repeat one earlier text at the same distance, all windows between repeat it too.
+3. What stays open, mainly the edges of repeats and their first occurrences, is compared position by
    position. Windows with one sample travel as one stretch of text, which is far smaller than their ranks.
 
-Ranks are 64-bit fingerprints (32 bits in step 1, a filter); Spark deals them by bucket, and each
-bucket is sorted by (rank, document, position), so the first occurrence of every string is known. An
-entry that repeats inside one chunk is settled there. Documents whose whole text equals an earlier one
-are settled before. Texts are shuffled once, by key.
+The piece that follows a window is rarely at a sample, so its rank is a 64-bit fingerprint made from the text at
+hand; step 3 compares such fingerprints of whole windows (step 1 32 bits of them, as a filter). Fingerprints of
+up to WINDOW bytes are equal for unequal strings only by chance. A string that repeats inside one
+chunk is settled there, and documents whose whole text equals an earlier one are settled before. Texts are
+shuffled once, by key.
 
-Defined results: null and empty texts have no bytes; rows that share a doc_id count as documents of
-their own (see spans.keyed); extra columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have no bytes; of rows that share a doc_id, equal ones share their result
+and others count as documents in a fixed order; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import exchange as X
 from . import spans as S
-from .session import shuffle_partitions
+from ..operators.components import numbered
+from .session import cut, shuffle_partitions, written
 
 WINDOW, HEAD = 100, 40
 CHUNK = 1 << 19
@@ -49,7 +52,7 @@ class Ranked:
     def __init__(self, texts: A.Texts, window: int, head: int):
         n = len(texts.buf)
         sums = texts.sums()
-        self.texts, self.window, self.head = texts, window, head
+        self.texts, self.window, self.head, self.sums = texts, window, head, sums
         left = np.repeat(texts.off[1:], np.diff(texts.off)) - np.arange(n)
         at = np.flatnonzero(left >= head)
         self.rank = np.full(n, _NONE, dtype=np.uint64)
@@ -85,6 +88,10 @@ class Ranked:
             shorter *= 2
         return A.mix(self.doubled(at, shorter) * np.uint64(0x9E3779B97F4A7C15) + A.mix(self.doubled(at + length - shorter, shorter)))
 
+    def piece(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Ranks of length bytes, computed from the text."""
+        return A.segment(self.sums, at, at + length)
+
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.texts.off, at, side="right") - 1
 
@@ -118,17 +125,68 @@ def _hit_samples(b: pa.RecordBatch, r: Ranked) -> np.ndarray:
     return hit
 
 
-def _starter_entries(batches: Iterator[pa.RecordBatch], window: int, head: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+#: One row for each chunk: the windows that are still open, or those that the chunk itself has settled.
+OPEN = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("at", pa.binary()), ("ranks", pa.binary())])
+OPEN_DDL = "kind int, key binary, at binary, ranks binary"
+
+
+def lengths_of(window: int, head: int) -> list[int]:
+    """Lengths that the ranks cover round by round: doubling from head, and window last."""
+    out = [head]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
+    return out
+
+
+def _starter_entries(batches: Iterator[pa.RecordBatch], window: int, head: int) -> Iterator[pa.RecordBatch]:
+    """Windows at hit samples: the rank of their first HEAD bytes and, for each round, that of the piece which follows."""
+    steps = lengths_of(window, head)
     for b, r in _ranked(batches, window, head):
         at = np.flatnonzero(r.starters() & _hit_samples(b, r))
+        if not len(at):
+            continue
         doc = r.doc(at)
         key, place, value = np.asarray(b.column("key"))[doc], (at - r.texts.off[doc]).astype("<u4"), r.doubled(at)
         order, first = _first_of(value, key, place)
-        value, key, place = value[order], key[order], place[order]
+        key, place, at = key[order], place[order], at[order]
         lead = first == np.arange(len(order))
-        yield from S.sent(1, X.bucket_of(value[lead], n_buckets), value[lead], key[lead], place[lead])
+        # the first of each string in this chunk stands for the others
+        pieces = [r.rank[at[lead]], *(r.piece(at[lead] + a, z - a) for a, z in zip(steps, steps[1:], strict=False))]
+        ranks = np.stack(pieces, axis=1).reshape(-1)
         known = _partners(place[~lead], key[first[~lead]], place[first[~lead]])
-        yield from S.sent(2, (key[~lead] % n_buckets).astype(np.int32), known, key[~lead], place[~lead])
+        cells = [(key[lead], place[lead], ranks), (key[~lead], known, ranks[:0])]
+        yield A.batch(OPEN, [1, 2], *([c[i].tobytes() for c in cells] for i in range(3)))
+
+
+def _ranked_rows(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("rank", pa.int64()), *((f"next{i}", pa.int64()) for i in range(rounds))])
+    for b in batches:
+        ranks = X.unpack(b.column("ranks"), "<i8").reshape(-1, rounds + 1)
+        yield A.batch(schema, X.unpack(b.column("key"), "<i8"), X.unpack(b.column("at"), "<u4").astype(np.int64), *ranks.T)
+
+
+def reranked(rows: DataFrame, following: str) -> DataFrame:
+    """rows whose pair (rank, following) is not unique, with the pair's number in sorted order as their new rank, and the pair's first (key, at).
+
+    Pairs are counted before they are dealt, and each distinct one is sorted once, so a string that a third of all
+    documents hold is one row of the sort; only the join back has a hot side.
+    """
+    pairs = rows.groupBy("rank", following).agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).filter("n > 1").drop("n")
+    ranks = numbered(pairs, ["rank", following], "new").select(F.col("rank").alias("r"), F.col(following).alias("f"), "first", "new")
+    again = rows.join(ranks, (F.col("rank") == F.col("r")) & (F.col(following) == F.col("f")))
+    return again.withColumn("rank", F.col("new")).select(*rows.columns, "first")
+
+
+def prefix_doubling(opened: DataFrame, rounds: int) -> DataFrame:
+    """(key, at, first): the open windows of WINDOW bytes that occur again, with the first place of each string.
+
+    Round by round Spark sorts the pairs of a window's rank and the rank of what follows it at growing offsets, numbers
+    them anew and drops the unique ones, until the ranks cover the window.
+    """
+    rows = opened.mapInArrow(lambda batches: _ranked_rows(batches, rounds), "key long, at long, rank long" + "".join(f", next{i} long" for i in range(rounds)))
+    for i in range(rounds):
+        rows = cut(reranked(rows.drop("first"), f"next{i}").drop(f"next{i}"))
+    return rows.select("key", "at", "first")
 
 
 def _partners(at: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -142,20 +200,16 @@ def _open_and_done(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
     return rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 2))
 
 
-def _settled(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(done rows; key and place of every entry that is not the first of its rank; key and place of that first)."""
-    todo, done = _open_and_done(rows)
-    value, key, at = X.unpack(todo.column("h"), "<u8"), X.unpack(todo.column("key"), "<i8"), X.unpack(todo.column("at"), "<u4")
-    order, first = _first_of(value, key, at)
-    key, at = key[order], at[order]
-    late = first != np.arange(len(order))
-    return done, key[late], at[late], key[first[late]], at[first[late]]
+def _partner_rows(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows after the first of their string, with that first, from (key, at, key0, at0)."""
+    for b in batches:
+        key, at, key0, at0 = (np.asarray(b.column(c)) for c in ("key", "at", "key0", "at0"))
+        yield from S.hit_rows(key, _partners(at, key0, at0), n_buckets)
 
 
-def _starters(rows: pa.Table, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    done, key, at, key0, at0 = _settled(rows)
-    known = X.unpack(done.column("h"), PARTNER)
-    yield from S.hit_rows(np.concatenate([key, X.unpack(done.column("key"), "<i8")]), np.concatenate([_partners(at, key0, at0), known]), n_buckets)
+def _known_partners(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from S.hit_rows(X.unpack(b.column("key"), "<i8"), X.unpack(b.column("at"), PARTNER), n_buckets)
 
 
 def _known_repeats(b: pa.RecordBatch, r_off: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -269,8 +323,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
     sampled = fresh.mapInArrow(lambda batches: _sample_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
     samples = S.gathered(X.per_bucket(sampled, partial(S.anchors, n_buckets=n_buckets), S.HITS_DDL))
     around = texts.join(samples, "key").select("key", "text", "hits")
-    doubled = around.mapInArrow(lambda batches: _starter_entries(batches, window, head, n_buckets), S.EXCHANGE_DDL)
-    partners = S.gathered(X.per_bucket(doubled, partial(_starters, n_buckets=n_buckets), S.HITS_DDL), PARTNER).withColumnRenamed("hits", "partners")
+    opened = written(around.mapInArrow(lambda batches: _starter_entries(batches, window, head), OPEN_DDL))
+    again = prefix_doubling(opened.filter("kind = 1"), len(lengths_of(window, head)) - 1)
+    later = again.select("key", "at", F.col("first.key").alias("key0"), F.col("first.at").alias("at0")).filter("key <> key0 OR at <> at0")
+    found = later.mapInArrow(lambda batches: _partner_rows(batches, n_buckets), S.HITS_DDL)
+    known_here = opened.filter("kind = 2").mapInArrow(lambda batches: _known_partners(batches, n_buckets), S.HITS_DDL)
+    partners = S.gathered(found.unionByName(known_here), PARTNER).withColumnRenamed("hits", "partners")
     still = texts.join(samples, "key").join(partners, "key", "left").select("key", "text", "hits", "partners")
     compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), STRETCH_DDL)
     repeats = S.gathered(X.per_bucket(compared, partial(_windows, window=window, n_buckets=n_buckets), S.HITS_DDL), S.RUN)

@@ -85,19 +85,20 @@ def test_passages_with_shared_and_null_ids(spark):
     assert sorted(found) == [(0, 20, 0), (0, 21, 0), (4, 20, 20), (4, 20, 20), (4, 21, 20), (4, 21, 20), (4, 21, 20), (7, 20, 20), (7, 21, 20)]
 
 
-def test_suffixes(rows, docs, empty):
+@pytest.mark.parametrize(("window", "head"), [(100, 40), (30, 4)])
+def test_suffixes(rows, docs, empty, window, head):
     seen, want = set(), {}
     for i, t in rows:
         raw = (t or "").encode()
         gone = bytearray(len(raw))
-        for j in range(len(raw) - 99):
-            piece = raw[j : j + 100]
+        for j in range(len(raw) - window + 1):
+            piece = raw[j : j + window]
             if piece in seen:
-                gone[j : j + 100] = b"\1" * 100
+                gone[j : j + window] = b"\1" * window
             seen.add(piece)
         kept = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
         want[i] = (len(raw), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs, digest=True).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs, window, head, digest=True).collect()}
     assert got == want
     assert suffixes.remove_repeats(empty).count() == 0
 
