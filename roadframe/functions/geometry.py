@@ -84,6 +84,19 @@ def extent(coords: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in ends.items()), span.alias("span"))
 
 
+def focus(coords: Column, padding: float = 20.0, least: float = 20.0, most: float = 500.0) -> Column:
+    """struct(cx, cy, cz, scale): the middle of the box, and three quarters of its span with padding, kept between least and most."""
+    box = extent(coords)
+    middle = [((box[f"min_{c}"] + box[f"max_{c}"]) / 2).alias(f"c{c}") for c in "xyz"]
+    scale = F.least(F.greatest(box["span"] * 0.75 + padding, F.lit(least)), F.lit(most))
+    return F.struct(*middle, scale.alias("scale"))
+
+
+def summary(coords: Column) -> Column:
+    """struct(vertices, length_m, area): what a reader wants to know of one geometry."""
+    return F.struct(F.size(coords).alias("vertices"), polyline_length(coords).alias("length_m"), area(coords).alias("area"))
+
+
 def _axis(c: str):
     return lambda p: p[c]
 

@@ -28,21 +28,24 @@ def duplicates(rows: DataFrame, key: Sequence[str], order: Sequence[str], compar
     return ranked.filter("__n > 1").drop("__n")
 
 
-def merge_layer(rows: DataFrame, layer: str, key: str = "id", order: str = "ord", config: Config | None = None, keep: str = "first", ignore: Sequence[str] = ("ord", "section", "source_path", "source_row")) -> tuple[DataFrame, DataFrame]:
-    """(one row per key, findings). Conflicting duplicates drop in every mode; `off` only silences the finding."""
+def merge_layer(rows: DataFrame, layer: str, key: str = "id", order: str = "ord", config: Config | None = None, keep: str = "first", ignore: Sequence[str] = ("ord", "section", "source_path", "source_row"), within: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(one row per key, findings). Conflicting duplicates drop in every mode; `off` only silences the finding.
+
+    within names columns, such as the section, that are part of the key; their values must not be null.
+    """
     config = config or Config()
-    compare = [c for c in rows.columns if c not in ignore and c != key]
+    compare = [c for c in rows.columns if c not in ignore and c != key and c not in within]
     path = F.col("source_path") if "source_path" in rows.columns else F.lit(None).cast("string")
     keyed = rows.withColumn("__path", path)
     empty = keyed.filter(F.col(key).isNull() | (F.col(key).cast("string") == ""))
-    again = duplicates(keyed.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")), [key], [order], compare)
+    again = duplicates(keyed.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")), [*within, key], [order], compare)
     parts = [findings(empty.filter(F.lit(config.reports("feature_id_missing"))), "warning", "feature-id-missing", layer, F.lit(""), "", source_path=F.col("__path"))]
     if config.reports("feature_id_duplicate_identical"):
         parts.append(findings(again.filter("identical"), "warning", "feature-id-duplicate-identical", layer, F.col(key), "", source_path=F.col("__path")))
     if config.reports("feature_id_duplicate_conflicting"):
         repairs = config.repairs("feature_id_duplicate_conflicting")
         parts.append(findings(again.filter("NOT identical"), "action" if repairs else "warning", "feature-id-duplicate-conflicting" + "-dropped" * repairs, layer, F.col(key), "", source_path=F.col("__path")))
-    return merged(rows, [key], [order], keep), union_all(parts)
+    return merged(rows, [*within, key], [order], keep), union_all(parts)
 
 
 def global_ids(layers: Mapping[str, DataFrame], key: str = "id") -> DataFrame:

@@ -102,6 +102,18 @@ def node_groups(groups: DataFrame, link_ends: DataFrame) -> DataFrame:
     return rows.join(ids, ["grp", "side"]).select("node_grp", "grp", "side", "node")
 
 
+def node_group_keys(node_grp: DataFrame, keys: DataFrame) -> DataFrame:
+    """node_grp, keys: the distinct role keys (id, key) of each node group's nodes, sorted."""
+    held = node_grp.select("node_grp", F.col("node").alias("id")).join(keys, "id")
+    return held.groupBy("node_grp").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def least_distance(a: DataFrame, b: DataFrame, by: str, reach: float) -> DataFrame:
+    """by, distance: the least planar distance between points of a and of b with the same key, where it is at most reach. Both have by, x, y."""
+    near = distance_join(a.withColumnRenamed(by, "a_key"), b.withColumnRenamed(by, "b_key"), reach)
+    return near.filter("a_key = b_key").groupBy(F.col("a_key").alias(by)).agg(F.min("distance").alias("distance"))
+
+
 def _star(rows: DataFrame, hub: list[str], item: str = "id") -> DataFrame:
     """(a, b): every item of a hub with the hub's smallest."""
     least = rows.groupBy(*hub).agg(F.min(item).alias("a"))

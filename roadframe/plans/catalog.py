@@ -5,17 +5,21 @@ Every query reads whole tables. Doubles are rounded to 6 places, so that both en
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import STAGES, Config
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions import values as V
 from ..operators import conform, edits, integrity, merge, segment, spatial, topology
 from ..operators.components import connected_components, ensure_checkpoint_dir
 from ..operators.integrity import Edge
-from ..schema import Layer, parse_fields
+from ..schema import Layer, RoleFilter, parse_fields
+from ..sources import shapefile
 from . import network_sql as N
 from .network import ctes, network
 
@@ -483,9 +487,10 @@ def start_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("id", F.round(t["x"], 6).alias("tx"), F.round(t["y"], 6).alias("ty"))
 
 
-def _segmented(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _segmented(spark: SparkSession, sf_dir: str, last: str = "edges") -> dict[str, DataFrame]:
+    """The stages of the derived network up to the last one wanted."""
     n = _classes(spark, sf_dir)
-    return segment.segment(n["links"], n["nodes"], n["markers"])
+    return segment.segment(n["links"], n["nodes"], n["markers"], Config(stages=STAGES[: STAGES.index(last) + 1]))
 
 
 @query(net(f"{N.stages('s_', 'net_link', 'junctions')} SELECT junction, id, kind FROM s_junction"))
@@ -499,12 +504,12 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(net(f"{N.stages('s_', 'net_link', 'connections')} SELECT connection, junction, node_grp, grp, side, method FROM s_connection"))
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(spark, sf_dir)["connections"]
+    return _segmented(spark, sf_dir, "connections")["connections"]
 
 
 @query(net(f"{N.stages('s_', 'net_link', 'references')} SELECT connection, junction, id AS link, side, source, {_unit('tx')} AS tx, {_unit('ty')} AS ty, false AS reversed_from_source FROM s_reference"))
 def junction_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(spark, sf_dir)["references"].select("connection", "junction", "link", "side", "source", F.expr(_unit("tangent.x")).alias("tx"), F.expr(_unit("tangent.y")).alias("ty"), "reversed_from_source")
+    return _segmented(spark, sf_dir, "references")["references"].select("connection", "junction", "link", "side", "source", F.expr(_unit("tangent.x")).alias("tx"), F.expr(_unit("tangent.y")).alias("ty"), "reversed_from_source")
 
 
 _SPAN = ", ".join(f"round({end}[{i}], 4) AS {name}_{c}" for end, name in (("lo", "start"), ("hi", "end")) for i, c in ((2, "x"), (3, "y"), (4, "z")))
@@ -547,6 +552,157 @@ def repair_then_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform.union_all(parts)
 
 
+# --- values, roles and single geometries --------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_size IN (1, 5, 9) THEN CAST(p_size AS VARCHAR) END AS value,
+       CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_size NOT IN (1, 5, 9) THEN 'invalid' END AS issue FROM part""")
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes as codes, some with a fraction of zero, some empty."""
+    text = F.when(F.col("p_partkey") % 7 == 0, " ").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".0"))).otherwise(F.col("p_size").cast("string"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("code"))
+    return rows.select("id", V.enum_value(F.col("code"), ("1", "5", "9")).alias("value"), V.enum_issue(F.col("code"), ("1", "5", "9"), True).alias("issue"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS value FROM orders")
+def first_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value under the first name, else under another in other case, else none."""
+    k = F.col("o_orderkey") % 3
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(k <= 1, F.col("o_orderstatus")).alias("name_AB"), F.when(k == 0, F.col("o_orderpriority")).alias("first"))
+    return rows.select("id", V.first_filled(rows.columns, "first", "other", "NAME_ab").alias("value"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS whole, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_nationkey END AS whole_or_zero,
+       CASE WHEN c_custkey % 4 IN (0, 1) THEN NULL ELSE round(c_acctbal, 6) END AS number, CASE WHEN c_custkey % 4 IN (0, 1) THEN 0 ELSE round(c_acctbal, 6) END AS number_or_zero FROM customer""")
+def numeric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, whole = F.col("c_custkey") % 4, F.col("c_nationkey").cast("string")
+    text = F.when(k == 0, "n/a").when(k == 1, F.concat(whole, F.lit(".0"))).otherwise(whole)
+    number = F.when(k == 0, "").when(k == 1, "1e").otherwise(F.col("c_acctbal").cast("string"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.integer(text).alias("whole"), V.number(number).alias("number"))
+    return rows.select("id", "whole", V.or_zero(F.col("whole")).alias("whole_or_zero"), F.round("number", 6).alias("number"), F.round(V.or_zero(F.col("number")), 6).alias("number_or_zero"))
+
+
+@query(net("SELECT link_id AS id, link_type IN ('1', '4') AS is_junction, lane_no >= 3 AS is_pocket FROM net_link"))
+def role_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = network(spark, sf_dir)["links"]
+    by_type, by_lane = RoleFilter("junction_link", "link", ("link_type",), ("1", "4")), RoleFilter("pocket_link", "link", ("lane_no",), least=3)
+    return links.select("id", segment.matches(by_type).alias("is_junction"), segment.matches(by_lane).alias("is_pocket"))
+
+
+@query(net("SELECT node_id AS id, 'node_group:' || trim(group_key) AS key FROM net_node WHERE trim(group_key) <> ''"))
+def role_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.role_keys(network(spark, sf_dir)["nodes"])
+
+
+@query(net(f"""{_GROUPS},
+e AS (SELECT link_id, 0 AS s, from_id AS node FROM net_link UNION ALL SELECT link_id, 1, to_id FROM net_link),
+m AS (SELECT DISTINCT grp, s, node FROM grp JOIN e ON link_id = id JOIN net_node ON node_id = node),
+g AS (SELECT dense_rank() OVER (ORDER BY grp, s) - 1 AS node_grp, node FROM m)
+SELECT node_grp, string_agg(DISTINCT 'node_group:' || group_key, ',' ORDER BY 'node_group:' || group_key) AS keys FROM g JOIN net_node ON node_id = node WHERE group_key <> '' GROUP BY node_grp"""))
+def node_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _classes(spark, sf_dir)
+    groups = segment.node_groups(_groups(n)[1], segment.ends(n["links"], n["nodes"]))
+    return segment.node_group_keys(groups, segment.role_keys(n["nodes"])).select("node_grp", F.array_join("keys", ",").alias("keys"))
+
+
+@query(net(f"""{N.stages('s_', 'net_link', 'connections')},
+q AS (SELECT a.junction, sqrt((m.x - n.x) * (m.x - n.x) + (m.y - n.y) * (m.y - n.y)) AS d FROM s_jn a JOIN s_match w ON w.junction = a.junction JOIN s_ng o ON o.node_grp = w.node_grp
+  JOIN net_node m ON m.node_id = a.node JOIN net_node n ON n.node_id = o.node WHERE abs(m.x - n.x) <= 15 AND abs(m.y - n.y) <= 15)
+SELECT junction, round(min(d), 6) AS distance FROM q WHERE d <= 15 GROUP BY junction"""))
+def junction_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the node groups around each junction are from its nodes, where they are near."""
+    n, s = _classes(spark, sf_dir), _segmented(spark, sf_dir, "connections")
+    place = n["nodes"].select(F.col("id").alias("node"), "x", "y")
+    inner = s["junction_nodes"].join(place, "node").select("junction", "x", "y")
+    outer = s["connections"].select("junction", "node_grp").join(s["node_groups"].select("node_grp", "node"), "node_grp").join(place, "node").select("junction", "x", "y")
+    return segment.least_distance(outer, inner, "junction", 15.0).select("junction", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN '-' WHEN p_size < 20 THEN '황색' WHEN p_size < 30 THEN '백색' WHEN p_size < 40 THEN '청색' ELSE '-' END AS colour FROM (SELECT p_partkey, p_size FROM part) p WHERE p_size BETWEEN 10 AND 89")
+def line_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").filter("p_size BETWEEN 10 AND 89").select(F.col("p_partkey").alias("id"), X.line_colour(F.col("p_size").cast("string")).alias("colour"))
+
+
+@query(net(f"SELECT link_id AS id, 3 AS vertices, round({_LENGTH}, 6) AS length_m, round(abs(x0 * ym - xm * y0 + xm * y1 - x1 * ym + x1 * y0 - x0 * y1) / 2, 4) AS area FROM net_link"))
+def geometry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = G.summary(F.col("coords"))
+    return network(spark, sf_dir)["links"].select("id", s["vertices"].alias("vertices"), F.round(s["length_m"], 6).alias("length_m"), F.round(s["area"], 4).alias("area"))
+
+
+_SPAN_XY = "greatest(greatest(x0, xm, x1) - least(x0, xm, x1), greatest(y0, ym, y1) - least(y0, ym, y1))"
+
+
+@query(net(f"""SELECT link_id AS id, round((least(x0, xm, x1) + greatest(x0, xm, x1)) / 2, 6) AS cx, round((least(y0, ym, y1) + greatest(y0, ym, y1)) / 2, 6) AS cy, (least(z0, zm, z1) + greatest(z0, zm, z1)) / 2 AS cz,
+       round(least(greatest({_SPAN_XY} * 0.75 + 1, 5), 40), 6) AS scale FROM net_link"""))
+def feature_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = G.focus(F.col("coords"), padding=1.0, least=5.0, most=40.0)
+    return network(spark, sf_dir)["links"].select("id", F.round(f["cx"], 6).alias("cx"), F.round(f["cy"], 6).alias("cy"), f["cz"].alias("cz"), F.round(f["scale"], 6).alias("scale"))
+
+
+@query(net("""box AS (SELECT (min(least(x0, xm, x1)) + max(greatest(x0, xm, x1))) / 2 AS ox, (min(least(y0, ym, y1)) + max(greatest(y0, ym, y1))) / 2 AS oy, (min(least(z0, zm, z1)) + max(greatest(z0, zm, z1))) / 2 AS oz FROM net_link)
+SELECT link_id AS id, round(x0 - ox, 4) AS x0, round(ym - oy, 4) AS ym, zm - oz AS zm FROM net_link CROSS JOIN box"""))
+def local_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = G.to_local_origin(network(spark, sf_dir)["links"])
+    return moved.select("id", F.round(F.col("coords")[0]["x"], 4).alias("x0"), F.round(F.col("coords")[1]["y"], 4).alias("ym"), F.col("coords")[1]["z"].alias("zm"))
+
+
+@query(net("SELECT link_id AS id, 3 AS n_open, 1 AS n_holes, round((x0 + xm + x1) / 3, 6) AS x, round((y0 + ym + y1) / 3, 6) AS y, x0 + 0 * x1 IS NOT NULL AS finite FROM net_link WHERE (x0 <> xm OR y0 <> ym) AND (xm <> x1 OR ym <> y1) AND (x0 <> x1 OR y0 <> y1)"))
+def ring_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links closed to rings: opened again, as holes beside one that is too short, and their representative points."""
+    p = F.col("coords")
+    apart = [(p[i]["x"] != p[j]["x"]) | (p[i]["y"] != p[j]["y"]) for i, j in ((0, 1), (1, 2), (0, 2))]
+    rings = network(spark, sf_dir)["links"].filter(apart[0] & apart[1] & apart[2]).select("id", F.concat("coords", F.slice("coords", 1, 1)).alias("ring"), "coords")
+    points = G.ring_point(rings, "id", "ring")
+    own = rings.select("id", F.size(G.open_ring(F.col("ring"))).alias("n_open"), F.size(G.valid_holes(F.array("ring", "coords"))).alias("n_holes"))
+    return own.join(points, "id").select("id", "n_open", "n_holes", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.col("z").isNotNull().alias("finite"))
+
+
+@query(net("""part AS (SELECT link_id, 0 AS seg, x0 AS ax, y0 AS ay, z0 AS az, xm AS bx, ym AS by_, zm AS bz, x0 * 0.25 + xm * 0.75 + 0.5 AS x, y0 * 0.25 + ym * 0.75 AS y FROM net_link WHERE x0 <> xm OR y0 <> ym
+  UNION ALL SELECT link_id, 1, xm, ym, zm, x1, y1, z1, x0 * 0.25 + xm * 0.75 + 0.5, y0 * 0.25 + ym * 0.75 FROM net_link WHERE xm <> x1 OR ym <> y1),
+foot AS (SELECT *, greatest(least(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 1.0), 0.0) AS t FROM part),
+away AS (SELECT *, sqrt((ax + (bx - ax) * t - x) * (ax + (bx - ax) * t - x) + (ay + (by_ - ay) * t - y) * (ay + (by_ - ay) * t - y)) AS d FROM foot)
+SELECT link_id AS id, round(min((d, seg, az + (bz - az) * t))[3], 6) AS z FROM away GROUP BY link_id"""))
+def height_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of links at places beside them."""
+    links, p = network(spark, sf_dir)["links"], F.col("coords")
+    points = links.select("id", F.col("id").alias("key"), (p[0]["x"] * 0.25 + p[1]["x"] * 0.75 + 0.5).alias("x"), (p[0]["y"] * 0.25 + p[1]["y"] * 0.75).alias("y"))
+    return spatial.height_at(links.select("id", "coords"), points).select(F.col("key").alias("id"), F.round("z", 6).alias("z"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN s IS NOT NULL THEN 'supplier' WHEN c IS NOT NULL AND p IS NULL THEN 'customer' WHEN p IS NOT NULL AND c IS NULL THEN 'part' END AS target,
+       CASE WHEN s IS NOT NULL THEN 'declared' WHEN (c IS NULL) <> (p IS NULL) THEN 'global' END AS how
+FROM orders LEFT JOIN (SELECT DISTINCT s_suppkey AS s FROM supplier) a ON s = o_custkey LEFT JOIN (SELECT DISTINCT c_custkey AS c FROM customer) b ON c = o_custkey LEFT JOIN (SELECT DISTINCT p_partkey + 100 AS p FROM part) d ON p = o_custkey""")
+def inspector_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order references looked up in the declared layer, then in any one layer."""
+    def ids(name: str, column: str) -> DataFrame:
+        return read(spark, sf_dir, name).select(F.expr(column).alias("id"))
+
+    t = {"supplier": ids("supplier", "s_suppkey"), "customer": ids("customer", "c_custkey"), "part": ids("part", "p_partkey + 100")}
+    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_custkey").alias("ref"))
+    found = integrity.resolved_by_id(t | {"orders": orders}, [Edge("orders", "ref", ("supplier",))])
+    return found.select(F.substring("id", 2, 20).alias("id"), "target", "how")
+
+
+@query("""SELECT layer, section, count(*) AS n FROM (SELECT 'customer' AS layer, CAST(c_nationkey AS VARCHAR) AS section FROM customer UNION ALL SELECT 'supplier', CAST(s_nationkey AS VARCHAR) FROM supplier) GROUP BY layer, section""")
+def saved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers written by layer and section, and read again as one table."""
+    ensure_checkpoint_dir(spark)
+    layers = {"customer": read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("section"), F.col("c_custkey").alias("id")), "supplier": read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("section"), F.col("s_suppkey").alias("id"))}
+    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    shapefile.save(layers, path)
+    return spark.read.parquet(path).groupBy("layer", F.col("section").cast("string").alias("section")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY {_LINE_ORDER}, l_linenumber) AS n FROM lineitem)
+SELECT l_suppkey AS section, l_orderkey AS id, l_linenumber AS line FROM r WHERE n = 1""")
+def merge_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of every order for each supplier, with the supplier as section in the key."""
+    rows = read(spark, sf_dir, "lineitem")
+    order = F.struct(*_LINE_REST, "l_linenumber")
+    kept, _ = merge.merge_layer(rows.select(F.col("l_suppkey").alias("section"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), order.alias("ord")), "lines", within=["section"])
+    return kept.select("section", "id", "line")
+
+
 # --- edits and reports --------------------------------------------------------------------------
 
 _EDITED = _layer("part", "p_name:t12! p_type:t8! p_size:i", {})

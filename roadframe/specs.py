@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .schema import RoleFilter, Schema, layer
 
-LINE_TYPES = " ".join(a + b + c for a in "123" for b in "12" for c in "1234") + " 999"
+LINE_TYPES = "111 112 113 114 121 122 123 124 211 212 213 214 221 222 223 224 311 312 313 314 321 322 323 324 999"
 MARKS = "5321 533 534 5371 5372 5373 5374 5379 5381 5382 5383 5391 5392"
 
 _C23 = "ID:t12! AdminCode:t3! Maker:t20! UpdateDate:t8 Version:t4! Remark:t30 HistType:t5 HistRemark:t30"
