@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .session import text_rows, written
+from .session import filtered, text_rows, written
 
 WINDOW = 10
 #: Largest item text that one search block holds.
@@ -247,9 +247,7 @@ def find_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, whole and unchanged, in which no item window occurs."""
-    blocks = item_blocks(items, block_bytes)
-    schema = docs.schema
-    for block in blocks:
+    for block in item_blocks(items, block_bytes):
         found = [(r[0], r[1]) for r in block.collect()]
 
         def keep(batches: Iterator[pa.RecordBatch], found: list = found) -> Iterator[pa.RecordBatch]:
@@ -260,7 +258,7 @@ def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) ->
                 free[words.doc[at]] = False
                 yield b.filter(pa.array(free))
 
-        docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(keep, schema)
+        docs = filtered(docs, keep)
     return docs
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .session import text_rows
+from .session import filtered, text_rows
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: bytes of dictionary, rows and characters per row, for each language.
@@ -114,7 +114,6 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, whole and unchanged, whose language is not rejected."""
-    names, schema = docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(model)
@@ -122,4 +121,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             found = (classify(t, model, compressors) for t in b.column("text").to_pylist())
             yield b.filter(pa.array([lang != UNKNOWN and score >= MIN_MARGIN for lang, score in found], type=pa.bool_()))
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(keep, schema)
+    return filtered(docs, keep)

@@ -375,4 +375,4 @@ def first_of_each_group(docs: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     Of several rows with the kept doc_id all stay.
     """
     dropped = near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
+    return docs.join(dropped, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))

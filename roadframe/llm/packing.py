@@ -317,9 +317,16 @@ def pack(cut_pieces: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Tokenize and pack every document: one row per piece with its place."""
+    """Tokenize and pack every document: one row per piece with its place, and its raw ids if wanted.
+
+    Ids are written once and join the places at the end, so packing itself moves only numbers.
+    """
     cut_pieces = pieces(docs, path, with_ids)
-    return pack(written(cut_pieces) if with_ids else cut(cut_pieces))
+    if not with_ids:
+        return pack(cut(cut_pieces))
+    stored = written(cut_pieces.withColumn("piece", F.monotonically_increasing_id()))
+    placed = pack(stored.drop("ids"))
+    return placed.join(stored.select("piece", "ids"), "piece").drop("piece")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

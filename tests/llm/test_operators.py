@@ -512,3 +512,88 @@ def test_pipeline(spark, rows, tmp_path):
     out = pipeline.run(spark, str(tmp_path))
     kept = {r["doc_id"] for r in out.collect()}
     assert kept and kept <= {r["doc_id"] for r in docs.collect()} and 10 not in kept
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, base string, spans string, open string, row int, bits string, sig string, piece long, ids string, `a.b` int"
+
+
+def near_root(texts, k):
+    """doc_id -> smallest linked doc_id among (doc_id, text), by comparing all pairs."""
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_pipeline_stages_equal_plain_ones(spark, rows, tmp_path):
+    """Every stage on odd rows (nulls, empty and long texts, repeated rows, clashing columns) against Python."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    secret = "password = 'abcdef123' and more words in this line here"
+    data = [(i, t, "en" if i % 3 else "de") for i, t in rows] + [(900, secret, None), (900, secret, None), (901, "42 17 !!", "en"), (902, " ".join(t or "" for _, t in rows), "en"), (None, rows[4][1], None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None, "b", "s", None, 4, "x", "y", 7, "z", n) for n, (i, t, lang) in enumerate(data)], CLASH).repartition(3)
+    item = " ".join((rows[10][1] or "").split()[:30])
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def seen(df):
+        return sorted(((r["doc_id"], r["text"], r["a.b"]) for r in df.collect()), key=str)
+
+    stages, sf = dict(pipeline.STAGES), str(tmp_path)
+    model = langid.fit(langid.training_rows(docs))
+    judge = langid._compressors(model)
+    now = [(i, t, n) for n, (i, t, _) in enumerate(data)]
+    want = []
+    for i, t, n in now:
+        lang, score = langid.classify(t, model, judge)
+        if lang != langid.UNKNOWN and score >= langid.MIN_MARGIN:
+            want.append((i, t, n))
+    step = stages["language"](spark, docs, sf)
+    assert step.columns == docs.columns and seen(step) == sorted(want, key=str) and want
+    # later stages see odd rows as well
+    step, now = docs, now
+    root = near_root([(i, t) for i, t, _ in now if i is not None], 5)
+    want = [(i, t, n) for i, t, n in now if i is None or root[i] == i]
+    step = stages["near_duplicates"](spark, step, sf).persist()
+    assert step.columns == docs.columns and seen(step) == sorted(want, key=str)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w = word.findall(item.translate(LOWER))
+    windows = {tuple(w[j : j + 10]) for j in range(len(w) - 9)}
+    now, want = want, []
+    for i, t, n in now:
+        w = word.findall((t or "").translate(LOWER))
+        if not any(tuple(w[j : j + 10]) in windows for j in range(len(w) - 9)):
+            want.append((i, t, n))
+    step = stages["decontamination"](spark, step, sf).persist()
+    assert step.columns == docs.columns and seen(step) == sorted(want, key=str) and len(want) < len(now)
+    step = stages["secret_scans"](spark, step, sf).persist()
+    got = {n: (i, t) for i, t, n in seen(step)}
+    assert step.columns == docs.columns and set(got) == {n for _, _, n in want}
+    assert {got[n][1] for i, _, n in want if i == 900} == {secret.replace("password = 'abcdef123", secrets.MASK)}
+    assert all(got[n] == (i, t) for i, t, n in want if i != 900)
+    whole = Tokenizer.from_file(tokenizer_path())
+    pieces = {}
+    for r in stages["packing"](spark, step, sf).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], dtype="<u4").tolist()))
+    made = {}
+    for i, t in got.values():
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        made.setdefault(i, []).extend((at, ids[at : at + 4096]) for at in range(0, len(ids), 4096))
+    assert {i: sorted(p) for i, p in pieces.items()} == {i: sorted(p) for i, p in made.items()}
+    none = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
