@@ -7,6 +7,7 @@ one side as a whole). Fingerprints are 64-bit polynomial sums over random byte v
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,6 +100,18 @@ def segment(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(h + (end - start).astype(np.uint64))
 
 
+#: Longer strings are fingerprinted by a keyless hash function: sums modulo 2**64 have built collisions among them.
+SUM_BYTES = 128
+
+
+def prints(texts: Texts, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of strings of any length in a chunk."""
+    out = segment(texts.sums() if sums is None else sums, start, end)
+    for i in np.flatnonzero(end - start > SUM_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(texts.buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a chunk, in order: byte range [start, end), document doc; first[d] is the first word of document d."""
 

@@ -55,7 +55,7 @@ def shingle_sets(texts: A.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, document) of the distinct shingles, by document."""
     low = A.Texts(A.LOWER[texts.buf], texts.off)
     words = A.Words(low, A.NOT_SPACE)
-    h = A.segment(low.sums(), words.start, words.end)
+    h = A.prints(low, words.start, words.end)
     at, keys = A.windows(h, words.doc, k)
     doc = words.doc[at]
     counts = words.counts

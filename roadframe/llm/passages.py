@@ -36,7 +36,7 @@ WINDOW = 13
 def _words(b: pa.RecordBatch) -> tuple[A.Texts, A.Words, np.ndarray]:
     texts = A.Texts.of(b.column("text"))
     words = A.Words(texts, A.NOT_SPACE)
-    return texts, words, A.segment(texts.sums(), words.start, words.end)
+    return texts, words, A.prints(texts, words.start, words.end)
 
 
 def _anchor_entries(batches: Iterator[pa.RecordBatch], block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:

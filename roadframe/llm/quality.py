@@ -50,7 +50,7 @@ def _line_repeats(texts: A.Texts, sums: np.ndarray, words: A.Words) -> tuple[np.
     has_word = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end = start[has_word], end[has_word]
     doc = np.searchsorted(texts.off, start, side="right") - 1
-    keys = A.segment(sums, start, end) ^ A.mix(doc.astype(np.uint64))
+    keys = A.prints(texts, start, end, sums) ^ A.mix(doc.astype(np.uint64))
     first = np.unique(keys, return_index=True)[1]
     distinct = np.bincount(doc[first], minlength=texts.n)
     lines = np.bincount(doc, minlength=texts.n)
@@ -63,7 +63,7 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         words, sums = A.Words(texts, A.NOT_SPACE), texts.sums()
         chars = np.zeros(len(texts.buf) + 1, dtype=np.int64)
         np.cumsum((texts.buf & 0xC0) != 0x80, out=chars[1:])
-        at, keys = A.windows(A.segment(sums, words.start, words.end), words.doc, REPEAT_WINDOW)
+        at, keys = A.windows(A.prints(texts, words.start, words.end, sums), words.doc, REPEAT_WINDOW)
         keys ^= A.mix(words.doc[at].astype(np.uint64))
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]

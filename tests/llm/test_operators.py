@@ -85,6 +85,19 @@ def test_passages_with_shared_and_null_ids(spark):
     assert sorted(found) == [(0, 20, 0), (0, 21, 0), (4, 20, 20), (4, 20, 20), (4, 21, 20), (4, 21, 20), (4, 21, 20), (7, 20, 20), (7, 21, 20)]
 
 
+def test_long_words_with_equal_sums_differ(spark):
+    """Thue-Morse words and their complements have equal polynomial sums modulo 2**64 for every base."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = arrays.Texts(np.frombuffer((a + b).encode(), dtype=np.uint8), np.array([0, 2048, 4096]))
+    start, end = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(arrays.segment(texts.sums(), start, end).tolist())) == 1 and len(set(arrays.prints(texts, start, end).tolist())) == 2
+    docs = spark.createDataFrame([(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, " ".join([a] * 13))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in passages.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize(("window", "head"), [(100, 40), (30, 4)])
 def test_suffixes(rows, docs, empty, window, head):
     seen, want = set(), {}
