@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -248,6 +248,17 @@ def stitch(parts: list[list[dict]], tolerance: float) -> list[dict] | None:
     return line
 
 
+def _cell(same: list[str], canonical: set[str]) -> Column:
+    """One column for names that differ by case only: what a file has under one of them; under several, what it has under the canonical one."""
+    cells = {n: F.col("attributes").getItem(n) for n in same}
+    exact = next((n for n in same if n in canonical), None)
+    if len(same) == 1:
+        return cells[same[0]].alias(same[0])
+    held = sum((F.map_contains_key("attributes", n).cast("int") for n in same[1:]), F.map_contains_key("attributes", same[0]).cast("int"))
+    value = F.when(held == 1, F.coalesce(*cells.values()))
+    return (value.otherwise(cells[exact]) if exact else value).alias(exact or same[0])
+
+
 def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep_unknown: bool = False) -> tuple[DataFrame, DataFrame]:
     """(typed rows with one list of coordinates each, findings) of one layer's raw records."""
     config = config or Config()
@@ -256,8 +267,11 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
     spark = raw.sparkSession
     notes = [(p, code, c) for p, names in files for code, c in column_plan(names, layer)[1]]
     columns = findings(spark.createDataFrame(notes, "p string, code string, c string"), "warning", F.col("code"), layer.name, F.lit(""), F.col("c"), source_path=F.col("p")) if notes else None
-    names = sorted({n for _, ns in files for n in ns})
-    flat = rows.select("ord", "section", "source_path", "source_row", "geom_kind", "parts", "issues", *(F.col("attributes").getItem(n).alias(n) for n in names))
+    by_lower: dict[str, list[str]] = {}
+    for n in sorted({n for _, ns in files for n in ns}):
+        by_lower.setdefault(n.lower(), []).append(n)
+    canonical = {f.name for f in layer.fields}
+    flat = rows.select("ord", "section", "source_path", "source_row", "geom_kind", "parts", "issues", *(_cell(same, canonical) for same in by_lower.values()))
     reason = accepts(F.col("geom_kind"), F.col("parts"), layer.kinds)
     judged = flat.withColumn("reason", reason)
     several = F.coalesce((F.col("geom_kind") == "line") & (F.size("parts") > 1), F.lit(False))

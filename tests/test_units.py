@@ -248,3 +248,61 @@ def test_raw_numbers_of_a_load(spark, tmp_path):
         got = found.filter("code IN ('manual-field-type-invalid', 'manual-field-required-missing')").collect()
         assert {(r["code"], r["feature_id"], r["reason"], next(v for k, v in r["before"].items())) for r in got} == bad | more
         assert all(r["source_path"].endswith("C2_KILOPOST.shp") for r in got) and layers["C2_KILOPOST"].count() == 3
+
+
+def _odd_delivery(folder):
+    """A file for an unknown layer, sidecars missing, columns unknown and missing, bad geometries, cells that are no UTF-8."""
+    folder.mkdir(parents=True)
+    (folder / "A1_NODE.shp").write_bytes(_shp([(1, struct.pack("<2d", 1, 2)), (1, struct.pack("<2d", 3, 4)), (0, b"")]))
+    cells = [b"a\xff", b"b\xfe", "서울 서울 서울".encode()]
+    (folder / "A1_NODE.dbf").write_bytes(_dbf(["ID", "id", "NodeType", "Extra"], [[b"N1", b"N1", cells[0], cells[1]], [b"N2", b"N2", cells[2], cells[2]], [b"N3", b"N3", cells[2], b"z"]]))
+    (folder / "A1_NODE.cpg").write_bytes(b"UTF-8")
+    (folder / "A2_LINK.shp").write_bytes(_shp([_poly(3, [[(0, 0), (1, 1)], [(5, 5), (6, 6)]]), _poly(3, [[(1, 2), (3, 4)]])]))
+    (folder / "A2_LINK.dbf").write_bytes(_dbf(["ID", "FromNodeID", "ToNodeID"], [[b"L1", b"N1", b"N2"]]))
+    (folder / "ZZ.shp").write_bytes(_shp([]))
+
+
+def test_modes_govern_the_ingest(spark, tmp_path):
+    _odd_delivery(tmp_path / "HD")
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
+    checks = shapefile.DISCOVERY | shapefile.RECORDS
+    found = shapefile.load_layers(spark, str(tmp_path), "HD")[2].collect()
+    # every bad cell of a row is told
+    assert sorted(r["reason"].split()[1] for r in found if r["code"] == "text-utf8-decode-replacement") == ["Extra", "NodeType"]
+    seen = {r["code"] for r in found} & set(checks)
+    assert seen == set(checks)
+    some = sorted(seen)[::2]
+    left = shapefile.load_layers(spark, str(tmp_path), "HD", Config(modes={checks[c]: "off" for c in some}))[2]
+    assert {r["code"] for r in left.collect()} & set(checks) == seen - set(some)
+
+
+def test_unknown_columns_are_kept_on_request(spark, tmp_path):
+    _odd_delivery(tmp_path / "HD")
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
+    layers = shapefile.load_layers(spark, str(tmp_path), "HD", keep_unknown=True)[1]
+    assert {r["id"]: r["undocumented"].get("Extra") for r in layers["A1_NODE"].collect()}["N2"] == "서울 서울 서울"
+    assert "undocumented" in layers["A5_PARKINGLOT"].columns and layers["A5_PARKINGLOT"].isEmpty()
+
+
+def test_references_left_after_repairs_are_told(spark):
+    from roadframe.dataset import MapDataset, remaining
+
+    layers = {x.name: shapefile.empty_layer(spark, x) for x in V2023.layers}
+    link = V2023.role("link").name
+    layers[link] = spark.createDataFrame([{"id": "L1", "from_node_id": "gone", "to_node_id": None}], layers[link].schema)
+    ds = MapDataset(V2023, layers)
+    assert {(r["code"], r["feature_id"], r["reason"]) for r in remaining(ds).collect()} == {("reference-unresolved", "L1", "from_node_id"), ("reference-unresolved", "L1", "to_node_id")}
+    assert remaining(ds, Config(modes={"reference_unresolved": "warn"})).isEmpty()
+
+
+def test_field_checks_on_a_stream(spark, tmp_path):
+    from roadframe.streaming import stream_findings
+
+    layer, rows = V2023.by_name["A2_LINK"], [("a", "A2009", "x"), ("b", "A2003", "")]
+    table = spark.createDataFrame(rows, "id string, hist_type string, link_type string")
+    table.write.parquet(str(tmp_path / "in"))
+    stream = stream_findings(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), layer)
+    query = stream.writeStream.format("memory").queryName("stream_test").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = conform.check_fields(table, layer).select("code", "feature_id", "reason").collect()
+    assert sorted(spark.table("stream_test").select("code", "feature_id", "reason").collect()) == sorted(want) and want
