@@ -38,8 +38,11 @@ def _references(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str
     return union_all(parts)
 
 
-def _ids(layers: Mapping[str, DataFrame], key: str) -> DataFrame:
-    return union_all([df.select(F.lit(name).alias("target"), F.col(key).cast("string").alias("value")) for name, df in layers.items()]).distinct()
+def _ids(layers: Mapping[str, DataFrame], key: str, edges: Sequence[Edge] | None = None) -> DataFrame:
+    """target, value: the ids of all layers, or of those that the edges may point at."""
+    wanted = set(layers) if edges is None else {t for e in edges for t in e.targets}
+    some = {name: df for name, df in layers.items() if name in wanted} or layers
+    return union_all([df.select(F.lit(name).alias("target"), F.col(key).cast("string").alias("value")) for name, df in some.items()]).distinct()
 
 
 def resolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], how: str = "one", key: str = "id") -> DataFrame:
@@ -48,7 +51,7 @@ def resolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], how: str =
     how: "any" gives every target layer that holds the id, "one" only references that exactly one
     layer holds, "first" the first layer in declared order.
     """
-    hit = _references(layers, edges, key).join(_ids(layers, key), ["target", "value"])
+    hit = _references(layers, edges, key).join(_ids(layers, key, edges), ["target", "value"])
     keys = ["layer", "id", "column", "value"]
     if how != "any":
         found = hit.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("target", "target_rank").alias("target"))
@@ -59,7 +62,7 @@ def resolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], how: str =
 def unresolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str = "id") -> DataFrame:
     """layer, id, column, required, value of references that no target layer holds, and of empty required ones."""
     wanted = _references(layers, edges, key)
-    hit = wanted.join(_ids(layers, key), ["target", "value"], "left_semi").select("layer", "id", "column").distinct()
+    hit = wanted.join(_ids(layers, key, edges), ["target", "value"], "left_semi").select("layer", "id", "column").distinct()
     lost = wanted.select("layer", "id", "column", "required", "value").distinct().join(hit, ["layer", "id", "column"], "left_anti")
     empty = [layers[e.layer].filter(F.col(e.column).isNull() | (F.col(e.column).cast("string") == "")).select(F.lit(e.layer).alias("layer"), F.col(key).cast("string").alias("id"), F.lit(e.column).alias("column"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("value")) for e in edges if e.required and e.layer in layers]
     return union_all([lost, *empty])
@@ -79,6 +82,8 @@ def with_placeholders(rows: DataFrame, targets: DataFrame, column: str, key: str
 
 #: A cascade deeper than this is taken for an error.
 MAX_ROUNDS = 1_000
+#: Rows of a round that are sent to all references instead of dealing the references anew.
+SENT_ROWS = 100_000
 
 
 def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataFrame, key: str = "id") -> DataFrame:
@@ -90,30 +95,34 @@ def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataF
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     refs = _references(layers, edges, key)
-    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key), ["target", "value"], "left_semi").checkpoint()
+    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key, edges), ["target", "value"], "left_semi").checkpoint()
+    several = [rank for rank, e in enumerate(edges) if e.required and len(e.targets) > 1]
     none = F.lit(None).cast("string")
     gone = frontier = seeds.select("layer", F.col("id").cast("string").alias("id")).distinct().withColumns({"depth": F.lit(0), "cause_layer": none, "cause_id": none}).checkpoint()
-    if gone.isEmpty():
-        return gone
     for depth in range(1, MAX_ROUNDS):
-        hit = held.join(frontier.select(F.col("layer").alias("target"), F.col("id").alias("value")), ["target", "value"])
-        # another target may still hold the same id
-        dead = gone.select(F.col("layer").alias("target"), F.col("id").alias("value"))
-        alive = held.join(hit.select("layer", "id", "rank").distinct(), ["layer", "id", "rank"], "left_semi").join(dead, ["target", "value"], "left_anti").select("layer", "id", "rank").distinct()
-        lost = hit.join(alive, ["layer", "id", "rank"], "left_anti")
+        n = frontier.count()
+        if not n:
+            return gone
+        if depth > 1:
+            # each round's rows are written once; gone is their union
+            gone = gone.unionByName(frontier)
+        newest = frontier.select(F.col("layer").alias("target"), F.col("id").alias("value"))
+        lost = held.join(F.broadcast(newest) if n <= SENT_ROWS else newest, ["target", "value"])
+        if several:
+            # another target may still hold the same id
+            open_rows = lost.filter(F.col("rank").isin(several)).select("layer", "id", "rank").distinct()
+            dead = gone.select(F.col("layer").alias("target"), F.col("id").alias("value"))
+            alive = held.filter(F.col("rank").isin(several)).join(open_rows, ["layer", "id", "rank"], "left_semi").join(dead, ["target", "value"], "left_anti").select("layer", "id", "rank").distinct()
+            lost = lost.join(alive, ["layer", "id", "rank"], "left_anti")
         new = lost.groupBy("layer", "id").agg(F.min(F.struct("rank", "target", "value")).alias("c")).join(gone.select("layer", "id"), ["layer", "id"], "left_anti")
         frontier = new.select("layer", "id", F.lit(depth).alias("depth"), F.col("c.target").alias("cause_layer"), F.col("c.value").alias("cause_id")).checkpoint()
-        if frontier.isEmpty():
-            return gone
-        # each round's rows are written once; gone is their union
-        gone = gone.unionByName(frontier)
     raise RuntimeError(f"cascade not settled after {MAX_ROUNDS} rounds")
 
 
 def cleared(layers: Mapping[str, DataFrame], edges: Sequence[Edge], gone: DataFrame, key: str = "id") -> DataFrame:
     """layer, id, column, value: optional references of remaining rows whose every holder is gone."""
     optional = _references(layers, edges, key).filter("NOT required")
-    held = optional.join(_ids(layers, key), ["target", "value"], "left_semi")
+    held = optional.join(_ids(layers, key, edges), ["target", "value"], "left_semi")
     dead = gone.select(F.col("layer").alias("target"), F.col("id").alias("value"))
     hit = held.join(dead, ["target", "value"], "left_semi").select("layer", "id", "column", "value").distinct()
     alive = held.join(dead, ["target", "value"], "left_anti").select("layer", "id", "column").distinct()

@@ -63,7 +63,9 @@ def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0) -> Da
     if direct.isEmpty():
         hit = crossing_pairs(links.filter("is_ordinary").select("id", "coords"), markers.select("id", "coords"), z_tolerance)
         found = hit.groupBy(F.col("a_id").alias("link")).agg(F.array_sort(F.collect_set("b_id")).alias("markers"))
-        direct = found.join(links.select(F.col("id").alias("link"), "ord"), "link")
+        # numbering looks at its rows twice, and crossings are dear
+        ensure_checkpoint_dir(links.sparkSession)
+        direct = found.join(links.select(F.col("id").alias("link"), "ord"), "link").checkpoint()
     return numbered(direct, "ord", "id").select("id", "link", "markers")
 
 
@@ -71,6 +73,8 @@ def lateral_groups(links: DataFrame, uturn_links: DataFrame, lateral: DataFrame
     """grp, id, ord: ordinary links without U-turns, grouped with their lateral neighbours."""
     lateral = lateral_neighbours(links) if lateral is None else lateral
     items = links.filter("is_ordinary").join(uturn_links.select(F.col("link").alias("id")), "id", "left_anti").select("id", "ord")
+    ensure_checkpoint_dir(links.sparkSession)
+    items = items.checkpoint()
     return connected_components(items, lateral, "id", "ord", "id", "other").join(items, "id").select(F.col("component").alias("grp"), "id", "ord")
 
 

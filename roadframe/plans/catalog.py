@@ -393,7 +393,7 @@ def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(net(f"{N.orientation('o_', 'net_link')} SELECT id, grp, swap, verdict, flip FROM o_judged"))
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = network(spark, sf_dir)
+    n = _classes(spark, sf_dir)
     return topology.orientation(n["links"], n["nodes"], topology.orientation_groups(n["links"], n["nodes"]))
 
 
@@ -419,7 +419,10 @@ _CROSS = """crossing AS (SELECT s.link_id, m.marker_id, s.az + (s.bz - s.az) * t
 
 def _classes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The network with role flags; pocket lanes are those from the third on."""
+    ensure_checkpoint_dir(spark)
     n = network(spark, sf_dir)
+    # every stage reads links and nodes several times
+    n["links"], n["nodes"] = n["links"].checkpoint(), n["nodes"].checkpoint()
     n["links"] = n["links"].withColumns({"is_junction": F.col("link_type") == "1", "is_ordinary": F.col("link_type") == "6", "is_pocket": F.col("lane_no") >= 3, "is_uturn": F.lit(False)})
     n["markers"] = n["markers"].filter("kind = '502'")
     return n
