@@ -7,7 +7,8 @@ branches are spelled out, again by self-joins with the same tables.
 
 Defined results: null text, role or score count as empty, empty and 0; a message whose parent is
 missing starts a branch; rows of one conversation with equal turns follow each other by role and
-text; messages on a cycle have no root and are left out; an empty table gives no rows. A
+text; messages on a cycle have no root and are left out; rows without a conv_id or message id are left out; of rows
+with one message id the first by parent, role, text and score counts; extra columns are ignored; an empty table gives no rows. A
 conversation is one output row, so its formatted text must fit a task, as the format asks.
 """
 
@@ -74,7 +75,11 @@ def branches(tree: DataFrame, keep: int = 1) -> DataFrame:
     A branch's score is the mean score of its messages; ties go to the longer branch, then to the
     smaller leaf id. branch counts from 0 in that order.
     """
-    tree = cut(tree)
+    tree = cut(text_rows(tree, "conv_id", "msg", "parent", "role", "text", "score").filter("conv_id IS NOT NULL AND msg IS NOT NULL"))
+    if not tree.groupBy("conv_id", "msg").count().filter("count > 1").isEmpty():
+        # else every repeated message would double its replies
+        first = Window.partitionBy("conv_id", "msg").orderBy("parent", "role", "text", "score")
+        tree = cut(tree.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n"))
     reach, steps = ancestors(tree)
     parents = tree.select("conv_id", F.col("parent").alias("msg")).filter("msg IS NOT NULL").distinct()
     leaves = reach.join(parents, ["conv_id", "msg"], "left_anti")

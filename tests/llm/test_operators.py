@@ -492,6 +492,18 @@ def test_chat_round_trip(spark):
     assert "conv_id" in OP10_SQL
 
 
+def test_chat_odd_rows(spark):
+    """Very long texts, repeated rows, repeated message ids, missing ids and columns of clashing names."""
+    long = "word <|im_end|> " * 60_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "twice"), (2, 0, "assistant", "twice"), (None, 0, "user", "lost")]
+    rows = spark.createDataFrame([(*t, "a", "b", 3, [1], 4) for t in turns], "conv_id long, turn long, role string, text string, msg string, parent string, score int, parts array<int>, branch int")
+    back = {r["conv_id"]: r for r in chat.read_back(chat.formatted(chat.branches(chat.linear_tree(rows)))).collect()}
+    assert set(back) == {1, 2} and back[1]["loss_text"] == long and [t["text"] for t in back[1]["turns"]] == [long, long] and back[2]["loss_text"] == "twicetwice"
+    tree = [(1, i, i - 1 if i else None, "user", f"t{i}", 0.0, "x") for i in range(40)] * 2 + [(1, 39, 38, "user", "another", 0.0, "x"), (1, None, 3, "user", "no id", 9.0, "x")]
+    got = chat.branches(spark.createDataFrame(tree, "conv_id long, msg long, parent long, role string, text string, score double, depth string")).orderBy("depth").collect()
+    assert [r["text"] for r in got] == [f"t{i}" for i in range(39)] + ["another"]
+
+
 def test_chat_tree_keeps_best_branch(spark):
     tree = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", -1.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", "more", 0.0), (1, 5, 9, "user", "orphan", -9.0)]
     rows = spark.createDataFrame(tree, "conv_id long, msg long, parent long, role string, text string, score double")
