@@ -79,21 +79,21 @@ def isolated_links(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFram
 
 
 def endpoints(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
-    return _update(ds, config, "link_endpoint_unresolved", topology.assign_endpoints(ds.links(), ds.nodes(), config.node_match_tolerance_m))
+    return _update(ds, config, "link_endpoint_unresolved", topology.assign_endpoints(ds.links(), ds.nodes(), config.node_match_tolerance_m, ds.schema.role("link").name))
 
 
 def longitudinal(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
-    return _update(ds, config, "link_side_reference_longitudinal", topology.clear_longitudinal(ds.links()))
+    return _update(ds, config, "link_side_reference_longitudinal", topology.clear_longitudinal(ds.links(), ds.schema.role("link").name))
 
 
 def nonreciprocal(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
-    return _update(ds, config, "link_side_reference_nonreciprocal", topology.redirect_nonreciprocal(ds.links()))
+    return _update(ds, config, "link_side_reference_nonreciprocal", topology.redirect_nonreciprocal(ds.links(), ds.schema.role("link").name))
 
 
 def orientation(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
     links, nodes = ds.links(), ds.nodes()
     judged = topology.orientation(links, nodes, topology.orientation_groups(links, nodes), config.node_match_tolerance_m)
-    oriented, found = topology.orient(links, judged)
+    oriented, found = topology.orient(links, judged, ds.schema.role("link").name)
     if not config.reports("link_endpoint_misaligned"):
         found = found.filter("code <> 'link-endpoint-misaligned'")
     return _update(ds, config, "link_orientation_reversed", (oriented, found))

@@ -69,8 +69,18 @@ def unresolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str
 
 
 def back_references(edge_rows: DataFrame) -> DataFrame:
-    """target, target_id, layer, column, ids (sorted): who points at each row."""
-    return edge_rows.groupBy("target", "target_id", "layer", "column").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """target, target_id, layer, column, id, n: who points at each row, a row each, and how many of that layer and column do.
+
+    Counts are summed before they are dealt, and no target's dependants are gathered into one row.
+    """
+    keys = ["target", "target_id", "layer", "column"]
+    return edge_rows.join(edge_rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "id", "n")
+
+
+def dependants_of(edge_rows: DataFrame, target: str, target_id: str) -> DataFrame:
+    """layer, column, ids (sorted): the lists of one chosen row, for a reader."""
+    own = edge_rows.filter((F.col("target") == target) & (F.col("target_id") == target_id))
+    return own.groupBy("layer", "column").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def with_placeholders(rows: DataFrame, targets: DataFrame, column: str, key: str = "id", by: Sequence[str] = ()) -> DataFrame:

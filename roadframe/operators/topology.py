@@ -2,6 +2,7 @@
 
 links: id, ord, from_id, to_id, r_id, l_id, coords and any other columns. nodes: id, x, y and any other
 columns, group_key where nodes form groups. Every function reads one snapshot.
+Repairs take the name of the layer that their findings are about.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def endpoint_candidates(links: DataFrame, nodes: DataFrame, tolerance: float = 0
     return out.select("id", "side", "current", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("n_near") == 1, F.col("node")).alias("node"))
 
 
-def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links with the one near node assigned and other dangling ends cleared, findings)."""
     found = endpoint_candidates(links, nodes, tolerance)
     wide = found.groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.struct(F.lit(True).alias("open"), "node"))).alias(f"__{s}") for s in ("from", "to")))
@@ -83,9 +84,9 @@ def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5)
         out = out.withColumn(f"{s}_id", F.when(F.col(f"__{s}").isNotNull(), F.col(f"__{s}.node")).otherwise(F.col(f"{s}_id")))
     code = F.when(F.col("n_near") == 1, "link-endpoint-unresolved-assigned").when(F.col("current").isNotNull(), "link-endpoint-unresolved-cleared").when(F.col("n_near") == 0, "link-endpoint-unresolved")
     before, after = F.create_map("side", F.col("current").cast("string")), F.create_map("side", F.col("node").cast("string"))
-    acted = findings(found.filter("n_near = 1 OR current IS NOT NULL"), "action", code, "link", F.col("id"), F.col("side"), before, after)
-    warned = findings(found.filter("n_near = 0 AND current IS NULL"), "warning", code, "link", F.col("id"), F.col("side"))
-    ambiguous = findings(found.filter("n_near > 1"), "warning", "link-endpoint-unresolved-ambiguous", "link", F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("n_near").cast("string")))
+    acted = findings(found.filter("n_near = 1 OR current IS NOT NULL"), "action", code, layer, F.col("id"), F.col("side"), before, after)
+    warned = findings(found.filter("n_near = 0 AND current IS NULL"), "warning", code, layer, F.col("id"), F.col("side"))
+    ambiguous = findings(found.filter("n_near > 1"), "warning", "link-endpoint-unresolved-ambiguous", layer, F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("n_near").cast("string")))
     return out.select(*links.columns), acted.unionByName(warned).unionByName(ambiguous)
 
 
@@ -106,14 +107,14 @@ def longitudinal(links: DataFrame) -> DataFrame:
     return side_references(links).withColumn("node", node).filter("node IS NOT NULL").select("id", "side", "target", "node")
 
 
-def clear_longitudinal(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clear_longitudinal(links: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links without such references, findings). The relation is mutual, so a reference back goes by itself."""
     found = longitudinal(links)
     hit = found.groupBy("id").agg(*(F.max(F.col("side") == s).alias(f"__{s}") for s in _INVERSE))
     out = links.join(hit, "id", "left")
     for s in _INVERSE:
         out = out.withColumn(s, F.when(F.coalesce(F.col(f"__{s}"), F.lit(False)), None).otherwise(F.col(s)))
-    acted = findings(found, "action", "link-side-reference-longitudinal-cleared", "link", F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("node").cast("string")), F.create_map("side", F.col("target").cast("string")))
+    acted = findings(found, "action", "link-side-reference-longitudinal-cleared", layer, F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("node").cast("string")), F.create_map("side", F.col("target").cast("string")))
     return out.select(*links.columns), acted
 
 
@@ -129,7 +130,7 @@ def nonreciprocal(links: DataFrame) -> DataFrame:
     return out.select("id", "side", "target", F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"), F.when(F.col("n") == 1, F.col("only")).alias("redirect"))
 
 
-def redirect_nonreciprocal(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def redirect_nonreciprocal(links: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(redirected links, findings). All decisions come from one snapshot, so link order does not matter."""
     found = nonreciprocal(links)
     hit = found.filter("redirect IS NOT NULL").groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.col("redirect"))).alias(f"__{s}") for s in _INVERSE))
@@ -137,8 +138,8 @@ def redirect_nonreciprocal(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     for s in _INVERSE:
         out = out.withColumn(s, F.coalesce(f"__{s}", s))
     before, after = F.create_map("side", F.col("target").cast("string")), F.create_map("side", F.col("redirect").cast("string"))
-    acted = findings(found.filter("redirect IS NOT NULL"), "action", "link-side-reference-nonreciprocal-redirected", "link", F.col("id"), F.col("side"), before, after)
-    warned = findings(found.filter("redirect IS NULL"), "warning", "link-side-reference-nonreciprocal-ambiguous", "link", F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("n_candidates").cast("string")), before)
+    acted = findings(found.filter("redirect IS NOT NULL"), "action", "link-side-reference-nonreciprocal-redirected", layer, F.col("id"), F.col("side"), before, after)
+    warned = findings(found.filter("redirect IS NULL"), "warning", "link-side-reference-nonreciprocal-ambiguous", layer, F.col("id"), F.concat(F.col("side"), F.lit(" "), F.col("n_candidates").cast("string")), before)
     return out.select(*links.columns), acted.unionByName(warned)
 
 
@@ -222,16 +223,16 @@ def orientation(links: DataFrame, nodes: DataFrame, groups: DataFrame, tolerance
     return rows.select("id", "grp", "swap", verdict.alias("verdict"), ((verdict == "fits") & turned).alias("flip"))
 
 
-def orient(links: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def orient(links: DataFrame, decisions: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links with ids swapped and polylines reversed where the verdict fits, findings)."""
     hit = decisions.filter("verdict = 'fits'").select("id", F.col("swap").alias("__swap"), F.col("flip").alias("__flip"))
     rows = links.join(hit, "id", "left")
     swap, flip = F.coalesce("__swap", F.lit(False)), F.coalesce("__flip", F.lit(False))
     out = rows.withColumns({"from_id": F.when(swap, F.col("to_id")).otherwise(F.col("from_id")), "to_id": F.when(swap, F.col("from_id")).otherwise(F.col("to_id")), "coords": F.when(flip, F.reverse("coords")).otherwise(F.col("coords"))}).select(*links.columns)
     what = F.concat_ws(" and ", F.when(F.col("swap"), "swap FromNodeID/ToNodeID"), F.when(F.col("flip"), "reverse polyline"))
-    acted = findings(decisions.filter("verdict = 'fits' AND (swap OR flip)"), "action", "link-orientation-reversed-repaired", "link", F.col("id"), what)
+    acted = findings(decisions.filter("verdict = 'fits' AND (swap OR flip)"), "action", "link-orientation-reversed-repaired", layer, F.col("id"), what)
     codes = {"invalid": "link-orientation-geometry-invalid", "unresolved": "link-orientation-endpoint-unresolved", "misaligned": "link-endpoint-misaligned"}
     code = F.element_at(F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)), F.col("verdict"))
-    warned = findings(decisions.filter(F.col("verdict").isin(*codes)), "warning", code, "link", F.col("id"), "")
-    skipped = findings(decisions.filter("verdict = 'skipped'").select("grp").distinct(), "warning", "link-orientation-reversed-ambiguous", "link", F.col("grp"), "no strict majority of votes")
+    warned = findings(decisions.filter(F.col("verdict").isin(*codes)), "warning", code, layer, F.col("id"), "")
+    skipped = findings(decisions.filter("verdict = 'skipped'").select("grp").distinct(), "warning", "link-orientation-reversed-ambiguous", layer, F.col("grp"), "no strict majority of votes")
     return out, acted.unionByName(warned).unionByName(skipped)

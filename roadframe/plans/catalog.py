@@ -245,11 +245,10 @@ def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.unresolved(t, TABLE_EDGES).select("layer", "id", "value")
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) AS target_id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS ids FROM orders GROUP BY o_custkey""")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS target_id, CAST(o_orderkey AS VARCHAR) AS id, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders""")
 def back_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
-    rows = integrity.back_references(integrity.resolved({k: t[k] for k in ("customer", "orders")}, [TABLE_EDGES[3]]))
-    return rows.select("target_id", F.array_join("ids", ",").alias("ids"))
+    return integrity.back_references(integrity.resolved({k: t[k] for k in ("customer", "orders")}, [TABLE_EDGES[3]])).select("target_id", "id", "n")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -99,6 +99,8 @@ def test_multi_target_survivor(spark):
     assert {r["target"] for r in integrity.resolved(layers, edges, "any").collect()} == {"a", "b"}
     assert integrity.resolved(layers, edges, "one").count() == 0
     assert one(integrity.resolved(layers, edges, "first"))["target"] == "a"
+    found = integrity.resolved(layers, edges, "any")
+    assert one(integrity.dependants_of(found, "b", "X"))["ids"] == ["C"]
     gone = integrity.cascade(layers, edges, spark.createDataFrame([("a", "X")], "layer string, id string"))
     assert {r["layer"] for r in gone.collect()} == {"a"}
     gone = integrity.cascade(layers, edges, spark.createDataFrame([("a", "X"), ("b", "X")], "layer string, id string"))
@@ -231,6 +233,7 @@ def test_load_map_repairs(spark, tmp_path):
     links = {r["id"]: r for r in ds.layers["A2_LINK"].collect()}
     assert set(links) == {"L1", "L2", "L4"} and {links["L2"]["from_node_id"], links["L2"]["to_node_id"]} == {"N2", "N3"} and links["L1"]["l_link_id"] is None
     assert {r["id"] for r in ds.layers["A1_NODE"].collect()} == {"N1", "N2", "N3"}
+    assert {r["layer"] for r in found.filter("code LIKE 'link-%'").collect()} == {"A2_LINK"}
     codes = {r["code"] for r in found.filter("kind = 'action'").collect()}
     assert {"link-too-short-removed", "link-endpoint-unresolved-assigned", "link-side-reference-longitudinal-cleared", "node-unreferenced-removed"} <= codes
     assert repair(ds)[1].filter("kind = 'action'").count() == 0
