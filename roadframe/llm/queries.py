@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, minhash, packing, passages, quality, secrets, suffixes
+from .oracles import SQL
 from .session import table
 
 
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {**SQL, "op10_chat_formatting": OP10_SQL}
