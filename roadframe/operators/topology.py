@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, first_point, last_point, polyline_length
-from .components import star_forest
+from .components import ensure_checkpoint_dir, star_forest
 from .conform import findings
 from .spatial import distance_join
 
 
+def _once(found: DataFrame) -> DataFrame:
+    """What a repair decides is read for the rows and for the findings: compute it once."""
+    ensure_checkpoint_dir(found.sparkSession)
+    return found.checkpoint()
+
+
 def lengths(links: DataFrame) -> DataFrame:
     return links.select("id", polyline_length(F.col("coords")).alias("length_m"))
 
@@ -77,7 +83,7 @@ def endpoint_candidates(links: DataFrame, nodes: DataFrame, tolerance: float = 0
 
 def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links with the one near node assigned and other dangling ends cleared, findings)."""
-    found = endpoint_candidates(links, nodes, tolerance)
+    found = _once(endpoint_candidates(links, nodes, tolerance))
     wide = found.groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.struct(F.lit(True).alias("open"), "node"))).alias(f"__{s}") for s in ("from", "to")))
     out = links.join(wide, "id", "left")
     for s in ("from", "to"):
@@ -109,7 +115,7 @@ def longitudinal(links: DataFrame) -> DataFrame:
 
 def clear_longitudinal(links: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links without such references, findings). The relation is mutual, so a reference back goes by itself."""
-    found = longitudinal(links)
+    found = _once(longitudinal(links))
     hit = found.groupBy("id").agg(*(F.max(F.col("side") == s).alias(f"__{s}") for s in _INVERSE))
     out = links.join(hit, "id", "left")
     for s in _INVERSE:
@@ -132,7 +138,7 @@ def nonreciprocal(links: DataFrame) -> DataFrame:
 
 def redirect_nonreciprocal(links: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(redirected links, findings). All decisions come from one snapshot, so link order does not matter."""
-    found = nonreciprocal(links)
+    found = _once(nonreciprocal(links))
     hit = found.filter("redirect IS NOT NULL").groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.col("redirect"))).alias(f"__{s}") for s in _INVERSE))
     out = links.join(hit, "id", "left")
     for s in _INVERSE:
@@ -159,7 +165,7 @@ def fill_reciprocal(rows: DataFrame, rules: list[tuple[str, str]], layer: str =
     """(rows with empty inverse references filled, findings), one rule after another."""
     parts, columns = [], rows.columns
     for column, inverse in rules:
-        state = reciprocal_state(rows, column, inverse)
+        state = _once(reciprocal_state(rows, column, inverse))
         fills = state.filter("state = 'fill'").select(F.col("target").alias("id"), F.col("id").alias("__new"))
         rows = rows.join(fills, "id", "left").withColumn(inverse, F.coalesce(inverse, "__new")).select(*columns)
         text = F.col("id").cast("string")
@@ -225,6 +231,7 @@ def orientation(links: DataFrame, nodes: DataFrame, groups: DataFrame, tolerance
 
 def orient(links: DataFrame, decisions: DataFrame, layer: str = "link") -> tuple[DataFrame, DataFrame]:
     """(links with ids swapped and polylines reversed where the verdict fits, findings)."""
+    decisions = _once(decisions)
     hit = decisions.filter("verdict = 'fits'").select("id", F.col("swap").alias("__swap"), F.col("flip").alias("__flip"))
     rows = links.join(hit, "id", "left")
     swap, flip = F.coalesce("__swap", F.lit(False)), F.coalesce("__flip", F.lit(False))
