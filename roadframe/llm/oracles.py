@@ -5,7 +5,7 @@ Byte windows (op6) take minutes there at sf0.01, and models and packing have no
 
 from __future__ import annotations
 
-from . import quality
+from . import divergence, licenses, quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -66,4 +66,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM fence x WHERE x.lang IS NOT DISTINCT FROM j.lang AND x.source IS NOT DISTINCT FROM j.source AND ({checks})) AS kept FROM j"""
 
 
-SQL = {"op3_near_duplicates": NEAR_DUPLICATES, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op9_quality_rules": _quality()}
+def _licenses() -> str:
+    known = [*((t, label, True) for t, label in licenses.PHRASES.items()), *((t, label, False) for t, label in licenses.TEMPLATES.items())]
+    values = ", ".join(f"({i}, '{t}', '{label}', {base})" for i, (t, label, base) in enumerate(known))
+    k = licenses.K
+    grams = "SELECT {0}, words, unnest(range(1, len(w) - %d)) AS p, w FROM {1} WHERE len(w) >= %d" % (k - 2, k)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format(_LOWER)} AS w FROM documents),
+t AS (SELECT *, len(w) AS words FROM (SELECT id, label, base, string_split(t, ' ') AS w FROM (VALUES {values}) v(id, t, label, base))),
+tg AS (SELECT id, label, base, words, p - 1 AS t, array_to_string(w[p : p + {k - 1}], ' ') AS g FROM ({grams.format("id, label, base", "t")})),
+dg AS (SELECT r, p - 1 AS i, array_to_string(w[p : p + {k - 1}], ' ') AS g FROM ({grams.format("r", "(SELECT *, 0 AS words FROM d)")})),
+hit AS (SELECT r, id, label, base, words, i - t AS diagonal, t FROM dg JOIN tg USING (g)),
+gap AS (SELECT *, least({k}, coalesce(t - lag(t) OVER (PARTITION BY r, id, diagonal ORDER BY t), {k})) AS adds FROM hit),
+diag AS (SELECT r, id, label, base, words, diagonal, diagonal + min(t) AS a, diagonal + max(t) + {k} AS b, sum(adds) / words AS alone FROM gap GROUP BY ALL),
+cut AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) > CASE WHEN base THEN 0 ELSE least({licenses.BAND}, words // 4) END, false) AS far FROM diag),
+chain AS (SELECT *, sum(CAST(far AS INT)) OVER (PARTITION BY r, id ORDER BY diagonal) AS chain FROM cut),
+held AS (SELECT DISTINCT r, id, chain, t FROM chain JOIN hit USING (r, id, diagonal)),
+both_gap AS (SELECT *, least({k}, coalesce(t - lag(t) OVER (PARTITION BY r, id, chain ORDER BY t), {k})) AS adds FROM held),
+together AS (SELECT r, id, chain, sum(adds) AS n FROM both_gap GROUP BY ALL),
+span AS (SELECT r, id, label, base, words, chain, min(a) AS a, max(b) AS b, max(alone) AS alone FROM chain GROUP BY ALL),
+found AS (SELECT r, label, base, words, a, greatest(alone, CASE WHEN b - a <= {licenses.LONGEST_SPAN} * words THEN n / words ELSE 0 END) AS share FROM span JOIN together USING (r, id, chain)),
+kept AS (SELECT * FROM found WHERE share >= CASE WHEN base OR words < {licenses.WHOLE_BELOW} THEN 1 ELSE {licenses.LEAST_SHARE} END),
+s AS (SELECT r, max(share) AS score FROM found GROUP BY r),
+l AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM kept GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN l ON l.r = d.r LEFT JOIN s ON s.r = d.r"""
+
+
+_SHARE = f"1 + (CAST({divergence.SCALE} AS HUGEINT) * ({{0}} + 2)) // ({{1}} + 2 * v)"
+_APART = "(p - q) * (p - q) // (p + q)"
+
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, {_SHARE.format("coalesce(n.n, 0)", "coalesce(gn.total, 0)")} AS p, {_SHARE.format("kept.n", "l.total")} AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_APART}) AS value FROM p a JOIN (SELECT lang, source, term, p AS q FROM p) b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST({_APART} AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
+SQL = {"op3_near_duplicates": NEAR_DUPLICATES, "op4_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op9_quality_rules": _quality(), "op11_license_scans": _licenses(), "op13_source_divergence": DIVERGENCE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, minhash, packing, passages, quality, secrets, suffixes
+from . import chat, decontaminate, divergence, langid, licenses, minhash, packing, passages, periods, quality, secrets, suffixes
 from .oracles import SQL
 from .session import table
 
@@ -79,8 +79,20 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op7_packed_matrices, op8_secret_scans, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op7_packed_matrices, op8_secret_scans, op9_quality_rules, op10_chat_formatting, op11_license_scans, op12_periodic_runs, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
