@@ -77,7 +77,7 @@ tg AS (SELECT id, label, base, words, p - 1 AS t, array_to_string(w[p : p + {k -
 dg AS (SELECT r, p - 1 AS i, array_to_string(w[p : p + {k - 1}], ' ') AS g FROM ({grams.format("r", "(SELECT *, 0 AS words FROM d)")})),
 hit AS (SELECT r, id, label, base, words, i - t AS diagonal, t FROM dg JOIN tg USING (g)),
 gap AS (SELECT *, least({k}, coalesce(t - lag(t) OVER (PARTITION BY r, id, diagonal ORDER BY t), {k})) AS adds FROM hit),
-diag AS (SELECT r, id, label, base, words, diagonal, diagonal + min(t) AS a, diagonal + max(t) + {k} AS b, sum(adds) / words AS alone FROM gap GROUP BY ALL),
+diag AS (SELECT r, id, label, base, words, diagonal, diagonal + min(t) AS a, diagonal + max(t) + {k} AS b, sum(adds) / words AS alone FROM gap GROUP BY r, id, label, base, words, diagonal),
 cut AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) > CASE WHEN base THEN 0 ELSE least({licenses.BAND}, words // 4) END, false) AS far FROM diag),
 chain AS (SELECT *, sum(CAST(far AS INT)) OVER (PARTITION BY r, id ORDER BY diagonal) AS chain FROM cut),
 held AS (SELECT DISTINCT r, id, chain, t FROM chain JOIN hit USING (r, id, diagonal)),
@@ -104,7 +104,7 @@ n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, ter
 gn AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
 p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, {_SHARE.format("coalesce(n.n, 0)", "coalesce(gn.total, 0)")} AS p, {_SHARE.format("kept.n", "l.total")} AS q
   FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
-pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_APART}) AS value FROM p a JOIN (SELECT lang, source, term, p AS q FROM p) b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_APART}) AS value FROM (SELECT lang, source, term, p FROM p) a JOIN (SELECT lang, source, term, p AS q FROM p) b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
 found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
   UNION ALL SELECT lang, source, 'term', term, CAST({_APART} AS BIGINT) FROM p WHERE n > 0 AND p > q),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
