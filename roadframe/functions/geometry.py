@@ -61,19 +61,70 @@ def open_ring(ring: Column, tolerance: float = 1e-8) -> Column:
     return F.when(same, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring)
 
 
+#: A closed ring has at least so many points.
+RING_POINTS = 4
+
+
 def valid_holes(holes: Column) -> Column:
-    return F.filter(holes, lambda h: F.size(h) >= 4)
+    return F.filter(holes, lambda h: F.size(h) >= RING_POINTS)
+
+
+def inside(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a ring, closed or not, surrounds a place: an odd number of its edges lies to the right of it."""
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+
+    def crossed(acc: Column, p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        spans = (a["y"] > y) != (b["y"] > y)
+        right = x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+        return F.when(spans & right, ~acc).otherwise(acc)
+
+    return F.coalesce(F.aggregate(_pairs(closed), F.lit(False), crossed), F.lit(False))
+
+
+def nested(parts: Column) -> Column:
+    """array<struct<ring, depth>>: each ring with the number of larger rings around it, in the given order.
+
+    Rings of one shape do not cross, so the middle of a ring's first edge stands for the whole ring.
+    """
+
+    def measured(r: Column) -> Column:
+        a, b = first_point(r), F.coalesce(F.try_element_at(r, F.lit(2)), first_point(r))
+        return F.struct(r.alias("ring"), area(r).alias("area"), ((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
+
+    def depths(rings: Column) -> Column:
+        return F.transform(rings, lambda r: F.struct(r["ring"].alias("ring"), F.size(F.filter(rings, lambda o: (o["area"] > r["area"]) & inside(o["ring"], r["x"], r["y"]))).alias("depth")))
+
+    # a list of one list, so that every ring is measured once
+    return F.element_at(F.transform(F.array(F.transform(parts, measured)), depths), 1)
+
+
+def polygon(parts: Column) -> Column:
+    """struct(outer: the first outer ring, n_outer, holes, n_bad: holes of too few points, which are left out).
+
+    Rings at even depths are outer rings, the others holes; which way a ring runs does not matter. One ring is an outer ring.
+    """
+
+    def split(rings: Column) -> Column:
+        outer = F.filter(rings, lambda r: r["depth"] % 2 == 0)
+        holes = F.transform(F.filter(rings, lambda r: r["depth"] % 2 == 1), lambda r: r["ring"])
+        good = valid_holes(holes)
+        return F.struct(F.try_element_at(outer, F.lit(1))["ring"].alias("outer"), F.size(outer).alias("n_outer"), good.alias("holes"), (F.size(holes) - F.size(good)).alias("n_bad"))
+
+    several = F.element_at(F.transform(F.array(nested(parts)), split), 1)
+    one = F.struct(F.try_element_at(parts, F.lit(1)).alias("outer"), F.size(parts).alias("n_outer"), F.slice(parts, 1, 0).alias("holes"), F.lit(0).alias("n_bad"))
+    return F.when(F.size(parts) > 1, several).when(parts.isNotNull(), one)
 
 
-def accepts(geom_kind: Column, parts: Column, kinds: tuple[str, ...]) -> Column:
-    """Why a geometry is rejected, or null: kind not accepted, several polygons, too few points."""
-    ring = F.try_element_at(parts, F.lit(1))
+def accepts(geom_kind: Column, parts: Column, kinds: tuple[str, ...], rings: Column) -> Column:
+    """Why a geometry is rejected, or null: kind not accepted, several polygons, too few points. rings is what polygon() makes of a polygon's parts."""
+    first = F.try_element_at(parts, F.lit(1))
     return (
         F.when(geom_kind.isNull() | (F.coalesce(F.size(parts), F.lit(0)) <= 0), F.lit("missing"))
         .when(~geom_kind.isin(*kinds), F.concat(F.lit("kind "), geom_kind))
-        .when((geom_kind == "polygon") & (F.size(parts) > 1), F.lit("several polygons"))
-        .when((geom_kind == "line") & (F.size(ring) < 2), F.lit("fewer than 2 points"))
-        .when((geom_kind == "polygon") & (F.size(ring) < 4), F.lit("fewer than 4 points"))
+        .when((geom_kind == "polygon") & (rings["n_outer"] > 1), F.lit("several polygons"))
+        .when((geom_kind == "line") & (F.size(parts) == 1) & (F.size(first) < 2), F.lit("fewer than 2 points"))
+        .when((geom_kind == "polygon") & (F.size(rings["outer"]) < RING_POINTS), F.lit("fewer than 4 points"))
     )
 
 

@@ -153,7 +153,7 @@ def typed(rows: DataFrame, layer: Layer, keep_unknown: bool = False) -> DataFram
     return rows.select(*cells)
 
 
-_POSITION = ("ord", "section", "source_path", "source_row", "geom_kind", "coords", "parts")
+_POSITION = ("ord", "section", "source_path", "source_row", "geom_kind", "coords", "holes", "parts")
 
 
 def repair_text(rows: DataFrame, layer: Layer, config: Config | None = None, feature_id: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,8 @@ POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
 COORDS = T.ArrayType(POINT)
 POSITION = [T.StructField("ord", T.LongType()), T.StructField("section", T.StringType()), T.StructField("source_path", T.StringType()), T.StructField("source_row", T.LongType())]
 GEOMETRY = [T.StructField("geom_kind", T.StringType()), T.StructField("coords", COORDS)]
+#: Interior rings, which layers of polygons have.
+HOLES = T.StructField("holes", T.ArrayType(COORDS))
 
 
 def snake_case(name: str) -> str:
@@ -81,7 +83,7 @@ class Layer:
     def struct(self) -> T.StructType:
         """The table of this layer after typing."""
         own = [T.StructField(f.column, f.spark_type) for f in self.fields]
-        return T.StructType(POSITION + own + GEOMETRY)
+        return T.StructType(POSITION + own + GEOMETRY + ([HOLES] if "polygon" in self.kinds else []))
 
 
 @dataclass(frozen=True)

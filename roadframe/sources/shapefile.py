@@ -1,24 +1,28 @@
 """Bulk ingest of map deliveries: find the layers' files, decode them in tasks, hand on tables.
 
-Files are listed and read by Spark (binaryFile), so any store it reaches will do. A task decodes one
-shapefile, whose format bounds it to 2 GB; all that follows is DataFrame work.
+Spark lists the files; tasks read ranges of their records (see ranges), or whole files where a store is open to Spark
+alone. All that follows is DataFrame work.
 """
 
 from __future__ import annotations
 
-import re
-import struct
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import asdict, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geometry import accepts, with_z
+from ..functions.geometry import accepts, polygon, with_z
 from ..operators.conform import check_numbers, column_plan, findings, typed, union_all
 from ..schema import Layer, Schema
 from ..specs import SCHEMAS
+from . import ranges
+from .lines import joined
+from .ranges import LayerFile, LayerFiles
+from .records import encoding_of
 
 SUFFIXES = (".dbf", ".shx", ".prj")
 
@@ -66,6 +70,7 @@ RECORDS = {
     "unknown-manual-column": "manual_column_unknown",
     "missing-geometry": "geometry_missing",
     "geometry-invalid": "geometry_invalid",
+    "geometry-hole-invalid": "geometry_invalid",
     "text-utf8-dbf-row-mismatch": "text_utf8_dbf_row_mismatch",
     "text-utf8-decode-replacement": "text_utf8_decode_replacement",
 }
@@ -93,159 +98,60 @@ def discover(files: DataFrame, schema: Schema, config: Config | None = None) ->
     return out, _reported(union_all([unknown, sidecar, missing]), config or Config(), DISCOVERY)
 
 
-#: The kinds of the shapefile format's shape types.
-_KINDS = {1: "point", 3: "line", 5: "polygon", 11: "point", 13: "line", 15: "polygon", 21: "point", 23: "line", 25: "polygon"}
-
-
-def parse_shp(raw: bytes) -> list[tuple[str | None, list[list[tuple[float, float, float]]]]]:
-    """(kind, parts of points) of every record; kind None for a missing geometry."""
-    out, at = [], 100
-    while at + 12 <= len(raw):
-        words = struct.unpack_from(">i", raw, at + 4)[0]
-        body, at = at + 8, at + 8 + 2 * words
-        code = struct.unpack_from("<i", raw, body)[0]
-        kind = _KINDS.get(code)
-        if kind is None:
-            out.append((None, []))
-        elif kind == "point":
-            x, y = struct.unpack_from("<2d", raw, body + 4)
-            z = struct.unpack_from("<d", raw, body + 20)[0] if code == 11 else 0.0
-            out.append((kind, [[(x, y, z)]]))
-        else:
-            n_parts, n = struct.unpack_from("<2i", raw, body + 36)
-            starts = [*struct.unpack_from(f"<{n_parts}i", raw, body + 44), n]
-            xy_at = body + 44 + 4 * n_parts
-            xy = struct.unpack_from(f"<{2 * n}d", raw, xy_at)
-            z = struct.unpack_from(f"<{n}d", raw, xy_at + 16 * n + 16) if code in (13, 15) else (0.0,) * n
-            points = list(zip(xy[0::2], xy[1::2], z, strict=True))
-            out.append((kind, [points[a:b] for a, b in zip(starts, starts[1:], strict=False) if a < b]))
-    return out
-
-
-def parse_dbf(raw: bytes) -> tuple[list[str], list[list[bytes]]]:
-    """(column names, rows of raw cells). Deleted rows stay, so that rows keep their place."""
-    n, head, size = struct.unpack_from("<IHH", raw, 4)
-    names, widths, at = [], [], 32
-    while at + 32 <= head and raw[at] != 0x0D:
-        names.append(raw[at : at + 11].split(b"\0")[0].decode("ascii", "replace"))
-        widths.append(raw[at + 16])
-        at += 32
-    rows = []
-    for r in range(n):
-        at = head + r * size + 1
-        row = []
-        for w in widths:
-            row.append(raw[at : at + w])
-            at += w
-        rows.append(row)
-    return names, rows
-
-
-_HALF_WIDTH = re.compile("[｡-ﾟ]")
-
-
-def decode_cells(rows: list[list[bytes]], declared: str | None, ratio_max: float) -> tuple[list[list[str]], list[tuple[int, int]], str]:
-    """(text cells, (row, column) of cells with replacements, encoding).
-
-    UTF-8 by default; CP949 if that fails or gives half-width katakana. A file that declares UTF-8 and
-    fails stays UTF-8 with replacement characters as long as few non-ASCII cells need them.
-    """
+def layer_files(spark: SparkSession, found: DataFrame) -> list[LayerFile]:
+    """The discovered files with the paths of their sidecars: one entry per file of a delivery, without contents."""
+    dirs = [r["dir"] for r in found.select("dir").distinct().collect()]
+    if not dirs:
+        return []
+    name = F.element_at(F.split("path", "/"), -1)
+    beside = spark.read.format("binaryFile").load([f"{d}/*" for d in dirs]).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.upper(F.regexp_replace(name, r"\.[^.]*$", "")).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"), F.col("path").alias("own")
+    )
+    rows = found.join(beside.filter(F.col("suffix").isin("shx", "dbf", "cpg")), ["dir", "stem"], "left")
+    wide = rows.groupBy("path", "layer", "section", "file_rank").agg(*(F.max(F.when(F.col("suffix") == s, F.col("own"))).alias(s) for s in ("shx", "dbf", "cpg")))
+    return sorted((LayerFile(**r.asDict()) for r in wide.collect()), key=lambda f: f.file_rank)
 
-    def cells(encoding: str, errors: str = "strict") -> list[list[str]]:
-        return [[c.decode(encoding, errors).strip("\0 ") for c in row] for row in rows]
 
-    try:
-        out = cells("utf-8")
-        if not any(_HALF_WIDTH.search(c) for row in out for c in row):
-            return out, [], "utf-8"
-        return cells("cp949", "replace"), [], "cp949"
-    except UnicodeDecodeError:
-        pass
-    if (declared or "").strip().upper().replace("-", "") in ("UTF8", "65001"):
-        out = cells("utf-8", "replace")
-        wide = sum(any(b > 127 for b in c) for row in rows for c in row)
-        bad = [(i, j) for i, row in enumerate(out) for j, c in enumerate(row) if "�" in c]
-        if wide and len(bad) / wide <= ratio_max:
-            return out, bad, "utf-8-replace"
-    return cells("cp949", "replace"), [], "cp949"
+def _source(spark: SparkSession, files: Sequence[LayerFile], **options: str) -> DataFrame:
+    spark.dataSource.register(LayerFiles)
+    return spark.read.format(LayerFiles.name()).options(files=json.dumps([asdict(f) for f in files]), **options).load()
 
 
-RAW = "layer string, section string, source_path string, source_row long, ord long, attributes map<string,string>, geom_kind string, parts array<array<struct<x:double,y:double,z:double>>>, issues array<string>"
+def encodings(spark: SparkSession, files: Sequence[LayerFile], ratio_max: float) -> dict[str, str]:
+    """The encoding of each file's attribute table, decided over all of its ranges."""
+    seen = _source(spark, files, mode="probe").groupBy("path").agg(F.min("valid").alias("valid"), F.max("half").alias("half"), F.sum("wide").alias("wide"), F.sum("bad").alias("bad"), F.max("declared").alias("declared"))
+    return {r["path"]: encoding_of(r["valid"], r["half"], r["wide"], r["bad"], r["declared"], ratio_max) for r in seen.collect()}
 
 
-def read_raw(spark: SparkSession, found: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row per record of the discovered files: raw attribute texts and geometry parts. issues names each cell, or the file, with decoding trouble."""
-    ratio = (config or Config()).utf8_invalid_ratio_max
-    dirs = [r["dir"] for r in found.select("dir").distinct().collect()]
-    if not dirs:
-        return spark.createDataFrame([], RAW)
-    content = spark.read.format("binaryFile").load([f"{d}/*" for d in dirs]).select("path", "content")
-    name = F.element_at(F.split("path", "/"), -1)
-    content = content.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.upper(F.regexp_replace(name, r"\.[^.]*$", "")).alias("stem"), F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)).alias("suffix"), "content").filter(F.col("suffix").isin(".shp", ".dbf", ".cpg"))
-    wide = found.join(content, ["dir", "stem"]).groupBy("path", "layer", "section", "file_rank").agg(*(F.max(F.when(F.col("suffix") == s, F.col("content"))).alias(s[1:]) for s in (".shp", ".dbf", ".cpg")))
+def _read_whole(spark: SparkSession, files: Sequence[LayerFile], ratio_max: float) -> DataFrame:
+    """Files in a store that only Spark reads: one task decodes a file, whose format bounds it to 2 GB."""
+    known = spark.createDataFrame([(f.path, p, s) for f in files for s, p in (("shp", f.path), ("dbf", f.dbf), ("cpg", f.cpg)) if p], "file string, path string, suffix string")
+    content = spark.read.format("binaryFile").load([p for f in files for p in (f.path, f.dbf, f.cpg) if p]).select("path", "content")
+    wide = known.join(content, "path").groupBy("file").agg(*(F.max(F.when(F.col("suffix") == s, F.col("content"))).alias(s) for s in ("shp", "dbf", "cpg")))
+    by_path = {f.path: f for f in files}
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.itertuples(index=False):
-                shapes = parse_shp(file.shp)
-                names, cells = parse_dbf(file.dbf) if file.dbf is not None else ([], [])
-                declared = file.cpg.decode("ascii", "replace") if file.cpg is not None else None
-                texts, bad, _ = decode_cells(cells, declared, ratio)
-                issues: dict[int, list[str]] = {}
-                if names and len(texts) != len(shapes):
-                    issues[0] = ["text-utf8-dbf-row-mismatch"]
-                for i, j in bad:
-                    issues.setdefault(i, []).append(f"text-utf8-decode-replacement {names[j]}")
-                out = []
-                for i, (kind, parts) in enumerate(shapes):
-                    values = dict(zip(names, texts[i], strict=True)) if i < len(texts) else {}
-                    shaped = [[{"x": x, "y": y, "z": z} for x, y, z in part] for part in parts]
-                    out.append((file.layer, file.section, file.path, i, file.file_rank * 2**40 + i, values, kind, shaped, issues.get(i)))
-                    if len(out) == 5000:
-                        yield _frame(out)
-                        out = []
-                yield _frame(out)
-
-    # one task per file; the number of files of a delivery bounds it
-    n = max(1, wide.count())
-    return wide.repartition(n, "path").mapInPandas(decode, RAW)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["layer", "section", "source_path", "source_row", "ord", "attributes", "geom_kind", "parts", "issues"])
-
-
-def stitch(parts: list[list[dict]], tolerance: float) -> list[dict] | None:
-    """One line from parts that join end to end, else None. Ends within the tolerance count as one place."""
-    if len(parts) <= 1:
-        return parts[0] if parts else None
-    ends: list[tuple[float, float]] = []
-
-    def place(p: dict) -> int:
-        for i, (x, y) in enumerate(ends):
-            if (p["x"] - x) ** 2 + (p["y"] - y) ** 2 <= tolerance**2:
-                return i
-        ends.append((p["x"], p["y"]))
-        return len(ends) - 1
-
-    at = [(place(p[0]), place(p[-1])) for p in parts]
-    degree: dict[int, int] = {}
-    for a, b in at:
-        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-    tips = [i for i, d in degree.items() if d == 1]
-    if any(d > 2 for d in degree.values()) or len(tips) not in (0, 2):
-        return None
-    here, left = (tips[0] if tips else at[0][0]), set(range(len(parts)))
-    line: list[dict] = []
-    while left:
-        nxt = next((i for i in sorted(left) if here in at[i]), None)
-        if nxt is None:
-            return None
-        part, (a, b) = parts[nxt], at[nxt]
-        line += (part if a == here else part[::-1])[bool(line) :]
-        here = b if a == here else a
-        left.remove(nxt)
-    return line
+            for path, shp, dbf, cpg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from ranges.whole(by_path[path], shp, dbf, cpg, ratio_max)
+
+    return wide.repartition(len(files), "file").mapInArrow(decode, ranges.RAW)
+
+
+def read_raw(spark: SparkSession, found: DataFrame, config: Config | None = None, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """One row per record of the discovered files: raw attribute texts and geometry parts. issues names each cell, or the file, with decoding trouble.
+
+    Files are read in ranges of records by as many tasks as they are long. Records whose attributes are marked as
+    deleted are left out.
+    """
+    ratio = (config or Config()).utf8_invalid_ratio_max
+    files = layer_files(spark, found)
+    if not files:
+        return spark.createDataFrame([], ranges.RAW)
+    if not ranges.in_reach(files[0].path):
+        return _read_whole(spark, files, ratio)
+    decided = encodings(spark, files, ratio)
+    return _source(spark, [replace(f, encoding=decided.get(f.path, "utf-8")) for f in files], range_bytes=str(range_bytes))
 
 
 def _cell(same: list[str], canonical: set[str]) -> Column:
@@ -272,24 +178,29 @@ def layer_table(raw: DataFrame, layer: Layer, config: Config | None = None, keep
         by_lower.setdefault(n.lower(), []).append(n)
     canonical = {f.name for f in layer.fields}
     flat = rows.select("ord", "section", "source_path", "source_row", "geom_kind", "parts", "issues", *(_cell(same, canonical) for same in by_lower.values()))
-    reason = accepts(F.col("geom_kind"), F.col("parts"), layer.kinds)
-    judged = flat.withColumn("reason", reason)
+    is_polygon = F.coalesce(F.col("geom_kind") == "polygon", F.lit(False))
+    ringed = flat.withColumn("rings", F.when(is_polygon, polygon(F.col("parts"))))
+    judged = ringed.withColumn("reason", accepts(F.col("geom_kind"), F.col("parts"), layer.kinds, F.col("rings")))
     several = F.coalesce((F.col("geom_kind") == "line") & (F.size("parts") > 1), F.lit(False))
     tolerance = config.multipart_snap_tolerance_m
 
-    @F.pandas_udf("array<struct<x:double,y:double,z:double>>")
-    def joined(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: None if p is None else stitch([list(x) for x in p], tolerance))
+    @F.arrow_udf("array<struct<x:double,y:double,z:double>>")
+    def stitched(parts: pa.Array) -> pa.Array:
+        return joined(parts, tolerance)
 
-    coords = F.when(several, joined("parts")).otherwise(F.try_element_at("parts", F.lit(1)))
+    # the function sees lists of parts of lines that have several
+    coords = F.when(several, stitched(F.when(several, F.col("parts")))).when(is_polygon, F.col("rings.outer")).otherwise(F.try_element_at("parts", F.lit(1)))
     judged = judged.withColumn("coords", F.when(F.col("reason").isNull(), with_z(coords))).withColumn("reason", F.when(F.col("reason").isNull() & F.col("coords").isNull(), "parts do not join").otherwise(F.col("reason")))
+    if "polygon" in layer.kinds:
+        judged = judged.withColumn("holes", F.transform("rings.holes", with_z))
     missing = F.col("reason") == "missing"
     bad = findings(judged.filter("reason IS NOT NULL"), "warning", F.when(missing, "missing-geometry").otherwise("geometry-invalid"), layer.name, F.lit(""), F.concat_ws(" ", F.col("reason"), F.lit("row"), F.col("source_row").cast("string")), source_path=F.col("source_path"))
     told = judged.select("source_path", F.explode("issues").alias("issue"))
     trouble = findings(told, "warning", F.substring_index("issue", " ", 1), layer.name, F.lit(""), F.col("issue"), source_path=F.col("source_path"))
-    whole = judged.filter("reason IS NULL").drop("reason", "issues", "parts")
+    bad_holes = findings(judged.filter("reason IS NULL AND rings.n_bad > 0"), "warning", "geometry-hole-invalid", layer.name, F.lit(""), F.concat_ws(" ", F.lit("row"), F.col("source_row").cast("string")), source_path=F.col("source_path"))
+    whole = judged.filter("reason IS NULL").drop("reason", "issues", "parts", "rings")
     good = typed(whole, layer, keep_unknown)
-    found = union_all([x for x in (columns, bad, trouble) if x is not None])
+    found = union_all([x for x in (columns, bad, bad_holes, trouble) if x is not None])
     return good, _reported(found, config, RECORDS).unionByName(check_numbers(whole, layer, config))
 
 

@@ -262,6 +262,8 @@ def _odd_delivery(folder):
     (folder / "A1_NODE.cpg").write_bytes(b"UTF-8")
     (folder / "A2_LINK.shp").write_bytes(_shp([_poly(3, [[(0, 0), (1, 1)], [(5, 5), (6, 6)]]), _poly(3, [[(1, 2), (3, 4)]])]))
     (folder / "A2_LINK.dbf").write_bytes(_dbf(["ID", "FromNodeID", "ToNodeID"], [[b"L1", b"N1", b"N2"]]))
+    (folder / "A3_DRIVEWAYSECTION.shp").write_bytes(_shp([_poly(5, [[(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(2, 2), (3, 2), (2, 2)]])]))
+    (folder / "A3_DRIVEWAYSECTION.dbf").write_bytes(_dbf(["ID"], [[b"D1"]]))
     (folder / "ZZ.shp").write_bytes(_shp([]))
 
 
