@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .session import text_rows
+from .session import cut, text_rows
 
 #: Words of a k-gram: those of the shortest phrase.
 K = 3
@@ -155,7 +155,8 @@ def spans(voted: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, places (label, start, end, share of every verified span, by start) and score, the best share of any span, for every row."""
-    voted = votes(docs, phrases, templates)
+    # a row per text and diagonal: the k-grams are made once
+    voted = cut(votes(docs, phrases, templates))
     found = spans(voted)
     needed = F.when(F.col("base") | (F.col("words") < WHOLE_BELOW), F.lit(1.0)).otherwise(F.lit(LEAST_SHARE))
     place = F.when(F.col("share") >= needed, F.struct("start", "label", "end", "base", "share"))
