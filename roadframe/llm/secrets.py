@@ -31,6 +31,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN_LEAST = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}"
+#: What stands for a fixed pattern's match while ordinary tokens are taken, and those: whole tokens that touch no match.
+HIDDEN = "\x01"
+PLAIN = r"(?<![\x01A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}+(?!\x01)"
 #: Documents that the labelled sample holds on average, at most.
 SAMPLE_DOCS = 20_000
 #: Added to each pair count, and the log-likelihood ratio from which a token counts as random.
@@ -38,19 +41,52 @@ SMOOTHING, LEAST_RATIO = 0.5, 12.0
 MASK = "[secret]"
 
 
+#: Items of an array that are summed up at once, and characters of a text that are cut at once.
+BLOCK, CUT = 128, 1024
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scanned(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Before each of a few numbers, what those in front of it merge to, from 0."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+    return F.aggregate(values, zero, lambda acc, v: F.struct(merge(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The same for many numbers: each block by itself, then the blocks, since a list that grows by one is copied each time."""
+
+    def blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / BLOCK).cast("int")
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.expr("CAST(array() AS array<array<int>>)"))
+
+    def joined_blocks(cut: Column) -> Column:
+        before = _scanned(F.transform(cut, lambda x: F.aggregate(x, F.lit(0), merge)), merge)
+        return F.flatten(F.zip_with(cut, before, lambda x, front: F.transform(_scanned(x, merge), lambda y: merge(front, y))))
+
+    return bound(bound(values, blocks), joined_blocks)
+
+
 def located(text: Column, pattern: str, value_group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, from the text between them."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = found if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    cells = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    more = [] if value_group == 0 else [F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value")]
+    cells = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), *more)
+
+    def places(m: Column) -> Column:
+        before = running(F.transform(m, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda x, y: x + y)
+
+        def place(x: Column, at: Column) -> Column:
+            start = at + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["value" if more else "hit"].alias("value"))
 
-    def step(acc: Column, cell: Column) -> Column:
-        start = acc["at"] + F.length(cell["gap"])
-        end = start + F.length(cell["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), cell["value"].alias("value")))).alias("out"))
+        return F.zip_with(m, before, place)
 
-    return F.aggregate(cells, zero, step, lambda acc: acc["out"])
+    # the last gap has no match behind it
+    return bound(bound(cells, lambda c: F.slice(c, 1, F.size(c) - 1)), places)
 
 
 def _none() -> Column:
@@ -70,18 +106,17 @@ def base_matches(text: Column) -> dict[str, Column]:
 
 
 def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, random): tokens of a bounded sample of documents, labelled by the fixed patterns."""
+    """(token, random): tokens of a bounded sample of documents, labelled by the fixed patterns; tokens that touch no match are ordinary."""
     rows = text_rows(docs, "doc_id", "text").filter("text IS NOT NULL")
     n = rows.count()
     # by id and text, so that copies of one text enter one by one
     part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
     text = F.col("text")
-    found = base_matches(text)
-    secret = F.transform(F.concat(*(found[k] for k in KINDS[:3])), lambda m: m["value"])
-    labelled = part.select(F.array_distinct(secret).alias("secret"), F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0)).alias("tokens"))
+    found = part.select("text", F.struct(*(c.alias(k) for k, c in base_matches(text).items())).alias("found"))
+    every = F.concat(*(F.col("found")[k] for k in KINDS[:3]))
+    labelled = found.select(F.array_distinct(F.transform(every, lambda m: m["value"])).alias("secret"), F.regexp_extract_all(_blanked(text, F.array_sort(every), HIDDEN), F.lit(PLAIN), F.lit(0)).alias("tokens"))
     hit = labelled.select(F.explode("secret").alias("token"), F.lit(True).alias("random"))
-    holds = F.exists("secret", lambda s: s.contains(F.col("token")) | F.col("token").contains(s))
-    plain = labelled.select("secret", F.explode("tokens").alias("token")).filter(~holds).select("token", F.lit(False).alias("random"))
+    plain = labelled.select(F.explode("tokens").alias("token"), F.lit(False).alias("random"))
     # ordinary words are written in capitals as well
     return hit.unionByName(plain).unionByName(plain.select(F.upper("token").alias("token"), "random"))
 
@@ -118,18 +153,38 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(codes, zero, step, lambda acc: acc["sum"])
 
 
-def _spliced(text: Column, found: Column, put: Callable[[Column, Column], Column]) -> Column:
-    """text with put(span, start) in place of each of the spans found, which ascend by start and may overlap."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def _piece(cuts: Column, start: Column, end: Column) -> Column:
+    """Characters start to end - 1 of a text in pieces of CUT characters; only the pieces concerned are looked at."""
+    a, b = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+    head = F.substring(F.get(cuts, a), start - a * CUT + 1, F.lit(CUT))
+    tail = F.coalesce(F.substring(F.get(cuts, b), F.lit(1), end - b * CUT), F.lit(""))
+    across = F.concat(head, F.array_join(F.slice(cuts, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), tail)
+    return F.when(start >= end, F.lit("")).when(a == b, F.substring(F.get(cuts, a), start - a * CUT + 1, end - start)).otherwise(across)
+
+
+def _spliced(text: Column, found: Column, put: Callable[[Column, Column, Column], Column]) -> Column:
+    """text with put(start, end, new) in place of each of the spans found, which ascend by start and may overlap.
+
+    What an earlier span covers is not put again: start is where the rest of a span begins, and new tells that the span
+    overlaps none before it.
+    """
+
+    def whole(x: Column) -> Column:
+        def step(s: Column, reached: Column) -> Column:
+            start = F.greatest(s["start"], reached)
+            return F.concat(_piece(x["cuts"], reached, start), put(start, F.greatest(s["end"], start), s["start"] >= reached))
+
+        reach = running(F.transform(x["found"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        end = F.array_max(F.transform(x["found"], lambda s: s["end"]))
+        return F.concat(F.array_join(F.zip_with(x["found"], reach, step), ""), _piece(x["cuts"], end, F.length(text)))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0)).alias("cuts"), found.alias("found"))
+    return F.when(F.size(found) > 0, bound(parts, whole)).otherwise(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        # what an earlier span has covered is not put again
-        start = F.greatest(s["start"], acc["at"])
-        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
-        return F.struct(F.when(s["end"] > acc["at"], F.concat(acc["out"], gap, put(s, start))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    whole = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+def _blanked(text: Column, found: Column, by: str = " ") -> Column:
+    """text with spaces, or another character, in place of the spans found."""
+    return _spliced(text, found, lambda start, end, new: F.repeat(F.lit(by), end - start))
 
 
 def found_spans(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -144,7 +199,7 @@ def found_spans(docs: DataFrame, model: list[float]) -> DataFrame:
         return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     rows = rows.withColumn("base", F.array_sort(F.concat(*(marked(k, found[k]) for k in KINDS[:3]))))
-    rows = rows.withColumn("open", _spliced(F.col("text"), F.col("base"), lambda s, start: F.repeat(F.lit(" "), s["end"] - start)))
+    rows = rows.withColumn("open", _blanked(F.col("text"), F.col("base")))
     left = F.col("open")
     random = F.when(left.rlike(TOKEN), F.filter(located(left, TOKEN), lambda m: ratio(m["value"], model) >= LEAST_RATIO)).otherwise(_none())
     return rows.select("row", "base", F.array_sort(F.concat("base", marked("random", random))).alias("spans"))
@@ -164,12 +219,7 @@ def masked(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by MASK, overlapping ones by one; all other columns and rows stay, null texts too."""
     found = found_spans(docs, train(labelled_tokens(docs)))
     text = F.col("row").getField("text")
-    merged = F.aggregate(
-        "spans",
-        F.expr("CAST(array() AS array<struct<start:int,end:int>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    clean = _spliced(text, merged, lambda s, start: F.lit(MASK))
+    clean = _spliced(text, F.col("spans"), lambda start, end, new: F.when(new, F.lit(MASK)).otherwise(F.lit("")))
     return found.select(*((clean if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 

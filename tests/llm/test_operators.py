@@ -622,3 +622,29 @@ def test_pipeline_stages_equal_plain_ones(spark, rows, tmp_path):
     none = docs.limit(0)
     for name, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0, name
+
+
+def test_secret_scans_of_a_text_with_many_matches(spark):
+    """100,000 matches in one text, some of which overlap: spans as the patterns find them, in time that follows the text."""
+    import time
+
+    rng = random.Random(12)
+    made = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(1000)]
+    forms = ["{0} é", "token={0},", "\n{0}G", "secret: '{0}' x"]
+    text = "".join(forms[i % 4].format(made[rng.randrange(1000)]) for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "plain words"), (3, made[0])], "doc_id long, text string")
+    began = time.time()
+    row = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert time.time() - began < 120
+    want = []
+    for rank, (kind, pattern, least) in enumerate((("assign", secrets.ASSIGN, 6), ("access", secrets.ACCESS, 20), ("hex", secrets.HEX, 24))):
+        want += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if len(m[2] if kind == "assign" else m[0]) >= least]
+    assert [tuple(s) for s in row[1]["base"]] == sorted(want) and len(want) > 140_000
+    assert row[3]["base"] and not row[2]["spans"]
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    out, at = [], 0
+    for s in row[1]["spans"]:
+        if s["end"] > at:
+            out += [text[at : max(s["start"], at)], secrets.MASK * (s["start"] >= at)]
+        at = max(at, s["end"])
+    assert masked[1] == "".join(out) + text[at:] and masked[2] == "plain words"
