@@ -729,6 +729,9 @@ def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.counts(layers).groupBy("layer", "section").agg(F.max("n").alias("n"))
 
 
+from . import deliveries  # noqa: E402,F401  registers its own
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
