@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .session import text_rows, written
+from .session import cut, text_rows, written
 
 #: What stands between terms: all ASCII characters that are not letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,11 +34,13 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 #: Frequencies are counted in parts of this, which is BASE ** 3.
 SCALE, BASE = 1_000_000_000, 1000
 #: Bytes of text counted at once, and partial counts that a task gathers before it sends them.
-CHUNK_BYTES, GATHERED = 4 << 20, 500_000
+CHUNK_BYTES, GATHERED = 1 << 20, 250_000
 #: Cells of a shard's matrix: at least so many, and so many times the pairs of sources that its sums give.
 SHARD_CELLS, CELLS_PER_PAIR = 1 << 16, 16
 #: Cells whose divergences are computed at once.
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 18
+#: Languages up to this number are sent to all tasks; more are joined like any table.
+SENT_LANGS = 100_000
 
 PARTIAL_DDL = "lang string, source string, term string, n long, docs long"
 _PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -87,12 +89,14 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it); the row of term '' has the documents of its group."""
     rows = text_rows(docs, "lang", "source", "text").select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    return rows.mapInArrow(_partial_counts, PARTIAL_DDL).groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed their rows; dealt by term, so that the next step finds all sources of a term together
+    return rows.mapInArrow(_partial_counts, PARTIAL_DDL).repartition("lang", "term").groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, term of what at least so many documents of a language hold."""
-    return counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("lang", "term")
+    """lang, source, term, n of the terms that at least so many documents of a language hold, and all rows of term ''."""
+    held = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return counts.withColumn("held", held).filter((F.col("held") >= least_docs) | (F.col("term") == "")).select(*_KEYS, "n")
 
 
 def frequency(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -166,14 +170,15 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     A pair row holds the divergence of a group from another source of its language over all kept terms; a term row
     one of the TOP_TERMS terms that are more frequent in the group than in its language and lie furthest apart.
     """
-    counts = written(term_counts(docs))
-    kept = written(counts.join(kept_terms(counts, least_docs), ["lang", "term"], "left_semi").select(*_KEYS, "n"))
-    groups = counts.filter("term = ''").select("lang", "source")
+    found = written(kept_terms(term_counts(docs), least_docs))
+    groups, kept = found.filter("term = ''").select("lang", "source"), found.filter("term <> ''")
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     n_sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     per_shard = F.greatest(F.lit(SHARD_CELLS) / F.col("sources"), CELLS_PER_PAIR * F.col("sources"))
-    langs = n_sources.join(terms, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.greatest(F.ceil(F.col("v") / per_shard), F.lit(1)).cast("int").alias("shards"))
+    langs = cut(n_sources.join(terms, "lang", "left")).select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.greatest(F.ceil(F.col("v") / per_shard), F.lit(1)).cast("int").alias("shards"))
+    if langs.count() <= SENT_LANGS:
+        langs = F.broadcast(langs)
     # every shard knows all sources of its language
     heads = groups.join(sizes, ["lang", "source"], "left").join(langs, "lang")
     heads = heads.select("lang", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "source", F.lit(None).cast("string").alias("term"), F.coalesce("n", F.lit(0)).alias("n"), "v")
