@@ -17,7 +17,7 @@ The piece that follows a window is rarely at a sample, so its rank is a 64-bit f
 hand; step 3 compares such fingerprints of whole windows (step 1 32 bits of them, as a filter). Fingerprints of
 up to WINDOW bytes are equal for unequal strings only by chance. A string that repeats inside one
 chunk is settled there, and documents whose whole text equals an earlier one are settled before. Texts are
-shuffled once, by key.
+shuffled twice, by key: for the rounds of step 2 and for all that follows, which both take the samples of step 1.
 
 Defined results: null and empty texts have no bytes; of rows that share a doc_id, equal ones share their result
 and others count as documents in a fixed order; extra columns are ignored; an empty table gives no rows.
