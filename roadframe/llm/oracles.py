@@ -42,13 +42,14 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce
 
 def _quality() -> str:
     value = {"mean_word": "word_chars / greatest(n_words, 1)", "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
-    cells = "\nUNION ALL ".join(f"SELECT lang, source, '{f}' AS f, {slack} AS slack, CAST(floor(ln({value[f]} + {quality.SHIFT}) / ln({quality.GAMMA})) AS INT) AS b FROM good" for f, slack in quality.FEATURES.items())
-    parts = []
+    cells = "\nUNION ALL ".join(f"SELECT lang, source, '{f}' AS f, {r.base}e0 AS base_q, {r.high}e0 AS high_q, {r.spread}e0 AS spread, {r.two_sided} AS sym, CAST(floor(ln({value[f]} + {quality.SHIFT}) / ln({quality.GAMMA})) AS INT) AS b FROM good" for f, r in quality.FEATURES.items())
+    parts, rule = [], "f, base_q, high_q, spread, sym"
     for level, keys in (("g", "lang, source, "), ("l", "lang, "), ("c", "")):
-        quart = ", ".join(f"min(CASE WHEN upto >= {q} * total THEN greatest(pow({quality.GAMMA}, b + 0.5) - {quality.SHIFT}, 0.0) END) AS {name}" for name, q in (("q1", 0.25), ("q3", 0.75)))
-        parts.append(f"""{level}h AS (SELECT {keys}f, slack, b, count(*) AS n FROM cell GROUP BY {keys}f, slack, b),
+        cuts = ", ".join(f"min(CASE WHEN upto >= floor({q}_q * (total - 1)) + 1 THEN greatest(pow({quality.GAMMA}, b + 0.5) - {quality.SHIFT}, 0.0) END) AS {q}" for q in ("base", "high"))
+        width = f"greatest(spread * (high - base), {quality.LEAST_WIDTH})"
+        parts.append(f"""{level}h AS (SELECT {keys}{rule}, b, count(*) AS n FROM cell GROUP BY {keys}{rule}, b),
 {level}u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}f) AS total FROM {level}h),
-{level} AS (SELECT {keys}f, n, q1 - greatest({quality.SPREAD} * (q3 - q1), slack) AS lo, q3 + greatest({quality.SPREAD} * (q3 - q1), slack) AS hi FROM (SELECT {keys}f, slack, max(total) AS n, {quart} FROM {level}u GROUP BY {keys}f, slack))""")
+{level} AS (SELECT {keys}f, n, CASE WHEN sym THEN base - {width} ELSE -1.0 END AS lo, high + {width} AS hi FROM (SELECT {keys}{rule}, max(total) AS n, {cuts} FROM {level}u GROUP BY {keys}{rule}))""")
     blend = ", ".join(f"g.n / (g.n + {quality.PRIOR}) * g.{x} + (1 - g.n / (g.n + {quality.PRIOR})) * (l.n / (l.n + {quality.PRIOR}) * l.{x} + (1 - l.n / (l.n + {quality.PRIOR})) * c.{x}) AS {x}" for x in ("lo", "hi"))
     checks = " OR ".join(f"(x.f = '{f}' AND NOT ({v} BETWEEN x.lo AND x.hi))" for f, v in value.items())
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),

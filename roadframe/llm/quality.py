@@ -12,7 +12,8 @@ sources are groups of their own; repeated rows give one row each; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,23 @@ MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 GAMMA, SHIFT = 1.02, 1e-3
 #: A group of so many documents weighs as much as its language, and a language as much as the corpus.
 PRIOR = 200
-#: Fences lie this many interquartile ranges outside the quartiles, and at least this slack, which is
-#: the width where most documents show nothing of a feature and the ranges are 0.
-SPREAD = 6.0
-FEATURES = {"mean_word": 2.0, "symbol_share": 0.05, "dup_share": 0.4, "repeat_share": 0.25}
+
+
+@dataclass(frozen=True)
+class Fence:
+    """A feature's fences: above its quantile `high` by `spread` times the way from the quantile `base` up to it, and as far below base if two_sided."""
+
+    base: float
+    high: float
+    spread: float
+    two_sided: bool = False
+
+
+#: Word lengths spread around their middle. The others are 0 in most documents: symbols are rare where text is clean, so
+#: their fence starts where a tenth of the documents show more; some repeated lines and words are ordinary.
+FEATURES = {"mean_word": Fence(0.25, 0.75, 6.0, two_sided=True), "symbol_share": Fence(0.5, 0.9, 1.0), "dup_share": Fence(0.5, 0.99, 1.0), "repeat_share": Fence(0.5, 0.99, 1.5)}
+#: The least width, where both quantiles fall into one bucket.
+LEAST_WIDTH = 0.01
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -99,6 +113,11 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.filter(~_base_failed()).select("lang", "source", F.inline(cells)).groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
 
 
+def _by_feature(of: Callable[[Fence], float | bool]) -> Column:
+    """A parameter of the row's feature."""
+    return F.element_at(F.create_map(*(F.lit(x) for f, rule in FEATURES.items() for x in (f, of(rule)))), F.col("feature"))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
     """lang, source, and lo_/hi_ for each feature: the fences that hold for each group.
 
@@ -112,8 +131,13 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         by = Window.partitionBy(*keys, "feature")
         seen = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
         value = F.greatest(F.pow(F.lit(GAMMA), F.col("bucket") + 0.5) - SHIFT, F.lit(0.0))
-        quart = seen.groupBy(*keys, "feature").agg(F.max("total").alias("n"), *(F.min(F.when(F.col("upto") >= q * F.col("total"), value)).alias(a) for a, q in (("q1", 0.25), ("q3", 0.75))))
-        wide = quart.groupBy(*keys).agg(F.max("n").alias(f"{level}_n"), *(F.max(F.when(F.col("feature") == f, F.struct((F.col("q1") - F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.lit(slack))).alias("lo"), (F.col("q3") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.lit(slack))).alias("hi")))).alias(f"{level}_{f}") for f, slack in FEATURES.items()))
+        # the value at a rank leaves out the largest one where a quantile is cut among few documents
+        at = {q: F.floor(_by_feature(lambda r: getattr(r, q)) * (F.col("total") - 1)) + 1 for q in ("base", "high")}
+        cuts = seen.groupBy(*keys, "feature").agg(F.max("total").alias("n"), *(F.min(F.when(F.col("upto") >= rank, value)).alias(q) for q, rank in at.items()))
+        width = F.greatest(_by_feature(lambda r: r.spread) * (F.col("high") - F.col("base")), F.lit(LEAST_WIDTH))
+        low = F.when(_by_feature(lambda r: r.two_sided), F.col("base") - width).otherwise(F.lit(-1.0))
+        cuts = cuts.select(*keys, "feature", "n", F.struct(low.alias("lo"), (F.col("high") + width).alias("hi")).alias("fence"))
+        wide = cuts.groupBy(*keys).agg(F.max("n").alias(f"{level}_n"), *(F.max(F.when(F.col("feature") == f, F.col("fence"))).alias(f"{level}_{f}") for f in FEATURES))
         fences[level] = wide
     g, lang, corpus = fences["g"], fences["l"].withColumnRenamed("lang", "l_lang"), fences["c"]
     # one row for the corpus and one per language: aggregates without further growth

@@ -116,6 +116,35 @@ def test_suffixes(rows, docs, empty, window, head):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_suffixes_of_long_texts_and_shared_ids(spark):
+    """A text longer than a chunk that repeats itself and others; rows of one doc_id, and rows without one."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    body = [" ".join(rng.choice(words) for _ in range(20_000)) for _ in range(5)]
+    long = passage + body[0] + body[1] + passage + body[2] + body[3] + passage + body[4] + body[0][:5000]
+    assert len(long) > suffixes.CHUNK
+    data = [(1, "x " + passage), (2, long), (3, body[4][-3000:] + body[1][:3000]), (9, passage[:99]), (10, passage[:100])]
+    seen, want = set(), {}
+    for i, t in data:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for j in range(len(raw) - 99):
+            if raw[j : j + 100] in seen:
+                gone[j : j + 100] = b"\1" * 100
+            seen.add(raw[j : j + 100])
+        want[i] = (len(raw), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and want[2][2] == 4 and want[9][1] == 0 and want[10][1] == 100
+    # equal rows share their result; of other rows of one id the later one loses what they share; rows without an id come first
+    shared = [(4, passage), (4, passage), (4, passage + "!"), (7, passage), (None, "q" + passage[:150])]
+    found = [(r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(spark.createDataFrame(shared, "doc_id long, text string")).collect()]
+    n = len(passage)
+    assert len(found) == 5 and {r for r in found if r[0] in (0, 7)} == {(0, 151, 0), (7, n, n)}
+    own = sorted(r for r in found if r[0] == 4)
+    assert own in ([(4, n, 150), (4, n, 150), (4, n + 1, n)], [(4, n, n), (4, n, n), (4, n + 1, 150)])
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(rows, docs, empty, k):
     sets = {}
@@ -259,16 +288,16 @@ def test_quality_verdicts_equal_plain_sketches(spark):
         for r in rows:
             b = int(np.floor(np.log(r[4][f] + quality.SHIFT) / np.log(quality.GAMMA)))
             sketch[b] = sketch.get(b, 0) + 1
-        quart, upto = [], 0
-        for q in (0.25, 0.75):
+        cuts, rule = [], quality.FEATURES[f]
+        for q in (rule.base, rule.high):
             upto = 0
             for b in sorted(sketch):
                 upto += sketch[b]
-                if upto >= q * len(rows):
-                    quart.append(max(quality.GAMMA ** (b + 0.5) - quality.SHIFT, 0.0))
+                if upto > int(q * (len(rows) - 1)):
+                    cuts.append(max(quality.GAMMA ** (b + 0.5) - quality.SHIFT, 0.0))
                     break
-        wide = max(quality.SPREAD * (quart[1] - quart[0]), quality.FEATURES[f])
-        return np.array([quart[0] - wide, quart[1] + wide])
+        wide = max(rule.spread * (cuts[1] - cuts[0]), quality.LEAST_WIDTH)
+        return np.array([cuts[0] - wide if rule.two_sided else -1.0, cuts[1] + wide])
 
     good, want, judged = [r for r in counted if not r[3]], [], {}
     for i, lang, source, failed, value in counted:
@@ -284,6 +313,32 @@ def test_quality_verdicts_equal_plain_sketches(spark):
     assert got == sorted(want) and 20 < sum(not k for _, k in want) < 400
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Two sources of one language, one with symbols, long words and repeated lines throughout: each is judged by its own scale."""
+    rng = random.Random(21)
+
+    def text(rich, symbols, length):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(length - 2, length + 2))) for _ in range(80)]
+        words = [w + "#" * (rng.random() < symbols) for w in words]
+        lines = [" ".join(words[i : i + 4]) for i in range(0, 80, 4)]
+        return "\n".join(lines + lines[: rng.randint(0, 5)] * rich)
+
+    data = [(i, text(False, 0, 5), "en", "prose") for i in range(1200)] + [(2000 + i, text(True, 0.3, 9), "en", "code") for i in range(1200)]
+    data += [(5000, text(False, 0.3, 5), "en", "prose"), (5001, text(False, 0.3, 9), "en", "code"), (5002, text(False, 0, 9), "en", "prose"), (5003, text(False, 0, 9), "en", "code")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    measured = quality.measure(df).cache()
+    fence = {r["source"]: r for r in quality.thresholds(quality.sketches(measured)).collect()}
+    prose, code = fence["prose"], fence["code"]
+    assert prose["hi_symbol_share"] < 0.03 < 0.05 < code["hi_symbol_share"]
+    assert prose["hi_mean_word"] < code["lo_mean_word"] + 5 and prose["hi_mean_word"] + 2 < code["hi_mean_word"] and prose["hi_dup_share"] + 0.1 < code["hi_dup_share"]
+    # the width comes from the sketch wherever the group shows the feature
+    assert code["hi_symbol_share"] > 5 * quality.LEAST_WIDTH and code["hi_dup_share"] > 0.2
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).collect()}
+    assert (kept[5000], kept[5001], kept[5002], kept[5003]) == (False, True, False, True)
+    assert sum(kept[i] for i in range(1200)) > 1190 and sum(kept[2000 + i] for i in range(1200)) > 1150
+    measured.unpersist()
+
+
 def test_quality_drops_mainly_repeated_short_lines(spark):
     rng = random.Random(2)
     plain = [(i, "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(20)), "en", "s") for i in range(60)]
@@ -308,6 +363,41 @@ def test_language(spark, empty):
     assert {r["doc_id"] for r in langid.accepted(df, model).collect()} == set(range(200))
 
 
+def test_language_equals_plain_compression(spark):
+    """Dictionaries hold training texts of their language only; predictions are those of compressing piece by piece, for long texts, repeated rows and ties."""
+    import zstandard
+
+    rng = random.Random(15)
+    kinds = {"aa": ["th", "he", "in", "er"], "bb": ["ö", "ch", "sch", "ung"], "cc": ["la", "os", "ñu", "er"]}
+
+    def text(kind, n):
+        return " ".join("".join(rng.choice(kinds[kind]) for _ in range(3)) for _ in range(n))
+
+    data = [(i, text(x, rng.choice([1, 3, 60, 400])), x) for i in range(240) for x in [rng.choice(sorted(kinds))]]
+    data += [(300, text("aa", 20_000), None), (301, text("bb", 150) + text("cc", 150), None), (5, data[5][1], data[5][2]), (302, "x", None), (303, "Ǆ", "bb")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(langid.training_rows(df))
+    counts = {x: sum(1 for i, _, y in data if y == x and zlib.crc32(str(i).encode()) % 4 != 2) for x in kinds}
+    assert list(model.languages) == sorted(kinds, key=lambda x: (-counts[x], x))
+    for x, raw in zip(model.languages, model.dictionaries, strict=True):
+        own = [t.lower() for i, t, y in data if y == x and zlib.crc32(str(i).encode()) % 4 != 2]
+        parts = raw.decode("utf-8", "ignore").split("\n")
+        # the first may be cut by the bound on bytes
+        assert len(raw) <= langid.DICT_BYTES and len(parts) <= langid.SAMPLE_ROWS and all(any(p in t for t in own) for p in parts)
+    want = []
+    for i, t, _ in data:
+        raw, sizes = t.lower().encode(), []
+        for known in model.dictionaries:
+            d = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[k : k + langid.PIECE_BYTES])) for k in range(0, len(raw), langid.PIECE_BYTES)))
+        first, second = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))[:2]
+        score = (sizes[second] - sizes[first]) / sizes[second]
+        want.append((i, model.languages[first], round(score, 9), score < langid.MIN_MARGIN))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in langid.predict(df, model).collect()]
+    assert sorted(got) == sorted(want) and any(r[3] for r in want)
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
