@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .operators import integrity, segment, topology
+from .operators import incremental, integrity, sections, segment, topology
 from .operators.components import ensure_checkpoint_dir
 from .operators.conform import check_fields, findings, repair_text, union_all
 from .operators.merge import collisions, global_ids, merge_layer
@@ -22,11 +22,12 @@ LINK = {"from_node_id": "from_id", "to_node_id": "to_id", "r_link_id": "r_id", "
 
 @dataclass(frozen=True)
 class MapDataset:
-    """Layer tables of one version; absent names those known to be empty."""
+    """Layer tables of one version; absent names those known to be empty, by_section tells that keys carry their section."""
 
     schema: Schema
     layers: dict[str, DataFrame]
     absent: frozenset[str] = frozenset()
+    by_section: bool = False
 
     def with_layer(self, name: str, df: DataFrame) -> MapDataset:
         return replace(self, layers=self.layers | {name: df})
@@ -79,7 +80,7 @@ def isolated_links(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFram
 
 
 def endpoints(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
-    return _update(ds, config, "link_endpoint_unresolved", topology.assign_endpoints(ds.links(), ds.nodes(), config.node_match_tolerance_m, ds.schema.role("link").name))
+    return _update(ds, config, "link_endpoint_unresolved", topology.assign_endpoints(ds.links(), ds.nodes(), config.node_match_tolerance_m, ds.schema.role("link").name, ds.by_section))
 
 
 def longitudinal(ds: MapDataset, config: Config) -> tuple[MapDataset, DataFrame]:
@@ -175,29 +176,68 @@ def prepare(ds: MapDataset, config: Config | None = None) -> tuple[MapDataset, D
             continue
         rows, merged = merge_layer(ds.layers[layer.name], layer.name, config=config)
         rows, texts = repair_text(rows, layer, config)
-        parts += [merged, texts, check_fields(rows, layer, config, raw=False)]
+        # rules look at keys as they were delivered
+        own = rows.withColumn("__own", F.col("id"))
+        own = sections.local(own, sections.keys_of(layer, ds.schema)) if ds.by_section else own
+        parts += [merged, texts, check_fields(own, layer, config, feature_id="__own", raw=False)]
         layers[layer.name] = rows
     if config.reports("global_id_collision"):
         parts.append(collisions(global_ids(layers)))
     return replace(ds, layers=layers), union_all(parts)
 
 
-def load_map(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, keep_unknown: bool = False) -> tuple[MapDataset, DataFrame]:
-    """Read, merge, check and repair one coordinate product of a delivery."""
+def load_map(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, keep_unknown: bool = False, by_section: bool = False) -> tuple[MapDataset, DataFrame]:
+    """Read, merge, check and repair one coordinate product of a delivery.
+
+    by_section keeps its sections apart: ids, references and group keys carry the section (see operators.sections), in
+    the dataset, in findings and in what segmented() makes of it; delivered() gives the layers under their own ids.
+    """
     ensure_checkpoint_dir(spark)
     schema, layers, read = load_layers(spark, root, coordinate, config, keep_unknown=keep_unknown)
+    if by_section:
+        layers = sections.qualified_layers(layers, schema)
     absent = frozenset(n for n, df in layers.items() if df.isEmpty())
-    ds, checked = prepare(MapDataset(schema, layers, absent), config)
+    ds, checked = prepare(MapDataset(schema, layers, absent, by_section), config)
     ds, repaired = repair(_settled(ds), config)
     return ds, union_all([read.checkpoint(), checked.checkpoint(), repaired, remaining(ds, config).checkpoint()])
 
 
-def segmented(ds: MapDataset, config: Config | None = None) -> dict[str, DataFrame]:
-    """All segmentation stages of a dataset; call again after edits."""
+def delivered(ds: MapDataset) -> dict[str, DataFrame]:
+    """The layers of a dataset that was loaded by section, under the ids of their files."""
+    return sections.local_layers(ds.layers, ds.schema)
+
+
+def _segmented(ds: MapDataset, config: Config | None, only: DataFrame | None = None) -> dict[str, DataFrame]:
     marker = ds.schema.role("lane_line")
     rule = next(r for r in ds.schema.filters if r.name == "uturn_marker")
-    links = segment.classified(ds.layers[ds.schema.role("link").name], ds.schema)
-    links = links.withColumnsRenamed(LINK)
+    links = segment.classified(ds.layers[ds.schema.role("link").name], ds.schema).withColumnsRenamed(LINK)
     if "lane_no" not in links.columns:
         links = links.withColumn("lane_no", F.lit(None).cast("long"))
-    return segment.segment(links, ds.nodes(), ds.layers[marker.name].filter(segment.matches(rule)), config)
+    declared = not links.filter("is_uturn").isEmpty()
+    parts = [links, ds.nodes(), ds.layers[marker.name].filter(segment.matches(rule))]
+    if only is not None:
+        parts = [incremental.within(df, only) for df in parts]
+    return segment.segment(*parts, config, ds.by_section, declared)
+
+
+def segmented(ds: MapDataset, config: Config | None = None) -> dict[str, DataFrame]:
+    """All segmentation stages of a dataset; call again after edits."""
+    return _segmented(ds, config)
+
+
+def resegmented(ds: MapDataset, stages: dict[str, DataFrame], edited: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
+    """The stages of a dataset after edits, from those before them: only sections with an edited row are computed again.
+
+    ds was loaded by section and has the edits; edited has the ids of the rows that they changed. Rows keep their ord,
+    so the result is that of segmented(), numbers included.
+    """
+    if not ds.by_section:
+        raise ValueError("only a dataset that was loaded by section falls into parts")
+    links = ds.layers[ds.schema.role("link").name]
+    declared = not segment.classified(links, ds.schema).filter("is_uturn").isEmpty()
+    if "uturns" in stages and declared != (not stages["uturns"].filter("size(markers) = 0").isEmpty()):
+        # the first declared U-turn, or the loss of the last, concerns all sections
+        return segmented(ds, config)
+    dirty = incremental.sections_of(edited)
+    fresh = _segmented(ds, config, dirty)
+    return incremental.merged(stages, fresh, dirty, links)

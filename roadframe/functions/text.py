@@ -69,6 +69,45 @@ def line_colour(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LINE_COLOURS.items() for x in kv)), F.substring(stripped(kind), 1, 1)), F.lit("-"))
 
 
+def _searched(*columns: str) -> Column:
+    return F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)))
+
+
 def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:
     """Rows in which the columns, joined by blanks, hold the query; case does not matter."""
-    return rows.filter(F.contains(F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))), F.lower(F.lit(query.strip()))))
+    return rows.filter(F.contains(_searched(*columns), F.lower(F.lit(query.strip()))))
+
+
+#: Characters of the pieces that a search index holds, and of a query's pieces how many of the rarest are looked up.
+GRAM, RAREST = 3, 4
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def search_index(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """gram, key: which rows hold each piece of GRAM characters. Write it sorted by gram, and a search reads little of it."""
+    return rows.select(key, F.explode(_grams(_searched(*columns))).alias("gram"))
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    index.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
+
+
+def indexed_search(rows: DataFrame, index: DataFrame, key: str, query: str, *columns: str) -> DataFrame:
+    """The rows that search() gives, from an index over the same columns.
+
+    Rows that hold the rarest pieces of the query are candidates, and those are compared as a whole; a query shorter than
+    a piece is looked for in all rows.
+    """
+    wanted = index.sparkSession.range(1).select(_grams(F.lower(F.lit(query.strip()))).alias("g")).first()["g"]
+    if not wanted:
+        return search(rows, query, *columns)
+    held = index.filter(F.col("gram").isin(wanted))
+    counts = {r["gram"]: r["n"] for r in held.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    rare = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:RAREST]
+    if rare[0] not in counts:
+        return rows.filter(F.lit(False))
+    candidates = held.filter(F.col("gram").isin(rare)).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") == len(rare)).select(key)
+    return search(rows.join(candidates, key, "left_semi"), query, *columns)

@@ -105,7 +105,9 @@ def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataF
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     refs = _references(layers, edges, key)
-    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key, edges), ["target", "value"], "left_semi").checkpoint()
+    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key, edges), ["target", "value"], "left_semi")
+    # dealt once by what the rounds join on; a checkpoint keeps that, so that later only the newest rows move
+    held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "target", "value").checkpoint()
     several = [rank for rank, e in enumerate(edges) if e.required and len(e.targets) > 1]
     none = F.lit(None).cast("string")
     gone = frontier = seeds.select("layer", F.col("id").cast("string").alias("id")).distinct().withColumns({"depth": F.lit(0), "cause_layer": none, "cause_id": none}).checkpoint()

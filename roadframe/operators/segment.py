@@ -8,6 +8,7 @@ grows with the links.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..functions.geometry import first_point, last_point, norm, segments, tangen
 from ..functions.text import stripped
 from ..schema import RoleFilter, Schema
 from .components import connected_components, ensure_checkpoint_dir, numbered, star_forest
+from .sections import section_of
 from .spatial import crossing_pairs, distance_join
 
 
@@ -57,11 +59,19 @@ def ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.select("id", "ord", cells).join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("id", "ord", "side", "node")
 
 
-def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0) -> DataFrame:
-    """id, link, markers: declared U-turn links if there are any, else ordinary links that cross a U-turn marking."""
+def _own_section(pairs: DataFrame, by_section: bool) -> DataFrame:
+    """Crossing pairs, within sections only where ids carry them."""
+    return pairs.filter(section_of(F.col("a_id")).eqNullSafe(section_of(F.col("b_id")))) if by_section else pairs
+
+
+def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0, by_section: bool = False, declared: bool | None = None) -> DataFrame:
+    """id, link, markers: declared U-turn links if there are any, else ordinary links that cross a U-turn marking.
+
+    declared says whether there are any where links are a part of a map.
+    """
     direct = links.filter("is_uturn").select(F.col("id").alias("link"), "ord", F.expr(f"CAST(array() AS array<{markers.schema['id'].dataType.simpleString()}>)").alias("markers"))
-    if direct.isEmpty():
-        hit = crossing_pairs(links.filter("is_ordinary").select("id", "coords"), markers.select("id", "coords"), z_tolerance)
+    if declared is False or declared is None and direct.isEmpty():
+        hit = _own_section(crossing_pairs(links.filter("is_ordinary").select("id", "coords"), markers.select("id", "coords"), z_tolerance), by_section)
         found = hit.groupBy(F.col("a_id").alias("link")).agg(F.array_sort(F.collect_set("b_id")).alias("markers"))
         # numbering looks at its rows twice, and crossings are dear
         ensure_checkpoint_dir(links.sparkSession)
@@ -114,8 +124,7 @@ def node_group_keys(node_grp: DataFrame, keys: DataFrame) -> DataFrame:
 
 def least_distance(a: DataFrame, b: DataFrame, by: str, reach: float) -> DataFrame:
     """by, distance: the least planar distance between points of a and of b with the same key, where it is at most reach. Both have by, x, y."""
-    near = distance_join(a.withColumnRenamed(by, "a_key"), b.withColumnRenamed(by, "b_key"), reach)
-    return near.filter("a_key = b_key").groupBy(F.col("a_key").alias(by)).agg(F.min("distance").alias("distance"))
+    return distance_join(a, b, reach, [by]).groupBy(by).agg(F.min("distance").alias("distance"))
 
 
 def _star(rows: DataFrame, hub: list[str], item: str = "id") -> DataFrame:
@@ -124,14 +133,14 @@ def _star(rows: DataFrame, hub: list[str], item: str = "id") -> DataFrame:
     return rows.join(least, hub).select("a", F.col(item).alias("b"))
 
 
-def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_ends: DataFrame, lateral: DataFrame, z_tolerance: float = 1.0) -> DataFrame:
+def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_ends: DataFrame, lateral: DataFrame, z_tolerance: float = 1.0, by_section: bool = False) -> DataFrame:
     """junction, id, kind (seed, promoted or owner): junction links, what they pull in, and bridges between them."""
     ensure_checkpoint_dir(links.sparkSession)
     seeds = links.filter("is_junction").select("id", "ord", "coords")
     seed = seeds.select("id")
     is_seed = seed.withColumn("seed", F.lit(True))
     next_to = lateral.select("id", "other").join(seed, "id", "left_semi").join(is_seed.withColumnRenamed("id", "other"), "other", "left")
-    crossing = crossing_pairs(seeds.select("id", "coords"), seeds.select("id", "coords"), z_tolerance).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    crossing = _own_section(crossing_pairs(seeds.select("id", "coords"), seeds.select("id", "coords"), z_tolerance, once=True), by_section).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     seed_ends = link_ends.join(seed, "id", "left_semi").select("id", "side", "node")
     shared = _star(seed_ends.select("node", "id").distinct(), ["node"])
     beside = next_to.filter("seed").select(F.col("id").alias("a"), F.col("other").alias("b"))
@@ -187,7 +196,7 @@ def pair_candidates(match: DataFrame, node_grp: DataFrame, nodes: DataFrame, ref
     config = config or Config()
     at = match.join(node_grp.select("node_grp", "node"), "node_grp").join(nodes.select(F.col("id").alias("node"), "x", "y", "group_key"), "node").checkpoint()
     sides = {s: at.filter(F.col("side") == s).select(F.col("junction").alias(f"{s}_junction"), F.col("node_grp").alias(f"{s}_grp"), F.col("group_key").alias(f"{s}_key"), "x", "y") for s in ("to", "from")}
-    near = distance_join(sides["to"], sides["from"], config.merge_distance_m).filter("to_junction = from_junction").groupBy(F.col("to_junction").alias("junction"), "to_grp", "from_grp").agg(F.min("distance").alias("distance"))
+    near = distance_join(sides["to"].withColumnRenamed("to_junction", "at"), sides["from"].withColumnRenamed("from_junction", "at"), config.merge_distance_m, ["at"]).withColumnRenamed("at", "to_junction").groupBy(F.col("to_junction").alias("junction"), "to_grp", "from_grp").agg(F.min("distance").alias("distance"))
     keys = {s: sides[s].filter(f"{s}_key <> ''").select(f"{s}_grp", F.col(f"{s}_key").alias("key")).distinct() for s in sides}
     same = near.select("to_grp", "from_grp").join(keys["to"], "to_grp").join(keys["from"], ["from_grp", "key"]).select("to_grp", "from_grp").distinct().withColumn("shared", F.lit(True))
     link = match.join(refs.select("grp", F.coalesce("reference", "first_link").alias("id")), "grp").join(geometry.select("id", "side", "tangent"), ["id", "side"]).select("node_grp", "tangent")
@@ -197,21 +206,42 @@ def pair_candidates(match: DataFrame, node_grp: DataFrame, nodes: DataFrame, ref
     return rows.filter(dot <= -config.opposite_dot_min).select("junction", "to_grp", "from_grp", F.when(F.col("shared"), 0).otherwise(1).alias("priority"), "distance")
 
 
+_ORDER = ["priority", "distance", "to_grp", "from_grp"]
+#: Candidates of a junction up to which one task chooses.
+TASK_CANDIDATES = 50_000
+
+
+def _chosen(rows: pa.Table) -> pa.Table:
+    """The choice for one junction: the candidates in order, each unless one of its ends is taken."""
+    rows = rows.sort_by([(c, "ascending") for c in _ORDER])
+    used: dict[str, set] = {"to": set(), "from": set()}
+    keep = []
+    for to, frm in zip(rows.column("to_grp").to_pylist(), rows.column("from_grp").to_pylist(), strict=True):
+        free = to not in used["to"] and frm not in used["from"]
+        keep.append(free)
+        if free:
+            used["to"].add(to)
+            used["from"].add(frm)
+    return rows.filter(pa.array(keep, pa.bool_()))
+
+
 def greedy_pairs(candidates: DataFrame) -> DataFrame:
     """The candidates that a greedy one-to-one choice in order (priority, distance, to_grp, from_grp) takes.
 
-    The order is total, so taking every pair that is best for both its ends, round by round, gives the
-    same choice, and no junction has to fit one task.
+    Junctions are independent, so a task chooses for each whole junction. For one of more than TASK_CANDIDATES, which
+    need not fit a task, every pair that is best for both its ends is taken round by round: the order is total, so the
+    choice is the same.
     """
     ensure_checkpoint_dir(candidates.sparkSession)
-    order = ["priority", "distance", "to_grp", "from_grp"]
-    left, taken = candidates.checkpoint(), None
+    counted = candidates.withColumn("__n", F.count("*").over(Window.partitionBy("junction"))).checkpoint()
+    taken = counted.filter(F.col("__n") <= TASK_CANDIDATES).drop("__n").groupBy("junction").applyInArrow(_chosen, candidates.schema)
+    left = counted.filter(F.col("__n") > TASK_CANDIDATES).drop("__n")
     while not left.isEmpty():
-        ranks = {f"__{s}": F.row_number().over(Window.partitionBy("junction", f"{s}_grp").orderBy(*order)) for s in ("to", "from")}
+        ranks = {f"__{s}": F.row_number().over(Window.partitionBy("junction", f"{s}_grp").orderBy(*_ORDER)) for s in ("to", "from")}
         best = left.withColumns(ranks).filter("__to = 1 AND __from = 1").select(*candidates.columns).checkpoint()
-        taken = best if taken is None else taken.unionByName(best)
+        taken = taken.unionByName(best)
         left = left.join(best.select("junction", "to_grp"), ["junction", "to_grp"], "left_anti").join(best.select("junction", "from_grp"), ["junction", "from_grp"], "left_anti").checkpoint()
-    return candidates.filter(F.lit(False)) if taken is None else taken
+    return taken
 
 
 def connections(match: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -292,8 +322,12 @@ def junction_edges(references: DataFrame, connection: DataFrame, node_grp: DataF
     return r.join(crossed.unionByName(rest), "connection").select("connection", "junction", "link", "node", "px", "py", "start", "end", F.col("n").alias("n_crossings"))
 
 
-def segment(links: DataFrame, nodes: DataFrame, markers: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
-    """All stages in order, by name. A stage that is switched off, or whose inputs are, is left out; one without result stays as an empty table."""
+def segment(links: DataFrame, nodes: DataFrame, markers: DataFrame, config: Config | None = None, by_section: bool = False, declared: bool | None = None) -> dict[str, DataFrame]:
+    """All stages in order, by name. A stage that is switched off, or whose inputs are, is left out; one without result stays as an empty table.
+
+    by_section keeps links of different sections apart where they cross, with ids that carry their section; declared is
+    for links that are a part of a map (see uturns).
+    """
     config = config or Config()
     ensure_checkpoint_dir(links.sparkSession)
     out: dict[str, DataFrame] = {}
@@ -304,14 +338,14 @@ def segment(links: DataFrame, nodes: DataFrame, markers: DataFrame, config: Conf
         return name in config.stages and all(n in out for n in needs)
 
     if ready("uturns"):
-        out["uturns"] = uturns(links, markers, config.z_intersection_tol_m).checkpoint()
+        out["uturns"] = uturns(links, markers, config.z_intersection_tol_m, by_section, declared).checkpoint()
     if ready("lateral_groups", "uturns"):
         out["lateral_groups"] = lateral_groups(links, out["uturns"], lateral).checkpoint()
         out["group_references"] = reference_links(out["lateral_groups"], links, lateral).checkpoint()
     if ready("node_groups", "lateral_groups"):
         out["node_groups"] = node_groups(out["lateral_groups"], link_ends).checkpoint()
     if ready("junctions", "lateral_groups", "node_groups"):
-        out["junctions"] = junctions(links, out["lateral_groups"], out["node_groups"], link_ends, lateral, config.z_intersection_tol_m).checkpoint()
+        out["junctions"] = junctions(links, out["lateral_groups"], out["node_groups"], link_ends, lateral, config.z_intersection_tol_m, by_section).checkpoint()
         out["junction_nodes"] = junction_nodes(out["junctions"], link_ends).checkpoint()
     if ready("connections", "junctions"):
         match = junction_matches(out["lateral_groups"], out["node_groups"], out["junctions"], out["junction_nodes"], link_ends).checkpoint()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, segments
+from .components import ensure_checkpoint_dir
 
 
-def distance_join(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
-    """Pairs of rows within `tolerance` in the plane; both sides have x, y; other columns must differ.
+def distance_join(left: DataFrame, right: DataFrame, tolerance: float, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows within `tolerance` in the plane; both sides have x, y and the columns `by`, which must agree; other columns must differ.
 
     Cells are as wide as the tolerance. Only the left side is copied, to its own and the eight
     neighbouring cells, so hand in the smaller side as left. Null and NaN places never match.
@@ -23,14 +26,22 @@ def distance_join(left: DataFrame, right: DataFrame, tolerance: float) -> DataFr
     a = left.filter("NOT isnan(x) AND NOT isnan(y)").withColumnsRenamed({"x": "lx", "y": "ly"}).withColumn("d", F.explode(around)).withColumns({"cx": cell(F.col("lx")) + F.col("d.i"), "cy": cell(F.col("ly")) + F.col("d.j")}).drop("d")
     b = right.filter("NOT isnan(x) AND NOT isnan(y)").withColumnsRenamed({"x": "rx", "y": "ry"}).withColumns({"cx": cell(F.col("rx")), "cy": cell(F.col("ry"))})
     away = norm(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    return a.join(b, ["cx", "cy"]).withColumn("distance", away).filter(F.col("distance") <= tolerance).drop("cx", "cy", "lx", "ly", "rx", "ry")
+    return a.join(b, [*by, "cx", "cy"]).withColumn("distance", away).filter(F.col("distance") <= tolerance).drop("cx", "cy", "lx", "ly", "rx", "ry")
 
 
 #: A segment is cut into at most as many steps before it is dealt to cells.
 MAX_STEPS = 1_000
+#: Pairs of segments above which a cell is split into four, and splits of a cell at most.
+DENSE_PAIRS, MAX_SPLITS = 4_000_000, 12
+#: A split is kept where the four hold at most this share of the cell's pairs.
+GAIN = 0.75
+#: Segments of a side that meet in one block where no split helps.
+BLOCK_ROWS = 2_000
+#: Dense cells up to this number are sent to all tasks.
+SENT_CELLS = 100_000
 
 
-def _celled(rows: DataFrame, side: str, cell: float) -> DataFrame:
+def _steps(rows: DataFrame, side: str, cell: float) -> DataFrame:
     """Segments of a side with one row per cell that a step's box touches."""
     s = segments(rows.select(F.col("id").alias(f"{side}_id"), "coords"), [f"{side}_id"])
     s = s.select(f"{side}_id", F.col("seg").alias(f"{side}_seg"), *(F.col(f"{e}{c}").alias(f"{side}{e}{c}") for e in "ab" for c in "xyz"))
@@ -51,14 +62,95 @@ def _celled(rows: DataFrame, side: str, cell: float) -> DataFrame:
     return s.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).drop("n", "i").distinct()
 
 
-def crossing_pairs(a: DataFrame, b: DataFrame, z_tolerance: float, cell: float = 50.0) -> DataFrame:
+def _quarters(rows: DataFrame, side: str, cell: float) -> DataFrame:
+    """Rows of cells of a size dealt to the quarters that their part in the cell touches; px, py name the cell."""
+    half, slack = cell / 2, cell * 1e-6
+    rows = rows.withColumnsRenamed({"cx": "px", "cy": "py"})
+    low, high = F.lit(0.0), F.lit(1.0)
+    for axis in "xy":
+        a, d = F.col(f"{side}a{axis}"), F.col(f"{side}b{axis}") - F.col(f"{side}a{axis}")
+        first, second = ((F.col(f"p{axis}") + i) * cell + s - a for i, s in ((0, -slack), (1, slack)))
+        low = F.greatest(low, F.when(d != 0, F.least(first / d, second / d)).otherwise(F.lit(0.0)))
+        high = F.least(high, F.when(d != 0, F.greatest(first / d, second / d)).otherwise(F.lit(1.0)))
+    rows = rows.withColumns({"t0": low, "t1": high}).filter("t0 <= t1")
+    for axis in "xy":
+        a, d = F.col(f"{side}a{axis}"), F.col(f"{side}b{axis}") - F.col(f"{side}a{axis}")
+        u, v = a + d * F.col("t0"), a + d * F.col("t1")
+        base = F.col(f"p{axis}") * 2
+        start = F.greatest(F.least(F.floor((F.least(u, v) - slack) / half).cast("long"), base + 1), base)
+        end = F.least(F.greatest(F.floor((F.greatest(u, v) + slack) / half).cast("long"), base), base + 1)
+        rows = rows.withColumn(f"c{axis}", F.explode(F.sequence(start, end)))
+    return rows.drop("t0", "t1")
+
+
+def _counted(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """keys, nl, nr: rows of both sides in each cell."""
+    one = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    return one.groupBy(*keys).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
+
+
+def _sent(cells: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(cells) if n <= SENT_CELLS else cells
+
+
+def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides by level, cx, cy, bl, br: cells, quartered where they hold many pairs, and blocks of cells that stay dense.
+
+    A split that leaves most pairs as they are (long segments that meet all over the cell) is not kept: there, blocks of
+    the left side meet blocks of the right one.
+    """
+    ensure_checkpoint_dir(a.sparkSession)
+    sides = {"l": _steps(a, "l", cell), "r": _steps(b, "r", cell)}
+    done: dict[str, list[DataFrame]] = {"l": [], "r": []}
+
+    def settle(side: str, rows: DataFrame, level: int, blocks: bool = False) -> None:
+        mine, other = F.lit(0), F.array(F.lit(0))
+        if blocks:
+            n = {s: F.ceil(F.col(f"n{s}") / BLOCK_ROWS).cast("int") for s in "lr"}
+            mine = F.pmod(F.xxhash64(f"{side}_id", f"{side}_seg"), n[side]).cast("int")
+            other = F.sequence(F.lit(0), n["r" if side == "l" else "l"] - 1)
+        rows = rows.withColumns({"level": F.lit(level), f"b{side}": mine}).withColumn("br" if side == "l" else "bl", F.explode(other))
+        done[side].append(rows.drop("nl", "nr", "px", "py"))
+
+    for level in range(MAX_SPLITS + 1):
+        dense = _counted(sides["l"], sides["r"], "cx", "cy").filter(F.col("nl") * F.col("nr") > DENSE_PAIRS).checkpoint()
+        n = dense.count()
+        if not n:
+            for s, rows in sides.items():
+                settle(s, rows, level)
+            break
+        cells = _sent(dense, n)
+        for s, rows in sides.items():
+            settle(s, rows.join(cells.select("cx", "cy"), ["cx", "cy"], "left_anti"), level)
+        hard = {s: rows.join(cells, ["cx", "cy"]) for s, rows in sides.items()}
+        if level == MAX_SPLITS:
+            for s, rows in hard.items():
+                settle(s, rows, level, blocks=True)
+            break
+        quarters = {s: _quarters(rows.drop("nl", "nr"), s, cell / 2**level) for s, rows in hard.items()}
+        pairs = _counted(quarters["l"], quarters["r"], "px", "py", "cx", "cy").groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum(F.col("nl") * F.col("nr")).alias("pairs"))
+        split = dense.join(pairs, ["cx", "cy"]).filter(F.col("pairs") <= GAIN * F.col("nl") * F.col("nr")).select("cx", "cy").checkpoint()
+        kept = _sent(split, n)
+        for s in "lr":
+            settle(s, hard[s].join(kept, ["cx", "cy"], "left_anti"), level, blocks=True)
+        sides = {s: quarters[s].join(kept.select(F.col("cx").alias("px"), F.col("cy").alias("py")), ["px", "py"], "left_semi").drop("px", "py").checkpoint() for s in "lr"}
+    out = {s: parts[0] for s, parts in done.items()}
+    for s, parts in done.items():
+        for more in parts[1:]:
+            out[s] = out[s].unionByName(more)
+    return out["l"], out["r"]
+
+
+def crossing_pairs(a: DataFrame, b: DataFrame, z_tolerance: float, cell: float = 50.0, once: bool = False) -> DataFrame:
     """(a_id, b_id): polylines that meet in the plane at a place where their heights differ by at most z_tolerance.
 
     Both tables have id and coords. Segments are closed, so touching counts; collinear segments meet
-    over their overlap and are judged at its middle.
+    over their overlap and are judged at its middle. once keeps pairs with a_id < b_id, for a table with itself.
     """
-    left, right = _celled(a, "l", cell), _celled(b, "r", cell)
-    pairs = left.join(right, ["cx", "cy"]).dropDuplicates(["l_id", "l_seg", "r_id", "r_seg"])
+    left, right = _dealt(a, b, cell)
+    pairs = left.join(right, ["level", "cx", "cy", "bl", "br"])
+    if once:
+        pairs = pairs.filter("l_id < r_id")
     ux, uy = F.col("lbx") - F.col("lax"), F.col("lby") - F.col("lay")
     vx, vy = F.col("rbx") - F.col("rax"), F.col("rby") - F.col("ray")
     wx, wy = F.col("rax") - F.col("lax"), F.col("ray") - F.col("lay")

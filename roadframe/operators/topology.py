@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import distance, first_point, last_point, polyline_length
 from .components import ensure_checkpoint_dir, star_forest
 from .conform import findings
+from .sections import section_of
 from .spatial import distance_join
 
 
@@ -62,10 +63,11 @@ def isolated_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return _end_degrees(links).filter("n_from = 1 AND n_to = 1").select("id").join(both, "id", "left_semi")
 
 
-def endpoint_candidates(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5) -> DataFrame:
+def endpoint_candidates(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5, by_section: bool = False) -> DataFrame:
     """id, side, current, n_near, node: ends without an existing node, and the nodes near the polyline's end.
 
-    node is set where exactly one is near. Links with fewer than two points are left out.
+    node is set where exactly one is near. Links with fewer than two points are left out. by_section looks at nodes of a
+    link's own section only, with ids that carry it.
     """
     ends = F.inline(
         F.array(
@@ -75,15 +77,18 @@ def endpoint_candidates(links: DataFrame, nodes: DataFrame, tolerance: float = 0
     )
     every = links.filter(F.size("coords") >= 2).select("id", ends)
     open_ends = every.join(nodes.select(F.col("id").alias("current")), "current", "left_anti").select("id", "side", "current", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    near = distance_join(open_ends.select("id", "side", "x", "y"), nodes.select(F.col("id").alias("node"), "x", "y"), tolerance)
+    place, at = open_ends.select("id", "side", "x", "y"), nodes.select(F.col("id").alias("node"), "x", "y")
+    if by_section:
+        place, at = (df.withColumn("__section", F.coalesce(section_of(F.col(c)), F.lit(""))) for df, c in ((place, "id"), (at, "node")))
+    near = distance_join(place, at, tolerance, ["__section"] if by_section else [])
     counts = near.groupBy("id", "side").agg(F.count("*").alias("n_near"), F.min("node").alias("node"))
     out = open_ends.select("id", "side", "current").join(counts, ["id", "side"], "left")
     return out.select("id", "side", "current", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("n_near") == 1, F.col("node")).alias("node"))
 
 
-def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5, layer: str = "link") -> tuple[DataFrame, DataFrame]:
+def assign_endpoints(links: DataFrame, nodes: DataFrame, tolerance: float = 0.5, layer: str = "link", by_section: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links with the one near node assigned and other dangling ends cleared, findings)."""
-    found = _once(endpoint_candidates(links, nodes, tolerance))
+    found = _once(endpoint_candidates(links, nodes, tolerance, by_section))
     wide = found.groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.struct(F.lit(True).alias("open"), "node"))).alias(f"__{s}") for s in ("from", "to")))
     out = links.join(wide, "id", "left")
     for s in ("from", "to"):

@@ -15,7 +15,7 @@ from ..config import STAGES, Config
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import conform, edits, integrity, merge, segment, spatial, topology
+from ..operators import conform, edits, integrity, labels, merge, sections, segment, spatial, topology
 from ..operators.components import connected_components, ensure_checkpoint_dir
 from ..operators.integrity import Edge
 from ..schema import Layer, RoleFilter, parse_fields
@@ -729,6 +729,71 @@ def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.counts(layers).groupBy("layer", "section").agg(F.max("n").alias("n"))
 
 
+@query("""SELECT c_custkey AS id, 'customer' AS layer, 'c_mktsegment' AS field, c_mktsegment AS code, CASE WHEN trim(c_mktsegment) = '' THEN '-' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment || ' (' || lower(c_mktsegment) || ')' ELSE c_mktsegment END AS text FROM customer
+UNION ALL SELECT o_orderkey, 'orders', 'o_orderstatus', o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'F (own)' WHEN 'O' THEN 'O (o)' ELSE o_orderstatus END FROM orders
+UNION ALL SELECT p_partkey, 'part', 'p_brand', p_brand, CASE WHEN p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 7) THEN p_brand || ' (' || lower(p_brand) || ')' ELSE p_brand END FROM part""")
+def decode_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coded fields of three tables with the labels of one dictionary, some of them for one table, some for all."""
+    ensure_checkpoint_dir(spark)
+    tables = {t: read(spark, sf_dir, t) for t in TABLE_RULES}
+    seen = [tables["customer"].filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("code")), tables["orders"].filter("o_orderstatus IN ('F', 'O')").select(F.lit("o_orderstatus").alias("field"), F.col("o_orderstatus").alias("code")), tables["part"].filter("p_size = 7").select(F.lit("p_brand").alias("field"), F.col("p_brand").alias("code"))]
+    shared = conform.union_all(seen).distinct().select(F.lit("1").alias("version"), F.lit(None).cast("string").alias("layer"), "field", "code", F.lower("code").alias("label"))
+    more = spark.sql("SELECT '1' AS version, 'orders' AS layer, 'o_orderstatus' AS field, 'F' AS code, 'own' AS label UNION ALL SELECT '1', 'part', 'o_orderstatus', 'O', 'a' UNION ALL SELECT '0', null, 'o_orderstatus', 'O', 'a'")
+    parts = [labels.decoded(tables[t], layer, shared.unionByName(more), "1", key).withColumnRenamed(key, "id") for t, (key, layer) in TABLE_RULES.items()]
+    return conform.union_all(parts).select("id", "layer", "field", "code", "text")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'l brand#1')")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by way of a saved index of pieces."""
+    ensure_checkpoint_dir(spark)
+    part, columns = read(spark, sf_dir, "part"), ("p_name", "p_brand", "p_type")
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    X.save_index(X.search_index(part, "p_partkey", *columns), path)
+    return X.indexed_search(part, spark.read.parquet(path), "p_partkey", "L Brand#1", *columns).select(F.col("p_partkey").alias("id"))
+
+
+_SECTIONED = """c AS (SELECT DISTINCT 'SEC' || (c_custkey % 4) AS section, c_custkey // 4 AS id FROM customer),
+o AS (SELECT 'SEC' || (o_orderkey % 4) AS section, o_orderkey // 4 AS id, o_custkey // 4 AS ref FROM orders)"""
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers and orders in four sections that use the same ids."""
+    customer = read(spark, sf_dir, "customer").select(F.expr("'SEC' || (c_custkey % 4)").alias("section"), F.expr("c_custkey div 4").alias("id"))
+    orders = read(spark, sf_dir, "orders").select(F.expr("'SEC' || (o_orderkey % 4)").alias("section"), F.expr("o_orderkey div 4").alias("id"), F.expr("o_custkey div 4").alias("customer"))
+    return {"customer": sections.qualified(customer, ["id"]), "orders": sections.qualified(orders, ["id", "customer"])}
+
+
+@query(f"WITH {_SECTIONED} SELECT section, CAST(id AS VARCHAR) AS id, CAST(ref AS VARCHAR) AS value FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.section = o.section AND c.id = o.ref)")
+def section_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer is in no row of their own section."""
+    lost = integrity.unresolved(_sectioned(spark, sf_dir), [Edge("orders", "customer", ("customer",), True)])
+    return lost.select(sections.section_of(F.col("id")).alias("section"), sections.local_id(F.col("id")).alias("id"), sections.local_id(F.col("value")).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_SECTIONED},
+gone (layer, section, id) AS (SELECT 'customer', section, id FROM c WHERE id % 10 = 3 UNION SELECT 'orders', o.section, o.id FROM o JOIN gone g ON g.layer = 'customer' AND g.section = o.section AND g.id = o.ref)
+SELECT layer, section, CAST(id AS VARCHAR) AS id FROM gone""")
+def section_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with every tenth customer of a section: the orders of the same section only."""
+    t = _sectioned(spark, sf_dir)
+    seeds = t["customer"].filter(sections.local_id(F.col("id")).cast("long") % 10 == 3).select(F.lit("customer").alias("layer"), "id")
+    gone = integrity.cascade(t, [Edge("orders", "customer", ("customer",), True)], seeds)
+    return gone.select("layer", sections.section_of(F.col("id")).alias("section"), sections.local_id(F.col("id")).alias("id"))
+
+
+@query(f"WITH {_SECTIONED} SELECT section, CAST(id AS VARCHAR) AS id, CAST(min(id) OVER (PARTITION BY section, ref) AS VARCHAR) AS first FROM o")
+def section_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share a customer of their section, as components of a graph of orders."""
+    orders = _sectioned(spark, sf_dir)["orders"].withColumn("number", sections.local_id(F.col("id")).cast("long"))
+    pairs = orders.join(orders.groupBy("customer").agg(F.min_by("id", "number").alias("first")), "customer").select("id", "first")
+    # numbered by section, then number
+    items = orders.select("id", F.struct(sections.section_of(F.col("id")).alias("s"), "number").alias("o"))
+    found = connected_components(items, pairs, "id", "o", "id", "first").join(orders.select("id", "number"), "id")
+    least = found.groupBy("component").agg(F.min("number").alias("first"))
+    return found.join(least, "component").select(sections.section_of(F.col("id")).alias("section"), sections.local_id(F.col("id")).alias("id"), F.col("first").cast("string").alias("first"))
+
+
 from . import deliveries  # noqa: E402,F401  registers its own
 
 

@@ -212,6 +212,24 @@ def empty_layer(spark: SparkSession, layer: Layer, keep_unknown: bool = False) -
     return spark.range(1).filter(F.lit(False)).select(*cells)
 
 
+#: The id of a row that stands for a layer which a section lacks.
+PLACEHOLDER = "-"
+
+
+def placeholders(found: DataFrame, schema: Schema) -> DataFrame:
+    """section, layer, id, level, reason: one row for each layer that a section of the discovered files lacks.
+
+    A reference into such a layer has its row to point at (id PLACEHOLDER) instead of nothing. level is error for a
+    required layer and info for any other; files outside sections count as one section, null.
+    """
+    wanted = F.array(*(F.struct(F.lit(x.name).alias("layer"), F.lit("error" if x.required else "info").alias("level"), F.lit(x.files[0]).alias("file")) for x in schema.layers))
+    every = found.select("section").distinct().select("section", F.inline(wanted))
+    there = found.select(F.col("section").alias("s"), F.col("layer").alias("l")).distinct()
+    absent = every.join(there, every["section"].eqNullSafe(there["s"]) & (every["layer"] == there["l"]), "left_anti")
+    reason = F.concat(F.lit("Missing "), F.when(F.col("level") == "error", "required").otherwise("optional"), F.lit(" layer file: "), F.col("file"))
+    return absent.select("section", "layer", F.lit(PLACEHOLDER).alias("id"), "level", reason.alias("reason"))
+
+
 def load_layers(spark: SparkSession, root: str, coordinate: str, config: Config | None = None, schemas: Sequence[Schema] = SCHEMAS, keep_unknown: bool = False) -> tuple[Schema, dict[str, DataFrame], DataFrame]:
     """(version, typed layers, findings) of one coordinate product below root; absent layers are empty tables."""
     files = coordinate_files(listing(spark, root), coordinate)

@@ -204,3 +204,13 @@ def test_ranges_of_records(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize(("found", "declared", "want"), [((True, False, 3, 0), None, "utf-8"), ((True, True, 3, 0), "UTF-8", "cp949"), ((False, False, 4, 2), "utf-8", "utf-8-replace"), ((False, False, 4, 3), "65001", "cp949"), ((False, False, 4, 1), None, "cp949"), ((False, False, 0, 0), "UTF8", "cp949")])
 def test_encodings(found, declared, want):
     assert records.encoding_of(*found, declared, 0.5) == want
+
+
+def test_layers_that_a_section_lacks(spark):
+    names = [x.name for x in V2023.layers]
+    required = {x.name for x in V2023.layers if x.required}
+    found = spark.createDataFrame([("S1", n) for n in names if n != "A1_NODE"] + [(None, "A2_LINK"), (None, "A2_LINK")], "section string, layer string")
+    rows = shapefile.placeholders(found, V2023).collect()
+    assert sorted((r["section"] or "", r["layer"], r["level"]) for r in rows) == sorted([("S1", "A1_NODE", "error"), *(("", n, "error" if n in required else "info") for n in names if n != "A2_LINK")])
+    assert {r["id"] for r in rows} == {"-"} and "Missing required layer file: A1_NODE.shp" in {r["reason"] for r in rows}
+    assert shapefile.placeholders(found.limit(0), V2023).count() == 0
