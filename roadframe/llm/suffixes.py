@@ -314,6 +314,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
     A cut inside a character leaves bytes that kept_text shows as U+FFFD; kept_sha256 is of the bytes.
     """
     rows, ids, _ = S.keyed(docs)
+    if ids is not None:
+        # equal rows of one id have one key: one of them is looked at, and its result counts for all
+        repeated = cut(rows.groupBy("key").agg(F.count("*").alias("rows")))
+        rows = rows.dropDuplicates(["key"])
     n_buckets = X.bucket_count(S.entries(rows) // 12, shuffle_partitions(docs.sparkSession))
     copies = S.copies(rows)
     texts = S.by_key(rows)
@@ -333,4 +337,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, head: int = HEAD, dige
     compared = still.mapInArrow(lambda batches: _window_entries(batches, window, head, n_buckets), STRETCH_DDL)
     repeats = S.gathered(X.per_bucket(compared, partial(_windows, window=window, n_buckets=n_buckets), S.HITS_DDL), S.RUN)
     marked = texts.join(repeats, "key", "left").join(partners, "key", "left").join(known, "key", "left").select("key", "text", "hits", "partners", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return S.with_ids(marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT), ids)
+    found = marked.mapInArrow(lambda batches: _results(batches, window, digest), DIGEST if digest else OUT)
+    if ids is not None:
+        found = found.join(repeated, "key").withColumn("rows", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows")
+    return S.with_ids(found, ids)
