@@ -46,7 +46,7 @@ def _quality() -> str:
     parts, rule = [], "f, base_q, high_q, spread, sym"
     for level, keys in (("g", "lang, source, "), ("l", "lang, "), ("c", "")):
         cuts = ", ".join(f"min(CASE WHEN upto >= floor({q}_q * (total - 1)) + 1 THEN greatest(pow({quality.GAMMA}, b + 0.5) - {quality.SHIFT}, 0.0) END) AS {q}" for q in ("base", "high"))
-        width = f"greatest(spread * (high - base), {quality.LEAST_WIDTH})"
+        width = f"greatest(spread * (high - base), {quality.LEAST_WIDTH} + {quality.GAMMA - 1} * (high + {quality.SHIFT}))"
         parts.append(f"""{level}h AS (SELECT {keys}{rule}, b, count(*) AS n FROM cell GROUP BY {keys}{rule}, b),
 {level}u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}f) AS total FROM {level}h),
 {level} AS (SELECT {keys}f, n, CASE WHEN sym THEN base - {width} ELSE -1.0 END AS lo, high + {width} AS hi FROM (SELECT {keys}{rule}, max(total) AS n, {cuts} FROM {level}u GROUP BY {keys}{rule}))""")

@@ -46,7 +46,7 @@ class Fence:
 #: Word lengths spread around their middle. The others are 0 in most documents: symbols are rare where text is clean, so
 #: their fence starts where a tenth of the documents show more; some repeated lines and words are ordinary.
 FEATURES = {"mean_word": Fence(0.25, 0.75, 6.0, two_sided=True), "symbol_share": Fence(0.5, 0.9, 1.0), "dup_share": Fence(0.5, 0.99, 1.0), "repeat_share": Fence(0.5, 0.99, 1.5)}
-#: The least width, where both quantiles fall into one bucket.
+#: The least width, where both quantiles fall into one bucket, beside the width of that bucket.
 LEAST_WIDTH = 0.01
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -134,7 +134,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         # the value at a rank leaves out the largest one where a quantile is cut among few documents
         at = {q: F.floor(_by_feature(lambda r: getattr(r, q)) * (F.col("total") - 1)) + 1 for q in ("base", "high")}
         cuts = seen.groupBy(*keys, "feature").agg(F.max("total").alias("n"), *(F.min(F.when(F.col("upto") >= rank, value)).alias(q) for q, rank in at.items()))
-        width = F.greatest(_by_feature(lambda r: r.spread) * (F.col("high") - F.col("base")), F.lit(LEAST_WIDTH))
+        width = F.greatest(_by_feature(lambda r: r.spread) * (F.col("high") - F.col("base")), LEAST_WIDTH + (GAMMA - 1) * (F.col("high") + SHIFT))
         low = F.when(_by_feature(lambda r: r.two_sided), F.col("base") - width).otherwise(F.lit(-1.0))
         cuts = cuts.select(*keys, "feature", "n", F.struct(low.alias("lo"), (F.col("high") + width).alias("hi")).alias("fence"))
         wide = cuts.groupBy(*keys).agg(F.max("n").alias(f"{level}_n"), *(F.max(F.when(F.col("feature") == f, F.col("fence"))).alias(f"{level}_{f}") for f in FEATURES))
