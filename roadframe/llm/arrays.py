@@ -180,6 +180,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = to
 
 
+def compact(column: pa.Array) -> pa.Array:
+    """A copy that starts at the start of its buffers, for kernels (ascii_lower of pyarrow 23) that misread slices."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -57,7 +57,7 @@ def _chunk_counts(batch: pa.RecordBatch) -> pa.Table:
     """Partial counts of one chunk; the empty term stands for the documents of a group themselves."""
     lang, source = (pc.fill_null(batch.column(c), "") for c in ("lang", "source"))
     # 64-bit offsets: the pieces of a long text
-    text = pc.ascii_lower(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
+    text = pc.ascii_lower(A.compact(pc.fill_null(batch.column("text"), "").cast(pa.large_string())))
     pieces = pc.split_pattern_regex(text, BETWEEN)
     doc, terms = pc.list_parent_indices(pieces), pc.list_flatten(pieces)
     real = pc.greater(pc.binary_length(terms), 0)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ pytest.importorskip("roadframe.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from roadframe.llm import arrays, chat, decontaminate, langid, minhash, packing, passages, quality, secrets, suffixes  # noqa: E402
+from roadframe.llm import arrays, chat, decontaminate, divergence, langid, minhash, packing, passages, quality, secrets, suffixes  # noqa: E402
 from roadframe.llm.queries import OP10_SQL, tokenizer_path  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -738,3 +739,14 @@ def test_secret_scans_of_a_text_with_many_matches(spark):
             out += [text[at : max(s["start"], at)], secrets.MASK * (s["start"] >= at)]
         at = max(at, s["end"])
     assert masked[1] == "".join(out) + text[at:] and masked[2] == "plain words"
+
+
+def test_divergence_counts_every_chunk_of_a_task(spark):
+    words = [f"Ä{'äöü'[i % 3] * (1 + i % 5)}x{i % 997}" for i in range(60_000)]
+    # about 0.9 MB each, so that a task cuts them into several chunks
+    texts = [" ".join(words[i:] + words[:i]) for i in range(4)]
+    docs = spark.createDataFrame([("de", f"s{i % 2}", t) for i, t in enumerate(texts)], "lang string, source string, text string").coalesce(1)
+    got = {(r["source"], r["term"]): (r["n"], r["docs"]) for r in divergence.term_counts(docs).collect()}
+    terms = Counter(w.rstrip("0123456789") for w in words)
+    want = {(f"s{s}", t): (2 * n, 2) for s in range(2) for t, n in terms.items()} | {(f"s{s}", ""): (0, 2) for s in range(2)}
+    assert got == want
