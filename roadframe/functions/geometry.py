@@ -183,23 +183,22 @@ def tangent(coords: Column, side: str, lookback: float) -> Column:
     line; segments of length 0 are skipped.
     """
     line = coords if side == "from" else F.reverse(coords)
-    start = first_point(line)
+    sign = 1.0 if side == "from" else -1.0
+    measured = F.filter(F.transform(_pairs(line), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), distance(p["a"], p["b"]).alias("length"))), lambda p: p["length"] > 0)
     zero = F.struct(F.lit(lookback).alias("left"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
-        length = distance(p["a"], p["b"])
-        use = ~acc["done"] & (length > 0)
-        reaches = use & (acc["left"] <= length)
-        ratio = acc["left"] / length
-        x = F.when(reaches, p["a"]["x"] + (p["b"]["x"] - p["a"]["x"]) * ratio).when(use, p["b"]["x"]).otherwise(acc["x"])
-        y = F.when(reaches, p["a"]["y"] + (p["b"]["y"] - p["a"]["y"]) * ratio).when(use, p["b"]["y"]).otherwise(acc["y"])
-        return F.struct(F.when(use & ~reaches, acc["left"] - length).otherwise(acc["left"]).alias("left"), x.alias("x"), y.alias("y"), (acc["done"] | reaches).alias("done"))
-
-    end = F.aggregate(_pairs(line), zero, step, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y")))
-    sign = 1.0 if side == "from" else -1.0
-    dx, dy = sign * (end["x"] - start["x"]), sign * (end["y"] - start["y"])
-    length = norm(dx, dy)
-    return F.when(length > 0, F.struct((dx / length).alias("x"), (dy / length).alias("y")))
+        reaches = acc["left"] <= p["length"]
+        ratio = acc["left"] / p["length"]
+        x, y = (F.when(acc["done"], acc[c]).when(reaches, p["a"][c] + (p["b"][c] - p["a"][c]) * ratio).otherwise(p["b"][c]) for c in "xy")
+        left = F.when(acc["done"] | reaches, acc["left"]).otherwise(acc["left"] - p["length"])
+        return F.struct(left.alias("left"), x.alias("x"), y.alias("y"), (acc["done"] | reaches).alias("done"))
+
+    # columns used in lambdas would be computed anew at each mention, so each step hands its value on in a list of one
+    end = F.array(F.struct(first_point(line).alias("start"), F.aggregate(measured, zero, step).alias("end")))
+    way = F.transform(end, lambda e: F.struct((sign * (e["end"]["x"] - e["start"]["x"])).alias("dx"), (sign * (e["end"]["y"] - e["start"]["y"])).alias("dy")))
+    sized = F.transform(way, lambda w: F.struct(w["dx"].alias("dx"), w["dy"].alias("dy"), norm(w["dx"], w["dy"]).alias("length")))
+    return F.element_at(F.transform(sized, lambda w: F.when(w["length"] > 0, F.struct((w["dx"] / w["length"]).alias("x"), (w["dy"] / w["length"]).alias("y")))), 1)
 
 
 def segments(rows: DataFrame, keep: list[str], coords: str = "coords") -> DataFrame:

@@ -313,3 +313,9 @@ def test_field_checks_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     want = conform.check_fields(table, layer).select("code", "feature_id", "reason").collect()
     assert sorted(spark.table("stream_test").select("code", "feature_id", "reason").collect()) == sorted(want) and want
+
+
+def test_tangent_mentions_its_line_few_times(spark):
+    rows = spark.createDataFrame([(line((0, 0), (1, 0)),)], f"coords {COORDS}")
+    plan = rows.select(G.tangent(F.col("coords"), "to", 1.0).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("coords#") < 20, plan.count("coords#")
