@@ -109,12 +109,12 @@ def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def connected_components(items: DataFrame, pairs: DataFrame, item: str, order: str, a: str = "a", b: str = "b") -> DataFrame:
     """(item, component): components over the given items, numbered from 0 by first appearance in the order column.
 
-    Pairs with an unknown item are ignored.
+    Pairs with an unknown item are ignored; an item of several rows comes once, at its first place.
     """
     known = items.select(F.col(item).alias("node")).distinct()
     kept = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
     forest = star_forest(kept)
-    rows = items.select(F.col(item).alias("node"), F.col(order).alias("ord")).join(forest, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rows = items.groupBy(F.col(item).alias("node")).agg(F.min(order).alias("ord")).join(forest, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = rows.groupBy("root").agg(F.min("ord").alias("ord"))
     return rows.select("node", "root").join(numbered(first, "ord", "component"), "root").select(F.col("node").alias(item), "component")
 

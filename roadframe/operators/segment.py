@@ -82,7 +82,7 @@ def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0, by_se
 def lateral_groups(links: DataFrame, uturn_links: DataFrame, lateral: DataFrame | None = None) -> DataFrame:
     """grp, id, ord: ordinary links without U-turns, grouped with their lateral neighbours."""
     lateral = lateral_neighbours(links) if lateral is None else lateral
-    items = links.filter("is_ordinary").join(uturn_links.select(F.col("link").alias("id")), "id", "left_anti").select("id", "ord")
+    items = links.filter("is_ordinary").join(uturn_links.select(F.col("link").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("ord").alias("ord"))
     ensure_checkpoint_dir(links.sparkSession)
     items = items.checkpoint()
     return connected_components(items, lateral, "id", "ord", "id", "other").join(items, "id").select(F.col("component").alias("grp"), "id", "ord")

@@ -319,3 +319,16 @@ def test_tangent_mentions_its_line_few_times(spark):
     rows = spark.createDataFrame([(line((0, 0), (1, 0)),)], f"coords {COORDS}")
     plan = rows.select(G.tangent(F.col("coords"), "to", 1.0).alias("t"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("coords#") < 20, plan.count("coords#")
+
+
+def test_repeated_ids_come_once(spark):
+    items = spark.createDataFrame([(1, 10), (2, 20), (2, 5), (3, 30)], "id long, ord long")
+    pairs = spark.createDataFrame([(2, 3)], "a long, b long")
+    assert sorted(map(tuple, connected_components(items, pairs, "id", "ord").collect())) == [(1, 1), (2, 0), (3, 0)]
+    rows = [(1, None, None, 7, 8), (1, None, None, 8, 9), (2, 1, None, 9, 7)]
+    links = spark.createDataFrame(rows, "id long, r_id long, l_id long, from_id long, to_id long")
+    nodes = spark.createDataFrame([(7, None), (8, None), (9, None)], "id long, group_key string")
+    assert sorted(map(tuple, topology.orientation_groups(links, nodes).collect())) == [(1, 1), (2, 1)]
+    rings = spark.createDataFrame([(1, line((0, 0), (3, 0), (0, 3))), (1, line((10, 0), (13, 0), (10, 3)))], f"id long, ring {COORDS}")
+    got = sorted((r["x"], r["y"]) for r in G.ring_point(rings, ["id", "ring"], "ring").collect())
+    assert got == [pytest.approx((1.0, 1.0)), pytest.approx((11.0, 1.0))]
