@@ -190,7 +190,7 @@ def votes(links: DataFrame) -> DataFrame:
 
 
 def orientation_groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, grp: links joined by side references or by node groups; grp is the smallest id.
+    """id, grp: every link id once, joined by side references or by node groups; grp is the smallest id.
 
     A node group joins its links through its first link, so pairs grow with the links.
     """
@@ -199,7 +199,7 @@ def orientation_groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
     at = link_ends(links).join(nodes.filter("group_key IS NOT NULL AND group_key <> ''").select(F.col("id").alias("node"), "group_key"), "node").select("id", "group_key").distinct()
     first = at.groupBy("group_key").agg(F.min("id").alias("b"))
     forest = star_forest(sides.select("a", "b").unionByName(at.join(first, "group_key").select(F.col("id").alias("a"), "b")))
-    return links.select("id").join(forest.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+    return links.select("id").distinct().join(forest.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
 
 
 def orientation(links: DataFrame, nodes: DataFrame, groups: DataFrame, tolerance: float = 0.5) -> DataFrame:
