@@ -166,14 +166,15 @@ def to_local_origin(rows: DataFrame, coords: str = "coords") -> DataFrame:
     return rows.crossJoin(F.broadcast(box)).withColumn(coords, moved).drop("ox", "oy", "oz")
 
 
-def ring_point(rows: DataFrame, key: str, coords: str = "coords") -> DataFrame:
-    """key, x, y, z: mean of a ring's distinct finite points in the plane, median of their heights."""
-    points = rows.select(key, F.inline(open_ring(F.col(coords))))
+def ring_point(rows: DataFrame, key: str | list[str], coords: str = "coords") -> DataFrame:
+    """key, x, y, z, one row per key: mean of a ring's distinct finite points in the plane, median of their heights."""
+    keys = [key] if isinstance(key, str) else key
+    points = rows.select(*keys, F.inline(open_ring(F.col(coords))))
     finite = F.lit(True)
     for c in "xyz":
         finite &= ~F.isnan(c) & F.col(c).isNotNull() & (F.abs(c) != float("inf"))
-    distinct = points.filter(finite).groupBy(key, "x", "y").agg(F.min("z").alias("z"))
-    return distinct.groupBy(key).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.percentile("z", F.lit(0.5)).alias("z"))
+    distinct = points.filter(finite).groupBy(*keys, "x", "y").agg(F.min("z").alias("z"))
+    return distinct.groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.percentile("z", F.lit(0.5)).alias("z"))
 
 
 def tangent(coords: Column, side: str, lookback: float) -> Column:
