@@ -50,15 +50,30 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(edges: DataFrame) -> DataFrame:
-    """The forest of every task's edges in place of the edges: same components, at most one edge a node and task."""
+    """The forest of every task's edges in place of the edges: same components, at most one edge a node and task.
+
+    A task holds TASK_EDGES edges at once; where their forest is not much smaller, it is sent and the next one begun.
+    """
+    most = TASK_EDGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            whole = pa.Table.from_batches(got)
-            a, b = contracted(*(c.to_numpy() for c in whole.columns))
-            for at in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000], type=f.type) for v, f in zip((a, b), whole.schema, strict=True)], schema=whole.schema)
+        held: list[pa.RecordBatch] = []
+
+        def forest() -> list[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            found = contracted(*(c.to_numpy() for c in whole.columns))
+            return [pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000], type=f.type) for v, f in zip(found, whole.schema, strict=True)], schema=whole.schema) for at in range(0, len(found[0]), 100_000)]
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) > most:
+                held = forest()
+                if sum(h.num_rows for h in held) > most // 2:
+                    yield from held
+                    held = []
+        if held:
+            yield from forest()
 
     return edges.mapInArrow(run, edges.schema)
 
@@ -86,7 +101,9 @@ def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     x, y = F.col(a), F.col(b)
-    edges = pairs.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).checkpoint()
+    edges = pairs.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    # before anything is written: pairs repeat, and most of a task's own close circles
+    edges = _contract(edges).checkpoint()
     n = edges.count()
     tasks = max(1, -(-n // TASK_EDGES))
     if not n:

@@ -155,11 +155,17 @@ def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_end
     tied = _star(members, ["grp"])
     kind = seed.withColumn("kind", F.lit("seed")).unionByName(promoted.withColumn("kind", F.lit("promoted"))).checkpoint()
     # bridges: links of these kinds that touch one node group at the same end
-    touching = node_grp.select("node_grp", "node").join(link_ends.select("id", "side", "node"), "node").join(kind, "id").select("node_grp", F.col("side").alias("end"), "id", "kind").distinct()
-    bridge = _star(touching, ["node_grp", "end"])
-    mixed = touching.groupBy("node_grp", "end").agg(F.min("id").alias("a"), F.count_if(F.col("kind") == "seed").alias("s"), F.count_if(F.col("kind") == "promoted").alias("p")).filter("s > 0 AND p > 0").select("node_grp", "end", "a")
-    own = node_grp.select("node_grp", "grp").distinct().join(groups.select("grp", "id"), "grp").join(link_ends.select("id", F.col("side").alias("end"), "node"), "id").join(node_grp.select("node_grp", "node"), ["node_grp", "node"], "left_semi")
-    owners = own.join(mixed, ["node_grp", "end"]).select("a", F.col("id").alias("b"))
+    # the links at a node are the same for all its node groups, so they meet in a star at the node, and a node group joins its nodes' stars
+    grouped = node_grp.select("node_grp", "node").distinct()
+    at_node = link_ends.select("id", F.col("side").alias("end"), "node").join(grouped.select("node").distinct(), "node", "left_semi").join(kind, "id").distinct()
+    stars = at_node.groupBy("node", "end").agg(F.min("id").alias("m"), F.count_if(F.col("kind") == "seed").alias("s"), F.count_if(F.col("kind") == "promoted").alias("p")).checkpoint()
+    touching = at_node.join(stars.select("node", "end", F.col("m").alias("a")), ["node", "end"]).select("a", F.col("id").alias("b"))
+    reach = grouped.join(stars, "node").select("node_grp", "end", "m", "s", "p").checkpoint()
+    hubs = reach.groupBy("node_grp", "end").agg(F.min("m").alias("a"), F.sum("s").alias("s"), F.sum("p").alias("p"))
+    bridge = touching.unionByName(reach.select("node_grp", "end", F.col("m").alias("b")).join(hubs.select("node_grp", "end", "a"), ["node_grp", "end"]).select("a", "b"))
+    mixed = hubs.filter("s > 0 AND p > 0").select("node_grp", "end", "a")
+    own = mixed.join(node_grp.select("node_grp", "grp").distinct(), "node_grp").join(groups.select("grp", "id"), "grp").join(link_ends.select("id", F.col("side").alias("end"), "node"), ["id", "end"])
+    owners = own.join(grouped, ["node_grp", "node"], "left_semi").select("a", F.col("id").alias("b"))
     items = kind.unionByName(owners.select(F.col("b").alias("id")).distinct().join(kind, "id", "left_anti").withColumn("kind", F.lit("owner")))
     pairs = beside
     for more in (crossing, shared, pulled.select("a", "b"), tied, bridge, owners):

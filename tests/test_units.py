@@ -332,3 +332,13 @@ def test_repeated_ids_come_once(spark):
     rings = spark.createDataFrame([(1, line((0, 0), (3, 0), (0, 3))), (1, line((10, 0), (13, 0), (10, 3)))], f"id long, ring {COORDS}")
     got = sorted((r["x"], r["y"]) for r in G.ring_point(rings, ["id", "ring"], "ring").collect())
     assert got == [pytest.approx((1.0, 1.0)), pytest.approx((11.0, 1.0))]
+
+
+def test_tasks_contract_edges_in_bounded_steps(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 50)
+    edges = spark.range(4000).selectExpr("id % 200 + 1000 AS a", "id % 200 % 7 AS b").coalesce(1)
+    # 200 edges are repeated 20 times; a forest over half of the limit is sent, so that no task holds all
+    forest = components._contract(edges)
+    assert forest.count() < 4200 and forest.distinct().count() >= 200
+    got = {r["node"]: r["component"] for r in components.star_forest(edges).collect()}
+    assert got == {i + 1000: i % 7 for i in range(200)}
