@@ -181,7 +181,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 def compact(column: pa.Array) -> pa.Array:
-    """A copy that starts at the start of its buffers, for kernels (ascii_lower of pyarrow 23) that misread slices."""
+    """A copy that starts at the start of its buffers, for kernels that misread others: ascii_lower of pyarrow 23 does so with large strings cast from a slice."""
     return column.take(pa.array(np.arange(len(column))))
 
 
