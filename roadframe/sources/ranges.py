@@ -161,7 +161,9 @@ class LayerReader(DataSourceReader):
     def _probed(self, part: Range) -> Iterator[pa.RecordBatch]:
         columns, rows = self._table(part, part.last - part.first)
         declared = _bytes(part.file.cpg).decode("ascii", "replace") if part.file.cpg is not None else None
-        valid, half, wide, bad = R.trouble(R.cells(rows, columns)[1])
+        step = BATCH_ROWS * max(1, columns.size)
+        seen = [R.trouble(R.cells(rows[a : a + step], columns)[1]) for a in range(0, len(rows), step)]
+        valid, half, wide, bad = all(x[0] for x in seen), any(x[1] for x in seen), sum(x[2] for x in seen), sum(x[3] for x in seen)
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((part.file.path, valid, half, wide, bad, declared), _PROBED, strict=True)], schema=_PROBED)
 
     def _rows(self, part: Range) -> Iterator[pa.RecordBatch]:

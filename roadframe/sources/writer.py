@@ -1,4 +1,4 @@
-"""Layers written as files of a delivery: each task writes its rows as one section.
+"""Layers written as files of a delivery: each task writes its rows as sections of up to FILE_ROWS rows or FILE_BYTES.
 
 The counterpart of the readers, for deliveries made from tables. A file is written under a name of its own and renamed
 when it is whole, so that a task that runs twice leaves one file.
@@ -24,6 +24,8 @@ _CODES = {"point": POINTS[0], "line": LINES[0], "polygon": POLYGONS[0]}
 PLANE = b'LOCAL_CS["plane",UNIT["metre",1]]'
 #: Widest cell of an attribute table.
 WIDEST = 254
+#: Rows of a file, at most but for the last batch, and bytes of its rows in Arrow. A task holds one file's rows; the format ends at 2 GB.
+FILE_ROWS, FILE_BYTES = 100_000, 64 << 20
 
 
 def _put(buf: np.ndarray, at: np.ndarray, values: np.ndarray, kind: str) -> None:
@@ -93,15 +95,13 @@ def encoded_table(columns: dict[str, pa.Array]) -> bytes:
 
 
 def write_layer(rows: DataFrame, layer: str, kind: str, root: str, coordinate: str) -> int:
-    """Write rows (parts, and texts in all other columns) as root/SEC<task>/coordinate/layer.*; the number of rows written."""
+    """Write rows (parts, and texts in all other columns) as root/SEC<task>-<file>/coordinate/layer.*; the number of rows written."""
     names = [c for c in rows.columns if c != "parts"]
+    most_rows, most_bytes = FILE_ROWS, FILE_BYTES
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+    def put(got: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(got).combine_chunks()
-        folder = f"{root}/SEC{TaskContext.get().partitionId():05d}/{coordinate}"
+        folder = f"{root}/SEC{TaskContext.get().partitionId():05d}-{number:04d}/{coordinate}"
         shp, shx = encoded_shapes(kind, table.column("parts").combine_chunks())
         dbf = encoded_table({c: table.column(c) for c in names})
         store, path = opened(folder)
@@ -111,7 +111,18 @@ def write_layer(rows: DataFrame, layer: str, kind: str, root: str, coordinate: s
             with store.open_output_stream(own) as f:
                 f.write(content)
             store.move(own, f"{path}/{layer}.{suffix}")
-        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
+        return pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, number = [], 0
+        for b in batches:
+            if b.num_rows:
+                got.append(b)
+            if sum(g.num_rows for g in got) >= most_rows or sum(g.nbytes for g in got) >= most_bytes:
+                yield put(got, number)
+                got, number = [], number + 1
+        if got:
+            yield put(got, number)
 
     texts = rows.select("parts", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
     return texts.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadframe.functions import geometry as G
-from roadframe.sources import lines, ranges, records, shapefile
+from roadframe.sources import lines, ranges, records, shapefile, writer
 from roadframe.specs import V2023
 
 from test_units import COORDS, _dbf, _poly, _shp, line  # noqa: I001
@@ -214,3 +214,21 @@ def test_layers_that_a_section_lacks(spark):
     assert sorted((r["section"] or "", r["layer"], r["level"]) for r in rows) == sorted([("S1", "A1_NODE", "error"), *(("", n, "error" if n in required else "info") for n in names if n != "A2_LINK")])
     assert {r["id"] for r in rows} == {"-"} and "Missing required layer file: A1_NODE.shp" in {r["reason"] for r in rows}
     assert shapefile.placeholders(found.limit(0), V2023).count() == 0
+
+
+def test_layer_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A task holds the rows of one file, not all of its own."""
+    monkeypatch.setattr(writer, "FILE_ROWS", 20)
+    monkeypatch.setattr(ranges, "BATCH_ROWS", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        point = F.array(F.array(G.point(F.col("id") * 1.0, F.lit(0.0))))
+        rows = spark.range(0, 90, 1, 1).select(F.concat(F.lit("서"), "id").alias("ID"), F.lit("7").alias("NodeType"), point.alias("parts"))
+        assert writer.write_layer(rows, "A1_NODE", "point", str(tmp_path), "HD") == 90
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [len(records.walked(f.read_bytes())[0]) for f in sorted(tmp_path.glob("*/HD/A1_NODE.shp"))] == [20, 20, 20, 20, 10]
+    layers = shapefile.load_layers(spark, str(tmp_path), "HD")[1]
+    got = layers["A1_NODE"].select("id", F.col("coords")[0]["x"].alias("x")).collect()
+    assert sorted((r["id"], r["x"]) for r in got) == sorted((f"서{i}", float(i)) for i in range(90))
