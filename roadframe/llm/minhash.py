@@ -9,8 +9,9 @@ Equal sets are one class from the start. Tables run over class representatives,
 under some key is settled, however many share the key:
 
 1. A key that few share gives all their pairs. Under one that many share, the members of each part of
-   GROUP_PART first meet the part's most central member, then each its nearest one in another component,
-   and last all that are still in other components, so work follows the members that stay apart.
+   GROUP_PART first meet the part's most central member (each in its CENTRAL_KEYS largest groups), then each its nearest
+   one in another component, and last, under every key, all that are still in other components, so work follows the
+   members that stay apart.
 2. A pair is dropped before its sets are fetched only where it cannot reach the similarity: a parity bitmap of
    each set bounds the number of differing shingles from below.
 3. What is left is confirmed on the full sets, nearest pairs first; pairs inside one component need no look.
@@ -45,6 +46,8 @@ BITS = 1024
 SMALL_GROUP = 8
 #: Members of a large group that a task holds against as many others.
 GROUP_PART = 4096
+#: Of a row's large groups, the largest ones in which it meets the central member; later rounds take all of its groups.
+CENTRAL_KEYS = 4
 #: Parts in which the rows of one table key meet what is known of the key.
 SALTS = 32
 #: Representatives for each task that holds a table of the confirming rounds.
@@ -240,7 +243,7 @@ def _central(bits: np.ndarray) -> int:
 def in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buckets: int, percent: int, which: str) -> DataFrame:
     """(a, b): pairs of large table groups whose ends lie in different components and that may reach the similarity.
 
-    which: "central" pairs each member with the most central one of its part, "nearest" each member outside the group's
+    which: "central" pairs each member with the most central one of its part in its largest groups, "nearest" each member outside the group's
     largest component with its nearest one in another component of each part, "all" gives all pairs. A task holds two parts.
     """
 
@@ -274,6 +277,10 @@ def in_large_groups(large: DataFrame, reps: DataFrame, forest: DataFrame, n_buck
     # a key that many share is dealt by key and salt
     salted = sizes.filter("roots > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    if which == "central":
+        # copies share nearly all keys, and would meet the same member under each
+        order = Window.partitionBy("doc_id").orderBy(F.desc("size"), "key")
+        rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRAL_KEYS).drop("place")
     others = F.array("part") if which == "central" else F.sequence(F.lit(0), F.col("parts") - 1)
     rows = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")).join(reps, "doc_id")

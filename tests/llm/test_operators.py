@@ -172,6 +172,28 @@ def test_near_duplicates(rows, docs, empty, k):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in sets if find(i) == i}
 
 
+def test_near_copies_meet_their_central_one_in_few_groups(spark, monkeypatch):
+    """Near copies share nearly all table keys; under each they would meet the same member again."""
+    n, keys = 40, 60
+    bits = np.zeros(minhash.BITS // 8, dtype=np.uint8).tobytes()
+    reps = spark.createDataFrame([(i, 100, bits) for i in range(n)], "doc_id long, n_shingles long, bits binary")
+    large = spark.createDataFrame([(i, k) for i in range(n) for k in range(keys)], "a long, b long")
+    forest = spark.createDataFrame([], "node long, component long")
+    made, whole = [], minhash.X.per_bucket
+
+    def counted(*args):
+        out = whole(*args).cache()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.X, "per_bucket", counted)
+    pairs = minhash.in_large_groups(large, reps, forest, 4, 80, "central").collect()
+    assert len(pairs) >= n - 1 and {x for p in pairs for x in p} == set(range(n))
+    assert made[0] <= n * minhash.CENTRAL_KEYS
+    # what no round has settled is paired under every key
+    assert len(minhash.in_large_groups(large, reps, forest, 4, 80, "all").collect()) == n * (n - 1) // 2
+
+
 def test_near_duplicates_inside_one_template(spark):
     """Pairs at 0.83 among pages of one template, each at 0.79 to all other pages."""
     template, texts = [f"t{i}" for i in range(440)], []
