@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import ensure_checkpoint_dir
@@ -59,13 +59,53 @@ def resolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], how: str =
     return hit.select("layer", "id", "column", "target", F.col("value").alias("target_id"))
 
 
+#: Rows that one task of a join of references should hold.
+TASK_ROWS = 2_000_000
+#: Ids that are sent to all references instead of dealing the references anew.
+SENT_ROWS = 400_000
+
+
+def _sizes(layers: Mapping[str, DataFrame], edges: Sequence[Edge]) -> dict[str, int]:
+    """Rows of every layer that an edge starts from or points at."""
+    used = {e.layer for e in edges} | {t for e in edges for t in e.targets}
+    parts = [df.select(F.lit(name).alias("layer")) for name, df in layers.items() if name in used]
+    return {r["layer"]: r["n"] for r in union_all(parts).groupBy("layer").agg(F.count("*").alias("n")).collect()} if parts else {}
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions of about TASK_ROWS rows, at least as many as the session takes, so that a task's memory does not follow the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def _values(layers: Mapping[str, DataFrame], edge: Edge, key: str) -> DataFrame:
+    """id, value: the filled references of one edge, a narrow row each."""
+    return layers[edge.layer].select(F.col(key).cast("string").alias("id"), F.col(edge.column).cast("string").alias("value")).filter("value IS NOT NULL AND value <> ''")
+
+
+def _layer_ids(layers: Mapping[str, DataFrame], name: str, key: str, column: str = "value") -> DataFrame:
+    return layers[name].select(F.col(key).cast("string").alias(column))
+
+
+def _joined(rows: DataFrame, other: DataFrame, on: str, how: str, n_rows: int, n_other: int) -> DataFrame:
+    """rows joined with the ids of other: sent to all tasks where they are few, else both are dealt to tasks of bounded size."""
+    if n_other <= SENT_ROWS:
+        return rows.join(F.broadcast(other), on, how)
+    n = _tasks(rows.sparkSession, n_rows + n_other)
+    return rows.repartition(n, on).join(other.repartition(n, on), on, how)
+
+
 def unresolved(layers: Mapping[str, DataFrame], edges: Sequence[Edge], key: str = "id") -> DataFrame:
     """layer, id, column, required, value of references that no target layer holds, and of empty required ones."""
-    wanted = _references(layers, edges, key)
-    hit = wanted.join(_ids(layers, key, edges), ["target", "value"], "left_semi").select("layer", "id", "column").distinct()
-    lost = wanted.select("layer", "id", "column", "required", "value").distinct().join(hit, ["layer", "id", "column"], "left_anti")
-    empty = [layers[e.layer].filter(F.col(e.column).isNull() | (F.col(e.column).cast("string") == "")).select(F.lit(e.layer).alias("layer"), F.col(key).cast("string").alias("id"), F.lit(e.column).alias("column"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("value")) for e in edges if e.required and e.layer in layers]
-    return union_all([lost, *empty])
+    known = [e for e in edges if e.layer in layers]
+    n, parts = _sizes(layers, known), []
+    for e in known:
+        rows = _values(layers, e, key)
+        for t in e.targets:
+            if t in layers:
+                rows = _joined(rows, _layer_ids(layers, t, key), "value", "left_anti", n.get(e.layer, 0), n.get(t, 0))
+        parts.append(rows.distinct().select(F.lit(e.layer).alias("layer"), "id", F.lit(e.column).alias("column"), F.lit(e.required).alias("required"), "value"))
+    empty = [layers[e.layer].filter(F.col(e.column).isNull() | (F.col(e.column).cast("string") == "")).select(F.lit(e.layer).alias("layer"), F.col(key).cast("string").alias("id"), F.lit(e.column).alias("column"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("value")) for e in known if e.required]
+    return union_all([*parts, *empty])
 
 
 def back_references(edge_rows: DataFrame) -> DataFrame:
@@ -92,8 +132,6 @@ def with_placeholders(rows: DataFrame, targets: DataFrame, column: str, key: str
 
 #: A cascade deeper than this is taken for an error.
 MAX_ROUNDS = 1_000
-#: Rows of a round that are sent to all references instead of dealing the references anew.
-SENT_ROWS = 100_000
 
 
 def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataFrame, key: str = "id") -> DataFrame:
