@@ -134,35 +134,59 @@ def with_placeholders(rows: DataFrame, targets: DataFrame, column: str, key: str
 MAX_ROUNDS = 1_000
 
 
+def _by_layer(rows: DataFrame) -> dict[str, int]:
+    return {r["layer"]: r["n"] for r in rows.groupBy("layer").agg(F.count("*").alias("n")).collect()}
+
+
+def _present(layers: Mapping[str, DataFrame], rows: DataFrame, name: str, key: str, n_rows: int, n_layer: int) -> DataFrame:
+    """value: the ids of rows (layer, id) in one layer that the layer holds."""
+    own = rows.filter(F.col("layer") == name).select(F.col("id").alias("value"))
+    return _joined(_layer_ids(layers, name, key), own, "value", "left_semi", n_layer, n_rows).distinct()
+
+
 def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataFrame, key: str = "id") -> DataFrame:
     """layer, id, depth, cause_layer, cause_id of every row that goes once the seeds (layer, id) go.
 
     A row follows when one of its required references hits a gone row and no other target layer still
-    holds that id. Only the newest rows are looked at in each round; rounds end when none is new.
+    holds that id. Only the newest rows are looked at in each round, against the references that may point at them;
+    rounds end when none is new.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    refs = _references(layers, edges, key)
-    held = refs.filter("required").select("layer", "id", "rank", "target", "value").join(_ids(layers, key, edges), ["target", "value"], "left_semi").checkpoint()
-    several = [rank for rank, e in enumerate(edges) if e.required and len(e.targets) > 1]
+    required = [(rank, e) for rank, e in enumerate(edges) if e.required and e.layer in layers]
+    n = _sizes(layers, [e for _, e in required])
+    several = [rank for rank, e in required if len(e.targets) > 1]
+    if several:
+        held = _references(layers, edges, key).filter(F.col("rank").isin(several)).select("layer", "id", "rank", "target", "value").join(_ids(layers, key, edges), ["target", "value"], "left_semi").checkpoint()
     none = F.lit(None).cast("string")
     gone = frontier = seeds.select("layer", F.col("id").cast("string").alias("id")).distinct().withColumns({"depth": F.lit(0), "cause_layer": none, "cause_id": none}).checkpoint()
     for depth in range(1, MAX_ROUNDS):
-        n = frontier.count()
-        if not n:
+        newest = _by_layer(frontier)
+        if not newest:
             return gone
         if depth > 1:
             # each round's rows are written once; gone is their union
             gone = gone.unionByName(frontier)
-        newest = frontier.select(F.col("layer").alias("target"), F.col("id").alias("value"))
-        lost = held.join(F.broadcast(newest) if n <= SENT_ROWS else newest, ["target", "value"])
+        parts, most = [], 0
+        for rank, e in required:
+            for t in e.targets:
+                if t in newest and t in layers:
+                    # seeds need not be rows of a layer; later rows are
+                    own = _present(layers, frontier, t, key, newest[t], n.get(t, 0)) if depth == 1 else frontier.filter(F.col("layer") == t).select(F.col("id").alias("value"))
+                    hit = _joined(_values(layers, e, key), own, "value", "inner", n.get(e.layer, 0), newest[t])
+                    parts.append(hit.select(F.lit(e.layer).alias("layer"), "id", F.lit(rank).alias("rank"), F.lit(t).alias("target"), "value"))
+                    most += n.get(e.layer, 0)
+        if not parts:
+            return gone
+        lost = union_all(parts)
         if several:
             # another target may still hold the same id
             open_rows = lost.filter(F.col("rank").isin(several)).select("layer", "id", "rank").distinct()
             dead = gone.select(F.col("layer").alias("target"), F.col("id").alias("value"))
-            alive = held.filter(F.col("rank").isin(several)).join(open_rows, ["layer", "id", "rank"], "left_semi").join(dead, ["target", "value"], "left_anti").select("layer", "id", "rank").distinct()
+            alive = held.join(open_rows, ["layer", "id", "rank"], "left_semi").join(dead, ["target", "value"], "left_anti").select("layer", "id", "rank").distinct()
             lost = lost.join(alive, ["layer", "id", "rank"], "left_anti")
-        new = lost.groupBy("layer", "id").agg(F.min(F.struct("rank", "target", "value")).alias("c")).join(gone.select("layer", "id"), ["layer", "id"], "left_anti")
+        least = lost.repartition(_tasks(spark, most), "layer", "id").groupBy("layer", "id").agg(F.min(F.struct("rank", "target", "value")).alias("c"))
+        new = least.join(gone.select("layer", "id"), ["layer", "id"], "left_anti")
         frontier = new.select("layer", "id", F.lit(depth).alias("depth"), F.col("c.target").alias("cause_layer"), F.col("c.value").alias("cause_id")).checkpoint()
     raise RuntimeError(f"cascade not settled after {MAX_ROUNDS} rounds")
 

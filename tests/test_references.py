@@ -58,3 +58,31 @@ def test_tasks_of_references_grow_with_the_rows(spark, monkeypatch):
     layers = {"a": spark.range(1_000).select("id"), "b": spark.range(2_000).select("id", (F.col("id") % 1_100).alias("a"))}
     lost = integrity.unresolved(layers, [Edge("b", "a", ("a",))])
     assert lost.count() == 100 and lost.rdd.getNumPartitions() >= 60
+
+
+def plain_cascade(rows, gone):
+    """Layer and id of all that goes, with its depth."""
+    depth = 0
+    while True:
+        depth += 1
+        new = {("order", str(i)) for i, b in rows["order"] if ("buyer", str(b)) in gone} | {("line", i) for i, o, _ in rows["line"] if ("order", str(o)) in gone and str(o) in held(rows)["order"]}
+        new -= set(gone)
+        if not new:
+            return gone
+        gone |= dict.fromkeys(new, depth)
+
+
+def test_cascade_by_edges(spark, layers, limits):
+    """One of the seeds is no row of its layer, so nothing that names it follows."""
+    seeds = [("buyer", "3"), ("maker", "4"), ("order", "61"), ("dealer", "6"), ("maker", "6")]
+    got = integrity.cascade(layers, EDGES, spark.createDataFrame(seeds, "layer string, id string"))
+    assert got.count() == got.select("layer", "id").distinct().count()
+    assert {(r["layer"], r["id"]): r["depth"] for r in got.collect()} == plain_cascade(tables(), dict.fromkeys(seeds, 0))
+
+
+def test_cascade_keeps_references_it_does_not_need(spark):
+    """A round joins only what may point at its rows: references to other layers are not written or dealt."""
+    layers = {"a": spark.range(3).select("id"), "b": spark.range(9).select("id", (F.col("id") % 3).alias("a")), "c": spark.range(9).select("id", F.expr("raise_error('read')").cast("long").alias("d")), "d": spark.range(3).select("id")}
+    edges = [Edge("b", "a", ("a",), True), Edge("c", "d", ("d",), True)]
+    gone = integrity.cascade(layers, edges, spark.createDataFrame([("a", "1")], "layer string, id string"))
+    assert {(r["layer"], r["id"]) for r in gone.collect()} == {("a", "1"), ("b", "1"), ("b", "4"), ("b", "7")}
