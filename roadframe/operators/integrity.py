@@ -193,12 +193,29 @@ def cascade(layers: Mapping[str, DataFrame], edges: Sequence[Edge], seeds: DataF
 
 def cleared(layers: Mapping[str, DataFrame], edges: Sequence[Edge], gone: DataFrame, key: str = "id") -> DataFrame:
     """layer, id, column, value: optional references of remaining rows whose every holder is gone."""
-    optional = _references(layers, edges, key).filter("NOT required")
-    held = optional.join(_ids(layers, key, edges), ["target", "value"], "left_semi")
-    dead = gone.select(F.col("layer").alias("target"), F.col("id").alias("value"))
-    hit = held.join(dead, ["target", "value"], "left_semi").select("layer", "id", "column", "value").distinct()
-    alive = held.join(dead, ["target", "value"], "left_anti").select("layer", "id", "column").distinct()
-    return hit.join(alive, ["layer", "id", "column"], "left_anti").join(gone.select("layer", "id"), ["layer", "id"], "left_anti")
+    ensure_checkpoint_dir(gone.sparkSession)
+    optional = [e for e in edges if not e.required and e.layer in layers]
+    n, lost, parts = _sizes(layers, optional), _by_layer(gone), []
+    for e in optional:
+        targets = [t for t in e.targets if t in layers]
+        dead = {t: _present(layers, gone, t, key, lost[t], n.get(t, 0)).checkpoint() for t in targets if t in lost}
+        if not dead:
+            continue
+        own, rows = n.get(e.layer, 0), _values(layers, e, key)
+        hit = union_all([_joined(rows, d, "value", "left_semi", own, lost[t]) for t, d in dead.items()]).distinct()
+        if e.layer in lost:
+            hit = _joined(hit, gone.filter(F.col("layer") == e.layer).select("id"), "id", "left_anti", own, lost[e.layer])
+        hit = hit.checkpoint()
+        n_hit = hit.count()
+        # a hit row's reference stays where another target, or another row of its id, still has a holder
+        held = [_joined(rows, _layer_ids(layers, t, key), "value", "left_semi", own, n.get(t, 0)) for t in targets]
+        alive = union_all([_joined(h, dead[t], "value", "left_anti", own, lost[t]) if t in dead else h for t, h in zip(targets, held, strict=True)]).select("id")
+        alive = _joined(alive, hit.select("id").distinct(), "id", "left_semi", own, n_hit).distinct()
+        parts.append(_joined(hit, alive, "id", "left_anti", n_hit, n_hit).select(F.lit(e.layer).alias("layer"), "id", F.lit(e.column).alias("column"), "value"))
+    if not parts:
+        text = F.lit(None).cast("string")
+        return gone.limit(0).select("layer", "id", text.alias("column"), text.alias("value"))
+    return union_all(parts)
 
 
 def _without_references(layers: Mapping[str, DataFrame], lost: DataFrame, key: str) -> dict[str, DataFrame]:

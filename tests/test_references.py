@@ -86,3 +86,28 @@ def test_cascade_keeps_references_it_does_not_need(spark):
     edges = [Edge("b", "a", ("a",), True), Edge("c", "d", ("d",), True)]
     gone = integrity.cascade(layers, edges, spark.createDataFrame([("a", "1")], "layer string, id string"))
     assert {(r["layer"], r["id"]) for r in gone.collect()} == {("a", "1"), ("b", "1"), ("b", "4"), ("b", "7")}
+
+
+def test_cleared_by_edges(spark, layers, limits):
+    rows, ids = tables(), held(tables())
+    seeds = [("buyer", "3"), ("maker", "4"), ("maker", "6"), ("dealer", "6"), ("dealer", "9"), ("maker", "13")]
+    gone = plain_cascade(rows, dict.fromkeys(seeds, 0))
+    names = {i: {str(m) for j, _, m in rows["line"] if i == j and m is not None} for i, _, _ in rows["line"]}
+    want = set()
+    for i, values in names.items():
+        alive = any(v in ids[t] and (t, v) not in gone for v in values for t in ("maker", "dealer"))
+        want |= {("line", i, "maker", v) for v in values if not alive and ("line", i) not in gone and any(v in ids[t] and (t, v) in gone for t in ("maker", "dealer"))}
+    found = integrity.cleared(layers, EDGES, integrity.cascade(layers, EDGES, spark.createDataFrame(seeds, "layer string, id string")))
+    got = [tuple(r) for r in found.collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    none = integrity.cleared(layers, EDGES, spark.createDataFrame([("buyer", "3")], "layer string, id string"))
+    assert none.columns == found.columns and none.count() == 0
+
+
+def test_cleared_deals_references_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "SENT_ROWS", 0)
+    monkeypatch.setattr(integrity, "TASK_ROWS", 50, raising=False)
+    layers = {"a": spark.range(500).select("id"), "b": spark.range(1_000).select("id", (F.col("id") % 500).alias("a"))}
+    gone = spark.range(400).select(F.lit("a").alias("layer"), F.col("id").cast("string").alias("id"))
+    found = integrity.cleared(layers, [Edge("b", "a", ("a",))], gone)
+    assert found.count() == 800 and found.rdd.getNumPartitions() >= 20
