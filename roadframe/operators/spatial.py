@@ -53,13 +53,17 @@ def _steps(rows: DataFrame, side: str, cell: float) -> DataFrame:
     def at(axis: str, i: Column) -> Column:
         return F.col(f"{side}a{axis}") + (F.col(f"{side}b{axis}") - F.col(f"{side}a{axis}")) * (i / F.col("n"))
 
-    def span(axis: str) -> Column:
-        a, b = at(axis, F.col("i")), at(axis, F.col("i") + 1)
+    def bounds(axis: str, i: Column) -> tuple[Column, Column]:
+        a, b = at(axis, i), at(axis, i + 1)
         # a step's ends are rounded: widen by far less than a cell, so that no touching cell is missed
         slack = cell * 1e-6
-        return F.sequence(F.floor((F.least(a, b) - slack) / cell).cast("long"), F.floor((F.greatest(a, b) + slack) / cell).cast("long"))
+        return F.floor((F.least(a, b) - slack) / cell).cast("long"), F.floor((F.greatest(a, b) + slack) / cell).cast("long")
 
-    return s.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).drop("n", "i").distinct()
+    for axis in "xy":
+        s = s.withColumn(f"c{axis}", F.explode(F.sequence(*bounds(axis, F.col("i")))))
+    # steps go one way along each axis, so those that touch a cell follow each other: the first of them keeps it
+    before = [F.col(f"c{axis}").between(*bounds(axis, F.col("i") - 1)) for axis in "xy"]
+    return s.filter((F.col("i") == 0) | ~(before[0] & before[1])).drop("n", "i")
 
 
 def _quarters(rows: DataFrame, side: str, cell: float) -> DataFrame:
@@ -104,12 +108,11 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
     done: dict[str, list[DataFrame]] = {"l": [], "r": []}
 
     def settle(side: str, rows: DataFrame, level: int, blocks: bool = False) -> None:
-        mine, other = F.lit(0), F.array(F.lit(0))
+        rows = rows.withColumns({"level": F.lit(level), "bl": F.lit(0), "br": F.lit(0)})
         if blocks:
             n = {s: F.ceil(F.col(f"n{s}") / BLOCK_ROWS).cast("int") for s in "lr"}
             mine = F.pmod(F.xxhash64(f"{side}_id", f"{side}_seg"), n[side]).cast("int")
-            other = F.sequence(F.lit(0), n["r" if side == "l" else "l"] - 1)
-        rows = rows.withColumns({"level": F.lit(level), f"b{side}": mine}).withColumn("br" if side == "l" else "bl", F.explode(other))
+            rows = rows.withColumn(f"b{side}", mine).withColumn("br" if side == "l" else "bl", F.explode(F.sequence(F.lit(0), n["r" if side == "l" else "l"] - 1)))
         done[side].append(rows.drop("nl", "nr", "px", "py"))
 
     for level in range(MAX_SPLITS + 1):
