@@ -53,6 +53,11 @@ def lateral_neighbours(links: DataFrame) -> DataFrame:
     return pairs.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "side", "other")
 
 
+def side_pairs(links: DataFrame) -> DataFrame:
+    """id, other: every side reference as it stands, for components, which need neither its direction nor each pair once."""
+    return links.select("id", F.explode(F.array("l_id", "r_id")).alias("other")).filter("other IS NOT NULL")
+
+
 def ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, ord, side, node: ends at existing nodes."""
     cells = F.inline(F.array(F.struct(F.lit("from").alias("side"), F.col("from_id").alias("node")), F.struct(F.lit("to").alias("side"), F.col("to_id").alias("node"))))
@@ -80,8 +85,8 @@ def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0, by_se
 
 
 def lateral_groups(links: DataFrame, uturn_links: DataFrame, lateral: DataFrame | None = None) -> DataFrame:
-    """grp, id, ord: ordinary links without U-turns, grouped with their lateral neighbours."""
-    lateral = lateral_neighbours(links) if lateral is None else lateral
+    """grp, id, ord: ordinary links without U-turns, grouped with their lateral neighbours: pairs (id, other), by default the links' own."""
+    lateral = side_pairs(links) if lateral is None else lateral
     items = links.filter("is_ordinary").join(uturn_links.select(F.col("link").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("ord").alias("ord"))
     ensure_checkpoint_dir(links.sparkSession)
     items = items.checkpoint()
@@ -346,7 +351,7 @@ def segment(links: DataFrame, nodes: DataFrame, markers: DataFrame, config: Conf
     if ready("uturns"):
         out["uturns"] = uturns(links, markers, config.z_intersection_tol_m, by_section, declared).checkpoint()
     if ready("lateral_groups", "uturns"):
-        out["lateral_groups"] = lateral_groups(links, out["uturns"], lateral).checkpoint()
+        out["lateral_groups"] = lateral_groups(links, out["uturns"]).checkpoint()
         out["group_references"] = reference_links(out["lateral_groups"], links, lateral).checkpoint()
     if ready("node_groups", "lateral_groups"):
         out["node_groups"] = node_groups(out["lateral_groups"], link_ends).checkpoint()

@@ -3,7 +3,9 @@
 import math
 import random
 
-from roadframe.operators import spatial
+
+from roadframe.operators import segment, spatial
+from roadframe.operators.components import connected_components
 
 from test_units import COORDS  # noqa: I001
 
@@ -38,3 +40,13 @@ def test_steps_give_each_cell_once_without_a_shuffle(spark):
     assert set(got) == {(i, x, y) for i, (a, b) in rows for x, y in touched(a, b, 10.0)}
     assert "Exchange" not in plan_of(steps)
 
+
+def test_lateral_groups_take_references_as_they_stand(spark):
+    rng = random.Random(6)
+    rows = [(i, i, rng.choice([None, rng.randrange(90)]), rng.choice([None, rng.randrange(90)]), i % 9 != 0) for i in range(80)]
+    links = spark.createDataFrame(rows, "id long, ord long, l_id long, r_id long, is_ordinary boolean")
+    turned = spark.createDataFrame([(4,), (8,)], "link long")
+    want = {tuple(r) for r in segment.lateral_groups(links, turned, segment.lateral_neighbours(links)).collect()}
+    assert {tuple(r) for r in segment.lateral_groups(links, turned).collect()} == want and len({g for g, _, _ in want}) < len(want) - 5
+    items = links.filter("is_ordinary").join(turned.withColumnRenamed("link", "id"), "id", "left_anti")
+    assert {(r["component"], r["id"]) for r in connected_components(items, segment.side_pairs(links), "id", "ord", "id", "other").collect()} == {(g, i) for g, i, _ in want}
