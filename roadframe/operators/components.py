@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,16 @@ def _contract(edges: DataFrame) -> DataFrame:
 
         def forest() -> list[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
-            found = contracted(*(c.to_numpy() for c in whole.columns))
-            return [pa.RecordBatch.from_arrays([pa.array(v[at : at + 100_000], type=f.type) for v, f in zip(found, whole.schema, strict=True)], schema=whole.schema) for at in range(0, len(found[0]), 100_000)]
+            if pa.types.is_integer(whole.schema[0].type):
+                found = [pa.array(v, type=f.type) for v, f in zip(contracted(*(c.to_numpy() for c in whole.columns)), whole.schema, strict=True)]
+            else:
+                # names are sorted once, each by itself, and stand for their places from then on
+                every = pa.chunked_array([chunk for c in whole.columns for chunk in c.chunks])
+                names = every.unique()
+                names = names.take(pc.sort_indices(names))
+                places = pc.index_in(every, names).to_numpy()
+                found = [names.take(pa.array(v)) for v in contracted(places[: len(whole)], places[len(whole) :])]
+            return [pa.RecordBatch.from_arrays([v.slice(at, 100_000) for v in found], schema=whole.schema) for at in range(0, len(found[0]), 100_000)]
 
         for b in batches:
             if b.num_rows:
@@ -111,6 +120,10 @@ def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = _contract(edges.coalesce(tasks)).checkpoint()
     if tasks == 1:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # stars around the smallest item of each component need no rounds
+    one = edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).checkpoint()
+    if one.filter("b <> last").isEmpty() and one.join(one.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        return one.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
     before = None
     for _ in range(MAX_ROUNDS):

@@ -3,9 +3,11 @@
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
-from roadframe.operators import segment, spatial
-from roadframe.operators.components import connected_components
+from roadframe.operators import components, segment, spatial
+from roadframe.operators.components import connected_components, star_forest
 
 from test_units import COORDS  # noqa: I001
 
@@ -41,6 +43,40 @@ def test_steps_give_each_cell_once_without_a_shuffle(spark):
     assert "Exchange" not in plan_of(steps)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_stars_need_no_rounds(spark, monkeypatch, kind):
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+
+    def no_round(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(components, "_large_star", no_round)
+    name = F.format_string("%03d", F.col("id")).cast(kind)
+    pairs = spark.range(0, 400, numPartitions=5).select(name.alias("a"), F.format_string("%03d", F.col("id") % 7).cast(kind).alias("b"))
+    found = {(int(r["node"]), int(r["component"])) for r in star_forest(pairs).collect()}
+    assert found == {(i, i % 7) for i in range(7, 400)}
+
+
+@pytest.mark.parametrize("most", [10, 1_000])
+def test_names_contract_as_in_utf8_order(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(8)
+    names = [f"{rng.choice(['a', 'Z', 'é', '\U0001f600', '￮', ''])}{i}" for i in range(120)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(80)]
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)), key=str.encode)
+        root[y] = x
+    found = {r["node"]: r["component"] for r in star_forest(spark.createDataFrame(pairs, "a string, b string").repartition(4)).collect()}
+    assert found == {n: find(n) for n in names if find(n) != n}
+
+
 def test_lateral_groups_take_references_as_they_stand(spark):
     rng = random.Random(6)
     rows = [(i, i, rng.choice([None, rng.randrange(90)]), rng.choice([None, rng.randrange(90)]), i % 9 != 0) for i in range(80)]
