@@ -48,12 +48,16 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.masked(docs)
 
 
+#: Words that a worker remembers while it packs: fewer than for packing alone, since the stages before left their own tables in it.
+REMEMBERED = 100_000
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their token ids and their places in the packed sequences.
 
     Null and empty texts give the end id alone; repeated rows are packed each; an empty table gives no rows.
     """
-    return packing.packed(docs, tokenizer_path(), with_ids=True)
+    return packing.packed(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -74,8 +74,9 @@ class Ids:
     texts with combining marks, since composing a letter with a mark depends on the letter's case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -86,7 +87,7 @@ class Ids:
 
         Punctuation after a letter or digit is a token run of its own, so a word is learned without it.
         """
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.known, self.older = {}, self.known
         split = {w: w.rstrip(PUNCTUATION) for w in words}
         for w, core in split.items():
@@ -135,17 +136,17 @@ class Ids:
 
 
 @lru_cache(maxsize=1)
-def _ids(path: str) -> Ids:
-    """One memory of words for each Python worker, kept from task to task; REMEMBERED bounds it."""
-    return Ids(path)
+def _ids(path: str, remembered: int | None = None) -> Ids:
+    """One memory of words for each Python worker, kept from task to task; remembered, by default REMEMBERED, bounds it."""
+    return Ids(path, remembered)
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, remembered: int | None = None) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())] * with_ids)
-    ids, end = _ids(path), END_ID.to_bytes(4, "little")
+    ids, end = _ids(path, remembered), END_ID.to_bytes(4, "little")
     for b in A.chunks(batches):
         out: list[tuple] = []
         for doc_id, raw in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):
@@ -156,10 +157,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Ite
         yield A.batch(schema, *list(zip(*out, strict=True))[: len(schema)])
 
 
-def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Each document's ids cut at multiples of CAPACITY: doc_id, start, length, ids_crc32, doc_tokens, and the raw ids if wanted."""
+def pieces(docs: DataFrame, path: str, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
+    """Each document's ids cut at multiples of CAPACITY: doc_id, start, length, ids_crc32, doc_tokens, and the raw ids if wanted.
+
+    remembered words of one generation stay in each Python worker (by default REMEMBERED): fewer take less memory and more time.
+    """
     rows = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lambda batches: _pieces(batches, path, with_ids), PIECE + ", ids binary" * with_ids)
+    return rows.mapInArrow(lambda batches: _pieces(batches, path, with_ids, remembered), PIECE + ", ids binary" * with_ids)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -316,12 +320,12 @@ def pack(cut_pieces: DataFrame) -> DataFrame:
     return placed.unionByName(full.select(*names, (F.col("number") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
-def packed(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """Tokenize and pack every document: one row per piece with its place, and its raw ids if wanted.
 
     Ids are written once and join the places at the end, so packing itself moves only numbers.
     """
-    cut_pieces = pieces(docs, path, with_ids)
+    cut_pieces = pieces(docs, path, with_ids, remembered)
     if not with_ids:
         return pack(cut(cut_pieces))
     stored = written(cut_pieces.withColumn("piece", F.monotonically_increasing_id()))
