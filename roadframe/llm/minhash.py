@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..operators.components import star_forest
 from . import arrays as A
 from . import exchange as X
-from .session import cut, shuffle_partitions, text_rows, written
+from .session import cut, shuffle_partitions, text_rows, tidy, written
 
 SHINGLE, PERCENT = 5, 80
 #: Hash collections: TABLES tuples of TUPLE minhashes in each of the two.
@@ -129,7 +129,7 @@ def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, an order-free 128-bit fingerprint of the set, the minhash tuples and the parity bitmap."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary())])
     rows = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lambda batches: _signed(batches, k, schema), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bits binary")
+    return rows.mapInArrow(tidy(lambda batches: _signed(batches, k, schema)), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bits binary")
 
 
 def _grouped(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def candidates(reps: DataFrame, n_buckets: int) -> DataFrame:
             to = min(len(a), at + 100_000)
             yield A.batch(schema, a[at:to], b[at:to], np.arange(at, to) >= n)
 
-    packed = reps.select("doc_id", "sig").mapInArrow(spread, "bucket int, large boolean, x binary, y binary")
+    packed = reps.select("doc_id", "sig").mapInArrow(tidy(spread), "bucket int, large boolean, x binary, y binary")
     return X.per_bucket(packed, settle, "a long, b long, large boolean")
 
 
@@ -230,7 +230,7 @@ def rated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b, apart): the pairs that may reach the similarity, each once."""
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
-    return pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(lambda batches: _rated(batches, percent), "a long, b long, apart double")
+    return pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(tidy(lambda batches: _rated(batches, percent)), "a long, b long, apart double")
 
 
 def _central(bits: np.ndarray) -> int:
@@ -313,7 +313,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     """The pairs (a, b) whose full sets reach the similarity."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(lambda batches: _confirmed(batches, percent), "a long, b long")
+    return both.mapInArrow(tidy(lambda batches: _confirmed(batches, percent)), "a long, b long")
 
 
 def _between(pairs: DataFrame, forest: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     # a written table has a known size, so Spark may send it to the texts instead of dealing the texts
     wanted = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(large.select("a")).distinct())
     texts = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(lambda batches: _packed_sets(batches, k), "doc_id long, set binary"))
+    sets = written(texts.mapInArrow(tidy(lambda batches: _packed_sets(batches, k)), "doc_id long, set binary"))
     tried = spark.createDataFrame([], "a long, b long")
     forest = spark.createDataFrame([], "node long, component long")
     # the rounds' tables have a few numbers for each representative

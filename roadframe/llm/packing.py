@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import numbered
 from . import arrays as A
-from .session import cut, shuffle_partitions, text_rows, written
+from .session import cut, shuffle_partitions, text_rows, tidy, written
 
 CAPACITY, END_ID, PAD_ID = 4096, 2, 0
 #: Width of a length class in tokens, and the accepted distance of the linear program from its optimum.
@@ -137,7 +137,7 @@ class Ids:
 
 @lru_cache(maxsize=1)
 def _ids(path: str, remembered: int | None = None) -> Ids:
-    """One memory of words for each Python worker, kept from task to task; remembered, by default REMEMBERED, bounds it."""
+    """One memory of words for each Python worker; remembered, by default REMEMBERED, bounds it."""
     return Ids(path, remembered)
 
 
@@ -155,15 +155,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, rememb
                 part = raw[at : at + 4 * CAPACITY]
                 out.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, part))
         yield A.batch(schema, *list(zip(*out, strict=True))[: len(schema)])
+    if remembered is not None:
+        ids.known, ids.older = {}, {}
 
 
 def pieces(docs: DataFrame, path: str, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """Each document's ids cut at multiples of CAPACITY: doc_id, start, length, ids_crc32, doc_tokens, and the raw ids if wanted.
 
-    remembered words of one generation stay in each Python worker (by default REMEMBERED): fewer take less memory and more time.
+    A task remembers so many words of one generation and forgets them at its end; by default a worker keeps REMEMBERED from
+    task to task.
     """
     rows = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lambda batches: _pieces(batches, path, with_ids, remembered), PIECE + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(lambda batches: _pieces(batches, path, with_ids, remembered)), PIECE + ", ids binary" * with_ids)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -313,7 +316,7 @@ def pack(cut_pieces: DataFrame) -> DataFrame:
     fields = [*names, "class", "rank"]
     out = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names] + list(schema) + [("sequence_id", pa.int64())])
     ddl = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names) + ", class int, rank long, sequence_id long"
-    placed = ranked.select(*fields).mapInArrow(lambda batches: _placed(batches, slots, classes, out), ddl)
+    placed = ranked.select(*fields).mapInArrow(tidy(lambda batches: _placed(batches, slots, classes, out)), ddl)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*names, "sequence_id", "offset")
     full = numbered(cut_pieces.filter(F.col("length") == CAPACITY), "doc_id", "number")

@@ -45,7 +45,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which a task gives what Arrow and the C library keep of freed memory back to the system.
+
+    Workers go on from task to task and there are several for each core, so what each keeps of its largest task adds up.
+    """
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    return whole
+
+
 def filtered(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """docs after a filter over Arrow batches, which sees the column text under its name and all others under neutral ones."""
     plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*docs.columns)
