@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadframe.operators import integrity
+from roadframe.operators import integrity, topology
 from roadframe.operators.integrity import Edge
 
 EDGES = [Edge("line", "order", ("order",), True), Edge("line", "maker", ("maker", "dealer")), Edge("order", "buyer", ("buyer",), True)]
@@ -111,3 +111,13 @@ def test_cleared_deals_references_by_their_rows(spark, monkeypatch):
     gone = spark.range(400).select(F.lit("a").alias("layer"), F.col("id").cast("string").alias("id"))
     found = integrity.cleared(layers, [Edge("b", "a", ("a",))], gone)
     assert found.count() == 800 and found.rdd.getNumPartitions() >= 20
+
+
+def test_unreferenced_nodes_meet_the_ends_once(spark):
+    """The ends of links are dealt once, not once for each part of a union of nodes; repeated and null ids stay rows of their own."""
+    nodes = spark.createDataFrame([(1,), (2,), (None,)], "id long").unionByName(spark.createDataFrame([(3,), (3,), (4,)], "id long")).unionByName(spark.createDataFrame([(5,)], "id long"))
+    links = spark.createDataFrame([(10, 1, 9), (11, 4, None), (12, None, 4)], "id long, from_id long, to_id long")
+    found = topology.unreferenced_nodes(nodes, links)
+    assert sorted((r["id"] for r in found.collect()), key=str) == [2, 3, 3, 5, None]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("inline(") == 1 and "Anti" not in plan, plan
