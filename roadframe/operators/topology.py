@@ -161,13 +161,16 @@ def redirect_nonreciprocal(links: DataFrame, layer: str = "link") -> tuple[DataF
 
 
 def reciprocal_state(rows: DataFrame, column: str, inverse: str) -> DataFrame:
-    """id, target, state: fill (the target's empty slot, first writer by ord), conflict (the slot holds another), for rule column -> inverse."""
+    """id, target, state: fill (the target's empty slot, first writer by ord), conflict (the slot holds another), for rule column -> inverse.
+
+    Where several rows share the target's id, the first writer meets the empty slot before filled ones, whatever order rows come in.
+    """
     from pyspark.sql import Window
 
     refs = rows.filter(F.col(column).isNotNull()).select("id", "ord", F.col(column).alias("target"))
     slots = rows.select(F.col("id").alias("target"), F.col(inverse).alias("slot"))
     found = refs.join(slots, "target").filter("NOT (slot <=> id)")
-    writer = F.row_number().over(Window.partitionBy("target").orderBy("ord", "id"))
+    writer = F.row_number().over(Window.partitionBy("target").orderBy("ord", "id", F.col("slot").isNotNull(), "slot"))
     ranked = found.withColumn("n", F.when(F.col("slot").isNull(), writer))
     return ranked.select("id", "target", F.when(F.col("n") == 1, "fill").otherwise("conflict").alias("state"))
 

@@ -121,3 +121,12 @@ def test_unreferenced_nodes_meet_the_ends_once(spark):
     assert sorted((r["id"] for r in found.collect()), key=str) == [2, 3, 3, 5, None]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("inline(") == 1 and "Anti" not in plan, plan
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_repeated_target_has_its_empty_slot_filled(spark, turned):
+    """Row order does not decide whether the first writer meets the empty or the filled row of a target whose id repeats."""
+    rows = [(1, 1, 5, None), (5, 5, None, 7), (5, 5, None, None), (5, 5, None, 8)]
+    links = spark.createDataFrame(rows[::-1] if turned else rows, "id long, ord long, r_id long, l_id long").coalesce(1)
+    found = topology.reciprocal_state(links, "r_id", "l_id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 5, "conflict"), (1, 5, "conflict"), (1, 5, "fill")]
