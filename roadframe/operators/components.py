@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
@@ -28,7 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-#: Edges that one task of a star round should hold on average.
+def settled(df: DataFrame) -> DataFrame:
+    """df written once under the checkpoint folder and read back: its lineage is cut, and later steps read only columns that they name."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Edges that one task holds at once; so many are settled by a single task.
 TASK_EDGES = 500_000
 
 
@@ -87,53 +97,67 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
-def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
-    """Hang each node's larger neighbours on its smallest one."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).coalesce(tasks)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+def _large_star(edges: DataFrame, turn: int) -> DataFrame:
+    """node, top: nodes hung on the first of their neighbours and themselves, and the smallest node of those that hang together.
+
+    First in an order that is shuffled for each turn, so that long chains fall apart as well, whatever their names.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
 
+    def place(c: str) -> Column:
+        return F.xxhash64(c, F.lit(turn))
 
-def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
-    """Hang each node and its smaller neighbours on the smallest; edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
-    rest = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
-    return rest.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks)
+    first = both.groupBy("node").agg(F.min_by("other", place("other")).alias("other"), F.min(place("other")).alias("place"))
+    hung = first.select("node", F.when(F.col("place") < place("node"), F.col("other")).otherwise(F.col("node")).alias("up"))
+    return hung.select("node", F.min("node").over(Window.partitionBy("up")).alias("top"))
+
+
+def _small_star(edges: DataFrame, hung: DataFrame) -> DataFrame:
+    """The edges between those that hang together, under the names of their smallest nodes."""
+    x, y = hung.select(F.col("node").alias("a"), F.col("top").alias("x")), hung.select(F.col("node").alias("b"), F.col("top").alias("y"))
+    moved = edges.join(x, "a").join(y, "b").filter("x <> y")
+    return _contract(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
 
 
 def star_forest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of pairs that is not its own component's smallest node.
 
-    Tasks of about TASK_EDGES edges first contract what they hold; where one task holds all edges, that is the
-    result. Else large-star and small-star rounds alternate, each halving what is left of long chains.
-    Every round is checkpointed, and the loop stops when the edges no longer change.
+    Tasks first contract what they hold. While more than TASK_EDGES edges are left, nodes hang on neighbours and each
+    set of those that hang together becomes one node, so that later rounds have fewer edges; one task settles
+    the rest. Then names go back down, round by round. Every round is written, and each node is in one row of it.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
     x, y = F.col(a), F.col(b)
     edges = pairs.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     # before anything is written: pairs repeat, and most of a task's own close circles
-    edges = _contract(edges).checkpoint()
+    edges = settled(_contract(edges))
     n = edges.count()
-    tasks = max(1, -(-n // TASK_EDGES))
-    if not n:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    edges = _contract(edges.coalesce(tasks)).checkpoint()
-    if tasks == 1:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # stars around the smallest item of each component need no rounds
-    one = edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).checkpoint()
-    if one.filter("b <> last").isEmpty() and one.join(one.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-        return one.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        large = _large_star(edges, tasks).distinct().coalesce(tasks)
-        edges = _small_star(large, tasks).distinct().coalesce(tasks).checkpoint()
-        after = edges.agg(*mark).first()
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = after
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+    if n > TASK_EDGES:
+        # stars around the smallest item of each component need no rounds
+        one = settled(edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")))
+        if one.filter("b <> last").isEmpty() and one.join(one.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return one.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rounds: list[DataFrame] = []
+    while n > TASK_EDGES:
+        if len(rounds) == MAX_ROUNDS:
+            raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+        rounds.append(settled(_large_star(edges, len(rounds))))
+        edges = settled(_small_star(edges, rounds[-1]))
+        n = edges.count()
+    found = _contract(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for hung in reversed(rounds):
+        above = found.select(F.col("node").alias("top"), "component")
+        found = hung.join(above, "top", "left").select("node", F.coalesce("component", "top").alias("component")).filter("node <> component")
+    return settled(found)
+
+
+def placed_components(items: DataFrame, pairs: DataFrame, item: str, order: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(item, component, ord): as connected_components, with the place of each item's first row."""
+    known = items.select(F.col(item).alias("node")).distinct()
+    kept = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    forest = star_forest(kept)
+    rows = settled(items.groupBy(F.col(item).alias("node")).agg(F.min(order).alias("ord")).join(forest, "node", "left").select("node", "ord", F.coalesce("component", "node").alias("root")))
+    first = rows.groupBy("root").agg(F.min("ord").alias("ord"))
+    return rows.join(numbered(first, "ord", "component").drop("ord"), "root").select(F.col("node").alias(item), "component", "ord")
 
 
 def connected_components(items: DataFrame, pairs: DataFrame, item: str, order: str, a: str = "a", b: str = "b") -> DataFrame:
@@ -141,12 +165,7 @@ def connected_components(items: DataFrame, pairs: DataFrame, item: str, order: s
 
     Pairs with an unknown item are ignored; an item of several rows comes once, at its first place.
     """
-    known = items.select(F.col(item).alias("node")).distinct()
-    kept = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
-    forest = star_forest(kept)
-    rows = items.groupBy(F.col(item).alias("node")).agg(F.min(order).alias("ord")).join(forest, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    first = rows.groupBy("root").agg(F.min("ord").alias("ord"))
-    return rows.select("node", "root").join(numbered(first, "ord", "component"), "root").select(F.col("node").alias(item), "component")
+    return placed_components(items, pairs, item, order, a, b).select(item, "component")
 
 
 def numbered(rows: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
@@ -155,11 +174,10 @@ def numbered(rows: DataFrame, order: str | Sequence[str], name: str) -> DataFram
     Range-partitions by the order, numbers inside each partition, and adds the sizes of the
     partitions before it: one row per partition, which the driver never sees.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [order] if isinstance(order, str) else list(order)
     # the partition of each row must not change between its two uses
-    parted = rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).checkpoint()
+    parted = settled(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()))
     sizes = parted.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("skip", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "skip")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*by))

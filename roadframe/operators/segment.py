@@ -16,7 +16,7 @@ from ..config import Config
 from ..functions.geometry import first_point, last_point, norm, segments, tangent
 from ..functions.text import stripped
 from ..schema import RoleFilter, Schema
-from .components import connected_components, ensure_checkpoint_dir, numbered, star_forest
+from .components import numbered, placed_components, settled, star_forest
 from .sections import section_of
 from .spatial import crossing_pairs, distance_join
 
@@ -46,11 +46,14 @@ def role_keys(nodes: DataFrame, column: str = "group_key", name: str = "node_gro
 
 def lateral_neighbours(links: DataFrame) -> DataFrame:
     """id, side (left or right), other: by the link's own side reference or by the other's inverse one."""
-    out = links.select("id", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("l_id").alias("other")), F.struct(F.lit("right").alias("side"), F.col("r_id").alias("other")))))
-    back = links.select(F.inline(F.array(F.struct(F.col("r_id").alias("id"), F.lit("left").alias("side"), F.col("id").alias("other")), F.struct(F.col("l_id").alias("id"), F.lit("right").alias("side"), F.col("id").alias("other")))))
-    known = links.select("id")
-    pairs = out.unionByName(back).filter("id IS NOT NULL AND other IS NOT NULL").distinct()
-    return pairs.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "side", "other")
+    return neighbours(links).distinct()
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """The rows of lateral_neighbours, of which a mutual pair comes twice."""
+    sides = F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(back).alias("back"), F.col(c).alias("other")) for s, back, c in (("left", "right", "l_id"), ("right", "left", "r_id")))))
+    refs = links.filter("id IS NOT NULL").select("id", sides).filter("other IS NOT NULL").join(links.select(F.col("id").alias("other")), "other", "left_semi")
+    return refs.select(F.inline(F.array(F.struct("id", "side", "other"), F.struct(F.col("other").alias("id"), F.col("back").alias("side"), F.col("id").alias("other")))))
 
 
 def side_pairs(links: DataFrame) -> DataFrame:
@@ -79,8 +82,7 @@ def uturns(links: DataFrame, markers: DataFrame, z_tolerance: float = 1.0, by_se
         hit = _own_section(crossing_pairs(links.filter("is_ordinary").select("id", "coords"), markers.select("id", "coords"), z_tolerance), by_section)
         found = hit.groupBy(F.col("a_id").alias("link")).agg(F.array_sort(F.collect_set("b_id")).alias("markers"))
         # numbering looks at its rows twice, and crossings are dear
-        ensure_checkpoint_dir(links.sparkSession)
-        direct = found.join(links.select(F.col("id").alias("link"), "ord"), "link").checkpoint()
+        direct = settled(found.join(links.select(F.col("id").alias("link"), "ord"), "link"))
     return numbered(direct, "ord", "id").select("id", "link", "markers")
 
 
@@ -88,9 +90,7 @@ def lateral_groups(links: DataFrame, uturn_links: DataFrame, lateral: DataFrame
     """grp, id, ord: ordinary links without U-turns, grouped with their lateral neighbours: pairs (id, other), by default the links' own."""
     lateral = side_pairs(links) if lateral is None else lateral
     items = links.filter("is_ordinary").join(uturn_links.select(F.col("link").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("ord").alias("ord"))
-    ensure_checkpoint_dir(links.sparkSession)
-    items = items.checkpoint()
-    return connected_components(items, lateral, "id", "ord", "id", "other").join(items, "id").select(F.col("component").alias("grp"), "id", "ord")
+    return placed_components(settled(items), lateral, "id", "ord", "id", "other").select(F.col("component").alias("grp"), "id", "ord")
 
 
 def reference_links(groups: DataFrame, links: DataFrame, lateral: DataFrame) -> DataFrame:
@@ -101,8 +101,8 @@ def reference_links(groups: DataFrame, links: DataFrame, lateral: DataFrame) ->
     """
     member = groups.join(links.select("id", "lane_no", "is_pocket"), "id")
     plain = member.filter("NOT is_pocket").select("grp", "id", "lane_no")
-    left = lateral.filter("side = 'left'").select("id", "other").join(plain.select("id", "grp"), "id").join(plain.select(F.col("id").alias("other"), F.col("grp").alias("g2")), "other").filter("grp = g2").select("id").distinct().withColumn("has_left", F.lit(True))
-    edge = plain.join(left, "id", "left").withColumns({"lane1": F.coalesce(F.col("lane_no") == 1, F.lit(False)), "edge": F.col("has_left").isNull()})
+    left = lateral.filter("side = 'left'").select("id", "other").join(plain.select(F.col("id").alias("other"), "grp"), "other").select("id", "grp").distinct().withColumn("has_left", F.lit(True))
+    edge = plain.join(left, ["id", "grp"], "left").withColumns({"lane1": F.coalesce(F.col("lane_no") == 1, F.lit(False)), "edge": F.col("has_left").isNull()})
     counts = edge.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("lane1").alias("n_lane1"), F.min(F.when(F.col("lane1"), F.col("id"))).alias("by_lane"), F.count_if("edge").alias("n_edge"), F.min(F.when(F.col("edge"), F.col("id"))).alias("by_edge"))
     every = groups.groupBy("grp").agg(F.min_by("id", "ord").alias("first_link"))
     rows = every.join(counts, "grp", "left")
@@ -116,6 +116,7 @@ def reference_links(groups: DataFrame, links: DataFrame, lateral: DataFrame) ->
 def node_groups(groups: DataFrame, link_ends: DataFrame) -> DataFrame:
     """node_grp, grp, side, node: the nodes at each side of each lateral group."""
     rows = groups.select("grp", "id").join(link_ends.select("id", "side", "node"), "id").select("grp", "side", "node").distinct()
+    rows = settled(rows)
     order = F.col("grp") * 2 + F.when(F.col("side") == "to", 1).otherwise(0)
     ids = numbered(rows.select("grp", "side", order.alias("o")).distinct(), "o", "node_grp").select("grp", "side", "node_grp")
     return rows.join(ids, ["grp", "side"]).select("node_grp", "grp", "side", "node")
@@ -140,8 +141,7 @@ def _star(rows: DataFrame, hub: list[str], item: str = "id") -> DataFrame:
 
 def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_ends: DataFrame, lateral: DataFrame, z_tolerance: float = 1.0, by_section: bool = False) -> DataFrame:
     """junction, id, kind (seed, promoted or owner): junction links, what they pull in, and bridges between them."""
-    ensure_checkpoint_dir(links.sparkSession)
-    seeds = links.filter("is_junction").select("id", "ord", "coords")
+    seeds = settled(links.filter("is_junction").select("id", "ord", "coords"))
     seed = seeds.select("id")
     is_seed = seed.withColumn("seed", F.lit(True))
     next_to = lateral.select("id", "other").join(seed, "id", "left_semi").join(is_seed.withColumnRenamed("id", "other"), "other", "left")
@@ -150,33 +150,36 @@ def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_end
     shared = _star(seed_ends.select("node", "id").distinct(), ["node"])
     beside = next_to.filter("seed").select(F.col("id").alias("a"), F.col("other").alias("b"))
     # a link that leaves where a seed leaves, or arrives where it arrives, comes with its whole group
-    touched = seed_ends.withColumnRenamed("id", "a").join(link_ends.select(F.col("id").alias("b"), "side", "node"), ["side", "node"]).select("a", "b").join(seed.withColumnRenamed("id", "b"), "b", "left_anti")
+    # one seed stands for all at a node, as they are together anyway
+    touched = link_ends.select(F.col("id").alias("b"), "side", "node").join(seed_ends.groupBy("side", "node").agg(F.min("id").alias("a")), ["side", "node"]).select("a", "b").join(seed.withColumnRenamed("id", "b"), "b", "left_anti")
     in_group = groups.select(F.col("id").alias("b"), "grp")
     sideways = next_to.filter("seed IS NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).join(in_group, "b", "left_semi")
-    pulled = touched.unionByName(sideways).distinct().checkpoint()
+    pulled = settled(touched.unionByName(sideways).distinct())
     pulled_groups = pulled.join(in_group, "b").select("grp").distinct()
-    members = groups.join(pulled_groups, "grp", "left_semi").join(seed, "id", "left_anti").select("grp", "id").checkpoint()
+    members = settled(groups.join(pulled_groups, "grp", "left_semi").join(seed, "id", "left_anti").select("grp", "id"))
     promoted = pulled.select(F.col("b").alias("id")).unionByName(members.select("id")).distinct()
     tied = _star(members, ["grp"])
-    kind = seed.withColumn("kind", F.lit("seed")).unionByName(promoted.withColumn("kind", F.lit("promoted"))).checkpoint()
+    kind = settled(seed.withColumn("kind", F.lit("seed")).unionByName(promoted.withColumn("kind", F.lit("promoted"))))
     # bridges: links of these kinds that touch one node group at the same end
     # the links at a node are the same for all its node groups, so they meet in a star at the node, and a node group joins its nodes' stars
-    grouped = node_grp.select("node_grp", "node").distinct()
-    at_node = link_ends.select("id", F.col("side").alias("end"), "node").join(grouped.select("node").distinct(), "node", "left_semi").join(kind, "id").distinct()
-    stars = at_node.groupBy("node", "end").agg(F.min("id").alias("m"), F.count_if(F.col("kind") == "seed").alias("s"), F.count_if(F.col("kind") == "promoted").alias("p")).checkpoint()
+    grouped = node_grp.select("node_grp", "node")
+    at_node = settled(link_ends.select("id", F.col("side").alias("end"), "node").join(kind, "id"))
+    of_kind = [F.max(F.col("kind") == k).alias(c) for k, c in (("seed", "s"), ("promoted", "p"))]
+    stars = settled(at_node.groupBy("node", "end").agg(F.min("id").alias("m"), *of_kind).join(grouped, "node", "left_semi"))
     touching = at_node.join(stars.select("node", "end", F.col("m").alias("a")), ["node", "end"]).select("a", F.col("id").alias("b"))
-    reach = grouped.join(stars, "node").select("node_grp", "end", "m", "s", "p").checkpoint()
-    hubs = reach.groupBy("node_grp", "end").agg(F.min("m").alias("a"), F.sum("s").alias("s"), F.sum("p").alias("p"))
+    reach = settled(grouped.join(stars, "node").select("node_grp", "end", "m", "s", "p"))
+    hubs = settled(reach.groupBy("node_grp", "end").agg(F.min("m").alias("a"), F.max("s").alias("s"), F.max("p").alias("p")))
     bridge = touching.unionByName(reach.select("node_grp", "end", F.col("m").alias("b")).join(hubs.select("node_grp", "end", "a"), ["node_grp", "end"]).select("a", "b"))
-    mixed = hubs.filter("s > 0 AND p > 0").select("node_grp", "end", "a")
-    own = mixed.join(node_grp.select("node_grp", "grp").distinct(), "node_grp").join(groups.select("grp", "id"), "grp").join(link_ends.select("id", F.col("side").alias("end"), "node"), ["id", "end"])
-    owners = own.join(grouped, ["node_grp", "node"], "left_semi").select("a", F.col("id").alias("b"))
+    mixed = hubs.filter("s AND p").select("node_grp", "end", "a").join(node_grp.select("node_grp", "grp", "node"), "node_grp")
+    # by group and node together: a group may be as large as the network
+    own_ends = link_ends.select("id", F.col("side").alias("end"), "node").join(groups.select("grp", "id"), "id")
+    owners = settled(mixed.join(own_ends, ["grp", "node", "end"]).select("a", F.col("id").alias("b")).distinct())
     items = kind.unionByName(owners.select(F.col("b").alias("id")).distinct().join(kind, "id", "left_anti").withColumn("kind", F.lit("owner")))
     pairs = beside
     for more in (crossing, shared, pulled.select("a", "b"), tied, bridge, owners):
         pairs = pairs.unionByName(more.select("a", "b"))
     forest = star_forest(pairs)
-    rooted = items.join(forest.withColumnRenamed("node", "id"), "id", "left").select("id", "kind", F.coalesce("component", "id").alias("root")).checkpoint()
+    rooted = settled(items.join(forest.withColumnRenamed("node", "id"), "id", "left").select("id", "kind", F.coalesce("component", "id").alias("root")))
     first = rooted.join(seeds.select("id", "ord"), "id").groupBy("root").agg(F.min("ord").alias("o"))
     return rooted.join(numbered(first, "o", "junction"), "root").select("junction", "id", "kind")
 
@@ -189,7 +192,7 @@ def junction_nodes(junction: DataFrame, link_ends: DataFrame) -> DataFrame:
 def junction_matches(groups: DataFrame, node_grp: DataFrame, junction: DataFrame, nodes_of: DataFrame, link_ends: DataFrame) -> DataFrame:
     """node_grp, grp, side, junction, method: node groups of outer link groups with their best junction."""
     inner = groups.join(junction.select("id").distinct(), "id", "left_semi").select("grp").distinct()
-    outer = node_grp.join(inner, "grp", "left_anti")
+    outer = settled(node_grp.join(inner, "grp", "left_anti"))
     shared = outer.join(nodes_of, "node").select("node_grp", "grp", "side", "junction", F.lit(0).alias("priority"))
     beside = outer.join(link_ends.select("id", "node"), "node").join(junction.select("junction", "id"), "id").select("node_grp", "grp", "side", "junction", F.lit(1).alias("priority"))
     best = shared.unionByName(beside).groupBy("node_grp", "grp", "side").agg(F.min(F.struct("priority", "junction")).alias("m"))
@@ -205,7 +208,7 @@ def end_geometry(links: DataFrame, lookback: float = 1.0) -> DataFrame:
 def pair_candidates(match: DataFrame, node_grp: DataFrame, nodes: DataFrame, refs: DataFrame, geometry: DataFrame, config: Config | None = None) -> DataFrame:
     """junction, to_grp, from_grp, priority, distance: an arriving and a leaving node group that may be one connection."""
     config = config or Config()
-    at = match.join(node_grp.select("node_grp", "node"), "node_grp").join(nodes.select(F.col("id").alias("node"), "x", "y", "group_key"), "node").checkpoint()
+    at = settled(match.join(node_grp.select("node_grp", "node"), "node_grp").join(nodes.select(F.col("id").alias("node"), "x", "y", "group_key"), "node"))
     sides = {s: at.filter(F.col("side") == s).select(F.col("junction").alias(f"{s}_junction"), F.col("node_grp").alias(f"{s}_grp"), F.col("group_key").alias(f"{s}_key"), "x", "y") for s in ("to", "from")}
     near = distance_join(sides["to"].withColumnRenamed("to_junction", "at"), sides["from"].withColumnRenamed("from_junction", "at"), config.merge_distance_m, ["at"]).withColumnRenamed("at", "to_junction").groupBy(F.col("to_junction").alias("junction"), "to_grp", "from_grp").agg(F.min("distance").alias("distance"))
     keys = {s: sides[s].filter(f"{s}_key <> ''").select(f"{s}_grp", F.col(f"{s}_key").alias("key")).distinct() for s in sides}
@@ -243,15 +246,14 @@ def greedy_pairs(candidates: DataFrame) -> DataFrame:
     need not fit a task, every pair that is best for both its ends is taken round by round: the order is total, so the
     choice is the same.
     """
-    ensure_checkpoint_dir(candidates.sparkSession)
-    counted = candidates.withColumn("__n", F.count("*").over(Window.partitionBy("junction"))).checkpoint()
+    counted = settled(candidates.withColumn("__n", F.count("*").over(Window.partitionBy("junction"))))
     taken = counted.filter(F.col("__n") <= TASK_CANDIDATES).drop("__n").groupBy("junction").applyInArrow(_chosen, candidates.schema)
     left = counted.filter(F.col("__n") > TASK_CANDIDATES).drop("__n")
     while not left.isEmpty():
         ranks = {f"__{s}": F.row_number().over(Window.partitionBy("junction", f"{s}_grp").orderBy(*_ORDER)) for s in ("to", "from")}
-        best = left.withColumns(ranks).filter("__to = 1 AND __from = 1").select(*candidates.columns).checkpoint()
+        best = settled(left.withColumns(ranks).filter("__to = 1 AND __from = 1").select(*candidates.columns))
         taken = taken.unionByName(best)
-        left = left.join(best.select("junction", "to_grp"), ["junction", "to_grp"], "left_anti").join(best.select("junction", "from_grp"), ["junction", "from_grp"], "left_anti").checkpoint()
+        left = settled(left.join(best.select("junction", "to_grp"), ["junction", "to_grp"], "left_anti").join(best.select("junction", "from_grp"), ["junction", "from_grp"], "left_anti"))
     return taken
 
 
@@ -261,7 +263,7 @@ def connections(match: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = match.join(both.drop("junction"), "node_grp", "left")
     single = F.col("to_grp").isNull()
     order = F.struct("junction", single.alias("single"), F.coalesce("priority", F.lit(0)).alias("p"), F.coalesce("distance", F.lit(0.0)).alias("d"), F.coalesce("to_grp", "node_grp").alias("t"), F.coalesce("from_grp", "node_grp").alias("f"))
-    rows = rows.select("junction", "node_grp", "grp", "side", F.when(single, "one_sided").when(F.col("priority") == 0, "node_group_key,opposite_direction").otherwise("opposite_direction").alias("method"), order.alias("o")).checkpoint()
+    rows = settled(rows.select("junction", "node_grp", "grp", "side", F.when(single, "one_sided").when(F.col("priority") == 0, "node_group_key,opposite_direction").otherwise("opposite_direction").alias("method"), order.alias("o")))
     ids = numbered(rows.select("o").distinct(), "o", "connection")
     return rows.join(ids, "o").select("connection", "junction", "node_grp", "grp", "side", "method")
 
@@ -307,7 +309,7 @@ def junction_edges(references: DataFrame, connection: DataFrame, node_grp: DataF
     at = connection.select("connection", "node_grp").join(node_grp.select("node_grp", "node"), "node_grp").select("connection", "node").distinct().join(nodes.select(F.col("id").alias("node"), "x", "y", "z"), "node")
     ahead = (F.col("x") - F.col("anchor.x")) * F.col("fx") + (F.col("y") - F.col("anchor.y")) * F.col("fy")
     far = r.join(at, "connection").groupBy("connection").agg(F.min(F.struct((-ahead).alias("s"), "node", F.struct("x", "y", "z").alias("p"))).alias("k"))
-    r = r.join(far, "connection").select("connection", "junction", "link", "fx", "fy", (-F.col("fy")).alias("px"), F.col("fx").alias("py"), F.col("k.node").alias("node"), F.col("k.p").alias("o")).checkpoint()
+    r = settled(r.join(far, "connection").select("connection", "junction", "link", "fx", "fy", (-F.col("fy")).alias("px"), F.col("fx").alias("py"), F.col("k.node").alias("node"), F.col("k.p").alias("o")))
     own = connection.select("connection", "grp").distinct().join(groups.select("grp", "id"), "grp").select("connection", "id").distinct()
     s = F.posexplode(F.arrays_zip(F.slice("coords", 1, F.size("coords") - 1).alias("a"), F.slice("coords", 2, F.size("coords") - 1).alias("b"))).alias("seg", "e")
     seg = r.join(own, "connection").join(links.filter("size(coords) >= 2").select("id", "coords"), "id").select("connection", "id", "fx", "fy", "px", "py", "o", s)
@@ -340,33 +342,34 @@ def segment(links: DataFrame, nodes: DataFrame, markers: DataFrame, config: Conf
     for links that are a part of a map (see uturns).
     """
     config = config or Config()
-    ensure_checkpoint_dir(links.sparkSession)
     out: dict[str, DataFrame] = {}
-    lateral, link_ends = lateral_neighbours(links).checkpoint(), ends(links, nodes).checkpoint()
-    geometry = end_geometry(links, config.tangent_lookback_m).checkpoint()
+    lateral, link_ends = settled(neighbours(links)), settled(ends(links, nodes))
 
     def ready(name: str, *needs: str) -> bool:
         return name in config.stages and all(n in out for n in needs)
 
     if ready("uturns"):
-        out["uturns"] = uturns(links, markers, config.z_intersection_tol_m, by_section, declared).checkpoint()
+        out["uturns"] = settled(uturns(links, markers, config.z_intersection_tol_m, by_section, declared))
     if ready("lateral_groups", "uturns"):
-        out["lateral_groups"] = lateral_groups(links, out["uturns"]).checkpoint()
-        out["group_references"] = reference_links(out["lateral_groups"], links, lateral).checkpoint()
+        out["lateral_groups"] = settled(lateral_groups(links, out["uturns"]))
+        out["group_references"] = settled(reference_links(out["lateral_groups"], links, lateral))
     if ready("node_groups", "lateral_groups"):
-        out["node_groups"] = node_groups(out["lateral_groups"], link_ends).checkpoint()
+        out["node_groups"] = settled(node_groups(out["lateral_groups"], link_ends))
     if ready("junctions", "lateral_groups", "node_groups"):
-        out["junctions"] = junctions(links, out["lateral_groups"], out["node_groups"], link_ends, lateral, config.z_intersection_tol_m, by_section).checkpoint()
-        out["junction_nodes"] = junction_nodes(out["junctions"], link_ends).checkpoint()
+        out["junctions"] = settled(junctions(links, out["lateral_groups"], out["node_groups"], link_ends, lateral, config.z_intersection_tol_m, by_section))
+        out["junction_nodes"] = settled(junction_nodes(out["junctions"], link_ends))
     if ready("connections", "junctions"):
-        match = junction_matches(out["lateral_groups"], out["node_groups"], out["junctions"], out["junction_nodes"], link_ends).checkpoint()
+        match = settled(junction_matches(out["lateral_groups"], out["node_groups"], out["junctions"], out["junction_nodes"], link_ends))
+        # directions are dear, and only the links that stand for a matched group are asked for theirs
+        standing = out["group_references"].join(match.select("grp"), "grp", "left_semi").select(F.coalesce("reference", "first_link").alias("id"))
+        geometry = settled(end_geometry(links.join(standing, "id", "left_semi"), config.tangent_lookback_m))
         pairs = greedy_pairs(pair_candidates(match, out["node_groups"], nodes, out["group_references"], geometry, config))
-        out["connections"] = connections(match, pairs).checkpoint()
+        out["connections"] = settled(connections(match, pairs))
     if ready("references", "connections"):
-        out["references"] = junction_references(out["connections"], out["node_groups"], out["junction_nodes"], out["group_references"], links, geometry).checkpoint()
+        out["references"] = settled(junction_references(out["connections"], out["node_groups"], out["junction_nodes"], out["group_references"], links, geometry))
     if ready("edges", "references"):
         centre = centroids(out["junctions"], out["junction_nodes"], links, nodes)
-        out["edges"] = junction_edges(out["references"], out["connections"], out["node_groups"], out["lateral_groups"], centre, links, nodes).checkpoint()
+        out["edges"] = settled(junction_edges(out["references"], out["connections"], out["node_groups"], out["lateral_groups"], centre, links, nodes))
     return out
 
 

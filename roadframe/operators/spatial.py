@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, segments
-from .components import ensure_checkpoint_dir
+from .components import settled
 
 
 def distance_join(left: DataFrame, right: DataFrame, tolerance: float, by: Sequence[str] = ()) -> DataFrame:
@@ -103,7 +103,6 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
     A split that leaves most pairs as they are (long segments that meet all over the cell) is not kept: there, blocks of
     the left side meet blocks of the right one.
     """
-    ensure_checkpoint_dir(a.sparkSession)
     sides = {"l": _steps(a, "l", cell), "r": _steps(b, "r", cell)}
     done: dict[str, list[DataFrame]] = {"l": [], "r": []}
 
@@ -116,7 +115,7 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
         done[side].append(rows.drop("nl", "nr", "px", "py"))
 
     for level in range(MAX_SPLITS + 1):
-        dense = _counted(sides["l"], sides["r"], "cx", "cy").filter(F.col("nl") * F.col("nr") > DENSE_PAIRS).checkpoint()
+        dense = settled(_counted(sides["l"], sides["r"], "cx", "cy").filter(F.col("nl") * F.col("nr") > DENSE_PAIRS))
         n = dense.count()
         if not n:
             for s, rows in sides.items():
@@ -132,11 +131,11 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
             break
         quarters = {s: _quarters(rows.drop("nl", "nr"), s, cell / 2**level) for s, rows in hard.items()}
         pairs = _counted(quarters["l"], quarters["r"], "px", "py", "cx", "cy").groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum(F.col("nl") * F.col("nr")).alias("pairs"))
-        split = dense.join(pairs, ["cx", "cy"]).filter(F.col("pairs") <= GAIN * F.col("nl") * F.col("nr")).select("cx", "cy").checkpoint()
+        split = settled(dense.join(pairs, ["cx", "cy"]).filter(F.col("pairs") <= GAIN * F.col("nl") * F.col("nr")).select("cx", "cy"))
         kept = _sent(split, n)
         for s in "lr":
             settle(s, hard[s].join(kept, ["cx", "cy"], "left_anti"), level, blocks=True)
-        sides = {s: quarters[s].join(kept.select(F.col("cx").alias("px"), F.col("cy").alias("py")), ["px", "py"], "left_semi").drop("px", "py").checkpoint() for s in "lr"}
+        sides = {s: settled(quarters[s].join(kept.select(F.col("cx").alias("px"), F.col("cy").alias("py")), ["px", "py"], "left_semi").drop("px", "py")) for s in "lr"}
     out = {s: parts[0] for s, parts in done.items()}
     for s, parts in done.items():
         for more in parts[1:]:
@@ -154,6 +153,10 @@ def crossing_pairs(a: DataFrame, b: DataFrame, z_tolerance: float, cell: float =
     pairs = left.join(right, ["level", "cx", "cy", "bl", "br"])
     if once:
         pairs = pairs.filter("l_id < r_id")
+    # most segments of a cell pass each other by: their boxes tell before anything is divided
+    for axis in "xy":
+        (la, lb), (ra, rb) = ((F.col(f"{s}a{axis}"), F.col(f"{s}b{axis}")) for s in "lr")
+        pairs = pairs.filter((F.least(ra, rb) <= F.greatest(la, lb)) & (F.greatest(ra, rb) >= F.least(la, lb)))
     ux, uy = F.col("lbx") - F.col("lax"), F.col("lby") - F.col("lay")
     vx, vy = F.col("rbx") - F.col("rax"), F.col("rby") - F.col("ray")
     wx, wy = F.col("rax") - F.col("lax"), F.col("ray") - F.col("lay")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import settled
+
 NODE = """
 SELECT p_partkey AS node_id, (p_partkey % 40) * 50.0 AS x, floor(p_partkey / 40) * 50.0 AS y,
        CASE WHEN p_size % 10 = 0 THEN 6.0 ELSE 0.0 END AS z,
@@ -80,13 +82,18 @@ def ctes() -> str:
     return ",\n".join(f"{name} AS ({sql})" for name, sql in _sql("part", "orders", "net_link").items())
 
 
-def network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """nodes (id, ord, x, y, z, group_key, node_type), links (id, ord, ends, sides, lane_no, link_type, coords), markers (id, kind, coords)."""
+def network(spark: SparkSession, sf_dir: str, once: bool = False) -> dict[str, DataFrame]:
+    """nodes (id, ord, x, y, z, group_key, node_type), links (id, ord, ends, sides, lane_no, link_type, coords), markers (id, kind, coords).
+
+    once writes links and nodes, for those who read them several times.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_brand", "p_type")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     sql = _sql("{part}", "{orders}", "{link}")
     nodes = spark.sql(sql["net_node"], part=part, orders=orders)
     links = spark.sql(sql["net_link"], part=part, orders=orders)
+    if once:
+        nodes, links = settled(nodes), settled(links)
     markers = spark.sql(sql["net_marker"], link=links)
 
     def line(*ends: str):
