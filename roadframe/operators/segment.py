@@ -145,7 +145,6 @@ def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_end
     seed = seeds.select("id")
     is_seed = seed.withColumn("seed", F.lit(True))
     next_to = lateral.select("id", "other").join(seed, "id", "left_semi").join(is_seed.withColumnRenamed("id", "other"), "other", "left")
-    crossing = _own_section(crossing_pairs(seeds.select("id", "coords"), seeds.select("id", "coords"), z_tolerance, once=True), by_section).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     seed_ends = link_ends.join(seed, "id", "left_semi").select("id", "side", "node")
     shared = _star(seed_ends.select("node", "id").distinct(), ["node"])
     beside = next_to.filter("seed").select(F.col("id").alias("a"), F.col("other").alias("b"))
@@ -176,10 +175,15 @@ def junctions(links: DataFrame, groups: DataFrame, node_grp: DataFrame, link_end
     owners = settled(mixed.join(own_ends, ["grp", "node", "end"]).select("a", F.col("id").alias("b")).distinct())
     items = kind.unionByName(owners.select(F.col("b").alias("id")).distinct().join(kind, "id", "left_anti").withColumn("kind", F.lit("owner")))
     pairs = beside
-    for more in (crossing, shared, pulled.select("a", "b"), tied, bridge, owners):
+    for more in (shared, pulled.select("a", "b"), tied, bridge, owners):
         pairs = pairs.unionByName(more.select("a", "b"))
-    forest = star_forest(pairs)
-    rooted = settled(items.join(forest.withColumnRenamed("node", "id"), "id", "left").select("id", "kind", F.coalesce("component", "id").alias("root")))
+    part = star_forest(pairs).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    # crossings are looked for between parts only: links at one node cross all over, and are together anyway
+    apart = settled(seeds.select("id", "coords").join(part, "id", "left").select(F.coalesce("part", "id").alias("id"), "coords"))
+    crossing = _own_section(crossing_pairs(apart, apart, z_tolerance, once=True), by_section)
+    whole = star_forest(crossing, "a_id", "b_id").select(F.col("node").alias("part"), F.col("component").alias("root"))
+    rooted = items.join(part, "id", "left").select("id", "kind", F.coalesce("part", "id").alias("part"))
+    rooted = settled(rooted.join(whole, "part", "left").select("id", "kind", F.coalesce("root", "part").alias("root")))
     first = rooted.join(seeds.select("id", "ord"), "id").groupBy("root").agg(F.min("ord").alias("o"))
     return rooted.join(numbered(first, "o", "junction"), "root").select("junction", "id", "kind")
 

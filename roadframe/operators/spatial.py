@@ -39,10 +39,12 @@ GAIN = 0.75
 BLOCK_ROWS = 2_000
 #: Dense cells up to this number are sent to all tasks.
 SENT_CELLS = 100_000
+#: Where cells of crossing segments begin, as a part of a cell: lines often run along round coordinates, which would touch cells on both sides.
+BEGIN = 0.02
 
 
-def _steps(rows: DataFrame, side: str, cell: float) -> DataFrame:
-    """Segments of a side with one row per cell that a step's box touches."""
+def _steps(rows: DataFrame, side: str, cell: float, begin: float = 0.0) -> DataFrame:
+    """Segments of a side with one row per cell that a step's box touches; the first cell begins at begin on both axes."""
     s = segments(rows.select(F.col("id").alias(f"{side}_id"), "coords"), [f"{side}_id"])
     s = s.select(f"{side}_id", F.col("seg").alias(f"{side}_seg"), *(F.col(f"{e}{c}").alias(f"{side}{e}{c}") for e in "ab" for c in "xyz"))
     dx, dy = F.col(f"{side}bx") - F.col(f"{side}ax"), F.col(f"{side}by") - F.col(f"{side}ay")
@@ -57,7 +59,7 @@ def _steps(rows: DataFrame, side: str, cell: float) -> DataFrame:
         a, b = at(axis, i), at(axis, i + 1)
         # a step's ends are rounded: widen by far less than a cell, so that no touching cell is missed
         slack = cell * 1e-6
-        return F.floor((F.least(a, b) - slack) / cell).cast("long"), F.floor((F.greatest(a, b) + slack) / cell).cast("long")
+        return F.floor((F.least(a, b) - begin - slack) / cell).cast("long"), F.floor((F.greatest(a, b) - begin + slack) / cell).cast("long")
 
     for axis in "xy":
         s = s.withColumn(f"c{axis}", F.explode(F.sequence(*bounds(axis, F.col("i")))))
@@ -66,14 +68,14 @@ def _steps(rows: DataFrame, side: str, cell: float) -> DataFrame:
     return s.filter((F.col("i") == 0) | ~(before[0] & before[1])).drop("n", "i")
 
 
-def _quarters(rows: DataFrame, side: str, cell: float) -> DataFrame:
+def _quarters(rows: DataFrame, side: str, cell: float, begin: float = 0.0) -> DataFrame:
     """Rows of cells of a size dealt to the quarters that their part in the cell touches; px, py name the cell."""
     half, slack = cell / 2, cell * 1e-6
     rows = rows.withColumnsRenamed({"cx": "px", "cy": "py"})
     low, high = F.lit(0.0), F.lit(1.0)
     for axis in "xy":
         a, d = F.col(f"{side}a{axis}"), F.col(f"{side}b{axis}") - F.col(f"{side}a{axis}")
-        first, second = ((F.col(f"p{axis}") + i) * cell + s - a for i, s in ((0, -slack), (1, slack)))
+        first, second = ((F.col(f"p{axis}") + i) * cell + begin + s - a for i, s in ((0, -slack), (1, slack)))
         low = F.greatest(low, F.when(d != 0, F.least(first / d, second / d)).otherwise(F.lit(0.0)))
         high = F.least(high, F.when(d != 0, F.greatest(first / d, second / d)).otherwise(F.lit(1.0)))
     rows = rows.withColumns({"t0": low, "t1": high}).filter("t0 <= t1")
@@ -81,8 +83,8 @@ def _quarters(rows: DataFrame, side: str, cell: float) -> DataFrame:
         a, d = F.col(f"{side}a{axis}"), F.col(f"{side}b{axis}") - F.col(f"{side}a{axis}")
         u, v = a + d * F.col("t0"), a + d * F.col("t1")
         base = F.col(f"p{axis}") * 2
-        start = F.greatest(F.least(F.floor((F.least(u, v) - slack) / half).cast("long"), base + 1), base)
-        end = F.least(F.greatest(F.floor((F.greatest(u, v) + slack) / half).cast("long"), base), base + 1)
+        start = F.greatest(F.least(F.floor((F.least(u, v) - begin - slack) / half).cast("long"), base + 1), base)
+        end = F.least(F.greatest(F.floor((F.greatest(u, v) - begin + slack) / half).cast("long"), base), base + 1)
         rows = rows.withColumn(f"c{axis}", F.explode(F.sequence(start, end)))
     return rows.drop("t0", "t1")
 
@@ -97,20 +99,25 @@ def _sent(cells: DataFrame, n: int) -> DataFrame:
     return F.broadcast(cells) if n <= SENT_CELLS else cells
 
 
-def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+def _dealt(a: DataFrame, b: DataFrame, cell: float, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides by level, cx, cy, bl, br: cells, quartered where they hold many pairs, and blocks of cells that stay dense.
 
     A split that leaves most pairs as they are (long segments that meet all over the cell) is not kept: there, blocks of
-    the left side meet blocks of the right one.
+    the left side meet blocks of the right one. once is for a table with itself: cells of one id are left out.
     """
-    sides = {"l": _steps(a, "l", cell), "r": _steps(b, "r", cell)}
+    begin = BEGIN * cell
+    sides = {"l": _steps(a, "l", cell, begin), "r": _steps(b, "r", cell, begin)}
+    if once:
+        several = settled(sides["l"].groupBy("cx", "cy").agg((F.min("l_id") != F.max("l_id")).alias("several")).filter("several").select("cx", "cy"))
+        few = _sent(several, several.count())
+        sides = {s: rows.join(few, ["cx", "cy"], "left_semi") for s, rows in sides.items()}
     done: dict[str, list[DataFrame]] = {"l": [], "r": []}
 
     def settle(side: str, rows: DataFrame, level: int, blocks: bool = False) -> None:
         rows = rows.withColumns({"level": F.lit(level), "bl": F.lit(0), "br": F.lit(0)})
         if blocks:
             n = {s: F.ceil(F.col(f"n{s}") / BLOCK_ROWS).cast("int") for s in "lr"}
-            mine = F.pmod(F.xxhash64(f"{side}_id", f"{side}_seg"), n[side]).cast("int")
+            mine = F.pmod(F.xxhash64(f"{side}_id", f"{side}_seg", f"{side}ax", f"{side}ay"), n[side]).cast("int")
             rows = rows.withColumn(f"b{side}", mine).withColumn("br" if side == "l" else "bl", F.explode(F.sequence(F.lit(0), n["r" if side == "l" else "l"] - 1)))
         done[side].append(rows.drop("nl", "nr", "px", "py"))
 
@@ -129,7 +136,7 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
             for s, rows in hard.items():
                 settle(s, rows, level, blocks=True)
             break
-        quarters = {s: _quarters(rows.drop("nl", "nr"), s, cell / 2**level) for s, rows in hard.items()}
+        quarters = {s: _quarters(rows.drop("nl", "nr"), s, cell / 2**level, begin) for s, rows in hard.items()}
         pairs = _counted(quarters["l"], quarters["r"], "px", "py", "cx", "cy").groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum(F.col("nl") * F.col("nr")).alias("pairs"))
         split = settled(dense.join(pairs, ["cx", "cy"]).filter(F.col("pairs") <= GAIN * F.col("nl") * F.col("nr")).select("cx", "cy"))
         kept = _sent(split, n)
@@ -146,10 +153,10 @@ def _dealt(a: DataFrame, b: DataFrame, cell: float) -> tuple[DataFrame, DataFram
 def crossing_pairs(a: DataFrame, b: DataFrame, z_tolerance: float, cell: float = 50.0, once: bool = False) -> DataFrame:
     """(a_id, b_id): polylines that meet in the plane at a place where their heights differ by at most z_tolerance.
 
-    Both tables have id and coords. Segments are closed, so touching counts; collinear segments meet
+    Both tables have id and coords; lines may share an id, which then stands for all of them. Segments are closed, so touching counts; collinear segments meet
     over their overlap and are judged at its middle. once keeps pairs with a_id < b_id, for a table with itself.
     """
-    left, right = _dealt(a, b, cell)
+    left, right = _dealt(a, b, cell, once)
     pairs = left.join(right, ["level", "cx", "cy", "bl", "br"])
     if once:
         pairs = pairs.filter("l_id < r_id")

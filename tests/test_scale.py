@@ -4,9 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from roadframe.operators import components, segment
+from roadframe.operators import components, segment, spatial
 from roadframe.plans import catalog, network
 
+from test_units import COORDS  # noqa: I001
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -80,3 +82,41 @@ def test_directions_of_standing_links_only(spark, monkeypatch):
     stages = segment.segment(n["links"], n["nodes"], n["markers"])
     standing = stages["group_references"].join(stages["connections"].select("grp"), "grp", "left_semi").count()
     assert asked == [standing] and 0 < standing < n["links"].filter(F.col("is_ordinary")).count()
+
+
+def test_crossings_between_parts_only(spark, monkeypatch):
+    """Links that meet at a node are one line to the search for crossings, and give the same junctions as before."""
+    asked, whole = [], segment.crossing_pairs
+
+    def seen(a, b, *more, **named):
+        if named.get("once"):
+            asked.append((a.count(), a.select("id").distinct().count()))
+        return whole(a, b, *more, **named)
+
+    monkeypatch.setattr(segment, "crossing_pairs", seen)
+    flat = lambda *points: [(x, y, 0.0) for x, y in points]
+    lines = {1: flat((0.0, 0.0), (50.0, 0.0)), 2: flat((0.0, 0.0), (0.0, 50.0)), 3: flat((20.0, -10.0), (20.0, 10.0)), 4: flat((300.0, 0.0), (350.0, 0.0))}
+    nodes = {1: (10, 11), 2: (10, 12), 3: (13, 14), 4: (15, 16)}
+    links = spark.createDataFrame([(i, i, *nodes[i], None, None, 1, True, False, False, False, c) for i, c in lines.items()], f"id long, ord long, from_id long, to_id long, r_id long, l_id long, lane_no long, is_junction boolean, is_ordinary boolean, is_pocket boolean, is_uturn boolean, coords {COORDS}")
+    at = spark.createDataFrame([(n, n, 0.0, 0.0, 0.0, None) for n in range(10, 17)], "id long, ord long, x double, y double, z double, group_key string")
+    link_ends, empty = segment.ends(links, at), links.limit(0)
+    groups = segment.lateral_groups(empty, empty.select(F.col("id").alias("link")))
+    found = segment.junctions(links, groups, segment.node_groups(groups, link_ends), link_ends, segment.lateral_neighbours(links))
+    assert {(r["id"], r["junction"]) for r in found.collect()} == {(1, 0), (2, 0), (3, 0), (4, 1)}
+    assert asked == [(4, 3)]
+
+
+def test_cells_of_one_line_are_left_out(spark):
+    rows = [(1, [(float(x), 10.0, 0.0), (x + 40.0, 12.0, 0.0)]) for x in range(0, 400, 10)] + [(2, [(1000.0, 0.0, 0.0), (1010.0, 0.0, 0.0)]), (3, [(1005.0, -5.0, 0.0), (1005.0, 5.0, 0.0)])]
+    df = spark.createDataFrame(rows, f"id long, coords {COORDS}")
+    left, _ = spatial._dealt(df, df, 50.0, once=True)
+    assert {r["l_id"] for r in left.select("l_id").collect()} == {2, 3}
+    assert [tuple(r) for r in spatial.crossing_pairs(df, df, 1.0, once=True).collect()] == [(2, 3)]
+
+
+def test_lines_along_round_places_touch_few_cells(spark):
+    """A grid of lines of 50 metres from node to node: two or three cells a line, not the eight or more on both sides of cell borders."""
+    rows = [(100 * i + j, [(50.0 * i, 50.0 * j, 0.0), (50.0 * i + 25, 50.0 * j, 0.0), (50.0 * i + 50, 50.0 * j, 0.0)]) for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(rows, f"id long, coords {COORDS}")
+    left, _ = spatial._dealt(df, df, 50.0)
+    assert left.count() <= 3 * len(rows)
